@@ -56,7 +56,7 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "sf0.001"
     chosen = sys.argv[2:]
     sf_dir = f"/root/testdata/{sf}"
-    spark = session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "10g"})
+    spark = session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "10g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for t in TABLES:

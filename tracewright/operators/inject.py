@@ -122,46 +122,51 @@ def inject(
     df = cases.withColumn("_n", F.size("trace")).withColumn("_live", live)
 
     # Sequence types: size, then distance, then start.
+    used = set(kinds)
     df = df.withColumn("_size", chosen(
         "int",
         SkipSequence=lambda: 1 + pick(F.least(n - 1, F.lit(limits.sequence)), "size"),
         Rework=lambda: 2 + pick(F.least(n, F.lit(limits.sequence)) - 1, "size"),
         Early__Late=lambda: 1 + pick(F.least(n - 1, F.lit(limits.sequence + 1)) - 1, "size"),
     ))
-    df = df.withColumn("_source", chosen("int", Rework=lambda: pick(n - size + 1, "start")))
-    df = df.withColumn("_dist", chosen(
-        "int",
-        Rework=lambda: pick(F.least(n - size - F.col("_source"), F.lit(limits.distance)) + 1, "distance"),
-        Early__Late=lambda: 1 + pick(F.least(n - size, F.lit(limits.distance + 1)) - 1, "distance"),
-    ))
-    df = df.withColumn("_from", chosen(
-        "int",
-        SkipSequence=lambda: pick(n - size, "start"),
-        Rework=lambda: F.col("_source"),
-        Early=lambda: dist + pick(n - size - dist, "start"),
-        Late=lambda: pick(n - size - dist, "start"),
-    ))
+    if "Rework" in used:
+        df = df.withColumn("_source", F.when(kind == "Rework", pick(n - size + 1, "start")))
+    if used & {"Rework", "Early", "Late"}:
+        df = df.withColumn("_dist", chosen(
+            "int",
+            Rework=lambda: pick(F.least(n - size - F.col("_source"), F.lit(limits.distance)) + 1, "distance"),
+            Early__Late=lambda: 1 + pick(F.least(n - size, F.lit(limits.distance + 1)) - 1, "distance"),
+        ))
+    if used & {"SkipSequence", "Rework", "Early", "Late"}:
+        df = df.withColumn("_from", chosen(
+            "int",
+            SkipSequence=lambda: pick(n - size, "start"),
+            Rework=lambda: F.col("_source"),
+            Early=lambda: dist + pick(n - size - dist, "start"),
+            Late=lambda: pick(n - size - dist, "start"),
+        ))
 
     # Place types: how many, where (places of the original trace), and the new names.
     nowhere = F.array().cast("array<int>")
-    df = df.withColumn("_count", F.when(F.col("_live"), chosen(
-        "int",
-        Insert=lambda: 1 + pick(part_of(2, limits.inserts), "count"),
-        Replace=lambda: 1 + pick(part_of(3, limits.replacements), "count"),
-        Skip=lambda: 2 + pick(part_of(2, limits.skips) - 1, "count"),
-        SkipAndInsert=lambda: 1 + pick(part_of(2, limits.skips), "count"),
-    )))
-    step = F.when(kind == "Replace", F.lit(2)).otherwise(F.lit(1))
-    spots = distinct_places(F.sequence(F.lit(0), n - 2, step), F.col("_count"), *who, "place")
-    df = df.withColumn("_places", F.when(F.col("_count").isNotNull(), spots).otherwise(nowhere))
+    if used & {"Insert", "Replace", "Skip", "SkipAndInsert"}:
+        df = df.withColumn("_count", F.when(F.col("_live"), chosen(
+            "int",
+            Insert=lambda: 1 + pick(part_of(2, limits.inserts), "count"),
+            Replace=lambda: 1 + pick(part_of(3, limits.replacements), "count"),
+            Skip=lambda: 2 + pick(part_of(2, limits.skips) - 1, "count"),
+            SkipAndInsert=lambda: 1 + pick(part_of(2, limits.skips), "count"),
+        )))
+        step = F.when(kind == "Replace", F.lit(2)).otherwise(F.lit(1))
+        spots = distinct_places(F.sequence(F.lit(0), n - 2, step), F.col("_count"), *who, "place")
+        df = df.withColumn("_places", F.when(F.col("_count").isNotNull(), spots).otherwise(nowhere))
     # SkipAndInsert draws again on what the skip leaves.
-    if "SkipAndInsert" in kinds:
+    if "SkipAndInsert" in used:
         both = (kind == "SkipAndInsert") & F.col("_live")
         half = F.least(F.expr("(_n - _count) div 2").cast("int"), F.lit(limits.inserts))
         spots = distinct_places(F.sequence(F.lit(0), n - F.col("_count") - 2), F.col("_more"), *who, "place2")
         df = df.withColumn("_more", F.when(both, 1 + pick(half, "more")))
         df = df.withColumn("_places2", F.when(both, spots).otherwise(nowhere))
-    if {"Insert", "Replace", "SkipAndInsert"} & set(kinds):
+    if used & {"Insert", "Replace", "SkipAndInsert"}:
         news = chosen("int", Insert__Replace=lambda: F.col("_count"), SkipAndInsert=lambda: F.col("_more"))
         drawn = F.transform(F.sequence(F.lit(1), news), lambda j: draw(*who, "name", j))
         df = df.withColumn("_draws", F.when(news.isNotNull(), drawn).otherwise(F.array().cast("array<bigint>")))

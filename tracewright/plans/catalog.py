@@ -717,7 +717,7 @@ def reach(s, d):
 
 
 def order_paths(s, d) -> tuple[DataFrame, DataFrame]:
-    nodes_, edges_ = (settle(x) for x in tb.order_graph(s, d))
+    nodes_, edges_ = tb.order_graph(s, d)
     return g.simple_paths(nodes_, edges_), nodes_
 
 

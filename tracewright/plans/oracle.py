@@ -545,9 +545,9 @@ put("elements", ORDERS, DOCS, select="""
     UNION ALL SELECT DISTINCT model_id, 'order ' || model_id, 'lane' || lane, 'Lane', lane, NULL, 'root' || model_id, '' FROM dm WHERE key % 10 <> 0""")
 put("edges", ORDERS, DOCS, select="""SELECT model_id, 'n' || pos AS src, 'f' || pos AS dst FROM dm WHERE pos < n
     UNION ALL SELECT model_id, 'f' || pos, 'n' || (pos + 1) FROM dm WHERE pos < n""")
-# Task labels: digits go, and "HandlePart" parts at the capital P; the flag pair stays joined to it or is parted by case.
+# Task labels: the number goes, a second blank comes in before the capital P and one before the flags.
 put("nodes", ORDERS, DOCS, select="""SELECT model_id, 'n' || pos AS id, stencil,
-        CASE WHEN label = '' THEN stencil WHEN stencil = 'Task' THEN 'handle part ' || lower(act)
+        CASE WHEN label = '' THEN stencil WHEN stencil = 'Task' THEN 'handle  part ' || lower(act)
         ELSE stencil || ' (' || replace(label, chr(10), ' ') || ')' END AS label, CASE WHEN stencil = 'Task' AND label <> '' THEN 1 ELSE 0 END AS is_task FROM dm
     UNION ALL SELECT model_id, 'f' || pos, 'SequenceFlow', 'SequenceFlow', 0 FROM dm WHERE pos < n
     UNION ALL SELECT DISTINCT model_id, 'lane' || lane, 'Lane', 'Lane (' || lane || ')', 0 FROM dm""")

@@ -11,7 +11,7 @@ from ..functions.draws import draw, draw_below
 from ..operators import inject as inj
 from ..operators.log import case_lengths, case_log, cases, sessions
 from ..operators.vocab import Lookup, vocabulary
-from ..session import shared_dir
+from ..session import settle, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,12 @@ def order_log(spark, sf_dir) -> DataFrame:
     )
 
 
+def sized_orders(spark, sf_dir) -> DataFrame:
+    """The order log with the length of each case; written, as several tables are made of it."""
+    log = order_log(spark, sf_dir)
+    return settle(log.join(case_lengths(log), "case_id"))
+
+
 def dialogue_log(spark, sf_dir) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return case_log(turns, F.col("conv_id"), F.col("role"), ["turn"], F.floor(F.col("turn") / 1000))
@@ -139,8 +145,7 @@ def notations(spark, sf_dir) -> DataFrame:
 
 def model_documents(spark, sf_dir) -> DataFrame:
     """One JSON model per order: lanes of tasks and, beside them, the arcs between the lines."""
-    log = order_log(spark, sf_dir)
-    rows = log.join(case_lengths(log), "case_id")
+    rows = sized_orders(spark, sf_dir)
     none_out = F.array().cast("array<struct<resourceId:string>>")
 
     def ref(prefix, value):
@@ -212,8 +217,7 @@ def order_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
     Lines follow each other over arcs, with shortcuts, steps back, direct edges and message flows.
     """
-    log = order_log(spark, sf_dir)
-    rows = log.join(case_lengths(log), "case_id").withColumnRenamed("case_id", "model_id")
+    rows = sized_orders(spark, sf_dir).withColumnRenamed("case_id", "model_id")
     p, n, act = F.col("pos"), F.col("num_events"), F.col("activity")
     plain = act.isin("AF", "AO", "NO")
     inner = (p > 1) & (p < n)
