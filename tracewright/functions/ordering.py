@@ -1,8 +1,13 @@
 """Row numbers, running totals and cut-offs for groups of any size.
 
-A window over a group puts the whole group into one task. Here every group is first divided
-into *slots*, a value that never decreases along the wanted order. Only the per-slot totals
-(after map-side aggregation) are windowed over the group; rows are windowed inside one slot.
+A window over a group puts the whole group into one task. For groups that may be large, the
+group is first divided into *slots*, a value that never decreases along the wanted order. Only
+the per-slot totals (after map-side aggregation) are windowed over the group; rows are windowed
+inside one slot.
+
+For the many small groups of a log that would only cost a second shuffle, so a sketch of the
+frequent keys decides beforehand which keys need slots (``hot_keys``). Both ways give the same
+numbers; the sketch never decides the result.
 """
 
 from __future__ import annotations
@@ -11,6 +16,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# A key with more rows than this is divided into slots.
+HOT_ROWS = 2_000_000
+
+# At most this many hot keys are looked for, so the list of them is small by construction.
+HOT_KEYS = 10_000
+
+
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys that may have more than ``hot_rows`` rows, None without any.
+
+    One pass without a shuffle: a frequent-items sketch, whose counts are never too low.
+    """
+    spark = df.sparkSession
+    kind = df.schema[key].dataType
+    top = df.selectExpr(f"approx_top_k(`{key}`, {HOT_KEYS}, {10 * HOT_KEYS}) AS top").first().top or []
+    found = [(t["item"],) for t in top if t["item"] is not None and t["count"] > hot_rows]
+    return spark.createDataFrame(found, f"`{key}` {kind.simpleString()}") if found else None
+
+
+def by_heat(df: DataFrame, key: str, plain, slotted, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``plain(df)``, but ``slotted`` for the rows of hot keys."""
+    hot = hot_keys(df, key, hot_rows)
+    if hot is None:
+        return plain(df)
+    hot = F.broadcast(hot)  # at most HOT_KEYS rows
+    return plain(df.join(hot, key, "left_anti")).unionByName(slotted(df.join(hot, key, "left_semi")))
+
+
 def hash_slot(h: Column) -> Column:
     """65,536 even slots for an order by a hexadecimal hash."""
     return F.substring(h, 1, 4)

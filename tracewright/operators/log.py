@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import order_hash
-from ..functions.ordering import hash_slot, numbered
+from ..functions.ordering import HOT_ROWS, by_heat, hash_slot, numbered
 
 # Symbols of the artificial first and last row of a case.
 START, END = "▶", "■"
@@ -25,34 +25,54 @@ IGNORED_KEYS = [
 ]
 
 
-def sessions(events: DataFrame, gap_seconds: int = 43_200, slots_per_gap: int = 12) -> DataFrame:
-    """EVENTS of a click stream, one case per user and stretch without a pause over the gap.
-
-    A slot is shorter than the gap, so a case can only begin with the first event of a slot.
-    Case starts and positions therefore come from a (user, slot) aggregate; no window ever
-    sees all events of a user.
-    """
+def sessions(
+    events: DataFrame, gap_seconds: int = 43_200, slots_per_gap: int = 12, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """EVENTS of a click stream, one case per user and stretch without a pause over the gap."""
     gap = gap_seconds * 1_000_000
     clicks = events.select(
         "user_id", "event_id", "ts", "event_type", "value", "props",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
-    ).withColumn("slot", F.floor(F.col("us") / F.lit(gap // slots_per_gap)))
-    slots = clicks.groupBy("user_id", "slot").agg(
-        F.min("us").alias("lo"), F.max("us").alias("hi"), F.count("*").alias("c")
     )
-    by_user = Window.partitionBy("user_id").orderBy("slot")
-    earlier = Window.partitionBy("user_id", "start").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = (
-        slots.withColumn("pause", F.col("lo") - F.lag("hi").over(by_user))
-        .withColumn("opens", F.when(F.col("pause").isNull() | (F.col("pause") > gap), F.col("lo")))
-        .withColumn("start", F.last("opens", ignorenulls=True).over(by_user))
-        .withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
-        .select("user_id", "slot", "start", "before")
-    )
-    inside = Window.partitionBy("user_id", "slot").orderBy("us", "event_id")
-    return clicks.join(slots, ["user_id", "slot"]).select(
+
+    def opens(pause, at):
+        return F.when(pause.isNull() | (pause > gap), at)
+
+    def plain(rows):
+        by_user = Window.partitionBy("user_id").orderBy("us", "event_id")
+        in_case = Window.partitionBy("user_id", "start").orderBy("us", "event_id")
+        return (
+            rows.withColumn("pause", F.col("us") - F.lag("us").over(by_user))
+            .withColumn("start", F.last(opens(F.col("pause"), F.col("us")), ignorenulls=True).over(by_user))
+            .withColumn("pos", F.row_number().over(in_case).cast("bigint"))
+            .drop("pause")
+        )
+
+    def slotted(rows):
+        # A slot is shorter than the gap, so a case can only begin with the first event of a slot:
+        # starts and positions come from a (user, slot) aggregate, and no window sees a whole user.
+        rows = rows.withColumn("slot", F.floor(F.col("us") / F.lit(gap // slots_per_gap)))
+        slots = rows.groupBy("user_id", "slot").agg(
+            F.min("us").alias("lo"), F.max("us").alias("hi"), F.count("*").alias("c")
+        )
+        by_user = Window.partitionBy("user_id").orderBy("slot")
+        earlier = Window.partitionBy("user_id", "start").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+        slots = (
+            slots.withColumn("pause", F.col("lo") - F.lag("hi").over(by_user))
+            .withColumn("start", F.last(opens(F.col("pause"), F.col("lo")), ignorenulls=True).over(by_user))
+            .withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
+            .select("user_id", "slot", "start", "before")
+        )
+        inside = Window.partitionBy("user_id", "slot").orderBy("us", "event_id")
+        return (
+            rows.join(slots, ["user_id", "slot"])
+            .withColumn("pos", F.col("before") + F.row_number().over(inside))
+            .drop("slot", "before")
+        )
+
+    return by_heat(clicks, "user_id", plain, slotted, hot_rows).select(
         F.concat_ws("-", F.col("user_id"), F.floor(F.col("start") / 1_000_000)).alias("case_id"),
-        (F.col("before") + F.row_number().over(inside)).alias("pos"),
+        "pos",
         F.col("event_type").alias("activity"),
         "ts",
         F.create_map(
@@ -62,10 +82,22 @@ def sessions(events: DataFrame, gap_seconds: int = 43_200, slots_per_gap: int =
     )
 
 
-def case_log(df: DataFrame, case: Column, activity: Column, order: list, slot: Column, *keep) -> DataFrame:
-    """EVENTS of any table with a case column, an order and a slot that grows along the order."""
-    rows = df.withColumn("case_id", case.cast("string")).withColumn("activity", activity)
-    return numbered(rows, ["case_id"], slot, order).select("case_id", "pos", "activity", *keep)
+def case_log(
+    df: DataFrame, case: str, activity: Column, order: list, slot: Column, *keep, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """EVENTS of a table with a case column and an order.
+
+    ``slot`` grows along the order; it divides cases with more than ``hot_rows`` events.
+    """
+    def plain(rows):
+        in_case = Window.partitionBy(case).orderBy(*order)
+        return rows.withColumn("pos", F.row_number().over(in_case).cast("bigint"))
+
+    def slotted(rows):
+        return numbered(rows, [case], slot, order)
+
+    out = by_heat(df, case, plain, slotted, hot_rows)
+    return out.select(F.col(case).cast("string").alias("case_id"), "pos", activity.alias("activity"), *keep)
 
 
 def cases(events: DataFrame, *keep: str) -> DataFrame:

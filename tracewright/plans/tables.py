@@ -35,7 +35,7 @@ def session_cases(spark, sf_dir) -> DataFrame:
 def order_log(spark, sf_dir) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     return case_log(
-        lines, F.col("l_orderkey"), F.concat("l_returnflag", "l_linestatus"),
+        lines, "l_orderkey", F.concat("l_returnflag", "l_linestatus"),
         ["l_shipdate", "l_linenumber", "l_partkey"],
         F.year("l_shipdate") * 12 + F.month("l_shipdate"),
         F.col("l_partkey").alias("part"), F.col("l_linestatus").alias("lane"),
@@ -50,7 +50,7 @@ def sized_orders(spark, sf_dir) -> DataFrame:
 
 def dialogue_log(spark, sf_dir) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    return case_log(turns, F.col("conv_id"), F.col("role"), ["turn"], F.floor(F.col("turn") / 1000))
+    return case_log(turns, "conv_id", F.col("role"), ["turn"], F.floor(F.col("turn") / 1000))
 
 
 def words(spark, sf_dir) -> Lookup:

@@ -22,7 +22,7 @@ def _with_row(df: DataFrame) -> DataFrame:
     return settle(df.withColumn("row", F.monotonically_increasing_id()))
 
 
-def _in_file_order(df: DataFrame, case: Column, activity: Column, order: list | None, slot: Column | None, *keep) -> DataFrame:
+def _in_file_order(df: DataFrame, case: str, activity: Column, order: list | None, slot: Column | None, *keep) -> DataFrame:
     """EVENTS ordered by the given columns, else as the rows stand in the file."""
     if order is None:
         df = _with_row(df)
@@ -37,7 +37,7 @@ def read_csv_log(spark: SparkSession, path: str, order=None, slot=None, schema:
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     df = df.withColumnRenamed("isAnomaly", "is_anomaly")
     keep = [c for c in df.columns if c not in ("case_id", "name", "pos")]
-    return _in_file_order(df, F.col("case_id"), F.col("name"), order, slot, *keep)
+    return _in_file_order(df, "case_id", F.col("name"), order, slot, *keep)
 
 
 def read_train_test(
@@ -64,7 +64,7 @@ def read_timed_csv(spark: SparkSession, path: str, order=None, slot=None) -> Dat
     df = spark.read.option("header", True).csv(path)
     df = df.withColumn("attrs", F.create_map(F.lit("end_time"), F.col("end_time"), F.lit("user"), F.col("user")))
     df = df.withColumn("ts", F.col("start_time"))
-    return _in_file_order(df, F.col("case_id"), F.col("event"), order, slot, "ts", "attrs")
+    return _in_file_order(df, "case_id", F.col("event"), order, slot, "ts", "attrs")
 
 
 def _case_events(rows: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def read_table_log(table: DataFrame, slot: Column | None = None) -> DataFrame:
     rows = rows.withColumn("attrs", F.create_map(F.lit("resource"), F.col("Resource").cast("string")))
     hour = F.coalesce(F.floor(F.unix_seconds(F.col("Timestamp").cast("timestamp")) / 3600), F.lit(-(2**62)))
     return case_log(
-        rows, F.col("CaseId"), F.col("ActivityName"), ["Timestamp", "SortKey", "ActivityName"],
+        rows, "CaseId", F.col("ActivityName"), ["Timestamp", "SortKey", "ActivityName"],
         hour if slot is None else slot, "ts", "attrs",
     )
 
