@@ -105,7 +105,7 @@ def variant_table(*labelled: DataFrame) -> DataFrame:
 class FrequencyModel:
     counts: DataFrame  # prefix_len, pos, activity, c
     norms: DataFrame  # prefix_len, n_fit, squares: sum of squared counts
-    vocabulary: DataFrame  # idx, activity of the training cases
+    vocabulary: DataFrame  # idx, activity of the training cases; settled
     encoding: str = "onehot"
 
     def score(self, variants: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ class FrequencyModel:
         1 - 2 p_x + sum of all p_b squared; an unknown event is a zero vector and has only the sum.
         """
         size = self.vocabulary.agg(F.count("*").alias("c"))
-        known = settle_small(self.vocabulary.select("activity", F.lit(1).alias("known")))
+        known = self.vocabulary.select("activity", F.lit(1).alias("known"))
         events = (
             variants.select("tid", "n", F.posexplode("trace").alias("p", "activity"))
             .join(known, "activity", "left")
@@ -170,20 +170,16 @@ def thresholds(errors: DataFrame, percentiles=PERCENTILES) -> DataFrame:
     ranked = running_total(
         fit, ["prefix_len"], F.floor(F.col("score") * ERROR_SLOTS), ["score"], F.col("w"), "upto"
     ).join(n, "prefix_len")
-    marks = F.flatten(
-        F.array(
-            *[
-                F.array(
-                    F.struct(F.lit(p).alias("p"), F.lit(0).alias("side"), F.floor((F.col("n") - 1) * p / 100).alias("at")),
-                    F.struct(
-                        F.lit(p).alias("p"), F.lit(1).alias("side"),
-                        F.least(F.floor((F.col("n") - 1) * p / 100) + 1, F.col("n") - 1).alias("at"),
-                    ),
-                )
-                for p in percentiles
-            ]
+    last = F.col("n") - 1
+
+    def between(p):
+        at = F.floor(last * p / 100)
+        return F.array(
+            F.struct(p.alias("p"), F.lit(0).alias("side"), at.alias("at")),
+            F.struct(p.alias("p"), F.lit(1).alias("side"), F.least(at + 1, last).alias("at")),
         )
-    )
+
+    marks = F.flatten(F.transform(F.array(*[F.lit(p) for p in percentiles]), between))
     covered = F.filter(marks, lambda m: (m.at >= F.col("upto") - F.col("w")) & (m.at < F.col("upto")))
     part = F.pmod((F.col("n") - 1) * F.col("p"), F.lit(100)) / F.lit(100.0)
     return (
@@ -201,9 +197,8 @@ def best_thresholds(candidates: DataFrame, errors: DataFrame) -> DataFrame:
     Tails of normal samples only give F1 = 0 throughout, so the first candidate is taken.
     """
     tail = errors.where("in_tail").groupBy("prefix_len", "score", "label").agg(F.sum("w").alias("w"))
-    per_length = settle_small(
-        candidates.groupBy("prefix_len").agg(F.sort_array(F.collect_list(F.struct("p", "threshold"))).alias("c"))
-    )
+    # One row per length, with as many entries as there are percentiles.
+    per_length = candidates.groupBy("prefix_len").agg(F.collect_list(F.struct("p", "threshold")).alias("c"))
     hit, wrong = F.col("c.threshold") < F.col("score"), F.col("label") == 1
     judged = (
         tail.join(per_length, "prefix_len")

@@ -35,7 +35,7 @@ def _indexed(rows: DataFrame, key: list[str], vocabulary: DataFrame) -> DataFram
     """Replace the activities of ``trace`` by their vocabulary index, null if unknown."""
     steps = rows.select(*key, F.posexplode("trace").alias("p", "activity"))
     return (
-        steps.join(settle_small(vocabulary), "activity", "left")
+        steps.join(vocabulary, "activity", "left")
         .groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("p", "idx"))).alias("s"))
         .select(*key, F.col("s.idx").alias("x"))
     )
@@ -104,7 +104,7 @@ def linear_model(
 
     With ``vectors`` (activity, vec) events are embedded instead of one-hot encoded.
     """
-    vocabulary = settle(fallback.vocabulary)
+    vocabulary = fallback.vocabulary
     size = vocabulary.count()
     table = None
     if vectors is not None and size <= max_dim:

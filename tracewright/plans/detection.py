@@ -59,7 +59,7 @@ class Run:
 
     @cached_property
     def vocabulary(self) -> DataFrame:
-        return vocabulary(self.train.select(F.explode("trace").alias("activity")))
+        return settle_small(vocabulary(self.train.select(F.explode("trace").alias("activity"))))
 
     @cached_property
     def cuts(self) -> DataFrame:
@@ -71,7 +71,7 @@ class Run:
 
     @cached_property
     def model(self):
-        base = d.frequency_model(self.train, self.cuts, settle(self.vocabulary))
+        base = d.frequency_model(self.train, self.cuts, self.vocabulary)
         if self.model_kind == "frequency":
             return base
         vectors = word_vectors(self.train) if self.encoding == "word2vec" else None

@@ -120,12 +120,13 @@ def read_xes_header(spark: SparkSession, path: str) -> DataFrame:
     )
     scope = rows("global", "_scope string, " + XES_ATTRIBUTES.replace("`:", "` "))
     none = F.array().cast("array<struct<_key:string,_value:string>>")
-    typed = F.concat(
-        *[F.transform(F.coalesce(F.col(k), none),
-                      lambda a, k=k: F.struct(a["_key"].alias("key"), F.lit(k).alias("type"), a["_value"].alias("value")))
-          for k in XES_KINDS]
-    )
-    global_attrs = scope.select(F.col("_scope").alias("scope"), F.explode(typed).alias("a")).select(
+    def typed(kind):
+        return F.transform(
+            F.coalesce(F.col(kind), none),
+            lambda a: F.struct(a["_key"].alias("key"), F.lit(kind).alias("type"), a["_value"].alias("value")),
+        )
+
+    global_attrs = scope.select(F.col("_scope").alias("scope"), F.explode(F.concat(*[typed(k) for k in XES_KINDS])).alias("a")).select(
         F.lit("global").alias("part"), "scope", "a.key", "a.type", "a.value"
     )
     classifiers = rows("classifier", "_name string, _keys string").select(

@@ -1 +1 @@
-
+"""No streaming jobs: the method works on finished logs."""
