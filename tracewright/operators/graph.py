@@ -50,30 +50,45 @@ def is_relevant(label: Column) -> Column:
     return ~first_word(label).isin(IRRELEVANT)
 
 
+def _arc_kinds(edges: DataFrame, nodes: DataFrame, end: str) -> DataFrame:
+    """Edges with ``arc``: whether the shape at ``end`` is a sequence arc; message flows are left out."""
+    label = F.col("label")
+    kinds = nodes.where(~label.startswith("MessageFlow")).select(
+        "model_id", F.col("id").alias(end), label.startswith("SequenceFlow").alias("arc")
+    )
+    return edges.join(kinds, ["model_id", end])
+
+
 def _labelled(edges: DataFrame, nodes: DataFrame, end: str) -> DataFrame:
     names = nodes.select("model_id", F.col("id").alias(end), F.col("label").alias(f"{end}_label"))
     return edges.join(names, ["model_id", end])
 
 
+def _over_arcs(direct: DataFrame, beyond: DataFrame, near: str, far: str) -> DataFrame:
+    """Ends of the edges, with the ends beyond it in place of a sequence arc.
+
+    ``direct`` has the end as ``near`` and ``arc``; ``beyond`` has (model_id, via, next).
+    """
+    over = (direct["model_id"] == beyond["model_id"]) & (direct[near] == beyond["via"]) & direct["arc"]
+    return (
+        direct.join(beyond, over, "left")
+        .where(~direct["arc"] | beyond["next"].isNotNull())
+        .select(direct["model_id"], direct[far], F.coalesce(beyond["next"], direct[near]).alias(near))
+        .distinct()
+    )
+
+
 def successors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(model_id, src, dst): next shapes, sequence arcs skipped and message flows ignored."""
-    direct = _labelled(edges, nodes, "dst").where(~F.col("dst_label").startswith("MessageFlow"))
-    plain = direct.where(~F.col("dst_label").startswith("SequenceFlow")).select("model_id", "src", "dst")
-    arcs = direct.where(F.col("dst_label").startswith("SequenceFlow")).select("model_id", "src", F.col("dst").alias("arc"))
-    over = arcs.join(edges.select("model_id", F.col("src").alias("arc"), "dst"), ["model_id", "arc"])
-    return plain.unionByName(over.select("model_id", "src", "dst")).distinct()
+    beyond = edges.select("model_id", F.col("src").alias("via"), F.col("dst").alias("next"))
+    return _over_arcs(_arc_kinds(edges, nodes, "dst"), beyond, "dst", "src")
 
 
 def predecessors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(model_id, dst, src): previous shapes, by the same rule read backwards."""
-    direct = (
-        _labelled(edges.where(F.col("src") != F.col("dst")), nodes, "src")
-        .where(~F.col("src_label").startswith("MessageFlow"))
-    )
-    plain = direct.where(~F.col("src_label").startswith("SequenceFlow")).select("model_id", "dst", "src")
-    arcs = direct.where(F.col("src_label").startswith("SequenceFlow")).select("model_id", "dst", F.col("src").alias("arc"))
-    before = edges.where(F.col("src") != F.col("dst")).select("model_id", "src", F.col("dst").alias("arc"))
-    return plain.unionByName(arcs.join(before, ["model_id", "arc"]).select("model_id", "dst", "src")).distinct()
+    edges = edges.where(F.col("src") != F.col("dst"))
+    beyond = edges.select("model_id", F.col("dst").alias("via"), F.col("src").alias("next"))
+    return _over_arcs(_arc_kinds(edges, nodes, "src"), beyond, "src", "dst")
 
 
 def sources(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -105,7 +120,7 @@ def reachable(succ: DataFrame) -> DataFrame:
         fresh = settle(longer.join(known, ["model_id", "src", "dst"], "left_anti"))
         if fresh.isEmpty():
             return known
-        known = settle(known.unionByName(fresh))
+        known = known.unionByName(fresh)
 
 
 def simple_paths(nodes: DataFrame, edges: DataFrame, all_routes: bool = False, max_nodes: int | None = None) -> DataFrame:
