@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from ..functions.draws import draw, draw_below
 from ..operators import inject as inj
 from ..operators.log import case_lengths, case_log, cases, sessions
 from ..operators.vocab import Lookup, vocabulary
-from ..session import settle, shared_dir
+from ..session import scratch, settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def session_log(spark, sf_dir) -> DataFrame:
     return sessions(table(spark, sf_dir, "events"))
 

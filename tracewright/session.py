@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 # A settled table of at most this many rows may be broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
 
+_written: list[str] = []
+
 
 def session(app: str = "tracewright", master: str | None = None, **conf) -> SparkSession:
     builder = (
@@ -28,19 +31,36 @@ def session(app: str = "tracewright", master: str | None = None, **conf) -> Spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or a temporary one where none is named (tests)."""
+    """The shared folder that the cluster names, or one below the warehouse, which is shared as well."""
     named = spark.conf.get("spark.checkpoint.dir", "")
-    if named:
-        return named
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracewright-"))
-    return spark.sparkContext.getCheckpointDir()
+    return (named or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str = "table") -> str:
+    """A fresh path in the shared folder; what is written there goes when the program ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(remove_scratch)
+    _written.append(path)
+    return path
+
+
+def remove_scratch() -> None:
+    """Delete every scratch path of this program, as far as a session is left to do it."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and go on from the written rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def settle(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and go on from the written rows."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settle_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
