@@ -24,7 +24,7 @@ from .textarrays import bounds, chunks, windows
 MIN_ROWS = 50
 SPREAD = 6
 #: Ratio (in thousandths) -> slack beyond the quantile bound, in thousandths.
-SLACK = {"word_length": 1500, "symbols": 250, "dup_lines": 200, "repeats": 200}
+SLACK = {"word_length": 1500, "symbols": 250, "dup_lines": 600, "repeats": 400}
 SYMBOLS = b"#*$%&|<>"
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
