@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import settle
-from . import quality_rules
-from .common import table
+from . import language_id, quality_rules
+from .common import remainder, table
 
 
 def op8_quality_rules(spark, sf_dir):
@@ -19,6 +19,14 @@ def op8_quality_rules(spark, sf_dir):
     )
 
 
-QUERIES = {"op8_quality_rules": op8_quality_rules}
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = language_id.fit(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), language_id.predicted(docs, model).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+QUERIES = {"op4_language_id": op4_language_id, "op8_quality_rules": op8_quality_rules}
 
 ORACLE: dict[str, str] = {}
