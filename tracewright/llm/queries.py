@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import settle
-from . import language_id, quality_rules
+from . import language_id, quality_rules, toxicity
 from .common import remainder, table
 
 
@@ -19,6 +19,15 @@ def op8_quality_rules(spark, sf_dir):
     )
 
 
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    model = toxicity.fit(docs.where(~held_out).join(labels, "doc_id", "left"))
+    found = docs.select("doc_id", held_out.alias("held_out"), toxicity.scored(docs, model).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= toxicity.CALLED).cast("int"))
+
+
 def op4_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     held_out = remainder(F.col("doc_id"), 4) == 2
@@ -27,6 +36,6 @@ def op4_language_id(spark, sf_dir):
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-QUERIES = {"op4_language_id": op4_language_id, "op8_quality_rules": op8_quality_rules}
+QUERIES = {"op2_toxicity": op2_toxicity, "op4_language_id": op4_language_id, "op8_quality_rules": op8_quality_rules}
 
 ORACLE: dict[str, str] = {}
