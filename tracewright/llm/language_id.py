@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .letters import find, letter_chunks
 
 SAMPLE_ROWS = 2_000
@@ -72,7 +73,8 @@ class Model:
 
 def sample(rows: DataFrame, lang: str, doc_id: str, most: int = SAMPLE_ROWS) -> DataFrame:
     """About ``most`` rows of each language at most, by a hash of the id; the same ones in every run."""
-    sizes = rows.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n"))
+    # Written first, so that Spark knows that it is small and no text is shuffled for it.
+    sizes = settle(rows.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n")), "langs")
     share = F.pmod(F.xxhash64(F.col(doc_id), F.lit("language sample")), F.lit(1 << 20)) / float(1 << 20)
     return rows.join(sizes, F.col(lang) == F.col("_lang")).where(share * F.col("_n") < most).drop("_lang", "_n")
 
