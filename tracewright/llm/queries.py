@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import settle
-from . import language_id, quality_rules, toxicity
+from . import language_id, ngram_join, quality_rules, toxicity
 from .common import remainder, table
 
 
+def op7_ngram_join(spark, sf_dir):
+    return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     counted = settle(quality_rules.counts(docs).drop("text"), "counts")
@@ -36,6 +40,6 @@ def op4_language_id(spark, sf_dir):
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op4_language_id": op4_language_id, "op8_quality_rules": op8_quality_rules}
+QUERIES = {"op2_toxicity": op2_toxicity, "op4_language_id": op4_language_id, "op7_ngram_join": op7_ngram_join, "op8_quality_rules": op8_quality_rules}
 
 ORACLE: dict[str, str] = {}
