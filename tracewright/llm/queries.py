@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import settle
-from . import language_id, ngram_join, quality_rules, toxicity
+from . import language_id, mixing, ngram_join, quality_rules, toxicity
 from .common import remainder, table
 
 
+def op5_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op7_ngram_join(spark, sf_dir):
     return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -40,6 +44,6 @@ def op4_language_id(spark, sf_dir):
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op4_language_id": op4_language_id, "op7_ngram_join": op7_ngram_join, "op8_quality_rules": op8_quality_rules}
+QUERIES = {"op2_toxicity": op2_toxicity, "op4_language_id": op4_language_id, "op5_mixing": op5_mixing, "op7_ngram_join": op7_ngram_join, "op8_quality_rules": op8_quality_rules}
 
 ORACLE: dict[str, str] = {}
