@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import settle
-from . import language_id, mixing, ngram_join, quality_rules, toxicity
+from . import language_id, mixing, ngram_join, packing, quality_rules, toxicity
 from .common import remainder, table
 
 
@@ -44,6 +44,10 @@ def op4_language_id(spark, sf_dir):
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op4_language_id": op4_language_id, "op5_mixing": op5_mixing, "op7_ngram_join": op7_ngram_join, "op8_quality_rules": op8_quality_rules}
+def op9_packing(spark, sf_dir):
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+QUERIES = {"op2_toxicity": op2_toxicity, "op4_language_id": op4_language_id, "op5_mixing": op5_mixing, "op7_ngram_join": op7_ngram_join, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing}
 
 ORACLE: dict[str, str] = {}
