@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import settle
-from . import language_id, mixing, ngram_join, packing, quality_rules, toxicity
+from . import language_id, mixing, nearest, ngram_join, packing, quality_rules, toxicity
 from .common import remainder, table
 
 
@@ -48,6 +48,11 @@ def op9_packing(spark, sf_dir):
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op4_language_id": op4_language_id, "op5_mixing": op5_mixing, "op7_ngram_join": op7_ngram_join, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing}
+def op10_nearest(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.search(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
+QUERIES = {"op2_toxicity": op2_toxicity, "op4_language_id": op4_language_id, "op5_mixing": op5_mixing, "op7_ngram_join": op7_ngram_join, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_nearest": op10_nearest}
 
 ORACLE: dict[str, str] = {}
