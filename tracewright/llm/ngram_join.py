@@ -31,7 +31,7 @@ SIMILAR = 0.8
 BANDS, ROWS = 24, 4
 STEP = 32
 TOLERANCE = 1e-6
-BLOCK = 128
+BLOCK = 1024
 PAIRS = 1 << 15
 SIZE = BANDS * ROWS
 
