@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import settle
-from . import language_id, mixing, nearest, ngram_join, packing, quality_rules, toxicity
+from . import language_id, main_text, mixing, nearest, ngram_join, packing, quality_rules, toxicity
 from .common import remainder, table
 
 
@@ -27,6 +27,11 @@ def op8_quality_rules(spark, sf_dir):
     )
 
 
+def op1_main_text(spark, sf_dir):
+    pages = main_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = remainder(F.col("doc_id"), 3) == 1
@@ -53,6 +58,6 @@ def op10_nearest(spark, sf_dir):
     return nearest.search(rows, rows.where(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op4_language_id": op4_language_id, "op5_mixing": op5_mixing, "op7_ngram_join": op7_ngram_join, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_nearest": op10_nearest}
+QUERIES = {"op1_main_text": op1_main_text, "op2_toxicity": op2_toxicity, "op4_language_id": op4_language_id, "op5_mixing": op5_mixing, "op7_ngram_join": op7_ngram_join, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_nearest": op10_nearest}
 
 ORACLE: dict[str, str] = {}
