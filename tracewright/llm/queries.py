@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import settle
-from . import language_id, main_text, mixing, nearest, ngram_join, packing, quality_rules, toxicity
+from . import language_id, main_text, mixing, nearest, ngram_join, packing, perplexity, quality_rules, toxicity
 from .common import remainder, table
 
 
@@ -41,6 +41,12 @@ def op2_toxicity(spark, sf_dir):
     return found.withColumn("predicted", (F.col("score") >= toxicity.CALLED).cast("int"))
 
 
+def op3_perplexity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return perplexity.judged(perplexity.scores(docs, labels.where("quality = 1")))
+
+
 def op4_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     held_out = remainder(F.col("doc_id"), 4) == 2
@@ -58,6 +64,6 @@ def op10_nearest(spark, sf_dir):
     return nearest.search(rows, rows.where(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {"op1_main_text": op1_main_text, "op2_toxicity": op2_toxicity, "op4_language_id": op4_language_id, "op5_mixing": op5_mixing, "op7_ngram_join": op7_ngram_join, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_nearest": op10_nearest}
+QUERIES = {"op1_main_text": op1_main_text, "op2_toxicity": op2_toxicity, "op3_perplexity": op3_perplexity, "op4_language_id": op4_language_id, "op5_mixing": op5_mixing, "op7_ngram_join": op7_ngram_join, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_nearest": op10_nearest}
 
 ORACLE: dict[str, str] = {}
