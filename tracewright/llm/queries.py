@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import settle
-from . import language_id, main_text, mixing, nearest, ngram_join, packing, perplexity, quality_rules, toxicity
+from . import language_id, main_text, mixing, nearest, ngram_join, packing, perplexity, quality_rules, toxicity, warc
 from .common import remainder, table
 
 
@@ -13,6 +13,15 @@ def op5_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op6_warc(spark, sf_dir):
+    found = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")), "page_id")
+    columns = ["page_id", "warc_type", "record_id", "refers_to", "target_uri", "content_type", "payload_digest", "block_digest", "http_status"]
+    return found.select(
+        *columns, F.to_json("http_headers").alias("http_headers"), F.length("block").cast("long").alias("n_chars"),
+        F.crc32("record").alias("record_crc32"), "error",
+    )
+
+
 def op7_ngram_join(spark, sf_dir):
     return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -64,6 +73,6 @@ def op10_nearest(spark, sf_dir):
     return nearest.search(rows, rows.where(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {"op1_main_text": op1_main_text, "op2_toxicity": op2_toxicity, "op3_perplexity": op3_perplexity, "op4_language_id": op4_language_id, "op5_mixing": op5_mixing, "op7_ngram_join": op7_ngram_join, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_nearest": op10_nearest}
+QUERIES = {"op1_main_text": op1_main_text, "op2_toxicity": op2_toxicity, "op3_perplexity": op3_perplexity, "op4_language_id": op4_language_id, "op5_mixing": op5_mixing, "op6_warc": op6_warc, "op7_ngram_join": op7_ngram_join, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_nearest": op10_nearest}
 
 ORACLE: dict[str, str] = {}
