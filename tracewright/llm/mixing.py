@@ -30,11 +30,11 @@ TIMES = 1.5
 MOST = 2
 
 
-def sized(docs: DataFrame, text: str, source: str, doc_id: str) -> DataFrame:
-    """(doc_id, source, size, h): words of each text (0 if null) and a hash to shuffle by."""
+def sized(docs: DataFrame, text: str, source: str, doc_id: str, carry: list[str]) -> DataFrame:
+    """(doc_id, source, size, h, carry): words of each text (0 if null) and a hash to shuffle by."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     h = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), h.alias("h"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), h.alias("h"), *carry)
 
 
 def targets(rows: DataFrame) -> DataFrame:
@@ -78,14 +78,15 @@ def schedule(shares: DataFrame, slots: int) -> DataFrame:
     return ranked.select("slot", "no", (F.col("r") - 1).alias("r"))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of ``docs``.
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, carry, size, source_size, target, taken) for every row of ``docs``; carry: further columns to keep.
 
     size: words (null text: 0). Each source's taken words are its target, rounded, and no row is taken more than twice. Rows of a null source form one of their own, the last. A row without words takes nothing. Repeated rows
     are rows of their own. An id that is null is shuffled like the empty text. An empty table gives an empty one.
-    Only the three columns named are read.
+    Only the columns named are read.
     """
-    rows = settle(sized(docs, text, source, doc_id), "sized")
+    carry = carry or []
+    rows = settle(sized(docs, text, source, doc_id, carry), "sized")
     goals = settle(targets(rows), "targets")
     numbered = rows.join(goals.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("source", "_source")
     worded = numbered.where("size > 0")
@@ -108,13 +109,13 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     before = F.expr("r div blocks") * F.col("source_size") + F.col("block") * BLOCK
     turn = turn.select("no", "block", (F.col("block") * BLOCK + F.col("goal") - before).alias("stop"))
     pieces = placed.select(
-        "no", "doc_id", "size", "source_size", "target", "start", "end",
+        "no", "doc_id", *carry, "size", "source_size", "target", "start", "end",
         F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(end - 1) div {BLOCK}"))).alias("block"),
     )
     joined = pieces.join(turn, ["no", "block"], "left")
     inside = F.least("end", (F.col("block") + 1) * BLOCK, "stop") - F.greatest("start", F.col("block") * BLOCK)
     joined = joined.withColumn("part", F.when(F.col("stop").isNotNull(), F.greatest(inside, F.lit(0).cast("long"))).otherwise(0))
-    mixed = joined.groupBy("no", "start", "doc_id", "size", "source_size", "target").agg(F.sum("part").cast("long").alias("taken"))
-    columns = ["doc_id", "size", "source_size", "target"]
+    mixed = joined.groupBy("no", "start", "doc_id", *carry, "size", "source_size", "target").agg(F.sum("part").cast("long").alias("taken"))
+    columns = ["doc_id", *carry, "size", "source_size", "target"]
     nothing = numbered.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken"))
     return mixed.select(*columns, "taken").unionByName(nothing)

@@ -251,14 +251,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links, copy_id, text_hash) for every row of ``docs``.
+    """(doc_id, class_id, n_links, copy_id, text_hash, group_key) for every row of ``docs``.
 
     class_id: the smallest id of the connected component of links (its own without a link). n_links: how many other
     rows are linked to this one, copies included. copy_id: the smallest id among the texts with the same words.
     A text with fewer than five words has one n-gram, all of its words. A null text, or one without a word, has no
     link, not even to its like. Repeated rows are copies of each other, and rows that repeat an id with another text
     are told apart. A row without an id takes no part: its class is null and it has no link. Other columns of
-    ``docs`` are not looked at. text_hash is Spark's xxhash64 of the text.
+    ``docs`` are not looked at. text_hash is Spark's xxhash64 of the text; group_key tells components
+    apart even where rows of several repeat an id, and is null without a word or an id.
     """
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     hashed = slim.where("id is not null").withColumn("text_hash", F.xxhash64("text"))
@@ -294,13 +295,13 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     linked = linked.withColumn("root", F.coalesce("root", "id"))
     first = linked.groupBy("root").agg(F.min("rep").alias("class_id"))
     judged = linked.join(first, "root").select(
-        F.col("id").alias("a"), "b", "class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.col("rep").alias("copy_id")
+        F.col("id").alias("a"), "b", "class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.col("rep").alias("copy_id"), F.col("root").alias("group_key")
     )
-    names = ["id", "class_id", "n_links", "copy_id", "text_hash"]
+    names = ["id", "class_id", "n_links", "copy_id", "text_hash", "group_key"]
     zero, no_id = F.lit(0).cast("long"), F.lit(None).cast("long")
     out = worded.select("id", "text_hash", "a", "b").join(judged, ["a", "b"]).select(*names)
-    alone = signed.where("sig is null").select("id", F.col("id").alias("class_id"), zero.alias("n_links"), F.col("id").alias("copy_id"), "text_hash")
-    none = slim.where("id is null").select("id", no_id.alias("class_id"), zero.alias("n_links"), no_id.alias("copy_id"), F.xxhash64("text").alias("text_hash"))
+    alone = signed.where("sig is null").select("id", F.col("id").alias("class_id"), zero.alias("n_links"), F.col("id").alias("copy_id"), "text_hash", no_id.alias("group_key"))
+    none = slim.where("id is null").select("id", no_id.alias("class_id"), zero.alias("n_links"), no_id.alias("copy_id"), F.xxhash64("text").alias("text_hash"), no_id.alias("group_key"))
     return out.unionByName(alone).unionByName(none).withColumnRenamed("id", doc_id)
 
 
