@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..session import settle
 from . import language_id, main_text, mixing, nearest, ngram_join, packing, perplexity, quality_rules, toxicity, warc
 from .common import remainder, table
+from .oracle import ORACLE  # noqa: F401
 
 
 def op5_mixing(spark, sf_dir):
@@ -23,7 +24,8 @@ def op6_warc(spark, sf_dir):
 
 
 def op7_ngram_join(spark, sf_dir):
-    return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "n_links", "copy_id")
 
 
 def op8_quality_rules(spark, sf_dir):
@@ -73,6 +75,15 @@ def op10_nearest(spark, sf_dir):
     return nearest.search(rows, rows.where(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {"op1_main_text": op1_main_text, "op2_toxicity": op2_toxicity, "op3_perplexity": op3_perplexity, "op4_language_id": op4_language_id, "op5_mixing": op5_mixing, "op6_warc": op6_warc, "op7_ngram_join": op7_ngram_join, "op8_quality_rules": op8_quality_rules, "op9_packing": op9_packing, "op10_nearest": op10_nearest}
-
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "op1_main_text": op1_main_text,
+    "op2_toxicity": op2_toxicity,
+    "op3_perplexity": op3_perplexity,
+    "op4_language_id": op4_language_id,
+    "op5_mixing": op5_mixing,
+    "op6_warc": op6_warc,
+    "op7_ngram_join": op7_ngram_join,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_packing": op9_packing,
+    "op10_nearest": op10_nearest,
+}
