@@ -97,7 +97,7 @@ def gram_counts(batches):
                     else:
                         h, n = hashes[own], c[own]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([str(name)] * len(h)), pa.array(np.full(len(h), width, np.int32)), pa.array(h.view(np.int64)), pa.array(n)],
+                        [pa.array([str(name)] * len(h), pa.string()), pa.array(np.full(len(h), width, np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))],
                         names=["lang", "width", "h", "c"],
                     )
 
