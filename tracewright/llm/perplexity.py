@@ -183,7 +183,7 @@ def marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
     bit = F.expr(f"shiftleft(1L, int(pmod(xxhash64(doc_id), {FILTER}) % 64))")
     bits = settle(ids.groupBy(F.floor(slot / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits")), "filter")  # FILTER / 64 rows at most
     maybe = rows.join(F.broadcast(bits), F.floor(slot / 64) == F.col("_word")).where(bit.bitwiseAND(F.col("_bits")) != 0)
-    return maybe.drop("_word", "_bits").join(ids, "doc_id", "left_semi")
+    return maybe.drop("_word", "_bits").join(ids, "doc_id")  # ids are distinct; a semi join would be moved before the filter
 
 
 def scores(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
