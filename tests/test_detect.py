@@ -50,8 +50,9 @@ def test_scores_equal_the_dense_error(run):
     def onehot(trace):
         return np.array([[float(a == v) for v in vocab] for a in trace])
 
-    got = {(r.tid, r.prefix_len): r.score for r in run.model.score(run.variants).collect()}
-    texts = {r.tid: r.trace for r in run.variants.collect()}
+    variants = dt.variant_table(run.cases)
+    got = {(r.tid, r.prefix_len): r.score for r in run.model.score(variants).collect()}
+    texts = {r.tid: r.trace for r in variants.collect()}
     assert got
     for (tid, k), score in got.items():
         fit = [onehot(r.trace[:k]) for r in train if len(r.trace) >= k and r.h <= cut[k]]
@@ -69,7 +70,7 @@ def test_long_unknown_and_unscored_cases(run):
 
 
 def test_case_without_model_is_normal_without_score(spark, run):
-    found = dt.detect(run.test, run.model, run.chosen.where("prefix_len > 1"), run.variants)
+    found = dt.detect(run.test, run.model, run.chosen.where("prefix_len > 1"))
     row = dt.case_verdicts(found).where("n = 1").first()
     assert row.predicted == 0 and row.score is None
     auc = me.roc_auc(dt.case_verdicts(found), [], score_slot).first()
@@ -86,31 +87,73 @@ def test_percentiles_equal_numpy(spark):
         assert r.threshold == pytest.approx(np.percentile(all_values, r.p), abs=1e-11)
 
 
-def test_linear_scores_equal_the_dense_solve(run):
+def dense_scores(train, cuts, cases, x_of):
+    """(trace, length) -> error, by a solve over all samples of each length."""
+    cut = {r.prefix_len: r.cut for r in cuts.collect()}
+    rows = train.select("trace", dt.sample_hash().alias("h")).collect()
+    out = {}
+    for t in {tuple(r.trace) for r in cases.collect()}:
+        for k in range(1, len(t) + 1):
+            if k in cut:
+                x = np.array([x_of(r.trace[:k]) for r in rows if len(r.trace) >= k and r.h <= cut[k]])
+                sigma = min(0.3, 0.3 / max(1, k / 3))
+                w = np.linalg.solve(x.T @ x + len(x) * sigma**2 * np.eye(x.shape[1]), x.T @ x)
+                p = x_of(t[:k])
+                out[t, k] = np.mean((p - w @ p) ** 2)
+    return out
+
+
+def folded(x, width):
+    out = np.zeros(min(len(x), width))
+    for f, v in enumerate(x):
+        out[f % width] += v * ln.signs(f // width + 1)[f // width]
+    return out
+
+
+@pytest.mark.parametrize("width", [1024, 7])
+def test_linear_scores_equal_the_dense_solve(run, monkeypatch, width):
+    monkeypatch.setattr(ln, "GROUP", 10)
     vocab = [r.activity for r in run.vocabulary.orderBy("idx").collect()]
-    cut = {r.prefix_len: r.cut for r in run.cuts.collect()}
-    train = run.train.select("trace", dt.sample_hash().alias("h")).collect()
-    model = ln.linear_model(run.train, run.cuts, run.variants, run.model)
-
-    def x_of(trace):
-        return np.array([float(a == v) for a in trace for v in vocab])
-
-    texts = {r.tid: r.trace for r in run.variants.collect()}
-    for r in model.score(run.variants).collect():
-        k = r.prefix_len
-        x = np.array([x_of(t.trace[:k]) for t in train if len(t.trace) >= k and t.h <= cut[k]])
-        sigma = min(0.3, 0.3 / max(1, k / 3))
-        w = np.linalg.solve(x.T @ x + len(x) * sigma**2 * np.eye(x.shape[1]), x.T @ x)
-        p = x_of(texts[r.tid][:k])
-        assert r.score == pytest.approx(np.mean((p - w @ p) ** 2), abs=2e-9)
-
-
-def test_lengths_over_the_limit_use_the_frequency_model(run):
-    model = ln.linear_model(run.train, run.cuts, run.variants, run.model, max_dim=8)
-    linear = {(r.tid, r.prefix_len): r.score for r in model.score(run.variants).collect()}
-    plain = {(r.tid, r.prefix_len): r.score for r in run.model.score(run.variants).collect()}
-    assert linear.keys() == plain.keys()
-    assert all(linear[k] == plain[k] for k in plain if k[1] > 2) and any(linear[k] != plain[k] for k in plain if k[1] <= 2)
+    model = ln.linear_model(run.train, run.cuts, run.vocabulary, width=width)
+    want = dense_scores(run.train, run.cuts, run.cases, lambda t: folded([float(a == v) for a in t for v in vocab], width))
+    texts = {r.tid: tuple(r.trace) for r in dt.variant_table(run.cases).collect()}
+    got = {(texts[r.tid], r.prefix_len): r.score for r in model.score(dt.variant_table(run.cases)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-9) for k in want)
+
+
+def test_many_activities_are_embedded(spark):
+    rng = np.random.default_rng(4)
+    traces = [[f"a{a}" for a in rng.integers(0, 1500, 12)] for _ in range(400)]
+    rows = [(f"c{i}", 12, t, [0] * 12, "normal") for i, t in enumerate(traces)]
+    run = Run(spark.createDataFrame(rows, "case_id string, n int, trace array<string>, flags array<int>, anomaly string"), encoding="word2vec")
+    assert run.vocabulary.count() > 1024
+    vec = {r.activity: np.array(r.vec) for r in px.word_vectors(run.train).collect()}
+    zero = np.zeros(32)
+    x_of = lambda t: np.concatenate([vec.get(a, zero) for a in t])
+    some = run.cases.where("case_id in ('c0', 'c1', 'c2')")
+    want = dense_scores(run.train, run.cuts, some, x_of)
+    texts = {r.tid: tuple(r.trace) for r in dt.variant_table(some).collect()}
+    got = {(texts[r.tid], r.prefix_len): r.score for r in run.model.score(dt.variant_table(some)).collect()}
+    assert len(got) == len(want) == 36 and all(got[k] == pytest.approx(want[k], abs=2e-9) for k in want)
+    assert all(np.isclose(np.linalg.norm(v), 1, atol=1e-6) for v in vec.values())
+
+
+def test_mixed_flags_from_csv_to_verdicts(spark, tmp_path):
+    """A case with any normal event trains with its normal events only."""
+    lines = ["case_id,name,isAnomaly,anomaly"]
+    for i in range(40):
+        flags = [0, 1, 0] if i % 4 == 0 else [0, 0, 0]
+        lines += [f"c{i},{a},{f},{'odd' if 1 in flags else 'normal'}" for a, f in zip("axb" if 1 in flags else "acb", flags)]
+    lines += [f"z{i},{a},1,odd" for i in range(4) for a in "xyz"]
+    (tmp_path / "log.csv").write_text("\n".join(lines) + "\n")
+    from tracewright.sources.readers import read_csv_log
+
+    run = Run(px.flagged_cases(read_csv_log(spark, str(tmp_path / "log.csv")), "anomaly"))
+    train = [(r.trace, r.flags) for r in run.train.collect()]
+    assert len(train) == 32 and all(f == [0] * len(t) and "x" not in t for t, f in train)
+    assert {len(t) for t, _ in train} == {2, 3}
+    verdicts = {r.case_id: r for r in run.verdicts.collect()}
+    assert all(verdicts[f"z{i}"].predicted == 1 and verdicts[f"z{i}"].true_label == 1 for i in range(4))
 
 
 def test_padding(spark):

@@ -40,7 +40,31 @@ def test_filter_keeps_the_first_of_each_plain_variant(make_cases):
     assert [(r.case_id, r.trace) for r in got] == [("c1", ["A", "B"])]
 
 
-def test_attribute_keys_leave_out_ignored_and_hidden(spark):
-    rows = [("c", 1, "a", {"EventID": "1", "_x": "2", "user": "3", "amount": "4"})]
+def test_attribute_keys(spark):
+    rows = [("c", 1, "a", {"EventID": "1", "_x": "2", "product": "3", "cost": "4"})]
     events = spark.createDataFrame(rows, "case_id string, pos bigint, activity string, attrs map<string,string>")
-    assert [r.attr for r in lg.attribute_keys(events).orderBy("idx").collect()] == ["name", "amount", "user"]
+    assert [r.attr for r in lg.attribute_keys(events).orderBy("idx").collect()] == ["name", "EventID", "cost", "product"]
+    declared = spark.createDataFrame([("_x",), ("EventID",), ("cost",), ("cost",)], "key string")
+    assert [r.attr for r in lg.attribute_keys(events, declared).orderBy("idx").collect()] == ["name", "_x", "cost"]
+
+
+def test_names_with_a_long_common_beginning_are_ranked_in_many_slots(spark):
+    from tracewright.functions.ordering import range_slot
+
+    rows = spark.range(4000).select(F.concat(F.lit("Handle the incoming part "), F.col("id").cast("string")).alias("name"), (F.col("id") % 2).alias("g"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert range_slot(rows, [], ["name"]).select("_slot").distinct().count() == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    names = sorted(r.name for r in rows.collect())
+    assert [r.name for r in numbered(rows, [], None, ["name"], "i").orderBy("i").collect()] == names
+    got = numbered(rows, ["g"], None, ["name"], "i").where("g = 1").orderBy("i").collect()
+    assert [r.i for r in got] == list(range(1, 2001)) and [r.name for r in got] == [n for n in names if int(n.split()[-1]) % 2]
+
+
+def test_hot_null_keys_keep_their_rows(spark):
+    rows = spark.range(30).select(F.when(F.col("id") % 3 > 0, F.lit("c")).alias("case"), "id")
+    log = lg.case_log(rows, "case", F.lit("a"), ["id"], None, hot_rows=5)
+    assert sorted(r.pos for r in log.where("case_id is null").collect()) == list(range(1, 11))
+    assert sorted(r.pos for r in log.where("case_id = 'c'").collect()) == list(range(1, 21))

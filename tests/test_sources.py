@@ -116,3 +116,35 @@ def test_log_round_trip_and_result_sinks(spark, tmp_path):
         sk.write_results(metrics, results, "small", "onehot", run)
     got = spark.read.option("header", True).csv(results)
     assert rows(got, "dataset", "encoding", "run") == [("small", "onehot", 1), ("small", "onehot", 2)]
+
+
+def test_xes_with_repeated_keys_and_null_attributes(spark, tmp_path):
+    (tmp_path / "log.xes").write_text("""<log><trace><string key="concept:name" value="c"/><event><string key="concept:name" value="a"/>
+        <string key="cost" value="x"/><int key="cost" value="5"/></event></trace></log>""")
+    assert rd.read_xes(spark, str(tmp_path / "log.xes")).first().attrs == {"concept:name": "a", "cost": "5"}
+    events = spark.createDataFrame([("c", 1, "a", "t", None)], "case_id string, pos bigint, activity string, ts string, attrs map<string,string>")
+    sk.write_xes_traces(events, str(tmp_path / "out"))
+    assert rd.read_xes(spark, str(tmp_path / "out")).first().activity == "a"
+
+
+def test_order_over_several_files(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    head = "case_id,name,isAnomaly,anomaly\n"
+    (tmp_path / "logs" / "a.csv").write_text(head + "1,first,0,normal\n")
+    (tmp_path / "logs" / "b.csv").write_text(head + "1,second,0,normal\n" + "2,x,0,normal\n" * 5000)
+    log = rd.read_csv_log(spark, str(tmp_path / "logs"))
+    assert [r.activity for r in log.where("case_id = '1'").orderBy("pos").collect()] == ["first", "second"]
+
+
+def test_train_and_test_are_read_whole(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n" + "1,b\n" * 1500)
+    (tmp_path / "b.csv").write_text("x,y,z\n" + "1,b,0\n" * 1500)
+    train, test = rd.read_train_test(spark, str(tmp_path / "a.csv"), str(tmp_path / "b.csv"))
+    assert train.count() == test.count() == 1500
+
+
+def test_a_repeated_run_replaces_its_results(spark, tmp_path):
+    rows = spark.createDataFrame([(0.5,)], "f1 double")
+    for run in (1, 2, 2):
+        sk.write_results(rows, str(tmp_path / "r"), "small", "onehot", run)
+    assert spark.read.option("header", True).csv(str(tmp_path / "r")).count() == 2

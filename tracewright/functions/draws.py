@@ -16,6 +16,11 @@ def _text(keys) -> Column:
     return F.concat_ws("|", *[k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in keys])
 
 
+def sized_text(names: Column) -> Column:
+    """An array of texts as one text that no other array gives: each entry after its length."""
+    return F.array_join(F.transform(names, lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)), "")
+
+
 def order_hash(*keys) -> Column:
     """A 32-character hash that orders rows at random but always alike."""
     return F.md5(_text((SEED, *keys)))

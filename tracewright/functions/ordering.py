@@ -5,9 +5,11 @@ group is first divided into *slots*, a value that never decreases along the want
 the per-slot totals (after map-side aggregation) are windowed over the group; rows are windowed
 inside one slot.
 
-For the many small groups of a log that would only cost a second shuffle, so a sketch of the
-frequent keys decides beforehand which keys need slots (``hot_keys``). Both ways give the same
-numbers; the sketch never decides the result.
+For the many small groups of a log that would only cost a second shuffle, so exact counts decide
+beforehand which keys need slots (``hot_keys``). Both ways give the same numbers.
+
+Where no slot is given, rows are dealt into ranges of the order itself: their bounds come from a sample,
+but the numbers don't depend on them.
 """
 
 from __future__ import annotations
@@ -15,24 +17,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
 
 # A key with more rows than this is divided into slots.
 HOT_ROWS = 2_000_000
 
-# At most this many hot keys are looked for, so the list of them is small by construction.
-HOT_KEYS = 10_000
-
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys that may have more than ``hot_rows`` rows, None without any.
-
-    One pass without a shuffle: a frequent-items sketch, whose counts are never too low.
-    """
-    spark = df.sparkSession
-    kind = df.schema[key].dataType
-    top = df.selectExpr(f"approx_top_k(`{key}`, {HOT_KEYS}, {10 * HOT_KEYS}) AS top").first().top or []
-    found = [(t["item"],) for t in top if t["item"] is not None and t["count"] > hot_rows]
-    return spark.createDataFrame(found, f"`{key}` {kind.simpleString()}") if found else None
+    """The keys (null too) with more than ``hot_rows`` rows as a written table, None without any."""
+    hot = settle(df.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_c")).where(F.col("_c") > hot_rows).select("_hot"))
+    return None if hot.isEmpty() else hot
 
 
 def by_heat(df: DataFrame, key: str, plain, slotted, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -40,8 +34,14 @@ def by_heat(df: DataFrame, key: str, plain, slotted, hot_rows: int = HOT_ROWS) -
     hot = hot_keys(df, key, hot_rows)
     if hot is None:
         return plain(df)
-    hot = F.broadcast(hot)  # at most HOT_KEYS rows
-    return plain(df.join(hot, key, "left_anti")).unionByName(slotted(df.join(hot, key, "left_semi")))
+    same = df[key].eqNullSafe(hot["_hot"])
+    return plain(df.join(hot, same, "left_anti")).unionByName(slotted(df.join(hot, same, "left_semi")))
+
+
+def range_slot(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """``df`` with ``_slot``, which never decreases along the order within a group; written, so that it is fixed."""
+    columns = [F.col(c) if isinstance(c, str) else c for c in (*keys, *order)]
+    return settle(df.repartitionByRange(*columns).withColumn("_slot", F.spark_partition_id()))
 
 
 def hash_slot(h: Column) -> Column:
@@ -54,30 +54,32 @@ def _by(keys):
 
 
 def running_total(
-    df: DataFrame, keys: list[str], slot: Column, order: list, weight: Column, name: str = "upto"
+    df: DataFrame, keys: list[str], slot: Column | None, order: list, weight: Column, name: str = "upto"
 ) -> DataFrame:
     """Add the sum of ``weight`` over the rows of the group up to and including this one.
 
     Rows equal in ``order`` are summed one after the other in no fixed order, so aggregate
     equal rows first where that matters.
     """
-    keyed = df.withColumn("_slot", slot).withColumn("_weight", weight)
+    keyed = range_slot(df, keys, order) if slot is None else df.withColumn("_slot", slot)
+    keyed = keyed.withColumn("_weight", weight)
     totals = keyed.groupBy(*keys, "_slot").agg(F.sum("_weight").alias("_total"))
     earlier = _by(keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_slot", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    before = F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before")
+    offsets = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_slot").alias("_ks"), before)
+    same = keyed["_slot"].eqNullSafe(offsets["_ks"])
+    for i, k in enumerate(keys):
+        same = same & keyed[k].eqNullSafe(offsets[f"_k{i}"])
     inside = (
         Window.partitionBy(*keys, "_slot")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
-        keyed.join(offsets, [*keys, "_slot"])
-        .withColumn(name, F.col("_before") + F.sum("_weight").over(inside))
-        .drop("_slot", "_weight", "_before")
-    )
+    added = keyed.join(offsets, same).withColumn(name, F.col("_before") + F.sum("_weight").over(inside))
+    return added.select(*[c for c in df.columns if c != name], name)
 
 
-def numbered(df: DataFrame, keys: list[str], slot: Column, order: list, name: str = "pos") -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], slot: Column | None, order: list, name: str = "pos") -> DataFrame:
     """Row numbers from 1 within each group (the whole table when ``keys`` is empty)."""
     return running_total(df, keys, slot, order, F.lit(1).cast("bigint"), name)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import draw_below, order_hash
+from ..functions.draws import draw_below, order_hash, sized_text
 from ..functions.ordering import hash_cut, hash_slot, numbered
 from .labels import cause
 from .log import trace_text
@@ -27,41 +27,46 @@ def split_models(rows: DataFrame, test_models: int) -> tuple[DataFrame, DataFram
     return hashed.where(in_train).drop("_h"), hashed.where(~in_train).drop("_h")
 
 
-def normal_traces(injected: DataFrame) -> DataFrame:
-    """Distinct normal traces per model. Injections that changed nothing count as normal."""
-    return injected.where(F.col("label.anomaly") == "normal").select("model_id", "trace").distinct()
+def normal_traces(injected: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """Distinct normal traces per model.
+
+    Injections that changed nothing count as normal. Those have the trace of their case, so the ``cases`` that were
+    injected tell the normal traces without a look at the injected rows.
+    """
+    normal = injected.where(F.col("label.anomaly") == "normal") if cases is None else cases
+    return normal.select("model_id", "trace").distinct()
 
 
-def anomalous_traces(injected: DataFrame) -> DataFrame:
+def anomalous_traces(injected: DataFrame, cases: DataFrame | None = None) -> DataFrame:
     """Anomalous rows whose trace is not a normal trace of the same model."""
     bad = injected.where(F.col("label.anomaly") != "normal")
-    return bad.join(normal_traces(injected), ["model_id", "trace"], "left_anti")
+    return bad.join(normal_traces(injected, cases), ["model_id", "trace"], "left_anti")
 
 
-def training_set(injected: DataFrame, times: int = 2, types: int = 5) -> DataFrame:
+def training_set(injected: DataFrame, cases: DataFrame | None = None, times: int = 2, types: int = 5) -> DataFrame:
     """Each normal trace ``times * types`` times; each anomalous trace with and without its cause."""
-    normal = normal_traces(injected).select(
+    normal = normal_traces(injected, cases).select(
         "model_id", bracketed(F.col("trace")).alias("trace"), F.lit("normal").alias("label"), F.lit("").alias("cause"),
         F.explode(F.sequence(F.lit(1), F.lit(times * types))).alias("copy"),
     ).drop("copy")
-    bad = anomalous_traces(injected).withColumn("said", cause(F.col("label"), F.col("trace"))).select(
+    bad = anomalous_traces(injected, cases).withColumn("said", cause(F.col("label"), F.col("trace"))).select(
         "model_id", bracketed(F.col("trace")).alias("trace"), F.lit("anomalous").alias("label"),
         F.explode(F.array("said", F.lit(""))).alias("cause"),
     )
     return normal.unionByName(bad)
 
 
-def test_rows(injected: DataFrame, times: int = 2, types: int = 5) -> DataFrame:
+def test_rows(injected: DataFrame, cases: DataFrame | None = None, times: int = 2, types: int = 5) -> DataFrame:
     """Normal traces and a share of 1 / (times * types) of the anomalous ones, with the full cause."""
-    normal = normal_traces(injected).select(
+    normal = normal_traces(injected, cases).select(
         "model_id",
-        F.concat_ws("/", F.col("model_id"), F.lit("normal"), bracketed(F.col("trace"))).alias("row_id"),
+        F.concat_ws("/", F.col("model_id"), F.lit("normal"), order_hash("trace", sized_text(F.col("trace")))).alias("row_id"),
         bracketed(F.col("trace")).alias("trace"), F.lit("normal").alias("label"),
         F.lit("").alias("raw_cause"), F.lit("").alias("cause"),
     )
     who = [F.col("case_id"), F.col("kind"), F.col("round")]
     bad = (
-        anomalous_traces(injected)
+        anomalous_traces(injected, cases)
         .where(draw_below(times * types, *who, "test") == 0)
         .withColumn("said", cause(F.col("label"), F.col("trace")))
         .select(

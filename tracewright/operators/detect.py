@@ -12,12 +12,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.draws import order_hash
+from ..functions.draws import order_hash, sized_text
 from ..functions.ordering import edge_rows, hash_slot, running_total, slot_edges
-from ..session import settle, settle_small
+from ..session import settle
 
 # Candidate percentiles for a threshold.
 PERCENTILES = range(80, 100)
@@ -44,20 +44,30 @@ def sample_hash() -> Column:
 def tail_cuts(train: DataFrame) -> DataFrame:
     """Per prefix length: ``cut``, the last hash before the tail, ``n`` samples, ``n_fit`` before it.
 
-    Length 1 has every case as a sample. Counts per (case length, slot) are spread over the
-    prefix lengths after aggregation, and only the slot that holds a cut is ranked.
+    Length 1 has every case as a sample. Counts per (case length, slot) are summed over the longer
+    cases after aggregation, and only the slot that holds a cut is ranked.
     """
     rows = train.where(F.col("n") > 0).select("n", sample_hash().alias("h")).withColumn("_slot", hash_slot(F.col("h")))
-    totals = (
-        rows.groupBy("n", "_slot").agg(F.count("*").alias("c"))
-        .select("c", "_slot", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("prefix_len"))
-        .groupBy("prefix_len", "_slot").agg(F.sum("c").alias("_c"))
-    )
+    counts = rows.groupBy("n", "_slot").agg(F.count("*").alias("c"))
+    totals = over_longer(counts, ["_slot"], F.lit(0)).select("prefix_len", "_slot", F.col("c").alias("_c"))
     edge = slot_edges(totals, ["prefix_len"], lambda n: n - tail_size(n))
     near = rows.withColumnRenamed("n", "len").join(edge, "_slot").where(F.col("len") >= F.col("prefix_len"))
     return edge_rows(near, ["prefix_len"], "h").withColumn("n_fit", F.col("n") - tail_size(F.col("n")))
 
 
+def over_longer(counts: DataFrame, keys: list[str], above: Column) -> DataFrame:
+    """(prefix_len, keys, c) from counts ``c`` per case length ``n`` and keys: sums over the cases of at least that length.
+
+    For every prefix length over ``above``. Between two lengths that occur the sum is the same, so each row is
+    spread only over the lengths down to the next one.
+    """
+    longest_first = Window.partitionBy(*keys).orderBy(F.desc("n"))
+    summed = counts.withColumn("_sum", F.sum("c").over(longest_first)).withColumn("_next", F.coalesce(F.lead("n").over(longest_first), F.lit(0)))
+    low = F.greatest(F.col("_next"), above) + 1
+    spread = summed.where(low <= F.col("n")).withColumn("prefix_len", F.explode(F.sequence(low, F.col("n"))))
+    return spread.select("prefix_len", *keys, F.col("_sum").alias("c"))
+
+
 def samples(train: DataFrame, cuts: DataFrame, *keep: str) -> DataFrame:
     """(case, prefix length) with ``in_tail``; lengths without a model are left out."""
     return (
@@ -74,12 +84,8 @@ def position_counts(train: DataFrame, cuts: DataFrame) -> DataFrame:
     Counted per case length first and then summed over all longer cases; the tenth of the
     samples in the tail is taken off again, so only that tenth is spread into its prefixes.
     """
-    whole = (
-        train.select("n", F.posexplode("trace").alias("p", "activity"))
-        .groupBy("n", "p", "activity").agg(F.count("*").alias("c"))
-        .select("p", "activity", "c", F.explode(F.sequence(F.col("p") + 1, F.col("n"))).alias("prefix_len"))
-        .join(cuts.select("prefix_len"), "prefix_len", "left_semi")
-    )
+    events = train.select("n", F.posexplode("trace").alias("p", "activity")).groupBy("n", "p", "activity").agg(F.count("*").alias("c"))
+    whole = over_longer(events, ["p", "activity"], F.col("p")).join(cuts.select("prefix_len"), "prefix_len", "left_semi")
     tail = (
         samples(train, cuts, "trace").where("in_tail")
         .select("prefix_len", F.posexplode(F.slice("trace", 1, F.col("prefix_len"))).alias("p", "activity"))
@@ -93,12 +99,14 @@ def position_counts(train: DataFrame, cuts: DataFrame) -> DataFrame:
     )
 
 
-def variant_table(*labelled: DataFrame) -> DataFrame:
-    """``tid, trace, n``: every distinct trace once, with a number that is fixed by writing it."""
-    rows = labelled[0].select("trace")
-    for other in labelled[1:]:
-        rows = rows.unionByName(other.select("trace"))
-    return settle(rows.distinct().select(F.monotonically_increasing_id().alias("tid"), "trace", F.size("trace").alias("n")))
+def with_tid(cases: DataFrame) -> DataFrame:
+    """``cases`` with ``tid``, 128 bits of hash of the trace: told in the row, so traces need not be joined on."""
+    return cases.withColumn("tid", F.md5(sized_text(F.col("trace"))))
+
+
+def variant_table(cases: DataFrame) -> DataFrame:
+    """``tid, trace, n``: every distinct trace once."""
+    return with_tid(cases).groupBy("tid").agg(F.any_value("trace").alias("trace"), F.any_value("n").alias("n"))
 
 
 @dataclass
@@ -137,20 +145,19 @@ class FrequencyModel:
 
 
 def frequency_model(train: DataFrame, cuts: DataFrame, vocabulary: DataFrame) -> FrequencyModel:
-    counts = settle_small(position_counts(train, cuts))
+    counts = settle(position_counts(train, cuts))
     whole = F.col("c").cast("decimal(18,0)")
     norms = (
         counts.groupBy("prefix_len").agg(F.sum(whole * whole).alias("squares"))
         .join(cuts.select("prefix_len", "n_fit"), "prefix_len")
     )
-    return FrequencyModel(counts, settle_small(norms), vocabulary)
+    return FrequencyModel(counts, settle(norms), vocabulary)
 
 
-def sample_errors(train: DataFrame, cuts: DataFrame, variants: DataFrame, scores: DataFrame) -> DataFrame:
+def sample_errors(train: DataFrame, cuts: DataFrame, scores: DataFrame) -> DataFrame:
     """Training errors with their multiplicity: ``prefix_len, score, in_tail, label, w``."""
-    tagged = train.join(variants.select("trace", "tid"), "trace")
     return (
-        samples(tagged, cuts, "tid", "flags")
+        samples(with_tid(train), cuts, "tid", "flags")
         .withColumn("label", F.element_at("flags", F.col("prefix_len")))
         .groupBy("tid", "prefix_len", "in_tail", "label").agg(F.count("*").alias("w"))
         .join(scores, ["tid", "prefix_len"])
@@ -222,21 +229,17 @@ def best_thresholds(candidates: DataFrame, errors: DataFrame) -> DataFrame:
 
 @dataclass
 class Detection:
-    variants: DataFrame  # tid, trace, n
     scores: DataFrame  # tid, prefix_len, score, predicted: every prefix that has a model
     verdicts: DataFrame  # tid, predicted, score, first_flag
     test: DataFrame  # labelled test cases with tid and true_label (the flag of the first event)
 
 
-def detect(test: DataFrame, model, chosen: DataFrame, variants: DataFrame) -> Detection:
+def detect(test: DataFrame, model, chosen: DataFrame) -> Detection:
     """Score every test prefix that has a model; flagged when the score is over the threshold."""
-    limits = settle_small(chosen.select("prefix_len", "threshold"))
-    tagged = settle(
-        test.join(variants.select("trace", "tid"), "trace").withColumn("true_label", F.get("flags", F.lit(0)))
-    )
-    used = variants.join(tagged.select("tid").distinct(), "tid", "left_semi")
+    limits = settle(chosen.select("prefix_len", "threshold"))
+    tagged = with_tid(test).withColumn("true_label", F.get("flags", F.lit(0)))
     scores = settle(
-        model.score(used).join(limits, "prefix_len")
+        model.score(variant_table(test)).join(limits, "prefix_len")
         .select("tid", "prefix_len", "score", (F.col("score") > F.col("threshold")).cast("int").alias("predicted"))
     )
     verdicts = scores.groupBy("tid").agg(
@@ -244,7 +247,7 @@ def detect(test: DataFrame, model, chosen: DataFrame, variants: DataFrame) -> De
         F.max("score").alias("score"),
         F.min(F.when(F.col("predicted") == 1, F.col("prefix_len"))).alias("first_flag"),
     )
-    return Detection(variants, scores, verdicts, tagged)
+    return Detection(scores, verdicts, tagged)
 
 
 def prefix_records(found: Detection) -> DataFrame:

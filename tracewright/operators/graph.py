@@ -170,13 +170,9 @@ def simple_paths(nodes: DataFrame, edges: DataFrame, all_routes: bool = False, m
 def task_paths(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distinct non-empty label sequences of the tasks on the paths."""
     tasks = nodes.where("is_task").select("model_id", "id", "label")
-    steps = (
-        paths.withColumn("key", F.array_join("path", ">"))
-        .select("model_id", "key", F.posexplode("path").alias("p", "id"))
-        .join(tasks, ["model_id", "id"])
-    )
+    steps = paths.select("model_id", "path", F.posexplode("path").alias("p", "id")).join(tasks, ["model_id", "id"])
     return (
-        steps.groupBy("model_id", "key").agg(F.sort_array(F.collect_list(F.struct("p", "label"))).alias("s"))
+        steps.groupBy("model_id", "path").agg(F.sort_array(F.collect_list(F.struct("p", "label"))).alias("s"))
         .select("model_id", F.col("s.label").alias("tasks")).distinct()
     )
 

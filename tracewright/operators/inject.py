@@ -12,7 +12,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.draws import distinct_places, draw, draw_below, order_hash
+from ..functions.draws import distinct_places, draw, draw_below, order_hash, sized_text
 from .vocab import Lookup
 
 LABEL = (
@@ -320,15 +320,14 @@ def exclusive_anomalies(model_traces: DataFrame, branches: DataFrame, per_choice
     choices = exclusive_branches(branches)
     traces = (
         model_traces.select("model_id", "trace").distinct()
-        .withColumn("text", F.array_join("trace", ","))
-        .select("model_id", "trace", "text", F.explode(F.array_distinct("trace")).alias("activity"))
+        .select("model_id", "trace", F.explode(F.array_distinct("trace")).alias("activity"))
     )
     hits = traces.join(choices, ["model_id", "activity"])
     mixed = (
-        hits.groupBy("model_id", "xor_id", "text")
-        .agg(F.first("trace").alias("trace"), F.min("branch_id").alias("b0"), F.max("branch_id").alias("b1"))
+        hits.groupBy("model_id", "xor_id", "trace")
+        .agg(F.min("branch_id").alias("b0"), F.max("branch_id").alias("b1"))
         .where(F.col("b0") != F.col("b1"))
-        .withColumn("h", order_hash("exclusive", F.col("model_id"), F.col("xor_id"), F.col("text")))
+        .withColumn("h", order_hash("exclusive", F.col("model_id"), F.col("xor_id"), sized_text(F.col("trace"))))
     )
     by_choice = Window.partitionBy("model_id", "xor_id").orderBy("h")
     chosen = mixed.withColumn("i", F.row_number().over(by_choice)).where(F.col("i") <= per_choice)
@@ -342,12 +341,11 @@ def exclusive_anomalies(model_traces: DataFrame, branches: DataFrame, per_choice
         .select("model_id", "xor_id", "i", F.col("branch_id").alias("own"))
     )
     parts = (
-        chosen.select("model_id", "xor_id", "i", "trace", "text").join(named, ["model_id", "xor_id", "i"])
+        chosen.select("model_id", "xor_id", "i", "trace").join(named, ["model_id", "xor_id", "i"])
         .join(choices, ["model_id", "xor_id"])
         .where(F.array_contains("trace", F.col("activity")))
-        .groupBy("model_id", "xor_id", "i", "text")
+        .groupBy("model_id", "xor_id", "i", "trace")
         .agg(
-            F.first("trace").alias("trace"),
             F.sort_array(F.collect_set(F.when(F.col("branch_id") == F.col("own"), F.col("activity")))).alias("part1"),
             F.sort_array(F.collect_set(F.when(F.col("branch_id") != F.col("own"), F.col("activity")))).alias("part2"),
         )
@@ -356,3 +354,39 @@ def exclusive_anomalies(model_traces: DataFrame, branches: DataFrame, per_choice
     for name, value in (("anomaly", F.lit("Exclusive")), ("part1", F.col("part1")), ("part2", F.col("part2"))):
         label = label.withField(name, value)
     return parts.select("model_id", "xor_id", "i", "trace", label.alias("label"))
+
+
+def exclusive_rows(model_traces: DataFrame, branches: DataFrame) -> DataFrame:
+    """Exclusive anomalies as rows of a sweep: model_id, case_id, kind, round, n, trace and label."""
+    found = exclusive_anomalies(model_traces, branches)
+    return found.select(
+        "model_id", F.concat_ws("-", F.lit("exclusive"), F.col("model_id"), F.col("xor_id"), F.col("i")).alias("case_id"),
+        F.lit("Exclusive").alias("kind"), F.col("i").alias("round"), F.size("trace").alias("n"), "trace", "label",
+    )
+
+
+def attribute_log(events: DataFrame, cells: DataFrame, attrs: list[str]) -> DataFrame:
+    """EVENTS in which the drawn cells of ``attribute_anomalies`` hold their new value, with a label per case.
+
+    label: anomaly (``Attribute``, or ``normal`` for a case without a cell) and, in order of position and attribute,
+    the positions from 0, the places of the attributes among the sorted names, their names and their former values.
+    """
+    names = F.array(*[F.lit(a) for a in sorted(attrs)]) if attrs else F.array().cast("array<string>")
+    new = cells.groupBy("case_id", "pos").agg(F.map_from_entries(F.collect_list(F.struct("attr", "val"))).alias("_new"))
+    cell = F.struct(
+        (F.col("pos") - 1).cast("int").alias("index"), (F.array_position(names, F.col("attr")) - 1).cast("int").alias("attribute_index"),
+        F.col("attr").alias("attribute"), "original",
+    )
+    labels = cells.groupBy("case_id").agg(F.sort_array(F.collect_list(cell)).alias("_cells"))
+    changed = F.transform_values("attrs", lambda k, v: F.coalesce(F.col("_new")[k], v))
+    none = F.array().cast("array<struct<index:int,attribute_index:int,attribute:string,original:string>>")
+    made = F.coalesce("_cells", none)
+    label = F.struct(
+        F.when(F.size(made) > 0, "Attribute").otherwise("normal").alias("anomaly"), made["index"].alias("index"),
+        made["attribute_index"].alias("attribute_index"), made["attribute"].alias("attribute"), made["original"].alias("original"),
+    )
+    return (
+        events.join(new, ["case_id", "pos"], "left").join(labels, "case_id", "left")
+        .withColumn("attrs", F.when(F.col("_new").isNull(), F.col("attrs")).otherwise(changed))
+        .withColumn("label", label).drop("_new", "_cells")
+    )

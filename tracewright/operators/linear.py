@@ -1,142 +1,166 @@
 """Linear denoising reconstruction of prefixes.
 
 Training a linear autoencoder on inputs with Gaussian noise of variance s^2 is ridge regression
-of X on itself (Bishop 1995; Chen et al. 2012): W = (X'X + n s^2 I)^-1 X'X. X'X of one-hot
-prefixes is a table of pair counts, an ordinary aggregation; only the small solve per prefix
-length is done in a Python group. With R = I - W the squared error of a prefix is a sum of
-entries of R'R over its pairs of positions, so scoring is a join again.
+of X on itself (Bishop 1995; Chen et al. 2012): W = (X'X + n s^2 I)^-1 X'X. With R = I - W and
+G = R'R the squared error of a prefix x is x'Gx.
 
-The solve is limited to ``max_dim`` vector entries. Longer prefixes use the frequency model.
+One model serves every prefix length and vocabulary. A prefix has (places * event size) features; they are
+folded into ``WIDTH`` ones: feature f goes to f mod WIDTH, with a sign that is a hash of f div WIDTH (plus for
+0). Where nothing folds this is the exact model; beyond, it is the usual feature hashing, whose inner products
+are right on average.
+
+X'X is summed in tasks that hold one WIDTH x WIDTH table, then by Spark; a solve takes one such table; scores are
+computed in groups of prefixes beside the G of their length.
 """
 
 from __future__ import annotations
 
+import hashlib
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle, settle_small
-from .detect import FrequencyModel, samples
+from ..session import settle
+from .detect import samples
+
+# Executors need not have this package on their path: the functions below travel with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+WIDTH = 1024
+
+# Prefixes that are summed or scored by one task at a time.
+GROUP = 20_000
+
+
+def signs(folds: int) -> np.ndarray:
+    """Plus or minus one for each multiple of the width."""
+    return np.array([1.0] + [1.0 - 2.0 * (hashlib.md5(f"fold|{q}".encode()).digest()[0] & 1) for q in range(1, folds)])
 
-MAX_DIM = 1024
 
+def vectors_of(x: np.ndarray, size: int, width: int) -> np.ndarray:
+    """Folded vectors of prefixes of one length: ``x`` has one row of (place * event size) values per prefix, or one
+    row of vocabulary indexes (-1: unknown, a zero vector) with ``size`` values per event."""
+    n, places = x.shape[0], x.shape[1]
+    if x.ndim == 2:
+        feature = np.arange(places) * size + x
+        row, place = np.nonzero(x >= 0)
+        feature, value = feature[row, place], 1.0
+    else:
+        row, place, part = np.nonzero(x)
+        feature, value = place * size + part, x[row, place, part]
+    out = np.zeros((n, min(places * size, width)))
+    np.add.at(out, (row, feature % width), value * signs(places * size // width + 1)[feature // width])
+    return out
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Position pairs i <= j of an array ``x`` of vocabulary indexes; unknown entries have none."""
-    left = rows.select("*", F.posexplode("x").alias("i", "a"))
-    right = left.select("*", F.posexplode(F.slice("x", F.col("i") + 1, F.size("x"))).alias("o", "b"))
-    return right.where("a is not null and b is not null").withColumn("j", F.col("i") + F.col("o")).drop("x", "o")
+
+def stacked(values) -> np.ndarray:
+    """Rows of one length as an array of two or three dimensions."""
+    return np.array([[np.asarray(e) for e in v] for v in values])
+
+
+def moments(pdf: pd.DataFrame, size: int, width: int) -> pd.DataFrame:
+    """Upper entries of X'X of one group of weighted prefixes of one length."""
+    x = vectors_of(stacked(pdf["x"]), size, width)
+    total = np.triu((x * pdf["w"].to_numpy()[:, None]).T @ x)
+    i, j = np.nonzero(total)
+    return pd.DataFrame({"prefix_len": pdf["prefix_len"].iloc[0], "i": i, "j": j, "c": total[i, j]})
+
+
+def solve(entries: pd.DataFrame, size: int, width: int, factor: float) -> pd.DataFrame:
+    """Rows of G of one length, with the largest residual of the solved equations as a share of n."""
+    k, n = int(entries["prefix_len"].iloc[0]), float(entries["n_fit"].iloc[0])
+    d = min(k * size, width)
+    m = np.zeros((d, d))
+    m[entries["i"], entries["j"]] = entries["c"]
+    m = m + np.triu(m, 1).T
+    sigma = min(factor, 0.3 / max(1.0, k / 3))
+    left = m + n * sigma**2 * np.eye(d)
+    w = np.linalg.solve(left, m)
+    r = np.eye(d) - w
+    return pd.DataFrame({"prefix_len": k, "dim": d, "i": np.arange(d), "g": list(r.T @ r), "residual": np.abs(left @ w - m).max() / n})
 
 
-def _indexed(rows: DataFrame, key: list[str], vocabulary: DataFrame) -> DataFrame:
-    """Replace the activities of ``trace`` by their vocabulary index, null if unknown."""
+def errors(rows: pd.DataFrame, form: pd.DataFrame, size: int, width: int) -> pd.DataFrame:
+    """Mean squared reconstruction errors of prefixes of one length, 9 digits."""
+    if not len(rows) or not len(form):
+        return pd.DataFrame({"tid": [], "prefix_len": [], "score": []})
+    g = np.stack(form.sort_values("i")["g"].to_numpy())
+    x = vectors_of(stacked(rows["x"]), size, width)
+    e = np.maximum(((x @ g) * x).sum(1), 0) / g.shape[0]
+    return pd.DataFrame({"tid": rows["tid"], "prefix_len": rows["prefix_len"], "score": np.round(e, 9)})
+
+
+def coded(rows: DataFrame, key: list[str], codes: DataFrame, unknown) -> DataFrame:
+    """(key, x): the traces with each activity replaced by its code (activity, code)."""
     steps = rows.select(*key, F.posexplode("trace").alias("p", "activity"))
     return (
-        steps.join(vocabulary, "activity", "left")
-        .groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("p", "idx"))).alias("s"))
-        .select(*key, F.col("s.idx").alias("x"))
+        steps.join(codes, "activity", "left")
+        .groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("p", F.coalesce("code", unknown).alias("code")))).alias("s"))
+        .select(*key, F.col("s.code").alias("x"))
     )
 
 
 @dataclass
 class LinearModel:
-    form: DataFrame  # prefix_len, i, a, j, b, g: entries of R'R, off-diagonal ones doubled
-    solved: DataFrame  # prefix_len, dim
-    vocabulary: DataFrame
-    fallback: FrequencyModel
+    form: DataFrame  # prefix_len, dim, i, g: rows of G; residual
+    codes: DataFrame  # activity, code
+    unknown: object  # code of an activity that isn't known
+    size: int  # values per event
     encoding: str
+    width: int = WIDTH
 
     def score(self, variants: DataFrame) -> DataFrame:
-        lengths = self.solved
-        coded = settle(_indexed(variants, ["tid"], self.vocabulary))
-        longest = lengths.agg(F.coalesce(F.max("prefix_len"), F.lit(0)).alias("m"))
+        """(tid, prefix_len, score) for every prefix whose length has a model."""
+        size, width = self.size, self.width
+        lengths = self.form.select("prefix_len").distinct()
         prefix = (
-            coded.withColumn("m", F.least(F.size("x"), longest.scalar())).where("m > 0")
-            .select("tid", "x", F.explode(F.sequence(F.lit(1), F.col("m"))).alias("prefix_len"))
-            .join(lengths, "prefix_len")
-            .select("tid", "prefix_len", "dim", F.slice("x", 1, F.col("prefix_len")).alias("x"))
-        )
-        errors = (
-            _pairs(prefix).join(self.form, ["prefix_len", "i", "a", "j", "b"])
-            .groupBy("tid", "prefix_len").agg(F.sum("g").alias("e"))
+            coded(variants, ["tid"], self.codes, self.unknown)
+            .select("tid", "x", F.explode(F.sequence(F.lit(1), F.size("x"))).alias("prefix_len")).join(lengths, "prefix_len")
+            .select("tid", "prefix_len", F.slice("x", 1, F.col("prefix_len")).alias("x"))
         )
-        linear = prefix.drop("x").join(errors, ["tid", "prefix_len"], "left").select(
-            "tid", "prefix_len", F.round(F.greatest(F.coalesce("e", F.lit(0.0)), F.lit(0.0)) / F.col("dim"), 9).alias("score")
+        salts = salted(variants.where("n > 0").select("n"))
+        prefix = prefix.join(salts, "prefix_len").withColumn("salt", F.pmod(F.xxhash64("tid"), F.col("salts"))).drop("salts")
+        form = self.form.join(salts, "prefix_len").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+        keys = ["prefix_len", "salt"]
+        return prefix.groupBy(*keys).cogroup(form.select(*keys, "i", "g").groupBy(*keys)).applyInPandas(
+            lambda rows, model: errors(rows, model, size, width), "tid string, prefix_len int, score double"
         )
-        rest = self.fallback.score(variants).join(lengths.select("prefix_len"), "prefix_len", "left_anti")
-        return linear.unionByName(rest.select("tid", "prefix_len", "score"))
-
-
-def solve_length(counts: pd.DataFrame, factor: float, vectors: np.ndarray | None) -> pd.DataFrame:
-    """Entries of R'R for one prefix length from its pair counts."""
-    k, size, n = int(counts["prefix_len"].iloc[0]), int(counts["size"].iloc[0]), float(counts["n_fit"].iloc[0])
-    d = k * size
-    row = (counts["i"] * size + counts["a"]).to_numpy()
-    col = (counts["j"] * size + counts["b"]).to_numpy()
-    moments = np.zeros((d, d))
-    moments[row, col] = counts["c"]
-    moments[col, row] = counts["c"]
-    if vectors is not None:
-        spread = np.kron(np.eye(k), vectors)
-        moments = spread.T @ moments @ spread
-    sigma = min(factor, 0.3 / max(1.0, k / 3))
-    left = np.eye(len(moments)) - np.linalg.solve(moments + n * sigma**2 * np.eye(len(moments)), moments)
-    form = left.T @ left
-    if vectors is not None:
-        form = spread @ form @ spread.T
-    r, c = np.triu_indices(d)
-    g = form[r, c] * np.where(r == c, 1.0, 2.0)
-    keep = np.abs(g) > 1e-15
-    r, c, g = r[keep], c[keep], g[keep]
-    return pd.DataFrame(
-        {"prefix_len": k, "i": r // size, "a": r % size, "j": c // size, "b": c % size, "g": g}
-    ).astype({"prefix_len": "int32", "i": "int32", "j": "int32", "a": "int64", "b": "int64"})
+
+
+def salted(lengths: DataFrame) -> DataFrame:
+    """(prefix_len, salts): how many groups of about GROUP rows the prefixes of each length make. ``lengths``: n."""
+    counts = lengths.groupBy("n").agg(F.count("*").alias("c")).select("c", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("prefix_len"))
+    return settle(counts.groupBy("prefix_len").agg(F.ceil(F.sum("c") / GROUP).alias("salts")))
 
 
 def linear_model(
-    train: DataFrame, cuts: DataFrame, variants: DataFrame, fallback: FrequencyModel, factor: float = 0.3,
-    max_dim: int = MAX_DIM, vectors: DataFrame | None = None, vector_size: int = 32,
+    train: DataFrame, cuts: DataFrame, vocabulary: DataFrame, factor: float = 0.3, width: int = WIDTH,
+    vectors: DataFrame | None = None, vector_size: int = 32,
 ) -> LinearModel:
-    """Fit all prefix lengths whose vectors have at most ``max_dim`` entries.
-
-    With ``vectors`` (activity, vec) events are embedded instead of one-hot encoded.
-    """
-    vocabulary = fallback.vocabulary
-    size = vocabulary.count()
-    table = None
-    if vectors is not None and size <= max_dim:
-        known = vocabulary.join(vectors, "activity", "left").select("idx", "vec").collect()  # at most max_dim rows
-        table = np.zeros((size, vector_size))
-        for r in known:
-            if r.vec is not None:
-                table[r.idx] = r.vec
-    width = size if vectors is None else max(size, vector_size)
-    lengths = settle_small(
-        cuts.where(F.col("prefix_len") * width <= max_dim)
-        .select("prefix_len", "n_fit", (F.col("prefix_len") * (size if vectors is None else vector_size)).cast("double").alias("dim"))
-    )
-    tagged = train.join(variants.select("trace", "tid"), "trace")
-    weights = (
-        samples(tagged, cuts, "tid").where("not in_tail").join(lengths.select("prefix_len"), "prefix_len", "left_semi")
-        .groupBy("tid", "prefix_len").agg(F.count("*").alias("w"))
-    )
-    used = variants.join(weights.select("tid").distinct(), "tid", "left_semi")
-    coded = _indexed(used, ["tid"], vocabulary)
-    prefixes = (
-        weights.join(coded, "tid").select("prefix_len", "w", F.slice("x", 1, F.col("prefix_len")).alias("x"))
-        .groupBy("prefix_len", "x").agg(F.sum("w").alias("w"))
-    )
-    moments = (
-        _pairs(prefixes).groupBy("prefix_len", "i", "a", "j", "b").agg(F.sum("w").alias("c"))
-        .join(lengths.select("prefix_len", "n_fit"), "prefix_len").withColumn("size", F.lit(size))
-    )
-    # A group has at most max_dim^2 / 2 rows.
-    form = moments.groupBy("prefix_len").applyInPandas(
-        lambda pdf: solve_length(pdf, factor, table), "prefix_len int, i int, a bigint, j int, b bigint, g double"
+    """Fit all prefix lengths. With ``vectors`` (activity, vec) events are embedded instead of one-hot encoded."""
+    if vectors is None:
+        size, unknown = vocabulary.count(), F.lit(-1).cast("bigint")
+        codes = vocabulary.select("activity", F.col("idx").alias("code"))
+    else:
+        size, unknown = vector_size, F.array_repeat(F.lit(0.0), vector_size)
+        codes = vectors.select("activity", F.col("vec").cast("array<double>").alias("code"))
+    own = coded(train.where("n > 0"), ["case_id"], codes, unknown)
+    fit = samples(train.join(own, "case_id"), cuts, "x").where("not in_tail")
+    fit = fit.select("prefix_len", F.slice("x", 1, F.col("prefix_len")).alias("x")).groupBy("prefix_len", "x").agg(F.count("*").alias("w"))
+    fit = fit.join(salted(train.where("n > 0").select("n")), "prefix_len").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts")))
+    entries = (
+        fit.groupBy("prefix_len", "salt").applyInPandas(
+            lambda pdf: moments(pdf, size, width), "prefix_len int, i int, j int, c double"
+        )
+        .groupBy("prefix_len", "i", "j").agg(F.sum("c").alias("c")).join(cuts.select("prefix_len", "n_fit"), "prefix_len")
     )
-    return LinearModel(
-        settle(form), lengths.select("prefix_len", "dim"), vocabulary, fallback, "onehot" if vectors is None else "word2vec"
+    # A group has at most WIDTH^2 / 2 rows.
+    form = entries.groupBy("prefix_len").applyInPandas(
+        lambda pdf: solve(pdf, size, width, factor), "prefix_len int, dim int, i int, g array<double>, residual double"
     )
+    return LinearModel(settle(form), codes, unknown, size, "onehot" if vectors is None else "word2vec", width)

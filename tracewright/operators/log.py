@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.draws import order_hash
-from ..functions.ordering import HOT_ROWS, by_heat, hash_slot, numbered
+from ..functions.ordering import HOT_ROWS, by_heat, numbered
 
 # Symbols of the artificial first and last row of a case.
 START, END = "▶", "■"
@@ -83,21 +82,28 @@ def sessions(
 
 
 def case_log(
-    df: DataFrame, case: str, activity: Column, order: list, slot: Column, *keep, hot_rows: int = HOT_ROWS
+    df: DataFrame, case: str, activity: Column, order: list, slot: Column | None, *keep, hot_rows: int = HOT_ROWS,
+    positions: bool = True,
 ) -> DataFrame:
     """EVENTS of a table with a case column and an order.
 
-    ``slot`` grows along the order; it divides cases with more than ``hot_rows`` events.
+    ``slot`` grows along the order; it divides cases with more than ``hot_rows`` events (None: ranges of
+    the order do). Without ``positions`` there is no ``pos``, and nothing is shuffled.
     """
+    # Cast first, so that what is partitioned for the positions stays so for the case.
+    df = df.withColumn("case_id", F.col(case).cast("string"))
+    columns = ["case_id", activity.alias("activity"), *keep]
+    if not positions:
+        return df.select(*columns)
+
     def plain(rows):
-        in_case = Window.partitionBy(case).orderBy(*order)
+        in_case = Window.partitionBy("case_id").orderBy(*order)
         return rows.withColumn("pos", F.row_number().over(in_case).cast("bigint"))
 
     def slotted(rows):
-        return numbered(rows, [case], slot, order)
+        return numbered(rows, ["case_id"], slot, order)
 
-    out = by_heat(df, case, plain, slotted, hot_rows)
-    return out.select(F.col(case).cast("string").alias("case_id"), "pos", activity.alias("activity"), *keep)
+    return by_heat(df, "case_id", plain, slotted, hot_rows).select("case_id", "pos", *columns[1:])
 
 
 def cases(events: DataFrame, *keep: str) -> DataFrame:
@@ -144,18 +150,21 @@ def summary(events: DataFrame) -> DataFrame:
 def attribute_values(events: DataFrame) -> DataFrame:
     """Sorted distinct values per attribute, one row each with its index from 0."""
     pairs = events.select(F.explode("attrs").alias("attr", "val")).where(F.col("val").isNotNull()).distinct()
-    ranked = numbered(pairs, ["attr"], F.substring("val", 1, 2), ["val"], "idx")
+    ranked = numbered(pairs, ["attr"], None, ["val"], "idx")
     return ranked.select("attr", "val", (F.col("idx") - 1).alias("idx"))
 
 
-def attribute_keys(events: DataFrame, ignored: list[str] = IGNORED_KEYS) -> DataFrame:
-    """``name`` first, then the sorted attribute keys that are neither ignored nor hidden."""
-    keys = (
-        events.select(F.explode(F.map_keys("attrs")).alias("attr"))
-        .where(~F.col("attr").isin(ignored) & ~F.col("attr").startswith("_"))
-        .distinct()
-    )
-    ranked = numbered(keys, [], F.substring("attr", 1, 2), ["attr"], "idx").select("idx", "attr")
+def attribute_keys(events: DataFrame, global_keys: DataFrame | None = None, ignored: list[str] = IGNORED_KEYS) -> DataFrame:
+    """``name`` first, then the sorted attribute keys.
+
+    Of a log that declares its event attributes (``global_keys``: key), all but the ignored ones; of another log,
+    those of its events that don't begin with an underscore.
+    """
+    if global_keys is not None:
+        keys = global_keys.select(F.col("key").alias("attr")).where(~F.col("attr").isin(ignored)).distinct()
+    else:
+        keys = events.select(F.explode(F.map_keys("attrs")).alias("attr")).where(~F.col("attr").startswith("_")).distinct()
+    ranked = numbered(keys, [], None, ["attr"], "idx").select("idx", "attr")
     first = events.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("idx"), F.lit("name").alias("attr"))
     return first.unionByName(ranked)
 
@@ -170,10 +179,11 @@ def variant_probabilities(log_cases: DataFrame) -> DataFrame:
     return variants(log_cases).withColumn("probability", F.col("num_cases") / total.scalar())
 
 
-def matrix(events: DataFrame, attr: str) -> DataFrame:
-    """Events in rows with an artificial start and end row per case."""
+def matrix(events: DataFrame, attrs: list[str]) -> DataFrame:
+    """Events in rows with an artificial start and end row per case: name, timestamp and the given attributes."""
     body = events.select(
-        "case_id", F.col("pos").alias("event_position"), F.col("activity").alias("name"), F.col("attrs")[attr].alias(attr)
+        "case_id", F.col("pos").alias("event_position"), F.col("activity").alias("name"), F.col("ts").alias("timestamp"),
+        *[F.col("attrs")[a].alias(a) for a in attrs],
     )
     ends = case_lengths(events).select(
         "case_id",
@@ -185,30 +195,29 @@ def matrix(events: DataFrame, attr: str) -> DataFrame:
         ).alias("e"),
     )
     return body.unionByName(
-        ends.select("case_id", F.col("e.p").alias("event_position"), F.col("e.s").alias("name"), F.col("e.s").alias(attr))
+        ends.select(
+            "case_id", F.col("e.p").alias("event_position"), F.col("e.s").alias("name"),
+            F.lit(None).cast(body.schema["timestamp"].dataType).alias("timestamp"), *[F.col("e.s").alias(a) for a in attrs],
+        )
     )
 
 
 def filter_variants(log_cases: DataFrame, repeats: int = 2) -> DataFrame:
     """First case of each variant longer than one event with no activity over ``repeats`` times.
 
-    Survivors are renamed c1, c2, ... in the hash order of their case ids.
+    Survivors are renamed c1, c2, ... in the order of their first case ids.
     """
     # In sorted order an activity occurs more than ``repeats`` times iff it equals the entry so far ahead.
     ordered = F.sort_array("trace")
     again = F.zip_with(ordered, F.slice(ordered, repeats + 1, F.size("trace")), lambda a, b: a == b)
     rare = ~F.coalesce(F.exists(again, lambda same: same), F.lit(False))
-    kept = (
-        variants(log_cases.where(F.size("trace") > 1))
-        .where(rare)
-        .withColumn("h", order_hash("case", F.col("first_case")))
-    )
-    return numbered(kept, [], hash_slot(F.col("h")), ["h"], "i").select(
+    kept = variants(log_cases.where(F.size("trace") > 1)).where(rare)
+    return numbered(kept, [], None, ["first_case"], "i").select(
         F.concat(F.lit("c"), F.col("i")).alias("case_id"), "trace"
     )
 
 
-def first_case_variants(log_cases: DataFrame, limit: int = 100) -> DataFrame:
+def first_case_variants(log_cases: DataFrame, limit: int) -> DataFrame:
     """Distinct bracketed traces of the first ``limit`` cases."""
     return (
         log_cases.orderBy("case_id").limit(limit)

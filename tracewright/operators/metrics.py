@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -163,22 +164,28 @@ def rouge_2(hypothesis: Column, reference: Column) -> tuple[Column, Column, Colu
 
 
 def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, one table row per word of ``a``."""
-    def next_row(row, word):
-        # Entry j is the length for the first j words of b.
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(b)),
-            F.array(F.lit(0)),
-            lambda done, j: F.array_append(
-                done,
-                F.when(F.element_at(b, j) == word, F.element_at(row, j) + 1).otherwise(
-                    F.greatest(F.element_at(row, j + 1), F.element_at(done, -1))
-                ),
-            ),
-        )
-
-    first = F.array_repeat(F.lit(0), F.size(b) + 1)
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.element_at(F.aggregate(a, first, next_row), -1)).otherwise(0)
+    """Length of the longest common subsequence of two arrays of words, in Arrow batches.
+
+    One bit for each word of ``b``: a word of ``a`` moves the ends of common subsequences by one addition.
+    """
+    @F.arrow_udf("int")
+    def lengths(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(left.to_pylist(), right.to_pylist()):
+            if x is None or y is None:
+                out.append(None)
+                continue
+            places, whole = {}, (1 << len(y)) - 1
+            for i, word in enumerate(y):
+                places[word] = places.get(word, 0) | 1 << i
+            open_ = whole
+            for word in x:
+                hit = open_ & places.get(word, 0)
+                open_ = ((open_ + hit) | (open_ - hit)) & whole
+            out.append(len(y) - open_.bit_count())
+        return pa.array(out, pa.int32())
+
+    return lengths(a, b)
 
 
 def rouge_l(hypothesis: Column, reference: Column) -> tuple[Column, Column, Column]:

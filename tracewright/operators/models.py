@@ -44,7 +44,8 @@ def shapes(models: DataFrame, into: Column | None = None) -> DataFrame:
         below = followed.select(*carried, "root", F.col("resourceId").alias("parent"), F.explode("childShapes").alias("child"))
     if not levels:
         return level.drop("childShapes")
-    return reduce(DataFrame.unionByName, levels).where(F.col("resourceId") != F.col("root"))
+    known = F.coalesce("resourceId", F.raise_error(F.lit("shape without a resourceId")).cast("string"))
+    return reduce(DataFrame.unionByName, levels).withColumn("resourceId", known).where(F.col("resourceId") != F.col("root"))
 
 
 def model_elements(models: DataFrame, parse_parent: bool = False, parse_outgoing: bool = False) -> DataFrame:

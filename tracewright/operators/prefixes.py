@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.draws import order_hash
+from ..functions.draws import draw_below, order_hash
 from ..functions.ordering import hash_cut
-from ..session import settle_small
+from ..session import settle
 
 
 def flagged_cases(events: DataFrame, *keep: str) -> DataFrame:
@@ -76,7 +76,7 @@ def prefix_dims(labelled: DataFrame, event_size: Column) -> DataFrame:
 def onehot(labelled: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Sparse one-hot rows (case, position, index); an unknown activity has no index."""
     steps = labelled.select("case_id", F.posexplode("trace").alias("p", "activity"))
-    return steps.join(settle_small(vocabulary), "activity", "left").select(
+    return steps.join(settle(vocabulary), "activity", "left").select(
         "case_id", (F.col("p") + 1).alias("pos"), "activity", "idx"
     )
 
@@ -88,31 +88,35 @@ def pad(vector: Column, size: Column) -> Column:
     ).otherwise(F.raise_error(F.concat(F.lit("vector longer than "), size.cast("string"))))
 
 
-def dense_onehot(activity_index: Column, size: int) -> Column:
-    """One event as a dense vector, for a vocabulary of known small size."""
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i == activity_index, 1.0).otherwise(0.0))
+def word_vectors(cases: DataFrame, vector_size: int = 32, window: int = 5) -> DataFrame:
+    """(activity, vec): activity embeddings from what stands near them, of length 1 (or 0, with no neighbour).
 
-
-def word_vectors(cases: DataFrame, vector_size: int = 32, window: int = 5, seed: int = 7, partitions: int | None = None):
-    """Activity embeddings (Word2Vec over the traces, every activity kept)."""
-    from pyspark.ml.feature import Word2Vec
-
-    partitions = partitions or max(1, cases.sparkSession.sparkContext.defaultParallelism)
-    model = Word2Vec(
-        vectorSize=vector_size, windowSize=window, minCount=1, seed=seed, numPartitions=partitions,
-        inputCol="trace", outputCol="v",
-    ).fit(cases.select("trace"))
-    from pyspark.ml.functions import vector_to_array
-
-    return model.getVectors().select(F.col("word").alias("activity"), vector_to_array("vector", "float32").alias("vec"))
+    Every activity within ``window`` places adds plus or minus one to an entry that its hash tells: a random projection
+    of the counts. Sums of whole numbers don't depend on their order, so the vectors are the same on every cluster,
+    and nothing is gathered in one place.
+    """
+    steps = cases.select("trace", F.posexplode("trace").alias("p", "activity"))
+    first = F.greatest(F.col("p") - window, F.lit(0))
+    near = F.concat(F.slice("trace", first + 1, F.col("p") - first), F.slice("trace", F.col("p") + 2, window))
+    pairs = steps.select("activity", F.explode_outer(near).alias("near")).groupBy("activity", "near").agg(F.count("*").alias("c"))
+    sign = 1 - 2 * draw_below(2, "sign", F.col("near"))
+    entries = (
+        pairs.select("activity", F.when(F.col("near").isNotNull(), draw_below(vector_size, "entry", F.col("near"))).alias("i"), (sign * F.col("c")).alias("c"))
+        .groupBy("activity", "i").agg(F.sum("c").alias("c"))
+    )
+    by_entry = F.map_from_entries(F.filter(F.collect_list(F.struct("i", "c")), lambda e: e["i"].isNotNull()))
+    whole = entries.groupBy("activity").agg(by_entry.alias("m"), F.sum(F.when(F.col("i").isNotNull(), F.col("c") * F.col("c")).otherwise(0)).alias("s"))
+    value = lambda i: F.coalesce(F.col("m")[i], F.lit(0))
+    norm = F.sqrt(F.greatest(F.col("s"), F.lit(1)).cast("double"))
+    return whole.select("activity", F.transform(F.sequence(F.lit(0), F.lit(vector_size - 1)), lambda i: F.round(value(i) / norm, 9)).alias("vec"))
 
 
 def embed(cases: DataFrame, vectors: DataFrame, vector_size: int = 32) -> DataFrame:
     """Concatenated activity vectors per case; unknown activities are zero vectors."""
-    zero = F.array_repeat(F.lit(0.0).cast("float"), vector_size)
+    zero = F.array_repeat(F.lit(0.0), vector_size)
     steps = cases.select("case_id", F.posexplode("trace").alias("p", "activity"))
     return (
-        steps.join(settle_small(vectors), "activity", "left")
+        steps.join(settle(vectors), "activity", "left")
         .select("case_id", F.struct("p", F.coalesce("vec", zero).alias("v")).alias("s"))
         .groupBy("case_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
         .select("case_id", F.flatten("s.v").alias("vector"))

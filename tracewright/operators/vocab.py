@@ -14,7 +14,7 @@ INLINE_WORDS = 5_000
 def vocabulary(events: DataFrame) -> DataFrame:
     """Sorted activity names with their index from 0: ``idx bigint, activity string``."""
     names = events.select("activity").where(F.col("activity").isNotNull()).distinct()
-    ranked = numbered(names, [], F.substring("activity", 1, 2), ["activity"], "idx")
+    ranked = numbered(names, [], None, ["activity"], "idx")
     return ranked.select((F.col("idx") - 1).alias("idx"), "activity")
 
 

@@ -70,7 +70,7 @@ def _flat_labelled(s, d) -> DataFrame:
 def csv_log(s, d):
     path = tb.scratch(s, "csv")
     _flat_labelled(s, d).write.option("header", True).csv(path)
-    log = rd.read_csv_log(s, path, order=["pos"], slot=F.floor(F.col("pos") / 1000))
+    log = rd.read_csv_log(s, path, order=[F.col("pos").cast("bigint")])
     return log.select("case_id", "pos", "activity", "is_anomaly", "anomaly")
 
 
@@ -174,19 +174,20 @@ def case_lens(s, d):
 
 @query
 def order_lens(s, d):
-    return lg.case_lengths(tb.order_log(s, d))
+    return lg.case_lengths(tb.order_log(s, d, positions=False))
 
 
 @query
 def log_summary(s, d):
     parts = [("sessions", tb.session_log), ("orders", tb.order_log), ("dialogues", tb.dialogue_log)]
-    rows = [lg.summary(make(s, d)).withColumn("log", F.lit(name)) for name, make in parts]
+    rows = [lg.summary(make(s, d) if name == "sessions" else make(s, d, positions=False)).withColumn("log", F.lit(name)) for name, make in parts]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query
 def activities(s, d):
-    return lg.activities(tb.session_log(s, d), tb.order_log(s, d), tb.dialogue_log(s, d))
+    clicks = tb.table(s, d, "events").select(F.col("event_type").alias("activity"))
+    return lg.activities(clicks, tb.order_log(s, d, positions=False), tb.dialogue_log(s, d, positions=False))
 
 
 @query
@@ -218,7 +219,8 @@ def variant_prob(s, d):
 
 @query
 def matrix(s, d):
-    return lg.matrix(tb.session_log(s, d), "k")
+    rows = lg.matrix(tb.session_log(s, d), ATTRS)
+    return rows.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query
@@ -283,13 +285,14 @@ def pad(s, d):
 @query
 def w2v_vocab(s, d):
     run = Run(tb.labelled_sessions(s, d))
-    return px.word_vectors(run.train).select("activity", F.size("vec").alias("vector_size"))
+    return px.word_vectors(run.train).select("activity", F.posexplode("vec").alias("entry", "value"))
 
 
 @query
 def w2v_encode(s, d):
     run = Run(tb.labelled_sessions(s, d))
-    return px.embed(run.test, px.word_vectors(run.train)).select("case_id", F.size("vector").alias("dim"))
+    total = F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 6)
+    return px.embed(run.test, px.word_vectors(run.train)).select("case_id", F.size("vector").alias("dim"), total.alias("total"))
 
 
 # --- prefix anomaly detection --------------------------------------------------------------
@@ -308,7 +311,11 @@ def model_freq(s, d):
 @query
 def model_linear(s, d):
     r = run(s, d, model_kind="linear")
-    return r.model.form.groupBy("prefix_len").agg(F.count("*").alias("entries"), F.round(F.sum("g"), 6).alias("total"))
+    # For single events G is diagonal, and its trace has a closed form.
+    own = F.when(F.col("prefix_len") == 1, F.element_at("g", F.col("i") + 1))
+    return r.model.form.groupBy("prefix_len", "dim").agg(
+        F.round(F.max("residual"), 6).alias("residual"), F.round(F.sum(own), 6).alias("trace"), F.count("*").alias("num_rows")
+    )
 
 
 @query
@@ -441,6 +448,19 @@ def attribute_label_text(s, d):
     return lb.attribute_label_text(attribute_cells(s, d))
 
 
+@query
+def attribute_log(s, d):
+    log = tb.session_log(s, d)
+    cells = inj.attribute_anomalies(log, lg.attribute_values(log), lg.case_lengths(log), ATTRS)
+    out = inj.attribute_log(log, settle(cells), ATTRS)
+    l = F.col("label")
+    return out.select(
+        "case_id", "pos", "activity", F.col("attrs")["k"].alias("k"), F.col("attrs")["value"].alias("value"), l["anomaly"].alias("anomaly"),
+        ints(l["index"]).alias("index"), ints(l["attribute_index"]).alias("attribute_index"),
+        joined(l["attribute"]).alias("attribute"), joined(l["original"]).alias("original"),
+    )
+
+
 @query
 def branches(s, d):
     return inj.exclusive_branches(tb.branches(s, d))
@@ -462,7 +482,7 @@ def all_kinds(s, d) -> DataFrame:
 
 @query
 def inject_all(s, d):
-    return label_columns(inj.sweep(tb.session_cases(s, d), tb.words(s, d), 2))
+    return label_columns(tb.swept_sessions(s, d))
 
 
 @query
@@ -479,7 +499,7 @@ def label_text(s, d):
 
 @query
 def cause(s, d):
-    return tb.swept_sessions(s, d).where(F.col("label.anomaly") != "normal").select(
+    return inj.sweep(tb.model_cases(s, d), tb.words(s, d), 2).where(F.col("label.anomaly") != "normal").select(
         "case_id", "kind", "round", lb.cause(F.col("label"), F.col("trace")).alias("cause")
     )
 
@@ -491,17 +511,19 @@ def model_split(s, d):
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
-def split_sweep(s, d) -> tuple[DataFrame, DataFrame]:
-    return ds.split_models(settle(tb.swept_sessions(s, d)), TEST_MODELS)
+def swept_side(s, d, side: int) -> tuple[DataFrame, DataFrame]:
+    """The sweep over the training (0) or the test models (1), and their cases; only these are injected."""
+    log = ds.split_models(tb.model_cases(s, d), TEST_MODELS)[side]
+    return tb.swept_sessions(s, d, log), log
 
 
 @query
 def train_set(s, d):
-    return ds.training_set(split_sweep(s, d)[0])
+    return ds.training_set(*swept_side(s, d, 0))
 
 
 def test_rows(s, d) -> DataFrame:
-    return ds.test_rows(split_sweep(s, d)[1])
+    return ds.test_rows(*swept_side(s, d, 1))
 
 
 @query

@@ -13,7 +13,7 @@ from ..operators import metrics as m
 from ..operators.linear import linear_model
 from ..operators.prefixes import split, word_vectors
 from ..operators.vocab import vocabulary
-from ..session import settle, settle_small
+from ..session import settle
 
 SCORE_SLOTS = 65_536
 
@@ -46,8 +46,7 @@ class Run:
 
     @cached_property
     def parts(self) -> tuple[DataFrame, DataFrame]:
-        train, test = split(self.cases, run=self.run)
-        return settle(train), test
+        return split(self.cases, run=self.run)
 
     @property
     def train(self) -> DataFrame:
@@ -59,28 +58,22 @@ class Run:
 
     @cached_property
     def vocabulary(self) -> DataFrame:
-        return settle_small(vocabulary(self.train.select(F.explode("trace").alias("activity"))))
+        return settle(vocabulary(self.train.select(F.explode("trace").alias("activity"))))
 
     @cached_property
     def cuts(self) -> DataFrame:
-        return settle_small(d.tail_cuts(self.train))
-
-    @cached_property
-    def variants(self) -> DataFrame:
-        return d.variant_table(self.cases, self.train)
+        return settle(d.tail_cuts(self.train))
 
     @cached_property
     def model(self):
-        base = d.frequency_model(self.train, self.cuts, self.vocabulary)
         if self.model_kind == "frequency":
-            return base
+            return d.frequency_model(self.train, self.cuts, self.vocabulary)
         vectors = word_vectors(self.train) if self.encoding == "word2vec" else None
-        return linear_model(self.train, self.cuts, self.variants, base, vectors=vectors)
+        return linear_model(self.train, self.cuts, self.vocabulary, vectors=vectors)
 
     @cached_property
     def errors(self) -> DataFrame:
-        used = self.variants.join(self.train.select("trace").distinct(), "trace", "left_semi")
-        return settle(d.sample_errors(self.train, self.cuts, self.variants, self.model.score(used)))
+        return settle(d.sample_errors(self.train, self.cuts, self.model.score(d.variant_table(self.train))))
 
     @cached_property
     def candidates(self) -> DataFrame:
@@ -92,7 +85,7 @@ class Run:
 
     @cached_property
     def found(self) -> d.Detection:
-        return d.detect(self.test, self.model, self.chosen, self.variants)
+        return d.detect(self.test, self.model, self.chosen)
 
     @cached_property
     def verdicts(self) -> DataFrame:

@@ -92,20 +92,22 @@ av AS (SELECT 'k' AS attr, props->>'$.k' AS val FROM events UNION SELECT 'value'
 dom AS (SELECT attr, val, row_number() OVER (PARTITION BY attr ORDER BY val) - 1 AS idx FROM av WHERE val IS NOT NULL)
 """
 put("attr_values", ATTR_VALUES, select="SELECT attr, val, idx FROM dom")
-put("attr_keys", select="SELECT * FROM (VALUES (0::BIGINT, 'name'), (1, 'k'), (2, 'value')) AS t(idx, attr) WHERE EXISTS (SELECT 1 FROM events)")
+put("attr_keys", "ak AS (SELECT DISTINCT unnest(map_keys(MAP {'k': props->>'$.k', 'value': value::VARCHAR})) AS attr FROM events)",
+    select="SELECT 0::BIGINT AS idx, 'name' AS attr UNION ALL SELECT row_number() OVER (ORDER BY attr), attr FROM ak WHERE NOT starts_with(attr, '_')")
 put("variants", LOG, select=f"SELECT {text('t')} AS trace, count(*) AS num_cases, min(case_id) AS first_case FROM cs GROUP BY t")
 put("order_variants", ORDERS,
     "oc AS (SELECT case_id, list(activity ORDER BY pos) AS t FROM ol GROUP BY case_id)",
     select=f"SELECT {text('t')} AS trace, count(*) AS num_cases FROM oc GROUP BY t")
 put("variant_prob", LOG, select=f"""SELECT {text('t')} AS trace, count(*) AS num_cases,
     round(count(*)::DOUBLE / (SELECT count(*) FROM cs), 12) AS probability FROM cs GROUP BY t""")
-put("matrix", LOG, select="""SELECT case_id, pos AS event_position, activity AS name, k FROM log
-    UNION ALL SELECT case_id, 0, '▶', '▶' FROM cs UNION ALL SELECT case_id, n + 1, '■', '■' FROM cs""")
+put("matrix", LOG, select="""SELECT case_id, pos AS event_position, activity AS name,
+    strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, k, value::VARCHAR AS value FROM log
+    UNION ALL SELECT case_id, 0, '▶', NULL, '▶', '▶' FROM cs UNION ALL SELECT case_id, n + 1, '■', NULL, '■', '■' FROM cs""")
 put(
     "filter_variants", LOG,
     "many AS (SELECT DISTINCT case_id FROM (SELECT case_id, activity FROM log GROUP BY ALL HAVING count(*) > 2))",
     "kept AS (SELECT t, min(case_id) AS first_case FROM cs WHERE n > 1 AND case_id NOT IN (SELECT case_id FROM many) GROUP BY t)",
-    select=f"SELECT 'c' || row_number() OVER (ORDER BY {h(q('case'), 'first_case')}) AS case_id, {text('t')} AS trace FROM kept",
+    select=f"SELECT 'c' || row_number() OVER (ORDER BY first_case) AS case_id, {text('t')} AS trace FROM kept",
 )
 put("variant_text", LOG, select=f"""SELECT DISTINCT '[' || {text('t')} || ']' AS trace
     FROM (SELECT t FROM cs ORDER BY case_id LIMIT {c.FIRST_CASES})""")
@@ -212,7 +214,6 @@ def grid(kinds, times: int) -> str:
 
 SWEPT = [LOG, VOC, grid(SWEEP, 2), inject("src0")]
 ALL_KINDS = [LOG, VOC, grid([*c.inj.SWEEP, *c.inj.FURTHER], 1), inject("src0")]
-put("inject_all", *SWEPT, select=f"SELECT {LABELS} FROM inj")
 
 TARGETS = """
 cells AS (SELECT case_id, kind, round, anomaly, sz, start, shift_from, shift_to, indices, inserts, skips,
@@ -280,6 +281,16 @@ put("attribute_label_text", LOG, ATTR_VALUES, CELLS, select="""SELECT case_id, '
     || array_to_string(list(pos::VARCHAR ORDER BY pos), ', ') || '] was [''' || array_to_string(list(original ORDER BY pos), ''', ''') || ''']' AS label_text
     FROM cells GROUP BY case_id""")
 
+put("attribute_log", LOG, ATTR_VALUES, CELLS,
+    """lb AS (SELECT case_id, list(c ORDER BY c.pos, c.attr) AS cs FROM (SELECT case_id, {'pos': pos, 'attr': attr, 'original': original} AS c FROM cells) GROUP BY case_id)""",
+    select="""SELECT log.case_id, log.pos, activity, coalesce(ck.val, k) AS k, coalesce(cv.val, value::VARCHAR) AS value,
+    CASE WHEN cs IS NULL THEN 'normal' ELSE 'Attribute' END AS anomaly, coalesce(array_to_string([(c.pos - 1)::VARCHAR for c in cs], ','), '') AS index,
+    coalesce(array_to_string([CASE c.attr WHEN 'k' THEN '0' ELSE '1' END for c in cs], ','), '') AS attribute_index,
+    coalesce(array_to_string([c.attr for c in cs], ','), '') AS attribute, coalesce(array_to_string([c.original for c in cs], ','), '') AS original
+    FROM log LEFT JOIN lb ON lb.case_id = log.case_id
+    LEFT JOIN cells ck ON ck.case_id = log.case_id AND ck.pos = log.pos AND ck.attr = 'k'
+    LEFT JOIN cells cv ON cv.case_id = log.case_id AND cv.pos = log.pos AND cv.attr = 'value'""")
+
 # Exclusive branches.
 BRANCHES = f"""
 br0 AS (SELECT DISTINCT user_id AS model_id, 'x1' AS xor_id, event_type AS activity FROM events),
@@ -287,27 +298,40 @@ br1 AS (SELECT *, {below('3', q('side'), 'model_id', 'activity')} AS branch_id F
 br AS (SELECT * FROM br1 WHERE model_id IN (SELECT model_id FROM br1 GROUP BY model_id HAVING count(DISTINCT branch_id) >= 2))
 """
 put("branches", BRANCHES, select="SELECT model_id, xor_id, branch_id, activity FROM br")
-put(
-    "exclusive", LOG, BRANCHES,
-    f"""mt AS (SELECT DISTINCT user_id AS model_id, t, {text('t')} AS tx FROM cs),
-    hit AS (SELECT m.model_id, b.xor_id, m.t, m.tx FROM mt m JOIN br b ON b.model_id = m.model_id AND list_contains(m.t, b.activity)
+
+def sized(col: str) -> str:
+    """A list as one text that no other list gives."""
+    return f"array_to_string([length(x) || ':' || x for x in {col}], '')"
+
+
+def exclusive(trace: str) -> str:
+    """CTEs to ``xw``: two runs per choice that mix its branches, and their causes, from the traces of the models' cases."""
+    return f"""
+    mt AS (SELECT DISTINCT user_id AS model_id, {trace} AS t FROM cs),
+    hit AS (SELECT m.model_id, b.xor_id, m.t FROM mt m JOIN br b ON b.model_id = m.model_id AND list_contains(m.t, b.activity)
         GROUP BY ALL HAVING count(DISTINCT b.branch_id) > 1),
-    ch AS (SELECT *, row_number() OVER (PARTITION BY model_id, xor_id ORDER BY {h(q('exclusive'), 'model_id', 'xor_id', 'tx')}) AS i,
+    ch AS (SELECT *, row_number() OVER (PARTITION BY model_id, xor_id ORDER BY {h(q('exclusive'), 'model_id', 'xor_id', sized('t'))}) AS i,
         count(*) OVER (PARTITION BY model_id, xor_id) AS c FROM hit),
     ow AS (SELECT model_id, xor_id, branch_id AS own, row_number() OVER (PARTITION BY model_id, xor_id
         ORDER BY {h(q('branch'), 'model_id', 'xor_id', 'branch_id')}) AS i FROM (SELECT DISTINCT model_id, xor_id, branch_id FROM br)),
-    pa AS (SELECT ch.model_id, ch.xor_id, ch.i, ch.tx,
+    pa AS (SELECT ch.model_id, ch.xor_id, ch.i, ch.t,
         coalesce(list(DISTINCT b.activity ORDER BY b.activity) FILTER (b.branch_id = own), []) AS p1,
         coalesce(list(DISTINCT b.activity ORDER BY b.activity) FILTER (b.branch_id <> own), []) AS p2
         FROM ch JOIN ow USING (model_id, xor_id, i) JOIN br b ON b.model_id = ch.model_id AND b.xor_id = ch.xor_id AND list_contains(ch.t, b.activity)
         WHERE ch.i <= 2 AND ch.c >= 2 GROUP BY ALL),
-    pw AS (SELECT *, CASE len(p1) WHEN 0 THEN '[Unknown]' WHEN 1 THEN p1[1] ELSE array_to_string(p1[:len(p1) - 1], ''',''') || ''' and ''' || p1[len(p1)] END AS w1,
-        CASE len(p2) WHEN 0 THEN '[Unknown]' WHEN 1 THEN p2[1] ELSE array_to_string(p2[:len(p2) - 1], ''',''') || ''' and ''' || p2[len(p2)] END AS w2 FROM pa)""",
-    select=f"""SELECT model_id, xor_id, i, tx AS trace, {text('p1')} AS part1, {text('p2')} AS part2,
-        'The ' || CASE WHEN len(p1) > 1 THEN 'activities' ELSE 'activity' END || ' ''' || w1 || ''' ' || CASE WHEN len(p1) > 1 THEN 'are' ELSE 'is' END
+    pb AS (SELECT *, CASE len(p1) WHEN 0 THEN '[Unknown]' WHEN 1 THEN p1[1] ELSE array_to_string(p1[:len(p1) - 1], ''',''') || ''' and ''' || p1[len(p1)] END AS w1,
+        CASE len(p2) WHEN 0 THEN '[Unknown]' WHEN 1 THEN p2[1] ELSE array_to_string(p2[:len(p2) - 1], ''',''') || ''' and ''' || p2[len(p2)] END AS w2 FROM pa),
+    xw AS (SELECT *, 'The ' || CASE WHEN len(p1) > 1 THEN 'activities' ELSE 'activity' END || ' ''' || w1 || ''' ' || CASE WHEN len(p1) > 1 THEN 'are' ELSE 'is' END
         || ' mutually exclusive with the ' || CASE WHEN len(p2) > 1 THEN 'activities' ELSE 'activity' END || ' ''' || w2
-        || ''', meaning they should not be executed within the same process instance.' AS cause FROM pw""",
-)
+        || ''', meaning they should not be executed within the same process instance.' AS cause,
+        'exclusive-' || model_id || '-' || xor_id || '-' || i AS case_id FROM pb)"""
+
+
+put("exclusive", LOG, BRANCHES, exclusive("t"),
+    select=f"SELECT model_id, xor_id, i, {text('t')} AS trace, {text('p1')} AS part1, {text('p2')} AS part2, cause FROM xw")
+MIXED = [BRANCHES, exclusive("list_reverse(t)")]
+put("inject_all", *SWEPT, *MIXED, select=f"""SELECT {LABELS} FROM inj UNION ALL
+    SELECT case_id, 'Exclusive', i, {text('t')}, 'Exclusive', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM xw""")
 
 # --- split, prefixes, detection ------------------------------------------------------------
 
@@ -321,8 +345,7 @@ LABELLED = [
 put("csv_log", *LABELLED, select="""SELECT case_id, pos, t[pos] AS activity, flag AS is_anomaly, anomaly
     FROM (SELECT *, unnest(range(1, n + 1)) AS pos FROM lab)""")
 put("train_test_csv", *LABELLED, "fl AS (SELECT case_id, flag, unnest(t) AS name FROM lab)", select="""
-    (SELECT 'train' AS part, case_id, name FROM fl WHERE flag = 0 ORDER BY case_id, name LIMIT 800)
-    UNION ALL (SELECT 'test', case_id, name FROM fl ORDER BY case_id, name LIMIT 200)""")
+    SELECT 'train' AS part, case_id, name FROM fl WHERE flag = 0 UNION ALL SELECT 'test', case_id, name FROM fl""")
 put("prefixes", *LABELLED, select=f"""SELECT case_id, prefix_len, {text('t[:prefix_len]')} AS prefix, flag AS label
     FROM (SELECT *, unnest(range(1, n + 1)) AS prefix_len FROM lab)""")
 
@@ -340,8 +363,19 @@ put("prefix_dims", *SPLIT, TRAIN_VOC, select="""SELECT prefix_len, count(*) AS n
 put("onehot", DIALOGUES, "dv AS (SELECT activity, row_number() OVER (ORDER BY activity) - 1 AS idx FROM (SELECT DISTINCT activity FROM dl WHERE activity <> 'assistant'))",
     select="SELECT case_id, pos, activity, idx FROM dl LEFT JOIN dv USING (activity)")
 put("pad", *SPLIT, select="""SELECT case_id, (SELECT max(n) FROM trn) AS dim, list_sum([length(a)::DOUBLE for a in t]) AS total FROM trn""")
-put("w2v_vocab", *SPLIT, TRAIN_VOC, select="SELECT activity, 32 AS vector_size FROM tv")
-put("w2v_encode", *SPLIT, select="SELECT case_id, 32 * n AS dim FROM tst WHERE n > 0")
+VECTORS = [
+    *SPLIT, TRAIN_VOC,
+    f"""ps AS (SELECT t, unnest(range(1, n + 1)) AS p FROM trn),
+    nb AS (SELECT t[p] AS activity, t[x] AS near FROM (SELECT t, p, unnest(range(greatest(1, p - 5), least(len(t), p + 5) + 1)) AS x FROM ps) WHERE x <> p),
+    en AS (SELECT activity, {below('32', q('entry'), 'near')} AS entry, sum(1 - 2 * {below('2', q('sign'), 'near')}) AS c FROM nb GROUP BY ALL),
+    nm AS (SELECT activity, sqrt(greatest(sum(c * c), 1)::DOUBLE) AS norm FROM en GROUP BY activity),
+    vec AS (SELECT tv.activity, e.entry, round(coalesce(en.c, 0)::DOUBLE / coalesce(norm, 1), 9) AS value FROM tv CROSS JOIN range(32) e(entry)
+        LEFT JOIN en ON en.activity = tv.activity AND en.entry = e.entry LEFT JOIN nm ON nm.activity = tv.activity)""",
+]
+put("w2v_vocab", *VECTORS, select="SELECT activity, entry, value FROM vec")
+put("w2v_encode", *VECTORS, """sv AS (SELECT activity, sum(value) AS value FROM vec GROUP BY activity),
+    te AS (SELECT case_id, n, unnest(t) AS activity FROM tst WHERE n > 0)""",
+    select="SELECT case_id, any_value(32 * n) AS dim, round(coalesce(sum(value), 0), 6) AS total FROM te LEFT JOIN sv ON sv.activity = te.activity GROUP BY case_id")
 put("noise", LOG, select="SELECT DISTINCT n AS prefix_len, round(least(0.3::DOUBLE, 0.3::DOUBLE / greatest(1.0, n / 3.0::DOUBLE)), 12) AS noise FROM cs")
 
 MODEL = [
@@ -396,6 +430,11 @@ FOUND = [
         FROM tst LEFT JOIN det USING (case_id) GROUP BY tst.case_id)""",
 ]
 put("model_freq", *MODEL, select="SELECT cnt.k AS prefix_len, pos, activity, c, round(c::DOUBLE / nf::DOUBLE, 9) AS share FROM cnt JOIN nrm USING (k)")
+put("model_linear", *MODEL, """cl AS (SELECT sum(pow(1 - coalesce(c, 0)::DOUBLE / (coalesce(c, 0) + nf * 0.3::DOUBLE * 0.3::DOUBLE), 2)) AS tr
+    FROM tv CROSS JOIN (SELECT nf FROM nrm WHERE k = 1) LEFT JOIN cnt ON cnt.k = 1 AND cnt.activity = tv.activity),
+    sz AS (SELECT count(*) AS v FROM tv)""",
+    select="""SELECT k AS prefix_len, least(k * v, 1024) AS dim, 0.0::DOUBLE AS residual, CASE WHEN k = 1 THEN round(tr, 6) END AS trace, least(k * v, 1024) AS num_rows
+    FROM nrm, sz, cl""")
 put("val_tail", *MODEL, select="SELECT case_id, k AS prefix_len, tail AS in_tail FROM smp")
 put("scores_freq", *ERRORS, select="SELECT k AS prefix_len, score, tail AS in_tail, label, w FROM er")
 put("thresholds", *THRESHOLDS, select="SELECT prefix_len, p, threshold FROM cand")
@@ -448,16 +487,18 @@ sides AS (SELECT model_id, CASE WHEN rn <= c - {c.TEST_MODELS} THEN 'train' ELSE
 """
 put("model_split", LOG, SIDES, select="SELECT model_id, case_id, part FROM cs JOIN sides ON sides.model_id = cs.user_id")
 SET = [
-    *SWEPT, CAUSE, SIDES,
-    f"""sw AS (SELECT s.*, s.user_id AS model_id, part, '[' || {text('t')} || ']' AS trace FROM said s JOIN sides ON sides.model_id = s.user_id),
-    nt AS (SELECT DISTINCT part, model_id, trace FROM sw WHERE anomaly = 'normal'),
+    *SWEPT, CAUSE, SIDES, *MIXED,
+    f"""sv AS (SELECT case_id, kind, round, user_id AS model_id, t, anomaly, cause FROM said
+        UNION ALL SELECT case_id, 'Exclusive', i, model_id, t, 'Exclusive', cause FROM xw),
+    sw AS (SELECT s.*, part, '[' || {text('t')} || ']' AS trace FROM sv s JOIN sides ON sides.model_id = s.model_id),
+    nt AS (SELECT DISTINCT part, model_id, trace, t FROM sw WHERE anomaly = 'normal'),
     anm AS (SELECT * FROM sw WHERE anomaly <> 'normal' AND NOT EXISTS (SELECT 1 FROM nt WHERE nt.model_id = sw.model_id AND nt.trace = sw.trace))""",
 ]
 put("train_set", *SET, select="""SELECT model_id, trace, 'normal' AS label, '' AS cause FROM nt, range(10) WHERE part = 'train'
     UNION ALL SELECT model_id, trace, 'anomalous', cause FROM anm WHERE part = 'train' UNION ALL SELECT model_id, trace, 'anomalous', '' FROM anm WHERE part = 'train'""")
 TEST = [
     *SET,
-    f"""te AS (SELECT model_id, concat_ws('/', model_id, 'normal', trace) AS row_id, trace, 'normal' AS label, '' AS raw_cause, '' AS cause FROM nt WHERE part = 'test'
+    f"""te AS (SELECT model_id, concat_ws('/', model_id, 'normal', {h(q('trace'), sized('t'))}) AS row_id, trace, 'normal' AS label, '' AS raw_cause, '' AS cause FROM nt WHERE part = 'test'
     UNION ALL SELECT model_id, concat_ws('/', case_id, kind, round), trace, 'anomalous', anomaly, cause FROM anm
         WHERE part = 'test' AND {below('10', *WHO, q('test'))} = 0)""",
 ]

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw, draw_below
 from ..operators import inject as inj
-from ..operators.log import case_lengths, case_log, cases, sessions
+from ..operators.log import case_log, cases, sessions
 from ..operators.vocab import Lookup, vocabulary
 from ..session import scratch, settle
 
@@ -25,25 +25,25 @@ def session_cases(spark, sf_dir) -> DataFrame:
     return cases(session_log(spark, sf_dir))
 
 
-def order_log(spark, sf_dir) -> DataFrame:
+def order_log(spark, sf_dir, positions: bool = True) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     return case_log(
         lines, "l_orderkey", F.concat("l_returnflag", "l_linestatus"),
         ["l_shipdate", "l_linenumber", "l_partkey"],
         F.year("l_shipdate") * 12 + F.month("l_shipdate"),
-        F.col("l_partkey").alias("part"), F.col("l_linestatus").alias("lane"),
+        F.col("l_partkey").alias("part"), F.col("l_linestatus").alias("lane"), positions=positions,
     )
 
 
 def sized_orders(spark, sf_dir) -> DataFrame:
     """The order log with the length of each case; written, as several tables are made of it."""
-    log = order_log(spark, sf_dir)
-    return settle(log.join(case_lengths(log), "case_id"))
+    whole = Window.partitionBy("case_id")
+    return settle(order_log(spark, sf_dir).withColumn("num_events", F.count("*").over(whole)))
 
 
-def dialogue_log(spark, sf_dir) -> DataFrame:
+def dialogue_log(spark, sf_dir, positions: bool = True) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    return case_log(turns, "conv_id", F.col("role"), ["turn"], F.floor(F.col("turn") / 1000))
+    return case_log(turns, "conv_id", F.col("role"), ["turn"], F.floor(F.col("turn") / 1000), positions=positions)
 
 
 def words(spark, sf_dir) -> Lookup:
@@ -63,10 +63,21 @@ def labelled_sessions(spark, sf_dir) -> DataFrame:
     )
 
 
-def swept_sessions(spark, sf_dir, times: int = 2) -> DataFrame:
-    """The standard sweep over the sessions, with the user as the model."""
-    log = session_log(spark, sf_dir)
-    return inj.sweep(cases(log, "user_id").withColumnRenamed("user_id", "model_id"), words(spark, sf_dir), times)
+def model_cases(spark, sf_dir) -> DataFrame:
+    """Sessions with the user as the model."""
+    return cases(session_log(spark, sf_dir), "user_id").withColumnRenamed("user_id", "model_id")
+
+
+def swept_sessions(spark, sf_dir, log: DataFrame | None = None, times: int = 2) -> DataFrame:
+    """The standard sweep over the sessions (or the given ones), with the runs that mix exclusive branches."""
+    log = model_cases(spark, sf_dir) if log is None else log
+    mine = branches(spark, sf_dir).join(log.select("model_id").distinct(), "model_id", "left_semi")
+    return inj.sweep(log, words(spark, sf_dir), times).unionByName(inj.exclusive_rows(playouts(log), mine))
+
+
+def playouts(log: DataFrame) -> DataFrame:
+    """Runs of a model without its exclusive choices: the traces of its cases, last event first."""
+    return log.select("model_id", F.reverse("trace").alias("trace"))
 
 
 def branches(spark, sf_dir) -> DataFrame:

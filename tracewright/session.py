@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A settled table of at most this many rows may be broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 200_000
-
 _written: list[str] = []
 
 
@@ -57,13 +54,10 @@ def remove_scratch() -> None:
 
 
 def settle(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and go on from the written rows."""
+    """Write ``df`` as Parquet in the shared folder and go on from the written rows.
+
+    Spark knows the bytes of what is written, so small tables are broadcast by its own threshold, without a hint.
+    """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def settle_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Settle a fitted table; hint a broadcast only if its counted rows are within ``rows``."""
-    kept = settle(df)
-    return F.broadcast(kept) if kept.count() <= rows else kept

@@ -18,41 +18,52 @@ XES_TRACE = XES_ATTRIBUTES.replace("`:", "` ") + f", event array<struct<{XES_ATT
 
 
 def _with_row(df: DataFrame) -> DataFrame:
-    """Number rows as read. Written before use, so that the numbers are the same in every stage."""
-    return settle(df.withColumn("row", F.monotonically_increasing_id()))
+    """Rows with their place: file, split and row within it. Written, so that it is the same in every stage.
+
+    Spark reads large splits first, so the row number alone would not follow the files.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    return settle(df.select("*", *place).withColumn("row", F.monotonically_increasing_id()))
+
+
+PLACE = ["file", "block", "row"]
 
 
 def _in_file_order(df: DataFrame, case: str, activity: Column, order: list | None, slot: Column | None, *keep) -> DataFrame:
     """EVENTS ordered by the given columns, else as the rows stand in the file."""
     if order is None:
-        df = _with_row(df)
-        # The upper bits number the read partition, which never holds more than one input split.
-        order, slot = ["row"], F.shiftright("row", 33)
-    return case_log(df, case, activity, order, slot if slot is not None else F.lit(0), *keep)
+        df, order, slot = _with_row(df), PLACE, F.struct("file", "block")
+    return case_log(df, case, activity, order, slot, *keep)
 
 
 def read_csv_log(spark: SparkSession, path: str, order=None, slot=None, schema: str | None = None) -> DataFrame:
-    """Flat log ``case_id, name, isAnomaly, anomaly``: EVENTS with ``is_anomaly`` and ``anomaly``."""
+    """Flat log ``case_id, name, isAnomaly, anomaly``: EVENTS with ``is_anomaly`` and ``anomaly``.
+
+    Columns are text, but for the flag, unless a schema is given: nothing is read twice to find types.
+    """
     reader = spark.read.option("header", True)
-    df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
-    df = df.withColumnRenamed("isAnomaly", "is_anomaly")
+    df = reader.schema(schema).csv(path) if schema else reader.csv(path)
+    if "isAnomaly" in df.columns:
+        df = df.withColumn("isAnomaly", F.col("isAnomaly").cast("int")).withColumnRenamed("isAnomaly", "is_anomaly")
     keep = [c for c in df.columns if c not in ("case_id", "name", "pos")]
     return _in_file_order(df, "case_id", F.col("name"), order, slot, *keep)
 
 
 def read_train_test(
-    spark: SparkSession, train_path: str, test_path: str, train_rows: int = 800, test_rows: int = 200,
+    spark: SparkSession, train_path: str, test_path: str, train_rows: int | None = None, test_rows: int | None = None,
     order: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """First rows of a training (case, name) and a test (case, name, flag) CSV, columns named by place.
+    """A training (case, name) and a test (case, name, flag) CSV, columns named by place.
 
-    "First" is by ``order``, or as the rows stand in the file.
+    With a number of rows, the first ones by ``order``, or as the rows stand in the file; else all of them.
     """
     def head(path, names, rows):
-        df = spark.read.option("header", True).csv(path).toDF(*names)
-        if order is not None:
-            return df.orderBy(*order).limit(rows).sort("case_id", *order)
-        return _with_row(df).orderBy("row").limit(rows).sort("case_id", "row").drop("row")
+        df = spark.read.option("header", True).csv(path)
+        df = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names, strict=True)])
+        by = PLACE if order is None else order
+        df = _with_row(df) if order is None else df
+        df = df.orderBy(*by).limit(rows) if rows is not None else df
+        return df.sort("case_id", *by).select(*names)
 
     train = head(train_path, ["case_id", "name"], train_rows)
     test = head(test_path, ["case_id", "name", "isAnomaly"], test_rows)
@@ -90,7 +101,11 @@ def _xes_map(node: str) -> Column:
     """All attributes of a node in one map; kinds that do not occur are skipped."""
     none = F.array().cast("array<struct<_key:string,_value:string>>")
     parts = [F.coalesce(F.col(f"{node}{kind}"), none) for kind in XES_KINDS]
-    return F.map_from_entries(F.transform(F.concat(*parts), lambda a: F.struct(a["_key"].alias("key"), a["_value"].alias("value"))))
+    entries = F.transform(F.concat(*parts), lambda a: F.struct(a["_key"].alias("key"), a["_value"].alias("value")))
+    keys = F.transform(F.concat(*parts), lambda a: a["_key"])
+    # Of entries with the same key the last one stays; an entry without a key is none.
+    last = F.filter(entries, lambda e, i: e["key"].isNotNull() & ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+    return F.map_from_entries(last)
 
 
 def read_xes(spark: SparkSession, path: str) -> DataFrame:
@@ -163,9 +178,14 @@ def read_table_log(table: DataFrame, slot: Column | None = None) -> DataFrame:
     )
 
 
-def read_jdbc_log(spark: SparkSession, url: str, schema: str = "pm", **options) -> DataFrame:
-    """The same from a database table ``<schema>.EventLog``; partition options are passed on."""
-    return read_table_log(spark.read.format("jdbc").option("url", url).option("dbtable", f"{schema}.EventLog").options(**options).load())
+def read_jdbc_log(
+    spark: SparkSession, url: str, partition_column: str, lower: str | int, upper: str | int, partitions: int,
+    schema: str = "pm", **options,
+) -> DataFrame:
+    """The same from a database table ``<schema>.EventLog``, read in ``partitions`` ranges of a column."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", f"{schema}.EventLog")
+    parts = {"partitionColumn": partition_column, "lowerBound": lower, "upperBound": upper, "numPartitions": partitions}
+    return read_table_log(reader.options(**parts, **options).load())
 
 
 def read_model_csv(spark: SparkSession, path) -> DataFrame:

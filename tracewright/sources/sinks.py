@@ -33,12 +33,18 @@ def write_json_lines(rows: DataFrame, path: str) -> None:
 
 
 def write_results(rows: DataFrame, path: str, dataset: str, encoding: str, run: int) -> None:
-    """Append a result table as CSV under dataset, encoding and run."""
+    """Write a result table as CSV under dataset, encoding and run; a repeated run replaces its own partition."""
     keys = {"dataset": dataset, "encoding": encoding, "run": run}
     body = rows.drop(*keys)
     for name, value in keys.items():
         body = body.withColumn(name, F.lit(value))
-    body.write.mode("append").option("header", True).partitionBy(*keys).csv(path)
+    write_keyed_results(body, path)
+
+
+def write_keyed_results(rows: DataFrame, path: str) -> None:
+    """The same for rows that carry dataset, encoding and run."""
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True)
+    writer.partitionBy("dataset", "encoding", "run").csv(path)
 
 
 def write_xes_traces(events: DataFrame, path: str) -> None:
@@ -46,7 +52,8 @@ def write_xes_traces(events: DataFrame, path: str) -> None:
     def attribute(key, value):
         return F.struct(key.alias("_key"), value.alias("_value"))
 
-    entries = F.transform(F.map_entries("attrs"), lambda e: attribute(e["key"], e["value"]))
+    none = F.array().cast("array<struct<_key:string,_value:string>>")
+    entries = F.coalesce(F.transform(F.map_entries("attrs"), lambda e: attribute(e["key"], e["value"])), none)
     event = F.struct(
         "pos",
         F.concat(F.array(attribute(F.lit("concept:name"), F.col("activity"))), entries).alias("string"),
