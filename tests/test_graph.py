@@ -68,3 +68,27 @@ def test_kinds(spark):
     got = df.select(g.node_kind(F.col("l")).alias("k"), g.is_choice(F.col("l")).alias("c"), g.is_relevant(F.col("l")).alias("r")).collect()
     assert [r.k for r in got] == ["Event", "Event", "Gateway", "Task", "Pool"]
     assert [r.c for r in got] == [False, False, True, False, False] and [r.r for r in got] == [True] * 4 + [False]
+
+
+def test_a_ladder_with_a_direct_arc_ends_at_once(spark):
+    # 40 rungs: without pruning there are 2^20 ways through.
+    nodes = {"s": "StartNoneEvent", "e": "EndNoneEvent"} | {f"{side}{i}": "task" for i in range(20) for side in "lr"}
+    edges = [("s", "l0"), ("s", "r0"), ("l19", "e"), ("r19", "e"), ("s", "e")]
+    edges += [(f"{a}{i}", f"{b}{i + 1}") for i in range(19) for a in "lr" for b in "lr"]
+    n, e = graph(spark, nodes, edges)
+    assert [r.path for r in g.simple_paths(n, e).collect()] == [["s", "e"]]
+
+
+def test_dead_ends_are_not_followed_and_starts_limit_reach(spark):
+    # The loop x <-> y is reached from a but leads nowhere.
+    nodes = {"s": "StartNoneEvent", "a": "task a", "x": "task x", "y": "task y", "e": "EndNoneEvent"}
+    n, e = graph(spark, nodes, [("s", "a"), ("a", "x"), ("x", "y"), ("y", "x"), ("a", "e")])
+    assert [r.path for r in g.simple_paths(n, e).collect()] == [["s", "a", "e"]]
+    starts = spark.createDataFrame([("m", "x"), ("m", "e")], "model_id string, id string")
+    assert pairs(g.reachable(g.successors(n, e), starts)) == [("x", "x"), ("x", "y")]
+
+
+def test_paths_over_ids_that_hold_the_separator(spark):
+    paths = spark.createDataFrame([("m", ["a>b", "c"]), ("m", ["a", "b>c"])], "model_id string, path array<string>")
+    nodes = spark.createDataFrame([("m", i, i, True) for i in ("a>b", "c", "a", "b>c")], "model_id string, id string, label string, is_task boolean")
+    assert sorted(r.tasks for r in g.task_paths(paths, nodes).collect()) == [["a", "b>c"], ["a>b", "c"]]

@@ -5,8 +5,13 @@ Sequence arcs are nodes of their own (label ``SequenceFlow...``) between two sha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import settle
 
@@ -103,68 +108,97 @@ def sinks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return shapes.join(has, ["model_id", "id"], "left_anti").select("model_id", "id")
 
 
-def reachable(succ: DataFrame) -> DataFrame:
-    """(model_id, src, dst): all shapes reached from a shape.
+def reachable(succ: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """(model_id, src, dst): the shapes reached from each of ``starts`` (model_id, id), or from every shape.
 
-    The newly found pairs are joined to all pairs, which doubles the covered distance each
-    round; every round is written, and the search ends with the first round that adds nothing.
+    One shuffle by model: the arcs of a model stand side by side, and its closure is a few operations on bit sets. A
+    model is one document of its source, so its arcs fit into a task.
     """
-    known = settle(succ.select("model_id", "src", "dst").distinct())
-    fresh = known
-    while True:
-        onward = known.select("model_id", F.col("src").alias("mid"), F.col("dst").alias("end"))
-        longer = (
-            fresh.select("model_id", "src", F.col("dst").alias("mid")).join(onward, ["model_id", "mid"])
-            .select("model_id", "src", F.col("end").alias("dst")).distinct()
-        )
-        fresh = settle(longer.join(known, ["model_id", "src", "dst"], "left_anti"))
-        if fresh.isEmpty():
-            return known
-        known = known.unionByName(fresh)
+    succ = succ.select(F.col("model_id"), "src", "dst", F.lit(False).alias("start"))
+    rows = succ
+    if starts is not None:
+        rows = succ.unionByName(starts.select("model_id", F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(True).alias("start")))
+    every = starts is None
+
+    def close(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+            last = table.column("model_id")[-1]
+            whole = pc.fill_null(pc.not_equal(table.column("model_id"), last), True)
+            cut = pc.sum(whole).as_py() or 0
+            if cut:
+                yield from closures(table.slice(0, cut))
+            rest = table.slice(cut).combine_chunks().to_batches()[0]
+        if rest is not None and rest.num_rows:
+            yield from closures(pa.Table.from_batches([rest]))
+
+    def closures(table):
+        out, seen = ([], [], []), {}
+        columns = [table.column(c).to_pylist() for c in ("model_id", "src", "dst", "start")]
+        for model, src, dst, start in zip(*columns):
+            names, arcs, asked = seen.setdefault(model, ({}, [], set()))
+            if start:
+                asked.add(src)
+            else:
+                arcs.append((names.setdefault(src, len(names)), names.setdefault(dst, len(names))))
+        for model, (names, arcs, asked) in seen.items():
+            reach = [0] * len(names)
+            for i, j in arcs:
+                reach[i] |= 1 << j
+            for k in range(len(names)):
+                over, bit = reach[k], 1 << k
+                if over:
+                    reach = [r | over if r & bit else r for r in reach]
+            order = list(names)
+            for name, i in names.items():
+                if every or name in asked:
+                    ends = [order[j] for j in range(len(order)) if reach[i] >> j & 1]
+                    out[0].extend([model] * len(ends))
+                    out[1].extend([name] * len(ends))
+                    out[2].extend(ends)
+            if len(out[0]) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["model_id", "src", "dst"])
+                out = ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["model_id", "src", "dst"])
+
+    schema = succ.select("model_id", "src", "dst").schema
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+    return rows.repartition("model_id").sortWithinPartitions("model_id").mapInArrow(close, schema)
 
 
 def simple_paths(nodes: DataFrame, edges: DataFrame, all_routes: bool = False, max_nodes: int | None = None) -> DataFrame:
     """(model_id, path): ways from a source to a sink that visit no shape twice.
 
-    Unless ``all_routes``, a search for a sink goes no further from a shape that has the sink
-    as its direct successor: other ways round from that shape are not listed.
+    The search carries the sink it is for, and takes only steps to shapes that reach it. Unless ``all_routes``, it goes
+    no further from a shape that has the sink as its direct successor: other ways round from there are not listed.
     """
     succ = settle(successors(nodes, edges))
     ends = settle(sinks(nodes, edges))
-    step = succ.select("model_id", F.col("src").alias("last"), F.col("dst").alias("next"))
-    front = settle(
-        sources(nodes, edges).select("model_id", F.array("id").alias("path"), F.col("id").alias("last"))
-    )
+    sink = ends.select("model_id", F.col("id").alias("sink"))
+    goals = reachable(succ).join(sink.withColumnRenamed("sink", "dst"), ["model_id", "dst"]).select("model_id", F.col("src").alias("id"), F.col("dst").alias("sink"))
+    goals = settle(goals)
+    onward = goals.unionByName(sink.withColumn("id", F.col("sink")).select("model_id", "id", "sink")).distinct()
+    step = succ.join(onward.withColumnRenamed("id", "dst"), ["model_id", "dst"]).select("model_id", "sink", F.col("src").alias("last"), F.col("dst").alias("next"))
+    if not all_routes:
+        direct = F.max(F.col("next") == F.col("sink")).over(Window.partitionBy("model_id", "sink", "last"))
+        step = step.withColumn("direct", direct).where(~F.col("direct") | (F.col("next") == F.col("sink"))).drop("direct")
+    step = settle(step)
+    starts = sources(nodes, edges).join(goals, ["model_id", "id"]).where("id <> sink")
+    front = settle(starts.select("model_id", "sink", F.array("id").alias("path"), F.col("id").alias("last")))
     done, length = [], 1
-    at_sink = F.col("is_end")
-    marks = ends.select("model_id", F.col("id").alias("last"), F.lit(True).alias("is_end"))
     while not front.isEmpty() and (max_nodes is None or length < max_nodes):
         grown = settle(
-            front.join(step, ["model_id", "last"])
+            front.join(step, ["model_id", "sink", "last"])
             .where(~F.array_contains("path", F.col("next")))
-            .select("model_id", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("last"))
-            .join(marks, ["model_id", "last"], "left")
-            .select("model_id", "path", "last", F.coalesce("is_end", F.lit(False)).alias("is_end"))
+            .select("model_id", "sink", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("last"))
         )
-        done.append(grown.where(at_sink).select("model_id", "path"))
-        front = grown.where(~at_sink).select("model_id", "path", "last")
+        done.append(grown.where("last = sink").select("model_id", "path"))
+        front = grown.where("last <> sink")
         length += 1
     if not done:
         return front.select("model_id", "path")
-    paths = done[0]
-    for more in done[1:]:
-        paths = paths.unionByName(more)
-    if all_routes:
-        return paths
-    # A shape before the last but one that already leads to the sink makes the path a detour.
-    early = (
-        paths.where(F.size("path") > 2)
-        .select("model_id", "path", F.element_at("path", -1).alias("dst"),
-                F.explode(F.slice("path", 1, F.size("path") - 2)).alias("src"))
-        .join(succ, ["model_id", "src", "dst"], "left_semi")
-        .select("model_id", "path").distinct()
-    )
-    return paths.join(early, ["model_id", "path"], "left_anti")
+    return reduce(DataFrame.unionByName, done)
 
 
 def task_paths(paths: DataFrame, nodes: DataFrame) -> DataFrame:

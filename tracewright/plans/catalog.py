@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from ..sources import readers as rd
 from ..sources import sinks as sk
 from . import tables as tb
 from .detection import Run, score_slot
+from .sweep import run_sweep as sweep
 
 QUERIES = {}
 
@@ -152,6 +155,19 @@ def json_sink(s, d):
     )
 
 
+@query
+def read_log(s, d):
+    """The session log in three formats, each read by the suffix of its path."""
+    log, paths = tb.session_log(s, d), {kind: f"{tb.scratch(s, kind)}.{kind}" for kind in ("json", "xes", "csv")}
+    sk.write_json_log(log, paths["json"])
+    sk.write_xes_traces(log, paths["xes"])
+    rows = log.select("case_id", F.col("ts").alias("start_time"), F.col("ts").alias("end_time"), F.col("activity").alias("event"), F.lit("u").alias("user"), "pos")
+    rows.repartition("case_id").sortWithinPartitions("case_id", "pos").drop("pos").write.option("header", True).csv(paths["csv"])
+    reads = {"json": rd.read_json_log(s, paths["json"], lines=True), "xes": rd.read_log(s, paths["xes"]), "csv": rd.read_log(s, paths["csv"])}
+    parts = [log.select(F.lit(kind).alias("format"), "case_id", "pos", "activity") for kind, log in reads.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query
 def json_lines(s, d):
     path = tb.scratch(s, "lines")
@@ -376,6 +392,23 @@ def detect_word2vec(s, d):
     return run(s, d, encoding="word2vec").verdicts.drop("first_flag")
 
 
+@query
+def result_csv(s, d):
+    path, r = tb.scratch(s, "results"), run(s, d)
+    for again in (1, 1):  # a repeated run replaces its partition
+        sk.write_results(dt.prefix_counts(r.found), path, "sessions", "onehot", again)
+    return s.read.schema("prefix_len int, normal_count long, anomaly_count long, dataset string, encoding string, run int").option("header", True).csv(path)
+
+
+@query
+def run_sweep(s, d):
+    path = tb.scratch(s, "sweep")
+    sweep({"sessions": tb.labelled_sessions(s, d)}, path, runs=[1, 2])
+    got = s.read.option("header", True).csv(f"{path}/metrics")
+    values = [F.round(F.col(c).cast("double"), 9).alias(c) for c in ("precision", "recall", "f1_score", "roc_auc")]
+    return got.select("dataset", "encoding", F.col("run").cast("int").alias("run"), *values)
+
+
 # --- injection -----------------------------------------------------------------------------
 
 def one_kind(s, d, kind: str) -> DataFrame:
@@ -490,6 +523,15 @@ def targets(s, d):
     return lb.targets(all_kinds(s, d))
 
 
+@query
+def descriptors(s, d):
+    """How often each type changed a case, beside the type's descriptor."""
+    known = F.create_map(*[F.lit(x) for k in [*inj.SWEEP, *inj.FURTHER] for x in (k, json.dumps(inj.descriptor(k)))])
+    changed = all_kinds(s, d).where(F.col("label.anomaly") != "normal").groupBy("kind").agg(F.count("*").alias("num_cases"))
+    return changed.withColumn("distance", F.get_json_object(known[F.col("kind")], "$.parameters.distance").cast("int")).withColumn(
+        "named", F.get_json_object(known[F.col("kind")], "$.anomaly"))
+
+
 @query
 def label_text(s, d):
     return all_kinds(s, d).select("case_id", "kind", lb.label_text(F.col("label")).alias("label_text"))
@@ -513,7 +555,7 @@ def model_split(s, d):
 
 def swept_side(s, d, side: int) -> tuple[DataFrame, DataFrame]:
     """The sweep over the training (0) or the test models (1), and their cases; only these are injected."""
-    log = ds.split_models(tb.model_cases(s, d), TEST_MODELS)[side]
+    log = settle(ds.split_models(tb.model_cases(s, d), TEST_MODELS)[side])
     return tb.swept_sessions(s, d, log), log
 
 

@@ -126,6 +126,7 @@ put("sql_log", select="""SELECT 'u' || user_id AS case_id, event_type AS activit
     row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('minute', ts), event_id, event_type) AS pos,
     strftime(date_trunc('minute', ts), '"%Y-%m-%d %H:%M:%S"') AS ts, props->>'$.k' AS resource FROM events""")
 put("json_sink", LOG, select=f"SELECT case_id, {text('list(activity ORDER BY pos)')} AS names, {text('list(k ORDER BY pos)')} AS ks FROM log GROUP BY case_id")
+put("read_log", LOG, select="SELECT format, case_id, pos, activity FROM log, (VALUES ('json'), ('xes'), ('csv')) f(format)")
 put("json_lines", LOG, DIALOGUES, select="SELECT case_id, pos, activity FROM log UNION ALL SELECT case_id, pos, activity FROM dl")
 
 # --- injection -----------------------------------------------------------------------------
@@ -239,6 +240,7 @@ def plus_one(col: str) -> str:
     return f"array_to_string([(x + 1)::VARCHAR for x in {col}], ', ')"
 
 
+put("descriptors", *ALL_KINDS, select="SELECT kind, count(*) AS num_cases, 5 AS distance, kind AS named FROM inj WHERE anomaly <> 'normal' GROUP BY kind")
 put("label_text", *ALL_KINDS, select=f"""SELECT case_id, kind, CASE
     WHEN anomaly IN ('SkipSequence', 'Rework') THEN anomaly || ' ' || {text('acts', ', ')} || ' at ' || (start + 1)
     WHEN anomaly IN ('Early', 'Late') THEN anomaly || ' ' || sz || ' from ' || (shift_from + 1) || ' to ' || (shift_to + 1)
@@ -478,6 +480,19 @@ put("metrics_long", *FOUND, weighted("vd", "1"), auc("vd", "1"), "mx AS (SELECT
     UNION ALL SELECT 'sessions', 'onehot', 'recall', round(recall, 9) FROM mx UNION ALL SELECT 'sessions', 'onehot', 'f1_score', round(f1, 9) FROM mx
     UNION ALL SELECT 'sessions', 'onehot', 'roc_auc', round(auc, 9) FROM mx""")
 
+put("result_csv", *FOUND, select="""SELECT prefix_len, count(*) FILTER (true_label = 0) AS normal_count, count(*) FILTER (true_label = 1) AS anomaly_count,
+    'sessions' AS dataset, 'onehot' AS encoding, 1 AS run FROM det GROUP BY prefix_len""")
+
+
+def swept(run: int) -> str:
+    """Metrics of one run: the same definitions over another split."""
+    mine = [x.replace(h(q("split"), "1", "case_id"), h(q("split"), str(run), "case_id")) for x in FOUND]
+    return sql(*mine, weighted("vd", "1"), auc("vd", "1"), select=f"""SELECT 'sessions' AS dataset, 'onehot' AS encoding, {run} AS run,
+        {WM}, round(auc, 9) AS roc_auc FROM wm JOIN rc USING (key)""")
+
+
+ORACLE["q_run_sweep"] = f"SELECT * FROM ({swept(1)}) UNION ALL SELECT * FROM ({swept(2)})"
+
 # --- datasets and responses ----------------------------------------------------------------
 
 SIDES = f"""
