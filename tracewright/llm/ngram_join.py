@@ -122,10 +122,12 @@ def groups_of(batches):
         whole = t.to_batches()[0]
         key = np.stack([np.asarray(whole.column(c)).astype(np.int64) for c in ("key", "i", "j")])
         new = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-        last = int(new[-1]) if len(new) else 0
-        if last:
-            yield whole.slice(0, last)
-        rest = whole.slice(last)
+        start = 0
+        for end in new.tolist():  # some groups at a time, so that memory follows the largest group and not the batch
+            if end - start >= BLOCK or end == new[-1]:
+                yield whole.slice(start, end - start)
+                start = end
+        rest = whole.slice(start)
     if rest is not None and rest.num_rows:
         yield rest
 
