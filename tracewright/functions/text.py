@@ -17,13 +17,23 @@ def shape_text(label: Column) -> Column:
     return F.replace(flat, F.lit("  "), F.lit(" "))
 
 
+# Where camel case is opened.
+CAMEL = ["(.)([A-Z][a-z]+)", "([a-z0-9])([A-Z])"]
+
+# Generic names, and what structural names hold or begin with.
+GENERIC = ["message", "task"]
+STRUCTURAL_PART = "Gateway"
+STRUCTURAL_BEGINNINGS = ["EventSubprocess", "Subprocess"]
+
+
 def sanitize_label(label: Column) -> Column:
     """Letters only, single-letter parts dropped, camel case opened, lower case."""
     text = F.replace(F.replace(label, F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(""))
     text = F.regexp_replace(F.replace(text, F.lit("(s)"), F.lit("s")), "[^a-zA-Z]", " ")
     text = F.array_join(F.filter(F.split(text, " +"), lambda part: F.length(part) > 1), " ")
-    text = F.regexp_replace(text, "(.)([A-Z][a-z]+)", "$1 $2")
-    return F.lower(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"))
+    for place in CAMEL:
+        text = F.regexp_replace(text, place, "$1 $2")
+    return F.lower(text)
 
 
 def label_words(label: Column) -> Column:
@@ -33,14 +43,9 @@ def label_words(label: Column) -> Column:
 
 def is_relevant_label(label: Column) -> Column:
     """Whether a label names a task: null counts, blank, number, generic and structural names do not."""
-    named = (
-        (label != "")
-        & ~label.rlike(r"^\p{N}+$")
-        & ~F.lower(label).isin("message", "task")
-        & ~label.contains("Gateway")
-        & ~label.startswith("EventSubprocess")
-        & ~label.startswith("Subprocess")
-    )
+    named = (label != "") & ~label.rlike(r"^\p{N}+$") & ~F.lower(label).isin(GENERIC) & ~label.contains(STRUCTURAL_PART)
+    for beginning in STRUCTURAL_BEGINNINGS:
+        named = named & ~label.startswith(beginning)
     return label.isNull() | named
 
 

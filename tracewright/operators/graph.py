@@ -25,6 +25,12 @@ IRRELEVANT = [
 ]
 
 
+# Endings of the first word of events and gateways, and beginnings of choices.
+EVENT_ENDINGS = ["Event", "EventCatching", "EventThrowing"]
+GATEWAY_ENDING = "Gateway"
+CHOICES = ["Exclusive", "Inclusive", "Eventbased"]
+
+
 def _starts(label: Column, words) -> Column:
     out = F.lit(False)
     for word in words:
@@ -40,15 +46,15 @@ def node_kind(label: Column) -> Column:
     """Event, Gateway or Task, else the first word of the label."""
     word = first_word(label)
     return (
-        F.when(word.rlike("(Event|EventCatching|EventThrowing)$"), "Event")
-        .when(word.endswith("Gateway"), "Gateway")
+        F.when(word.rlike(f"({'|'.join(EVENT_ENDINGS)})$"), "Event")
+        .when(word.endswith(GATEWAY_ENDING), "Gateway")
         .when(~word.isin(IRRELEVANT), "Task")
         .otherwise(word)
     )
 
 
 def is_choice(label: Column) -> Column:
-    return _starts(label, ["Exclusive", "Inclusive", "Eventbased"])
+    return _starts(label, CHOICES)
 
 
 def is_relevant(label: Column) -> Column:

@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 from ..functions.ordering import running_total
 
 
+# Patterns of a recorded answer.
+VERDICT = r"The trace is (.*?)\.</s>"
+CAUSE = r"\\n (.*?)</s>"
+
+
 def verdict(response: Column) -> Column:
     """First answer ``The trace is ...`` of a response, empty without one."""
-    return F.regexp_extract(response, r"The trace is (.*?)\.</s>", 1)
+    return F.regexp_extract(response, VERDICT, 1)
 
 
 def valid_verdict(said: Column) -> Column:
@@ -20,7 +25,7 @@ def valid_verdict(said: Column) -> Column:
 
 def stated_cause(response: Column) -> Column:
     """Text between the first backslash-n and the stop mark, empty without one."""
-    return F.regexp_extract(response, r"\\n (.*?)</s>", 1)
+    return F.regexp_extract(response, CAUSE, 1)
 
 
 def ratio(a: Column, b: Column) -> Column:
