@@ -151,7 +151,7 @@ def frequency_model(train: DataFrame, cuts: DataFrame, vocabulary: DataFrame) ->
         counts.groupBy("prefix_len").agg(F.sum(whole * whole).alias("squares"))
         .join(cuts.select("prefix_len", "n_fit"), "prefix_len")
     )
-    return FrequencyModel(counts, settle(norms), vocabulary)
+    return FrequencyModel(counts, norms, vocabulary)
 
 
 def sample_errors(train: DataFrame, cuts: DataFrame, scores: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ class Detection:
 
 def detect(test: DataFrame, model, chosen: DataFrame) -> Detection:
     """Score every test prefix that has a model; flagged when the score is over the threshold."""
-    limits = settle(chosen.select("prefix_len", "threshold"))
+    limits = chosen.select("prefix_len", "threshold")
     tagged = with_tid(test).withColumn("true_label", F.get("flags", F.lit(0)))
     scores = settle(
         model.score(variant_table(test)).join(limits, "prefix_len")
