@@ -212,3 +212,24 @@ def test_main_text(spark):
     got = sorted((r.page_id, r.text) for r in main_text.extract(pages).collect())
     assert got == [(1, want), (1, want), (2, ""), (3, ""), (4, ""), (5, "a < b, <3 and more words here."), (6, "\n".join(["Some words of a long page."] * 5000))]
     assert main_text.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", [
+    "<script>for(i=0;i<n;i++) f(i);</script>{}",
+    "<script>s = '<!--'; t = \"<style>\";</SCRIPT >{}<script>u = 1;</script>",
+    "<style>a > b::after { content: '<p' }</style>{}",
+    "<html><head><title>x</title><meta charset=utf-8><body>{}",
+    "<head><title>x</title>{}",
+    "<head><title>x</title></head>{}<svg><title>no</title></svg>",
+    "<body><noscript>{}",
+    "<svg class=icon>{}",
+    "{}<script>var unclosed = '<p>Not a text, but code of a script.</p>';",
+])
+def test_main_text_behind_scripts_and_open_heads(page):
+    article = "<article><p>Some words of a page that has to be told whole.</p><p>And more of them.</p></article>"
+    assert main_text.main_text(page.replace("{}", article)) == "Some words of a page that has to be told whole.\nAnd more of them."
+
+
+def test_unclosed_elements_cost_no_second_search():
+    page = "<select>" * 200_000 + "<article><p>Some words of a page.</p></article>"
+    assert main_text.main_text(page) == "Some words of a page."

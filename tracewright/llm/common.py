@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,3 +26,20 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+class Ends:
+    """Where the elements of a page end."""
+
+    def __init__(self, page: str):
+        self.page, self.tags, self.never = page, {}, set()
+
+    def behind(self, name: str, start: int) -> int | None:
+        """The place behind the first end tag of ``name`` from ``start`` on, None without one. Starts never decrease."""
+        if name in self.never:
+            return None
+        tag = self.tags.get(name) or self.tags.setdefault(name, re.compile(rf"</{name}(?:[\s/][^>]*)?(?:>|\Z)", re.I))
+        found = tag.search(self.page, start)
+        if found is None:
+            self.never.add(name)
+        return found and found.end()

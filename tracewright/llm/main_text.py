@@ -16,9 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Ends
+
 #: Elements of HTML by what they do to text (fixed names of the standard).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea select head title xmp noembed noframes canvas video audio map".split())
+RAW = frozenset("script style noscript template iframe object svg math textarea select title xmp noembed noframes canvas video audio map".split())
+CODE = frozenset(("script", "style"))  # of RAW: without an end tag all that follows is code, as browsers take it
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
     "span strike strong sub sup time tt u var wbr".split()
@@ -52,6 +55,26 @@ BLANKS = re.compile(r"\s+")
 NEXT, SAME = 1.0, 1.5
 
 
+def tokens(page: str):
+    """Matches of TOKEN in order, without RAW elements: what they hold is no markup, so their own end tag is looked for.
+
+    One without an end tag loses its tag only, unless it is CODE.
+    """
+    ends, place = Ends(page), 0
+    while place is not None:
+        start, place = place, None
+        for m in TOKEN.finditer(page, start):
+            tag = m[2] and not m[1] and m[2].lower()
+            if tag not in RAW:
+                yield m
+            elif not m[3].endswith("/"):
+                place = ends.behind(tag, m.end())
+                if place is not None:
+                    break
+                if tag in CODE:
+                    return
+
+
 class Element:
     __slots__ = ("tag", "parent", "cost", "article")
 
@@ -83,12 +106,12 @@ def opened(tag: str, attributes: str, parent: Element) -> Element:
 def blocks(page: str) -> list[tuple[str, Element, int]]:
     """(text, element, letters inside links) of the blocks of a page, in order; markup, scripts and styles are gone.
 
-    Unclosed and wrongly nested elements are closed as browsers do it in the common cases.
+    Unclosed and wrongly nested elements are closed as browsers do it in the common cases. The tags of a head only end a
+    block: what may stand in a head has no text, and anything else closes it.
     """
     top = Element("", None, 0.0, False)
     at, stack, out = top, [top], []
     parts, linked, links = [], 0, 0
-    skip = None
 
     def flush():
         nonlocal parts, linked
@@ -100,18 +123,17 @@ def blocks(page: str) -> list[tuple[str, Element, int]]:
             out.append((text, holder, min(linked, len(text))))
         parts, linked = [], 0
 
-    for m in TOKEN.finditer(page):
+    for m in tokens(page):
         tag = m[2]
         if tag is None:
             text = m[0]
-            if skip is None and not text.startswith(("<!", "<?")):
+            if not text.startswith(("<!", "<?")):
                 parts.append(text)
                 linked += len(text) * (links > 0)
             continue
         tag, closing = tag.lower(), m[1]
-        if skip is not None:
-            if closing and tag == skip:
-                skip = None
+        if tag == "head":
+            flush()
             continue
         if closing:
             if tag == "a":
@@ -126,10 +148,6 @@ def blocks(page: str) -> list[tuple[str, Element, int]]:
                 stack.pop()
                 at = stack[-1]
             continue
-        if tag in RAW:
-            if not m[3].endswith("/"):
-                skip = tag
-            continue
         if tag not in INLINE:
             flush()
             if tag in ENDS_P and any(e.tag == "p" for e in stack):
