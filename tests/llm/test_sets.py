@@ -260,6 +260,18 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(bytes(r.record) for r in warc.read_warc(spark, str(tmp_path / "a.warc.gz")).collect()) == sorted(bytes(r.record) for r in sources.collect())
 
 
+def test_plain_text_of_pages_without_end_tags():
+    body = "<p>One<p>two <b>three</b>"
+    for page in (
+        "<head><title>T</title><meta charset=utf-8><script>x</script><style>y</style><body>{}", "<HEAD lang=en><TITLE>T</TITLE>{}",
+        "<head><title>T</title></head>{}", "<body><svg class=a>{}", "<svg/>{}<svg><title>T</title></svg>", "<noscript>{}", "<template><!-- x -->{}",
+        "<svg-icon>{}", "<script>a('<!--')</script >{}<!-- <p>no", "{}<script>var code = '<p>no';",
+    ):
+        assert warc.plain(page.replace("{}", body)) == "One\ntwo three", page
+    assert warc.plain("<title>T</title><p>x") == "T\nx"
+    assert warc.plain("<svg>" * 200_000 + body) == "One\ntwo three"
+
+
 def test_warc_of_odd_records(spark):
     packed = gzip.compress("<p>ü".encode("latin-1"))
     chunked = b"%x\r\n%s\r\n0\r\n\r\n" % (len(packed), packed)

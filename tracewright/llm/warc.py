@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Ends
+
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 DERIVED = (
@@ -29,7 +31,8 @@ DERIVED = (
 )
 NAMES = [part.strip().split(" ")[0] for part in re.sub(r"map<string,string>", "map", DERIVED).split(",")]
 
-DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+HIDING = re.compile(r"<!--|<(script|style|noscript|template|svg|title|head|/head|body)(?=[\s/>])[^>]*>", re.I)
+CODE = frozenset(("script", "style"))  # without an end tag all that follows is code, as browsers take it
 INLINE = re.compile(
     r"</?(?:a|abbr|acronym|b|bdi|bdo|big|cite|code|data|del|dfn|em|font|i|img|ins|kbd|label|mark|q|ruby|s|samp|small|span|strong|sub|sup|time|tt|u|var|wbr)\b[^>]*>", re.I
 )
@@ -112,9 +115,36 @@ def decoded(body: bytes, headers: dict[str, str]) -> str:
         return body.decode("utf-8", "replace")
 
 
+def shown(page: str) -> str:
+    """The page without comments, the elements of HIDING and the titles of its head.
+
+    An element without an end tag loses its tag only, unless it is CODE; a head (whose end tag is optional) ends at the body's tag too.
+    """
+    ends, out, done, place, head = Ends(page), [], 0, 0, False
+    while m := HIDING.search(page, place):
+        place, tag = m.end(), (m[1] or "").lower()
+        if tag in ("head", "/head", "body"):
+            head = tag == "head"
+            continue
+        if not tag:
+            stop = page.find("-->", place) + 3
+            stop = stop if stop > 2 else len(page)
+        elif (tag == "title" and not head) or (tag == "svg" and m[0].endswith("/>")):
+            continue
+        else:
+            stop = ends.behind(tag, place)
+            if stop is None:
+                if tag not in CODE:
+                    continue
+                stop = len(page)
+        out.append(page[done : m.start()])
+        done = place = stop
+    return "".join(out) + page[done:]
+
+
 def plain(page: str) -> str:
     """All text of a page, a line for each block."""
-    text = TAG.sub("\n", INLINE.sub("", DROPPED.sub("", page).replace("\r", " ").replace("\n", " ")))
+    text = TAG.sub("\n", INLINE.sub("", shown(page).replace("\r", " ").replace("\n", " ")))
     lines = (BLANKS.sub(" ", x).strip() for x in html.unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
