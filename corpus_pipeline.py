@@ -48,17 +48,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: none, one or two whole copies (the one at a source's end is rounded).
 
-    Rows of the same id and text are one document here, taken as often as they are together.
+    Rows of the same id and text are one document here, taken as often as they are together. The rows are in the order of the
+    schedule, over the partitions as well as inside them: a copy stands where its first word does.
     """
-    h, turn, copies = fresh(docs, "text_hash"), fresh(docs, "turn"), fresh(docs, "copies")
+    h, turn, places = fresh(docs, "text_hash"), fresh(docs, "turn"), fresh(docs, "places")
     hashed = docs.withColumn(h, F.xxhash64("text"))
-    mixed = mixing.mix(hashed.select("doc_id", "text", "source", F.col(h).alias("_hash")), carry=["_hash"])
-    times = F.sum(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)).cast("int")
-    taken = settle(mixed.groupBy(F.col("doc_id").alias("_id"), "_hash").agg(times.alias(copies)).where(F.col(copies) > 0), "taken")
+    parts = mixing.parts(hashed.select("doc_id", "text", "source", F.col(h).alias("_hash")), carry=["_hash"])
+    opening = F.collect_list(F.when(F.col("before") == 0, F.struct("slot", "place")))
+    rows = parts.groupBy("no", "start", "doc_id", "_hash", "size").agg(F.sum("taken").alias("taken"), opening.alias("at"))
+    of_row = F.slice(F.sort_array("at"), F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int"))
+    taken = rows.groupBy(F.col("doc_id").alias("_id"), "_hash").agg(F.flatten(F.collect_list(of_row)).alias(places))
+    taken = settle(taken.where(F.size(places) > 0), "taken")
     chosen = hashed.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(h) == F.col("_hash")))
     one = chosen.withColumn(turn, F.row_number().over(Window.partitionBy("doc_id", h).orderBy(F.lit(0)))).where(F.col(turn) == 1)
-    repeated = one.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies))))
-    return repeated.select(*docs.columns)
+    repeated = one.withColumn(turn, F.explode(places))
+    order = [f"{turn}.slot", f"{turn}.place"]
+    return repeated.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,6 +122,53 @@ def test_mixing(spark, monkeypatch):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_tells_the_place_of_every_part(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 50)
+    rng = random.Random(3)
+    few = [(5000 + k, "one word or more", f"few{k:03}") for k in range(300)]  # sources that the points may leave out
+    docs = spark.createDataFrame([(k, "w " * rng.randrange(0, 130), rng.choice("aabc")) for k in range(600)] + few, "doc_id long, text string, source string").repartition(4)
+    got = mixing.parts(docs).collect()
+    sums = Counter()
+    for r in got:
+        sums[r.doc_id] += r.taken
+    assert sums == Counter({r.doc_id: r.taken for r in mixing.mix(docs).collect() if r.taken})
+    source = {r.doc_id: r.source for r in docs.collect()}
+    slots = {}
+    for r in got:
+        slots.setdefault(r.slot, []).append((r.place, r.taken, source[r.doc_id]))
+    for held in slots.values():  # a slot is a block of one source, filled from its first word on without a gap
+        end = 0
+        for place, n, _ in sorted(held):
+            assert place == end
+            end += n
+        assert end <= 50 and len({s for *_, s in held}) == 1
+    spans = sorted((r.doc_id, r.slot, r.before, r.taken) for r in got)
+    assert all(0 <= b and n > 0 for *_, b, n in spans)
+    big = [s for _, held in sorted(slots.items()) for s in [held[0][2]] if s in "abc"]
+    whole = Counter(big)
+    for k in range(1, 9):  # in proportion in every stretch
+        part = Counter(big[: len(big) * k // 8])
+        assert all(abs(part[s] - whole[s] * k / 8) < 6 for s in whole), (k, part, whole)
+
+
+def test_pipeline_mix_is_in_the_order_of_the_schedule(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 50)
+    docs = spark.createDataFrame([(k, f"w{k} " * (k % 90 + 1), "abc"[k % 3]) for k in range(300)], "doc_id long, text string, source string").repartition(3)
+    path = scratch(spark, "test")
+    corpus_pipeline.mix_sources(spark, docs, "").write.parquet(path)
+    files = sorted(f.split("?")[0] for f in spark.read.parquet(path).inputFiles())
+    got = [r.doc_id for f in files for r in spark.read.parquet(f).coalesce(1).collect()]
+    taken, opened = Counter(), {}
+    for r in mixing.parts(docs).collect():
+        taken[r.doc_id] += r.taken
+        if r.before == 0:
+            opened.setdefault(r.doc_id, []).append((r.slot, r.place))
+    from decimal import ROUND_HALF_UP, Decimal
+
+    copies = {k: int((Decimal(n) / (k % 90 + 1)).quantize(Decimal(1), ROUND_HALF_UP)) for k, n in taken.items()}
+    assert got == [k for _, k in sorted((at, k) for k, places in opened.items() for at in sorted(places)[: copies[k]])]
+
+
 def test_schedule_is_even_everywhere(spark):
     shares = spark.createDataFrame([(1, 3.0), (2, 1.0), (3, 2.0)], "no long, target double")
     got = mixing.schedule(shares, 6000).orderBy("slot").collect()

@@ -4,7 +4,8 @@ Slot k of the schedule belongs to the source in whose share of the line [0, 1) t
 falls. Slots are ranked per source. The documents of a source, shuffled by a hash, are cut into blocks of ``BLOCK`` words;
 slot r of a source takes its block r, and after the last block it begins again with the first; its last slot is cut so
 that the source's words are its target. As the points have low discrepancy, the sources are in proportion in every
-stretch of the schedule; slots that they leave out (a few for each source) follow at its end.
+stretch of the schedule; slots that they leave out (a few for each source) follow at its end. ``parts`` tells the slot of
+all that is taken, ``mix`` the sums for each document.
 
 Scale: slots and documents are ranked in two steps (totals per slot of a hash or stretch first), so that a hot source is
 never in one task. Points are matched with shares by an equi-join on a grid of ``CELLS`` cells. Blocks are joined
@@ -78,14 +79,12 @@ def schedule(shares: DataFrame, slots: int) -> DataFrame:
     return ranked.select("slot", "no", (F.col("r") - 1).alias("r"))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
-    """(doc_id, carry, size, source_size, target, taken) for every row of ``docs``; carry: further columns to keep.
+def dealt(docs: DataFrame, text: str, source: str, doc_id: str, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The worded rows, cut at blocks, with each slot that their block has, and the rows without words.
 
-    size: words (null text: 0). Each source's taken words are its target, rounded, and no row is taken more than twice. Rows of a null source form one of their own, the last. A row without words takes nothing. Repeated rows
-    are rows of their own. An id that is null is shuffled like the empty text. An empty table gives an empty one.
-    Only the columns named are read.
+    Of the first: (no, start, doc_id, carry, size, source_size, target, slot, place, before, part); ``part`` is 0 and the slot null where
+    a block has none. Slots that the points leave out are numbered behind the schedule.
     """
-    carry = carry or []
     rows = settle(sized(docs, text, source, doc_id, carry), "sized")
     goals = settle(targets(rows), "targets")
     numbered = rows.join(goals.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("source", "_source")
@@ -104,18 +103,48 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     reached = drawn.groupBy("no").agg(F.count("*").alias("have"))
     short = goals.join(reached, "no", "left").withColumn("have", F.coalesce("have", F.lit(0).cast("long"))).where("have < turns")
     late = short.select("no", F.explode(F.sequence("have", F.col("turns") - 1)).alias("r"))
-    turn = drawn.select("no", "r").unionByName(late).join(goals, "no").where("r < turns")
+    late = running_total(late, [], F.expr(f"no div {STRETCH}"), ["no", "r"], F.lit(1).cast("bigint"), "slot")
+    late = late.select((F.col("slot") + (slots - 1)).alias("slot"), "no", "r")
+    turn = drawn.unionByName(late).join(goals, "no").where("r < turns")
     turn = turn.withColumn("block", F.col("r") % F.col("blocks"))
     before = F.expr("r div blocks") * F.col("source_size") + F.col("block") * BLOCK
-    turn = turn.select("no", "block", (F.col("block") * BLOCK + F.col("goal") - before).alias("stop"))
+    turn = turn.select("no", "block", "slot", (F.col("block") * BLOCK + F.col("goal") - before).alias("stop"))
     pieces = placed.select(
         "no", "doc_id", *carry, "size", "source_size", "target", "start", "end",
         F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(end - 1) div {BLOCK}"))).alias("block"),
     )
     joined = pieces.join(turn, ["no", "block"], "left")
-    inside = F.least("end", (F.col("block") + 1) * BLOCK, "stop") - F.greatest("start", F.col("block") * BLOCK)
-    joined = joined.withColumn("part", F.when(F.col("stop").isNotNull(), F.greatest(inside, F.lit(0).cast("long"))).otherwise(0))
-    mixed = joined.groupBy("no", "start", "doc_id", *carry, "size", "source_size", "target").agg(F.sum("part").cast("long").alias("taken"))
+    opens = F.greatest("start", F.col("block") * BLOCK)
+    inside = F.least("end", (F.col("block") + 1) * BLOCK, "stop") - opens
+    part = F.when(F.col("stop").isNotNull(), F.greatest(inside, F.lit(0).cast("long"))).otherwise(0)
+    return joined.select(
+        "no", "start", "doc_id", *carry, "size", "source_size", "target", "slot",
+        (opens - F.col("block") * BLOCK).alias("place"), (opens - F.col("start")).alias("before"), part.alias("part"),
+    ), numbered.where("size = 0")
+
+
+def parts(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+    """The mix in its order: (no, start, doc_id, carry, size, slot, place, before, taken), one row for each part that is taken.
+
+    A part is ``taken`` words of a row after its first ``before``; it stands at word ``place`` of the block in ``slot``, so (slot, place)
+    is the order of the mix and no two parts share it. A slot is one block of one source; numbers without a block are possible. (no, start), the
+    source's number and the row's first word in it, tell rows apart. For the rest see ``mix``.
+    """
+    carry = carry or []
+    worded, _ = dealt(docs, text, source, doc_id, carry)
+    return worded.where("part > 0").select("no", "start", "doc_id", *carry, "size", "slot", "place", "before", F.col("part").cast("long").alias("taken"))
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, carry, size, source_size, target, taken) for every row of ``docs``; carry: further columns to keep.
+
+    size: words (null text: 0). Each source's taken words are its target, rounded, and no row is taken more than twice. Rows of a null source form one of their own, the last. A row without words takes nothing. Repeated rows
+    are rows of their own. An id that is null is shuffled like the empty text. An empty table gives an empty one.
+    Only the columns named are read. ``parts`` tells where in the schedule the taken words stand.
+    """
+    carry = carry or []
+    worded, none = dealt(docs, text, source, doc_id, carry)
+    mixed = worded.groupBy("no", "start", "doc_id", *carry, "size", "source_size", "target").agg(F.sum("part").cast("long").alias("taken"))
     columns = ["doc_id", *carry, "size", "source_size", "target"]
-    nothing = numbered.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken"))
+    nothing = none.select(*columns, F.lit(0).cast("long").alias("taken"))
     return mixed.select(*columns, "taken").unionByName(nothing)
