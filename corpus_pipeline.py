@@ -53,14 +53,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     h, turn, places = fresh(docs, "text_hash"), fresh(docs, "turn"), fresh(docs, "places")
     hashed = docs.withColumn(h, F.xxhash64("text"))
-    parts = mixing.parts(hashed.select("doc_id", "text", "source", F.col(h).alias("_hash")), carry=["_hash"])
-    opening = F.collect_list(F.when(F.col("before") == 0, F.struct("slot", "place")))
-    rows = parts.groupBy("no", "start", "doc_id", "_hash", "size").agg(F.sum("taken").alias("taken"), opening.alias("at"))
+    worded, _ = mixing.dealt(hashed.select("doc_id", "text", "source", F.col(h).alias("_hash")), "text", "source", "doc_id", ["_hash"])
+    opening = F.collect_list(F.when((F.col("before") == 0) & (F.col("part") > 0), F.struct("slot", "place")))
+    rows = worded.groupBy("no", "start", "doc_id", "_hash", "size").agg(F.sum("part").alias("taken"), opening.alias("at"))
     of_row = F.slice(F.sort_array("at"), F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int"))
-    taken = rows.groupBy(F.col("doc_id").alias("_id"), "_hash").agg(F.flatten(F.collect_list(of_row)).alias(places))
+    taken = rows.groupBy(F.col("doc_id").alias("_id"), "_hash").agg(F.flatten(F.collect_list(of_row)).alias(places), F.count("*").alias("_rows"))
     taken = settle(taken.where(F.size(places) > 0), "taken")
-    chosen = hashed.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(h) == F.col("_hash")))
-    one = chosen.withColumn(turn, F.row_number().over(Window.partitionBy("doc_id", h).orderBy(F.lit(0)))).where(F.col(turn) == 1)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(h) == F.col("_hash"))
+    # Only texts of documents that stand more than once are shuffled for being told from each other.
+    once, several = (hashed.join(taken.where(k), same) for k in ("_rows = 1", "_rows > 1"))
+    several = several.withColumn(turn, F.row_number().over(Window.partitionBy("doc_id", h).orderBy(F.lit(0)))).where(F.col(turn) == 1)
+    one = once.unionByName(several.drop(turn))
     repeated = one.withColumn(turn, F.explode(places))
     order = [f"{turn}.slot", f"{turn}.place"]
     return repeated.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
