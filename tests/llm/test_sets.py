@@ -361,3 +361,12 @@ def test_pipeline(spark):
     assert sum(r.length for r in seen[4].collect()) == sum(r.length for r in packing.pieces(seen[3]).collect())
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_pipeline_mix_of_repeated_rows(spark):
+    rows = [(1, "a b c", "s")] * 5 + [(None, "d e f", "s")] * 4 + [(k, "g h i", "s") for k in range(10, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id] += int(r.taken / r.size + 0.5)
+    assert Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, "").collect()) == +want
