@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import mixing
+from .divergence import MIN_DOCS, TOP
 from .ngram_join import WORDS as WIDTH
 from .quality_rules import MIN_ROWS, SLACK, SPREAD
 
@@ -102,4 +103,35 @@ others as (select x id, sum(size) n from links join classes on classes.id = y gr
 select w.doc_id, coalesce(class_id, w.doc_id) class_id, (coalesce(c.size - 1, 0) + coalesce(o.n, 0))::bigint n_links, coalesce(c.id, w.doc_id) copy_id
 from worded w left join classes c on w.t = c.t and len(w.ws) > 0 left join roots on roots.id = c.id left join others o on o.id = c.id"""
 
-ORACLE = {"op5_mixing": MIX, "op7_ngram_join": JOIN, "op8_quality_rules": QUALITY}
+DIVERGENCE = rf"""
+with docs as (
+  select row_number() over () r, coalesce(lang, '') lang, coalesce(source, '') source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t
+  from documents),
+terms as (select r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term from docs),
+kept as (select lang, term, count(*) lang_occurs from terms group by all having count(distinct r) >= {MIN_DOCS}),
+counts as (select lang, source, term, count(*) occurs from terms group by all),
+sizes as (select lang, count(*) v, sum(lang_occurs) lang_n from kept group by lang),
+groups as (
+  select g.lang, g.source, coalesce(any_value(v), 0) v, coalesce(any_value(lang_n), 0) lang_n, coalesce(sum(occurs) filter (k.term is not null), 0) n
+  from (select distinct lang, source from docs) g left join sizes s on s.lang = g.lang
+  left join counts c on c.lang = g.lang and c.source = g.source left join kept k on k.lang = c.lang and k.term = c.term
+  group by g.lang, g.source),
+grid as (
+  select g.lang, g.source, k.term, coalesce(c.occurs, 0) occurs, 1 + (1000000000::hugeint * (coalesce(c.occurs, 0) + 2)) // (n + 2 * v)::hugeint p,
+    1 + (1000000000::hugeint * (lang_occurs + 2)) // (lang_n + 2 * v)::hugeint q
+  from groups g join kept k on k.lang = g.lang left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pairs as (
+  select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::bigint value
+  from grid a join grid b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+told as (
+  select g.lang, g.source, 'pair' part, o.source item, coalesce(value, 0) value
+  from groups g join groups o on g.lang = o.lang and g.source <> o.source
+  left join pairs p on p.lang = g.lang and p.source = g.source and p.item = o.source
+  union all
+  select lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::bigint from grid where occurs > 0 and p > q)
+select * from (
+  select *, (row_number() over (partition by lang, source, part order by value desc, item))::int rank from told)
+where part = 'pair' or rank <= {TOP}"""
+
+ORACLE = {"op5_mixing": MIX, "op7_ngram_join": JOIN, "op8_quality_rules": QUALITY, "op12_divergence": DIVERGENCE}

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import settle
-from . import language_id, main_text, mixing, nearest, ngram_join, packing, perplexity, quality_rules, toxicity, warc
+from . import (
+    divergence, language_id, main_text, mixing, nearest, ngram_join, packing, periodic, perplexity, quality_rules, simhash, toxicity, warc,
+)
 from .common import remainder, table
 from .oracle import ORACLE  # noqa: F401
 
@@ -75,6 +77,30 @@ def op10_nearest(spark, sf_dir):
     return nearest.search(rows, rows.where(F.col("vec_id") % 50 == 0))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    altered = docs.withColumn("g", F.when(h % 10 == 0, F.call_function("div", h, F.lit(10))))
+    found = periodic.find(altered, tile="g")
+    higher = lambda x, best: x["length"] * best["period"] > best["length"] * x["period"]
+    best = F.reduce("runs", F.lit(None).cast(periodic.RUN), lambda best, x: F.when(best.isNull() | higher(x, best), x).otherwise(best))
+    lines = F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n")))
+    told = found.withColumn("best", best)
+    return told.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(best.length * 1000) div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op13_simhash(spark, sf_dir):
+    return simhash.link(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_toxicity": op2_toxicity,
@@ -86,4 +112,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_nearest": op10_nearest,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_divergence": op12_divergence,
+    "op13_simhash": op13_simhash,
 }

@@ -72,9 +72,9 @@ class Chunk:
         _, down = POWERS.upto(len(self.data))
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * STEP)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, start, end) of every word."""
-        inside = ~SPACE[self.data]
+    def words(self, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, start, end) of every word; ``space`` flags the bytes between words."""
+        inside = ~space[self.data]
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
         last[:-1] &= ~inside[1:]
