@@ -222,10 +222,13 @@ def test_keys_lose_no_link():
         assert np.isin(simhash.keys_of(np.array([x]))[1], key[row == k]).any()
 
 
-@pytest.mark.parametrize("block", [4, 4096])
+@pytest.mark.parametrize("block", [6, 4096])
 def test_links_equal_those_of_all_pairs(spark, monkeypatch, block):
-    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "BLOCK", block)  # with 6, keys of a dozen fingerprints go by blocks
+    monkeypatch.setattr(simhash, "SAMPLED", 1 if block == 6 else 64)
     monkeypatch.setattr(simhash, "PIECE", 200)
+    real, called = simhash.blocked, []
+    monkeypatch.setattr(simhash, "blocked", lambda *a: called.append(1) or real(*a))
     rng = random.Random(9)
     word = lambda: f"{rng.choice('ABcdefgh')}{rng.randrange(99)}"
     rows = []
@@ -241,7 +244,7 @@ def test_links_equal_those_of_all_pairs(spark, monkeypatch, block):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, fp int").repartition(3)
     got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash.link(docs).collect()), key=str)
     assert got == linked(rows)
-    assert len({c for _, _, c in got}) < len({f for _, f, _ in got})
+    assert len({c for _, _, c in got}) < len({f for _, f, _ in got}) and bool(called) == (block == 6)
     assert simhash.link(docs.limit(0)).count() == 0
 
 

@@ -14,10 +14,11 @@ differ in 2 bits or fewer share a key: the word between them is a neighbour of b
 
 So no link is lost, and a key is as selective as 34 to 36 exact bits. About 150 keys stand for a fingerprint.
 
-How the work is dealt out: equal fingerprints are one class from the start (copies never meet). Keys are counted first;
-only those of two classes or more are shuffled with their fingerprints. A key's classes are dealt into blocks of
-``BLOCK``, two blocks are compared in a task with popcounts, and a group gives a spanning forest of its links, not
-its pairs. Components are found by rounds of joins written to the shared folder.
+How the work is dealt out: equal fingerprints are one class from the start (copies never meet). Rows of a key and a
+fingerprint are shuffled once, and a task compares the fingerprints of a key with popcounts; it gives a spanning forest of
+their links, not pairs. A key that holds very many (told from the keys of one in ``SAMPLED`` fingerprints, which decides on the
+way taken and not on the result) is divided into blocks of about ``BLOCK``, and a task compares two of these. Components are
+found by rounds of joins written to the shared folder.
 """
 
 from __future__ import annotations
@@ -44,7 +45,10 @@ PAIRINGS = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
 #: Generator polynomial of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 BLOCK = 4096
+SAMPLED = 64
 PAIRS = 1 << 20
+#: Fingerprints whose keys a task makes.
+TASK = 1 << 15
 
 
 class Golay:
@@ -160,53 +164,44 @@ def sign(batches):
 
 
 def whole_groups(batches):
-    """Batches that each hold whole groups of (key, i, j): rows come sorted by these."""
-    rest = []
+    """Keys and fingerprints of batches that each hold whole groups of a key, without the keys that stand alone: rows come sorted."""
+    key, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        rest.append(batch)
-        if sum(b.num_rows for b in rest) < BLOCK:
-            continue
-        t = pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
-        group = group_numbers(t)
-        start = int(np.searchsorted(group, group[-1]))
+        key = np.concatenate([key, np.asarray(batch.column("key")).astype(np.int64)])
+        fp = np.concatenate([fp, np.asarray(batch.column("fp")).astype(np.int64)])
+        start = int(np.searchsorted(key, key[-1])) if len(key) else 0
         if start:
-            yield t.slice(0, start), group[:start]
-        rest = [t.slice(start)]
-    if rest:
-        t = pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
-        yield t, group_numbers(t)
+            yield shared(key[:start], fp[:start])
+            key, fp = key[start:], fp[start:]
+    yield shared(key, fp)
 
 
-def group_numbers(batch) -> np.ndarray:
-    key = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("key", "i", "j")])
-    return np.cumsum(np.concatenate([[False], (key[:, 1:] != key[:, :-1]).any(0)]))
+def shared(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    same = key[1:] == key[:-1]
+    several = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(key) else np.zeros(0, bool)
+    return key[several], fp[several]
 
 
 def forest(batches):
-    """(u, v): a spanning forest of the links in each group of fingerprints."""
-    for batch, group in whole_groups(batches):
-        fp = np.asarray(batch.column("fp")).astype(np.int64)
-        bits, side = fp.view(np.uint64), np.asarray(batch.column("side"))
-        cross = np.asarray(batch.column("i")) != np.asarray(batch.column("j"))
-        end = np.searchsorted(group, group, "right")
-        upto = np.cumsum(end - np.arange(len(end)) - 1)
+    """(u, v): a spanning forest of the links among the fingerprints of each key."""
+    for key, fp in whole_groups(batches):
+        bits, n = fp.view(np.uint64), len(fp)
+        more = np.searchsorted(key, key, "right") - np.arange(n) - 1
+        upto = np.cumsum(more)
         left, right, start = [], [], 0
-        while start < len(end):  # some pairs at a time
+        while start < n:  # some pairs at a time
             stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS, "right")))
-            first = np.arange(start, stop)
-            n = end[first] - first - 1
-            a = np.repeat(first, n)
-            b = a + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            m = more[start:stop]
+            a = np.repeat(np.arange(start, stop), m)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
             near = np.bitwise_count(bits[a] ^ bits[b]) <= NEAR
-            near &= ~cross[a] | (side[a] != side[b])
             left.append(a[near])
             right.append(b[near])
             start = stop
-        label = lowest(len(fp), np.concatenate(left), np.concatenate(right))
-        tied = np.flatnonzero(label != np.arange(len(fp)))
-        yield pa.RecordBatch.from_arrays([pa.array(fp[tied]), pa.array(fp[label[tied]])], names=["u", "v"])
+        if left:
+            label = lowest(n, np.concatenate(left), np.concatenate(right))
+            tied = np.flatnonzero(label != np.arange(n))
+            yield pa.RecordBatch.from_arrays([pa.array(fp[tied]), pa.array(fp[label[tied]])], names=["u", "v"])
 
 
 def lowest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -223,6 +218,16 @@ def lowest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
+def blocked(keys: DataFrame, hot: DataFrame) -> DataFrame:
+    """(key, fp) with a key of its own for every two blocks of a hot key; ``hot``: (key, blocks)."""
+    rows = keys.join(hot, "key", "left").withColumn("side", F.pmod(F.xxhash64("fp", "key"), F.coalesce("blocks", F.lit(1)).cast("long")))
+    others = F.array_except(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1), F.array("side"))
+    pairs = F.when(F.col("blocks").isNull(), F.array("key")).otherwise(
+        F.transform(others, lambda x: F.xxhash64("key", F.least("side", x), F.greatest("side", x)))
+    )
+    return rows.select(F.explode(pairs).alias("key"), "fp")
+
+
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
@@ -235,13 +240,14 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     signed = settle(slim.mapInArrow(sign, "id long, fp long"), "signed")
     classes = settle(signed.groupBy("fp").agg(F.min("id").alias("first")), "classes")
-    keys = classes.select("fp").mapInArrow(keyed, "fp long, key long")
-    crowded = settle(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "crowded")
-    rows = keys.join(crowded, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = rows.withColumn("side", F.pmod(F.xxhash64("fp", "key"), F.col("blocks").cast("long")).cast("int"))
-    tasks = rows.select("key", "fp", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    tasks = tasks.select("key", F.least("side", "with").alias("i"), F.greatest("side", "with").alias("j"), "side", "fp")
-    dealt = tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    spread = classes.select("fp").repartition(max(1, -(-classes.count() // TASK)))
+    keys = spread.mapInArrow(keyed, "fp long, key long")
+    some = classes.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0).mapInArrow(keyed, "fp long, key long")
+    most = (F.col("n") * SAMPLED / BLOCK).cast("int")
+    hot = settle(some.groupBy("key").agg(F.count("*").alias("n")).select("key", most.alias("blocks")).where("blocks > 1"), "hot")
+    if not hot.isEmpty():
+        keys = blocked(keys, hot)
+    dealt = keys.select("key", "fp").repartition("key").sortWithinPartitions("key")
     roots = components(dealt.mapInArrow(forest, "u long, v long"))
     rooted = classes.join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     low = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
