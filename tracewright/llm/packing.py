@@ -30,7 +30,7 @@ ROUNDS = 3
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 PIECE = "doc_id long, salt long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECE + ", bin long, offset long, certified boolean, full boolean"
+PACKED = PIECE + ", missing boolean, bin long, offset long, certified boolean, full boolean"
 
 
 def encoder(path: str):
@@ -135,15 +135,21 @@ def packed(part: pd.DataFrame, length: int) -> pd.DataFrame:
 
 
 def pack(rows: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """``rows`` (PIECE) with sequence_id, offset and ``certified`` (its partition had no sequence too many)."""
+    """``rows`` (PIECE) with sequence_id, offset and ``certified`` (its partition had no sequence too many).
+
+    Pieces of rows without an id are packed like any other and stay without one.
+    """
     rows = settle(rows, "pieces")
     names, n = rows.columns, rows.count()
     done, last, bins = [], None, None  # packed for good; what the last round left open, and in how many sequences
     for turn in range(ROUNDS):
         parts = max(1, -(-n // group))
-        dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "length", "salt", F.lit(turn)), F.lit(parts)))
+        # pandas turns whole numbers beside a null into floats, so ids travel without nulls.
+        dealt = rows.withColumn("missing", F.col("doc_id").isNull()).fillna(0, ["doc_id"])
+        dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "length", "salt", F.lit(turn)), F.lit(parts)))
         one = lambda key, pdf: packed(pdf.drop(columns="part"), length).assign(part=key[0])
         out = settle(dealt.groupBy("part").applyInPandas(one, PACKED + ", part long"), "packed")
+        out = out.withColumn("doc_id", F.when(~F.col("missing"), F.col("doc_id"))).drop("missing")
         out = out.withColumn("sequence_id", F.lit(turn << 56) + F.col("part") * (1 << 20) + F.col("bin"))
         first, left = F.col("offset") == 0, ~F.col("certified") & ~F.col("full")
         got = out.agg(F.count_if(first).alias("bins"), F.count_if(left).alias("rows"), F.count_if(first & left).alias("left")).first()
