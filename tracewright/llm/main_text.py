@@ -49,7 +49,12 @@ BAD_NAME = re.compile(
 GOOD_NAME = re.compile(r"(?:^|[-_\s])(?:article\w*|content|main|post|entry|story|body|text|prose)(?:$|[-_\s])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+#: A quote opens a value right behind the equals sign only, and <!--> is a whole comment, as in browsers.
+TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|"
+    r"<(/?)([a-zA-Z][^\s/>]*+)((?>[\s/]++|[^\s/>][^\s/>=]*+(?>\s*+=\s*+(?>\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?)*+)>|[^<]+|<",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 BLANKS = re.compile(r"\s+")
 NEXT, SAME = 1.0, 1.5
@@ -88,7 +93,7 @@ def opened(tag: str, attributes: str, parent: Element) -> Element:
     headed = parent.article and tag == "header"  # the header of an article holds its heading
     if tag in BAD_ELEMENT and not headed:
         cost = max(0, cost) + BAD_ELEMENT[tag]  # the good of what is around it doesn't count any more
-    if attributes and "=" in attributes:
+    if attributes and not attributes.isspace():
         found = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attributes)}
         names = " ".join(found.get(a, "") for a in ("class", "id", "role"))
         bad = None if tag in PAGE or headed else BAD_NAME.search(names)
@@ -96,10 +101,8 @@ def opened(tag: str, attributes: str, parent: Element) -> Element:
             cost = max(0, cost) + 8
         elif GOOD_NAME.search(names):
             cost -= 2
-        if HIDDEN.search(found.get("style", "")) or found.get("aria-hidden") == "true":
+        if "hidden" in found or HIDDEN.search(found.get("style", "")) or found.get("aria-hidden") == "true":
             cost += 8
-    elif attributes and attributes.strip() == "hidden":
-        cost += 8
     return Element(tag, parent, cost, article)
 
 
@@ -191,7 +194,7 @@ def minimum_cut(content: list[float], boilerplate: list[float], edges: list[tupl
     """Which nodes are content in the labelling of least cost (the larger such set on a tie).
 
     Flow runs from the content terminal over a node's ``boilerplate`` capacity and out by its ``content`` capacity. What can
-    pass a single node is sent at once; the rest goes along shortest paths (breadth first from all nodes with surplus).
+    pass a single node is sent at once; the rest is sent by blocking flows, all shortest ways of a length in one pass.
     """
     n = len(content)
     excess = [b - c for c, b in zip(content, boilerplate)]  # over 0: capacity left from the source, under 0: to the sink
@@ -207,33 +210,43 @@ def minimum_cut(content: list[float], boilerplate: list[float], edges: list[tupl
         cap.append(c)
     tiny = 1e-9
     while True:
-        came, queue, end = [-2] * n, deque(), -1
-        for u in range(n):
-            if excess[u] > tiny:
-                came[u] = -1
-                queue.append(u)
-        while queue and end < 0:
+        # Distances from the nodes with surplus; then flow along edges that lead one step on, until no such way is left.
+        level, queue, met = [-1] * n, deque(u for u in range(n) if excess[u] > tiny), False
+        for u in queue:
+            level[u] = 0
+        while queue:
             u = queue.popleft()
+            met = met or excess[u] < -tiny
             for e in out[u]:
-                v = to[e]
-                if came[v] == -2 and cap[e] > tiny:
-                    came[v] = e
-                    if excess[v] < -tiny:
-                        end = v
-                        break
-                    queue.append(v)
-        if end < 0:
+                if level[to[e]] < 0 and cap[e] > tiny:
+                    level[to[e]] = level[u] + 1
+                    queue.append(to[e])
+        if not met:
             break
-        path, v = [], end
-        while came[v] >= 0:
-            path.append(came[v])
-            v = to[came[v] ^ 1]
-        flow = min(excess[v], -excess[end], *(cap[e] for e in path))
-        for e in path:
-            cap[e] -= flow
-            cap[e ^ 1] += flow
-        excess[v] -= flow
-        excess[end] += flow
+        turn = [0] * n  # the edge of each node that is looked at next
+        for start in range(n):
+            path = []
+            while level[start] == 0 and excess[start] > tiny:
+                u = to[path[-1]] if path else start
+                if excess[u] < -tiny:
+                    flow = min(excess[start], -excess[u], *(cap[e] for e in path))
+                    excess[start] -= flow
+                    excess[u] += flow
+                    for e in path:
+                        cap[e] -= flow
+                        cap[e ^ 1] += flow
+                    full = next((k for k, e in enumerate(path) if cap[e] <= tiny), len(path))
+                    del path[full:]
+                    continue
+                edges_of = out[u]
+                while turn[u] < len(edges_of) and not (cap[edges_of[turn[u]]] > tiny and level[to[edges_of[turn[u]]]] == level[u] + 1):
+                    turn[u] += 1
+                if turn[u] < len(edges_of):
+                    path.append(edges_of[turn[u]])
+                elif path:
+                    turn[to[path.pop() ^ 1]] += 1
+                else:
+                    break
     # Content: all that can't reach what is left of the sink's capacity.
     sink, queue = [e < -tiny for e in excess], deque(u for u in range(n) if excess[u] < -tiny)
     while queue:
