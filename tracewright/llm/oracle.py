@@ -5,7 +5,7 @@ from __future__ import annotations
 from . import mixing
 from .divergence import MIN_DOCS, TOP
 from .ngram_join import WORDS as WIDTH
-from .quality_rules import MIN_ROWS, SLACK, SPREAD
+from .quality_rules import MIN_ROWS, MOST, QUANTILES, SPREAD, UNITS
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 RATIOS = {
@@ -16,9 +16,9 @@ _ratio = {k: f"case when {b} > 0 then {a} * 1000 // {b} else 0 end" for k, (a, b
 
 
 def _quantiles(name: str, keys: str) -> str:
-    """Quartiles from bucket counts summed by ``keys`` and rule."""
+    """Quantiles from bucket counts summed by ``keys`` and rule."""
     by = f"{keys}, rule" if keys else "rule"
-    at = ", ".join(f"min(case when upto * 4 >= n * {q} then top end) q{25 * q}" for q in (1, 2, 3))
+    at = ", ".join(f"min(case when upto * 20 >= n * {q} then top end) {name}" for name, q in QUANTILES.items())
     return f"""
 {name}_merged as (select {by}, b, sum(c) c from sketch group by {by}, b),
 {name}_upto as (
@@ -28,8 +28,8 @@ def _quantiles(name: str, keys: str) -> str:
 {name} as (select {by}, max(n) n, {at} from {name}_upto group by {by})"""
 
 
-def _pick(q: str) -> str:
-    return f"case when o.n >= {MIN_ROWS} then o.{q} when l.n >= {MIN_ROWS} then l.{q} else e.{q} end"
+def _merged(q: str) -> str:
+    return f"case when l.n >= {MIN_ROWS} then l.{q} else e.{q} end"
 
 
 QUALITY = f"""
@@ -51,11 +51,16 @@ long as (
 sketch as (
   select lang, source, rule, case when x < 16 then x else (length(bin(x)) - 5) * 16 + (x >> (length(bin(x)) - 5)::int) end b, count(*) c
   from long group by all),{_quantiles("own", "lang, source")},{_quantiles("langs", "lang")},{_quantiles("everything", "")},
-bounds as (
-  select o.lang, o.source, o.rule,
-    {_pick("q50")} - {SPREAD} * ({_pick("q50")} - {_pick("q25")}) - s low, {_pick("q50")} + {SPREAD} * ({_pick("q75")} - {_pick("q50")}) + s high
+picked as (
+  select o.lang, o.source, o.rule, least_unit, most_unit, most, {_merged("q95")} - {_merged("q50")} above, {_merged("q50")} - {_merged("q05")} below,
+    {", ".join(f"case when o.n >= {MIN_ROWS} then o.{q} else {_merged(q)} end {q}" for q in ("q25", "q50", "q75"))}
   from own o join langs l on o.lang is not distinct from l.lang and o.rule = l.rule join everything e on o.rule = e.rule
-  join (values {", ".join(f"('{k}', {v})" for k, v in SLACK.items())}) v(rule, s) on o.rule = v.rule),
+  join (values {", ".join(f"('{k}', {a}, {b}, {MOST.get(k, 'null')})" for k, (a, b) in UNITS.items())}) v(rule, least_unit, most_unit, most) on o.rule = v.rule),
+bounds as (
+  select lang, source, rule,
+    case when rule = 'word_length' then q50 - {SPREAD} * greatest(least(q75 - q50, q50 - q25), least(greatest(below, least_unit), most_unit)) else 0 end low,
+    least(q50 + {SPREAD} * greatest(least(q75 - q50, q50 - q25), least(greatest(above, least_unit), most_unit)), most) high
+  from picked),
 failures as (
   select distinct d.doc_id from (
     {" union all ".join(f"select doc_id, lang, source, '{k}' rule, {v} x from based" for k, v in _ratio.items())}) d

@@ -6,8 +6,11 @@ is off by 1/16 at most), and sketches merge by adding counts. That is what ``gro
 summed map-side and no group of rows ever meets in one task. A group with fewer than ``MIN_ROWS`` measured texts takes
 the merged sketch of its language, and one whose language is as rare the sketch of everything.
 
-A text fails a rule if its ratio lies beyond median + SPREAD * (upper quartile - median) + SLACK (for the word
-length also below the mirrored bound). Texts that fail the base rule are not sketched.
+The cut-off of a rule is median + SPREAD * unit. The unit is the lesser of the distances from the median to both quartiles of
+the group, so up to half of a group may be junk on one side without moving it. Most ratios are 0 in most texts, and both distances
+with them; then the unit is the distance from the median to the 95 % quantile of the language, held between the two ``UNITS``
+of the rule, so a language with much junk can't raise it without limit. ``MOST`` keeps a bound under the base rule. The word
+length also has a lower bound, told alike from the 5 % quantile. Texts that fail the base rule are not sketched.
 """
 
 from __future__ import annotations
@@ -23,8 +26,12 @@ from .textarrays import bounds, chunks, windows
 
 MIN_ROWS = 50
 SPREAD = 6
-#: Ratio (in thousandths) -> slack beyond the quantile bound, in thousandths.
-SLACK = {"word_length": 1500, "symbols": 250, "dup_lines": 600, "repeats": 400}
+#: Ratio (in thousandths) -> least and greatest unit that a language's tail may give.
+UNITS = {"word_length": (150, 300), "symbols": (10, 40), "dup_lines": (30, 41), "repeats": (25, 41)}
+#: Ratio -> greatest upper bound: a rule beside the base rule has to say more than that.
+MOST = {"dup_lines": 499, "repeats": 499}
+#: Name of a quantile -> twentieths.
+QUANTILES = {"q05": 1, "q25": 5, "q50": 10, "q75": 15, "q95": 19}
 SYMBOLS = b"#*$%&|<>"
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
@@ -124,40 +131,42 @@ def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, rule, b, c): counts per bucket. ``measured``: lang, source and a column per rule."""
     long = measured.select(
         "lang", "source",
-        F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("_x")) for r in SLACK])).alias("_e"),
+        F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("_x")) for r in UNITS])).alias("_e"),
     ).select("lang", "source", "_e.rule", "_e._x")
     return long.groupBy("lang", "source", "rule", bucket(F.col("_x")).alias("b")).agg(F.count("*").alias("c"))
 
 
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, rule, n, q25, q50, q75) of merged sketches."""
+    """(keys, rule, n, q05, q25, q50, q75, q95) of merged sketches."""
     merged = sketch.groupBy(*keys, "rule", "b").agg(F.sum("c").alias("c"))
     w = Window.partitionBy(*keys, "rule")
     upto = merged.withColumn("upto", F.sum("c").over(w.orderBy("b"))).withColumn("n", F.sum("c").over(w))
     upto = upto.withColumn("_b", F.col("b")).withColumn("top", bucket_top(F.col("_b")))
-    at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("n") * q, F.col("top")))
-    return upto.groupBy(*keys, "rule").agg(
-        F.max("n").alias("n"), at(1).alias("q25"), at(2).alias("q50"), at(3).alias("q75")
-    )
+    at = lambda q: F.min(F.when(F.col("upto") * 20 >= F.col("n") * q, F.col("top")))
+    return upto.groupBy(*keys, "rule").agg(F.max("n").alias("n"), *[at(q).alias(name) for name, q in QUANTILES.items()])
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
     """(lang, source, <rule>_low, <rule>_high): a row for each group, from its own or a merged sketch."""
     sketch = settle(sketches(measured), "sketch")
     own = quantiles(sketch, ["lang", "source"])
-    by_lang = quantiles(sketch, ["lang"]).select("lang", "rule", *[F.col(x).alias(f"l_{x}") for x in ("n", "q25", "q50", "q75")])
-    overall = quantiles(sketch, []).select("rule", *[F.col(x).alias(f"a_{x}") for x in ("q25", "q50", "q75")])
-    same_lang = by_lang.withColumnRenamed("lang", "_lang").withColumnRenamed("rule", "_rule")
-    q = own.join(same_lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("rule") == F.col("_rule"))).join(overall, "rule")
-    pick = lambda x: F.when(F.col("n") >= MIN_ROWS, F.col(x)).when(F.col("l_n") >= MIN_ROWS, F.col(f"l_{x}")).otherwise(F.col(f"a_{x}"))
-    slack = F.create_map(*[F.lit(v) for kv in SLACK.items() for v in kv])[F.col("rule")]
+    by_lang = quantiles(sketch, ["lang"]).select(F.col("lang").alias("_lang"), F.col("rule").alias("_rule"), F.struct("n", *QUANTILES).alias("l"))
+    overall = quantiles(sketch, []).select("rule", F.struct(*QUANTILES).alias("a"))
+    q = own.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("rule") == F.col("_rule"))).join(overall, "rule")
+    merged = lambda x: F.when(F.col("l.n") >= MIN_ROWS, F.col(f"l.{x}")).otherwise(F.col(f"a.{x}"))
+    pick = lambda x: F.when(F.col("n") >= MIN_ROWS, F.col(x)).otherwise(merged(x))
+    of_rule = lambda values: F.create_map(*[F.lit(v) for kv in values.items() for v in kv])[F.col("rule")]
+    least, greatest = (of_rule({r: u[k] for r, u in UNITS.items()}) for k in (0, 1))
+    quartile = F.least(pick("q75") - pick("q50"), pick("q50") - pick("q25"))
+    unit = lambda tail: F.greatest(quartile, F.least(F.greatest(tail, least), greatest))
+    low = pick("q50") - SPREAD * unit(merged("q50") - merged("q05"))
+    high = pick("q50") + SPREAD * unit(merged("q95") - merged("q50"))
     q = q.select(
-        "lang", "source", "rule",
-        (pick("q50") - SPREAD * (pick("q50") - pick("q25")) - slack).alias("low"),
-        (pick("q50") + SPREAD * (pick("q75") - pick("q50")) + slack).alias("high"),
+        "lang", "source", "rule", F.when(F.col("rule") == "word_length", low).otherwise(0).alias("low"),
+        F.least(high, of_rule(MOST)).alias("high"),
     )
     return q.groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("rule") == r, F.col(b))).alias(f"{r}_{b}") for r in SLACK for b in ("low", "high")]
+        *[F.max(F.when(F.col("rule") == r, F.col(b))).alias(f"{r}_{b}") for r in UNITS for b in ("low", "high")]
     )
 
 
@@ -176,12 +185,13 @@ def verdicts(counted: DataFrame, bounds: DataFrame, lang: str = "lang", source:
 
     The table of bounds is joined by broadcast only where its files are small enough for that.
     """
-    group = F.struct(F.col(lang).alias("lang"), F.col(source).alias("source"))
+    group, of, bound = F.struct(F.col(lang).alias("lang"), F.col(source).alias("source")), fresh(counted, "_group"), fresh(counted, "_bound")
     fine = ~base_failed(c)
     for k, r in ratios(c).items():
-        fine = fine & r.between(F.col(f"_bound.{k}_low"), F.col(f"_bound.{k}_high"))
-    joined = counted.join(bounds, group.eqNullSafe(F.col("_group")), "left")
-    return joined.withColumn(kept, F.coalesce(fine, F.lit(False))).drop("_group", "_bound")
+        fine = fine & r.between(F.col(f"{bound}.{k}_low"), F.col(f"{bound}.{k}_high"))
+    bounds = bounds.select(F.col("_group").alias(of), F.col("_bound").alias(bound))
+    joined = counted.join(bounds, group.eqNullSafe(F.col(of)), "left")
+    return joined.withColumn(kept, F.coalesce(fine, F.lit(False))).drop(of, bound)
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
