@@ -4,16 +4,16 @@ A word that the model knows scores its logarithmic frequency in each language. A
 character n-grams (edges included): the longest length at which any n-gram is known gives the mean of the known ones.
 A text scores the mean over its words. A word is a run of letters, in lower case.
 
-The model is fitted on at most about ``SAMPLE_ROWS`` rows of each language, chosen by a hash of the id; for words and
-for each n-gram length the ``ENTRIES`` most frequent ones (seen twice at least) are kept, so what is broadcast is
-bounded by ENTRIES * (LONGEST + 1) rows, whatever the size of the input.
+The model is fitted on at most about ``SAMPLE_ROWS`` rows of each language, chosen by a hash of id and text. ``ENTRIES`` words and
+as many n-grams of each length are dealt out evenly: every language gives its own most frequent ones (seen twice at
+least), however many rows the others have. So what is broadcast is bounded by ENTRIES * (LONGEST + 1) rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
@@ -71,11 +71,14 @@ class Model:
         return lang, np.where(none, 0.0, 1 / odds.sum(1))
 
 
-def sample(rows: DataFrame, lang: str, doc_id: str, most: int = SAMPLE_ROWS) -> DataFrame:
-    """About ``most`` rows of each language at most, by a hash of the id; the same ones in every run."""
+def sample(rows: DataFrame, lang: str, doc_id: str, text: str, most: int = SAMPLE_ROWS) -> DataFrame:
+    """About ``most`` rows of each language at most, by a hash of id and text; the same ones in every run.
+
+    Rows that repeat an id, or have none, are drawn each by their text; only copies of a whole row are taken together.
+    """
     # Written first, so that Spark knows that it is small and no text is shuffled for it.
     sizes = settle(rows.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n")), "langs")
-    share = F.pmod(F.xxhash64(F.col(doc_id), F.lit("language sample")), F.lit(1 << 20)) / float(1 << 20)
+    share = F.pmod(F.xxhash64(F.col(doc_id), F.col(text), F.lit("language sample")), F.lit(1 << 20)) / float(1 << 20)
     return rows.join(sizes, F.col(lang) == F.col("_lang")).where(share * F.col("_n") < most).drop("_lang", "_n")
 
 
@@ -107,17 +110,19 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     learn = rows.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     learn = learn.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     grams = (
-        sample(learn, "lang", "doc_id").mapInArrow(gram_counts, "lang string, width int, h long, c long")
+        sample(learn, "lang", "doc_id", "text").mapInArrow(gram_counts, "lang string, width int, h long, c long")
         .groupBy("lang", "width", "h").agg(F.sum("c").alias("c"))
     ).persist()
     try:
         totals = {(r.width, r.lang): r.c for r in grams.groupBy("width", "lang").agg(F.sum("c").alias("c")).collect()}
         langs = sorted({k[1] for k in totals})
+        often = grams.where(F.col("c") > 1)
+        turn = F.row_number().over(Window.partitionBy("width", "lang").orderBy(F.desc("c"), "h"))
+        own = often.withColumn("turn", turn).where(F.col("turn") <= max(1, ENTRIES // max(1, len(langs))))
+        kept = settle(often.join(own.select("width", "h").distinct(), ["width", "h"], "left_semi"), "entries")
         keys, logs = [], []
         for width in range(LONGEST + 1):
-            top = grams.where((F.col("width") == width) & (F.col("c") > 1))
-            top = top.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"), F.sum("c").alias("all"))
-            top = top.orderBy(F.desc("all"), "h").limit(ENTRIES)
+            top = kept.where(F.col("width") == width).groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))
             got = top.select("h", *[F.coalesce(F.col("by")[x], F.lit(0)).alias(f"c{i}") for i, x in enumerate(langs)]).toArrow()
             h = np.asarray(got["h"].combine_chunks()).view(np.uint64)
             order = np.argsort(h)

@@ -89,8 +89,8 @@ def feature_rows(batches):
 
 
 def sample(rows: DataFrame, n: int, most: int, name: str) -> DataFrame:
-    """About ``most`` of ``n`` rows at most, by a hash of the id."""
-    share = F.pmod(F.xxhash64("doc_id", F.lit(name)), F.lit(1 << 20))
+    """About ``most`` of ``n`` rows at most, by a hash of id and text, so that rows of one id are drawn each for itself."""
+    share = F.pmod(F.xxhash64("doc_id", "text", F.lit(name)), F.lit(1 << 20))
     return rows.where(share < int((1 << 20) * min(1.0, most / max(n, 1))))
 
 
