@@ -174,10 +174,12 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     groups = settle(groups.fillna(0, ["terms", "lang_total", "total"]), "groups")
 
     # Clusters in order, cut into tiles, with their place in the tile.
-    clusters = range_slot(kept.groupBy("lang", "held").agg(F.count("*").alias("length")), ["lang"], ["held"])
-    inside = Window.partitionBy("lang", "_slot").orderBy("held")
+    # Any order in which equal counts of the first sources lie side by side will do; hashes keep its bounds small.
+    first = [F.xxhash64(F.get("held", F.lit(k))) for k in (0, 1)]
+    clusters = range_slot(kept.groupBy("lang", "held").agg(F.count("*").alias("length")), ["lang"], [*first, F.xxhash64("held")])
+    inside = Window.partitionBy("lang", "_slot").orderBy(*first, "held")
     tiled = clusters.withColumn("tile", F.call_function("div", F.row_number().over(inside) - 1, F.lit(TILE)).cast("int"))
-    upto = F.sum("length").over(Window.partitionBy("lang", "_slot", "tile").orderBy("held").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    upto = F.sum("length").over(Window.partitionBy("lang", "_slot", "tile").orderBy(*first, "held").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     tiled = settle(tiled.withColumn("start", upto - F.col("length")), "tiled")
     tile = ["lang", "_slot", "tile"]
     sizes = tiled.groupBy(*tile).agg(F.sum("length").alias("size"))
