@@ -36,11 +36,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     found = ngram_join.join(docs.select("doc_id", "text"))
     group = F.coalesce("group_key", "text_hash")
-    stay = found.where("doc_id = class_id").groupBy(F.col("doc_id").alias("_id"), group.alias("_group")).agg(F.min("text_hash").alias("_hash"))
-    stay = settle(stay.select("_id", "_hash"), "stay")
-    h, turn = fresh(docs, "text_hash"), fresh(docs, "turn")
+    h, turn, stay_id, stay_hash = (fresh(docs, c) for c in ("text_hash", "turn", "stay_id", "stay_hash"))
+    stay = found.where("doc_id = class_id").groupBy(F.col("doc_id").alias(stay_id), group.alias("group")).agg(F.min("text_hash").alias(stay_hash))
+    stay = settle(stay.select(stay_id, stay_hash), "stay")
     hashed = docs.withColumn(h, F.xxhash64("text"))
-    kept = hashed.join(stay, (F.col("doc_id") == F.col("_id")) & (F.col(h) == F.col("_hash")), "left_semi")
+    kept = hashed.join(stay, (F.col("doc_id") == F.col(stay_id)) & (F.col(h) == F.col(stay_hash)), "left_semi")
     one = kept.withColumn(turn, F.row_number().over(Window.partitionBy("doc_id", h).orderBy(F.lit(0)))).where(F.col(turn) == 1)
     return one.drop(h, turn).unionByName(docs.where("doc_id is null"))
 
@@ -51,17 +51,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows of the same id and text are one document here, taken as often as they are together. The rows are in the order of the
     schedule, over the partitions as well as inside them: a copy stands where its first word does.
     """
-    h, turn, places = fresh(docs, "text_hash"), fresh(docs, "turn"), fresh(docs, "places")
+    h, turn, places, taken_id, taken_hash, alike = (fresh(docs, c) for c in ("text_hash", "turn", "places", "taken_id", "taken_hash", "alike"))
     hashed = docs.withColumn(h, F.xxhash64("text"))
     worded, _ = mixing.dealt(hashed.select("doc_id", "text", "source", F.col(h).alias("_hash")), "text", "source", "doc_id", ["_hash"])
     opening = F.collect_list(F.when((F.col("before") == 0) & (F.col("part") > 0), F.struct("slot", "place")))
     rows = worded.groupBy("no", "start", "doc_id", "_hash", "size").agg(F.sum("part").alias("taken"), opening.alias("at"))
     of_row = F.slice(F.sort_array("at"), F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int"))
-    taken = rows.groupBy(F.col("doc_id").alias("_id"), "_hash").agg(F.flatten(F.collect_list(of_row)).alias(places), F.count("*").alias("_rows"))
+    taken = rows.groupBy(F.col("doc_id").alias(taken_id), F.col("_hash").alias(taken_hash)).agg(F.flatten(F.collect_list(of_row)).alias(places), F.count("*").alias(alike))
     taken = settle(taken.where(F.size(places) > 0), "taken")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(h) == F.col("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col(taken_id)) & (F.col(h) == F.col(taken_hash))
     # Only texts of documents that stand more than once are shuffled for being told from each other.
-    once, several = (hashed.join(taken.where(k), same) for k in ("_rows = 1", "_rows > 1"))
+    once, several = (hashed.join(taken.where(k), same) for k in (F.col(alike) == 1, F.col(alike) > 1))
     several = several.withColumn(turn, F.row_number().over(Window.partitionBy("doc_id", h).orderBy(F.lit(0)))).where(F.col(turn) == 1)
     one = once.unionByName(several.drop(turn))
     repeated = one.withColumn(turn, F.explode(places))
