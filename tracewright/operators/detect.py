@@ -68,7 +68,7 @@ def over_longer(counts: DataFrame, keys: list[str], above: Column) -> DataFrame:
     return spread.select("prefix_len", *keys, F.col("_sum").alias("c"))
 
 
-def samples(train: DataFrame, cuts: DataFrame, *keep: str) -> DataFrame:
+def samples(train: DataFrame, cuts: DataFrame, *keep: str | Column) -> DataFrame:
     """(case, prefix length) with ``in_tail``; lengths without a model are left out."""
     return (
         train.select("*", sample_hash().alias("h"))
@@ -122,13 +122,19 @@ class FrequencyModel:
         For an event x with share p_x the squared error over the vocabulary is
         1 - 2 p_x + sum of all p_b squared; an unknown event is a zero vector and has only the sum.
         """
+        return self._errors(variants, F.explode(F.sequence(F.col("p") + 1, F.col("n"))))
+
+    def score_whole(self, variants: DataFrame) -> DataFrame:
+        """The same for the whole traces only."""
+        return self._errors(variants, F.col("n"))
+
+    def _errors(self, variants: DataFrame, prefix_len: Column) -> DataFrame:
         size = self.vocabulary.agg(F.count("*").alias("c"))
         known = self.vocabulary.select("activity", F.lit(1).alias("known"))
         events = (
             variants.select("tid", "n", F.posexplode("trace").alias("p", "activity"))
             .join(known, "activity", "left")
-            .select("tid", (F.col("p") + 1).alias("pos"), "activity", "known",
-                    F.explode(F.sequence(F.col("p") + 1, F.col("n"))).alias("prefix_len"))
+            .select("tid", (F.col("p") + 1).alias("pos"), "activity", "known", prefix_len.alias("prefix_len"))
         )
         summed = (
             events.join(self.counts, ["prefix_len", "pos", "activity"], "left")
@@ -157,8 +163,7 @@ def frequency_model(train: DataFrame, cuts: DataFrame, vocabulary: DataFrame) ->
 def sample_errors(train: DataFrame, cuts: DataFrame, scores: DataFrame) -> DataFrame:
     """Training errors with their multiplicity: ``prefix_len, score, in_tail, label, w``."""
     return (
-        samples(with_tid(train), cuts, "tid", "flags")
-        .withColumn("label", F.element_at("flags", F.col("prefix_len")))
+        samples(with_tid(train), cuts, "tid", F.element_at("flags", F.col("prefix_len")).alias("label"))
         .groupBy("tid", "prefix_len", "in_tail", "label").agg(F.count("*").alias("w"))
         .join(scores, ["tid", "prefix_len"])
         .groupBy("prefix_len", "score", "in_tail", "label").agg(F.sum("w").alias("w"))

@@ -131,6 +131,11 @@ class LinearModel:
             lambda rows, model: errors(rows, model, size, width), "tid string, prefix_len int, score double"
         )
 
+    def score_whole(self, variants: DataFrame) -> DataFrame:
+        """The same for the whole traces only."""
+        whole = variants.select("tid", F.col("n").alias("prefix_len"))
+        return self.score(variants).join(whole, ["tid", "prefix_len"], "left_semi")
+
 
 def salted(lengths: DataFrame) -> DataFrame:
     """(prefix_len, salts): how many groups of about GROUP rows the prefixes of each length make. ``lengths``: n."""
