@@ -148,3 +148,40 @@ def test_a_repeated_run_replaces_its_results(spark, tmp_path):
     for run in (1, 2, 2):
         sk.write_results(rows, str(tmp_path / "r"), "small", "onehot", run)
     assert spark.read.option("header", True).csv(str(tmp_path / "r")).count() == 2
+
+
+NESTED_LOG = """<?xml version="1.0" encoding="UTF-8"?>
+<log xes.version="1.0" xmlns="http://www.xes-standard.org/">
+<extension name="Concept" prefix="concept" uri="x"/><global scope="trace"><string key="concept:name" value="none"/></global>
+<string key="source" value="bank &amp; co"><int key="year" value="2012"><container key="more"><string key="deep" value="x"/></container></int></string>
+<list key="all"><values><string key="i" value="1"/><string key="i" value="007"/></values></list>
+<trace><string key="concept:name" value="c1"/><container key="box"><int key="w" value="3"/><string value="no key"><int key="lost" value="1"/></string></container>
+<event><string key="concept:name" value="A"/><list key="res"><string key="r" value="p"/></list></event><event/></trace><trace/>
+<trace id="2"><event><date key="time:timestamp" value="2020-01-01"/></event></trace>
+<boolean key="behind" value="true"/>
+</log>
+"""
+
+
+def test_nested_attributes_of_a_log(spark, tmp_path):
+    import gzip
+
+    from tracewright.sources.xes import read_xes_attributes
+
+    (tmp_path / "a.xes").write_text(NESTED_LOG)
+    with gzip.open(tmp_path / "b.xes.gz", "wt") as f:
+        f.write(NESTED_LOG.replace("\n", ""))
+    want = [
+        ("log", None, None, "source", "1", "string", "bank & co"), ("log", None, None, "source/year", "1.1", "int", "2012"),
+        ("log", None, None, "source/year/more", "1.1.1", "container", None), ("log", None, None, "source/year/more/deep", "1.1.1.1", "string", "x"),
+        ("log", None, None, "all", "2", "list", None), ("log", None, None, "all/i", "2.1", "string", "1"), ("log", None, None, "all/i", "2.2", "string", "007"),
+        ("log", None, None, "behind", "1", "boolean", "true"),
+        ("trace", "c1", None, "concept:name", "1", "string", "c1"), ("trace", "c1", None, "box", "2", "container", None), ("trace", "c1", None, "box/w", "2.1", "int", "3"),
+        ("event", "c1", 1, "concept:name", "1", "string", "A"), ("event", "c1", 1, "res", "2", "list", None), ("event", "c1", 1, "res/r", "2.1", "string", "p"),
+        ("event", None, 1, "time:timestamp", "1", "date", "2020-01-01"),
+    ]
+    for name in ("a.xes", "b.xes.gz"):
+        got = read_xes_attributes(spark, str(tmp_path / name)).collect()
+        assert sorted([(r.scope, r.case_id, r.pos, "/".join(r.path), ".".join(map(str, r.place)), r.type, r.value) for r in got], key=str) == sorted(want, key=str)
+    (tmp_path / "empty.xes").write_text("<log/>")
+    assert read_xes_attributes(spark, str(tmp_path / "empty.xes")).count() == 0
