@@ -92,3 +92,49 @@ def test_paths_over_ids_that_hold_the_separator(spark):
     paths = spark.createDataFrame([("m", ["a>b", "c"]), ("m", ["a", "b>c"])], "model_id string, path array<string>")
     nodes = spark.createDataFrame([("m", i, i, True) for i in ("a>b", "c", "a", "b>c")], "model_id string, id string, label string, is_task boolean")
     assert sorted(r.tasks for r in g.task_paths(paths, nodes).collect()) == [["a", "b>c"], ["a>b", "c"]]
+
+
+def test_rounds_of_joins_equal_bit_sets(spark):
+    import random
+
+    rng = random.Random(1)
+    arcs = [(m, f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for m, n in (("big", 60), ("small", 12), (None, 5)) for _ in range(2 * n)]
+    arcs += [("chain", f"c{k}", f"c{k + 1}") for k in range(30)] + [("big", "n1", "n1")]
+    succ = spark.createDataFrame(arcs, "model_id string, src string, dst string").repartition(3)
+    whole = sorted(map(tuple, g.reachable(succ).collect()))
+    assert whole == sorted(map(tuple, g.reachable(succ, most_arcs=29).collect())) == sorted(map(tuple, g.joined_rounds(succ.where("model_id is not null")).collect()))
+    assert {r[0] for r in whole} == {"big", "small", "chain"}  # arcs without a model lead nowhere
+    starts = spark.createDataFrame([("big", "n3"), ("chain", "c28"), ("small", "n0"), ("none", "x")], "model_id string, id string")
+    some = sorted(map(tuple, g.reachable(succ, starts).collect()))
+    assert some == sorted(map(tuple, g.reachable(succ, starts, most_arcs=29).collect())) == [r for r in whole if (r[0], r[1]) in {("big", "n3"), ("chain", "c28"), ("small", "n0")}]
+    assert g.reachable(succ.where("model_id is null")).count() == 0 and g.reachable(succ.limit(0)).count() == 0
+
+
+def branches(spark, nodes, edges):
+    rows = g.exclusive_branches(*graph(spark, nodes, edges)).collect()
+    return sorted((r.xor_id, r.branch_id, r.activity) for r in rows)
+
+
+def test_branches_end_at_the_join(spark):
+    # s -> x(or) -> a -> b -> j -> d -> e, x -> c -> j, x -> j directly; inside the first branch another choice y with b1, b2.
+    x = "Exclusive_Databased_Gateway"
+    nodes = {"s": "StartNoneEvent", "x": x, "a": "task a", "c": "task c", "y": x, "b1": "task b1", "b2": "task b2", "k": x, "j": x, "d": "task d", "e": "EndNoneEvent"}
+    edges = [("s", "x"), ("x", "a"), ("x", "c"), ("x", "j"), ("a", "y"), ("y", "b1"), ("y", "b2"), ("b1", "k"), ("b2", "k"), ("k", "j"), ("c", "j"), ("j", "d"), ("d", "e")]
+    assert branches(spark, nodes, edges) == [("x", 0, "task a"), ("x", 0, "task b1"), ("x", 0, "task b2"), ("x", 1, "task c"), ("y", 0, "task b1"), ("y", 1, "task b2")]
+    # A way back to the choice ends there; ways that end apart have no join.
+    assert branches(spark, nodes, [("s", "x"), ("x", "a"), ("a", "x"), ("x", "d"), ("d", "e")]) == [("x", 0, "task a")]
+    assert branches(spark, nodes | {"e2": "EndNoneEvent"}, [("x", "a"), ("a", "e"), ("x", "c"), ("c", "d"), ("d", "e2")]) == [("x", 0, "task a"), ("x", 1, "task c"), ("x", 1, "task d")]
+    # No end at all, beside an end that the choice doesn't reach.
+    assert branches(spark, nodes, [("x", "a"), ("x", "c"), ("a", "c"), ("c", "a"), ("d", "e")]) == [("x", 0, "task a"), ("x", 0, "task c"), ("x", 1, "task a"), ("x", 1, "task c")]
+    assert branches(spark, nodes, [("s", "x"), ("x", "a")]) == []
+
+
+def test_models_that_fill_several_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        arcs = [(f"m{m:02}", f"n{k}", f"n{k + 1}") for m in range(12) for k in range(m)]
+        succ = spark.createDataFrame(arcs, "model_id string, src string, dst string").repartition(2)
+        got = {r.model_id: r["count"] for r in g.reachable(succ).groupBy("model_id").count().collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {f"m{m:02}": m * (m + 1) // 2 for m in range(1, 12)}

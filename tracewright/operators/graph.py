@@ -13,8 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.ordering import hot_keys
 from ..session import settle
 
+# A model with more arcs than this is shared by many tasks.
+MODEL_ARCS = 100_000
+
 # Shapes that are neither source nor sink.
 NOT_A_SHAPE = ["SequenceFlow", "DataObject", "Pool", "Lane"]
 
@@ -114,63 +118,186 @@ def sinks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return shapes.join(has, ["model_id", "id"], "left_anti").select("model_id", "id")
 
 
-def reachable(succ: DataFrame, starts: DataFrame | None = None) -> DataFrame:
-    """(model_id, src, dst): the shapes reached from each of ``starts`` (model_id, id), or from every shape.
+def by_model(rows: DataFrame, handle, schema) -> DataFrame:
+    """What ``handle`` says of the rows of each model, as tuples of the columns of ``schema`` behind the model.
 
-    One shuffle by model: the arcs of a model stand side by side, and its closure is a few operations on bit sets. A
-    model is one document of its source, so its arcs fit into a task.
+    One shuffle by model; the rows of a model stand side by side and are held by one task.
     """
-    succ = succ.select(F.col("model_id"), "src", "dst", F.lit(False).alias("start"))
-    rows = succ
-    if starts is not None:
-        rows = succ.unionByName(starts.select("model_id", F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(True).alias("start")))
-    every = starts is None
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+    names = [f.name for f in schema]
 
-    def close(batches):
-        rest = None
+    def whole(batches):
+        rest = []
         for batch in batches:
-            table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
-            last = table.column("model_id")[-1]
-            whole = pc.fill_null(pc.not_equal(table.column("model_id"), last), True)
-            cut = pc.sum(whole).as_py() or 0
-            if cut:
-                yield from closures(table.slice(0, cut))
-            rest = table.slice(cut).combine_chunks().to_batches()[0]
-        if rest is not None and rest.num_rows:
-            yield from closures(pa.Table.from_batches([rest]))
-
-    def closures(table):
-        out, seen = ([], [], []), {}
-        columns = [table.column(c).to_pylist() for c in ("model_id", "src", "dst", "start")]
-        for model, src, dst, start in zip(*columns):
-            names, arcs, asked = seen.setdefault(model, ({}, [], set()))
+            if not batch.num_rows:
+                continue
+            new = pc.not_equal(batch.column("model_id"), batch.column("model_id")[-1])
+            cut = pc.sum(new).as_py() or 0
+            if cut or (rest and batch.column("model_id")[0] != rest[-1].column("model_id")[-1]):
+                yield pa.Table.from_batches([*rest, batch.slice(0, cut)])
+                rest = []
+            rest.append(batch.slice(cut))
+        if rest:
+            yield pa.Table.from_batches(rest)
+
+    def work(batches):
+        for table in whole(batches):
+            ids = table.column("model_id").combine_chunks()
+            starts = [0, *(pc.indices_nonzero(pc.not_equal(ids[1:], ids[:-1])).to_numpy() + 1).tolist(), len(ids)]
+            out, held = [], 0
+            for start, stop in zip(starts, starts[1:]):
+                model = ids[start].as_py()
+                for found in handle(table.slice(start, stop - start)):
+                    out.append((model, *found))
+                    held += 1
+                    if held >= 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                        out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    return rows.where("model_id is not null").repartition("model_id").sortWithinPartitions("model_id").mapInArrow(work, schema)
+
+
+def reachable(succ: DataFrame, starts: DataFrame | None = None, most_arcs: int = MODEL_ARCS) -> DataFrame:
+    """(model_id, src, dst): the shapes reached from each of ``starts`` (model_id, id), or from every shape.
+
+    Models of up to ``most_arcs`` arcs are closed by one shuffle, each in a task. Arcs of larger ones are joined in rounds, by
+    model and shape, so that many tasks share a model. Both ways give the same rows. Arcs without a model are left out.
+    """
+    succ = succ.where("model_id is not null").select("model_id", "src", "dst")
+    large = hot_keys(succ, "model_id", most_arcs)
+    if large is None:
+        return closed(succ, starts)
+    large = large.withColumnRenamed("_hot", "model_id")
+    rest = closed(succ.join(large, "model_id", "left_anti"), starts)
+    return rest.unionByName(joined_rounds(succ.join(large, "model_id", "left_semi"), starts))
+
+
+def joined_rounds(succ: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """The same by rounds of joins, as many as the longest of the shortest ways has arcs; each is written."""
+    arcs = settle(succ.distinct())
+    step = arcs.select("model_id", F.col("src").alias("dst"), F.col("dst").alias("next"))
+    known = arcs
+    if starts is not None:
+        known = settle(arcs.join(starts.select("model_id", F.col("id").alias("src")), ["model_id", "src"], "left_semi"))
+    front, rounds = known, 0
+    while not front.isEmpty():
+        new = front.join(step, ["model_id", "dst"]).select("model_id", "src", F.col("next").alias("dst")).distinct()
+        front = settle(new.join(known, ["model_id", "src", "dst"], "left_anti"))
+        rounds += 1
+        known = known.unionByName(front)
+        if rounds % 8 == 0:
+            known = settle(known)
+    return known
+
+
+def closed(succ: DataFrame, starts: DataFrame | None) -> DataFrame:
+    """The same with each model in one task, by operations on bit sets."""
+    rows, every = succ.withColumn("start", F.lit(False)), starts is None
+    if not every:
+        rows = rows.unionByName(starts.select("model_id", F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(True).alias("start")))
+
+    def close(table):
+        names, arcs, asked = {}, [], set()
+        for src, dst, start in zip(*(table.column(c).to_pylist() for c in ("src", "dst", "start"))):
             if start:
                 asked.add(src)
             else:
                 arcs.append((names.setdefault(src, len(names)), names.setdefault(dst, len(names))))
-        for model, (names, arcs, asked) in seen.items():
-            reach = [0] * len(names)
-            for i, j in arcs:
-                reach[i] |= 1 << j
-            for k in range(len(names)):
-                over, bit = reach[k], 1 << k
-                if over:
-                    reach = [r | over if r & bit else r for r in reach]
-            order = list(names)
-            for name, i in names.items():
-                if every or name in asked:
-                    ends = [order[j] for j in range(len(order)) if reach[i] >> j & 1]
-                    out[0].extend([model] * len(ends))
-                    out[1].extend([name] * len(ends))
-                    out[2].extend(ends)
-            if len(out[0]) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["model_id", "src", "dst"])
-                out = ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["model_id", "src", "dst"])
-
-    schema = succ.select("model_id", "src", "dst").schema
-    kinds = [to_arrow_type(f.dataType) for f in schema]
-    return rows.repartition("model_id").sortWithinPartitions("model_id").mapInArrow(close, schema)
+        reach = [0] * len(names)
+        for i, j in arcs:
+            reach[i] |= 1 << j
+        for k in range(len(names)):
+            over, bit = reach[k], 1 << k
+            if over:
+                reach = [r | over if r & bit else r for r in reach]
+        order = list(names)
+        for name, i in names.items():
+            if every or name in asked:
+                yield from ((name, order[j]) for j in bits(reach[i]))
+
+    return by_model(rows, close, succ.schema)
+
+
+def bits(number: int):
+    """The places of the ones of a number."""
+    while number:
+        low = number & -number
+        yield low.bit_length() - 1
+        number ^= low
+
+
+def exclusive_branches(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """BRANCHES (model_id, xor_id, branch_id, activity) of the choices of models: what may happen on one way only.
+
+    A choice with several successors is matched with the nearest shape through which every way from it to an end goes (its
+    immediate post-dominator). A branch is what a successor reaches without passing the choice or that shape; its activities
+    are the labels of its tasks. Branches are numbered by the ids of their successors, from 0; one without a task has no
+    row. Where no end can be reached, or ways end apart, a branch goes on as far as its arcs do. Nulls among the ids are
+    left out.
+    """
+    arcs = successors(nodes, edges).where("src is not null and dst is not null")
+    kinds = nodes.where("id is not null").select(
+        "model_id", F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"), F.coalesce(is_choice(F.col("label")), F.lit(False)).alias("choice"),
+        F.when(F.col("is_task"), F.col("label")).alias("activity"),
+    )
+    none = arcs.select("model_id", "src", "dst", F.lit(False).alias("choice"), F.lit(None).cast("string").alias("activity"))
+
+    def match(table):
+        after, choices, activity = {}, [], {}
+        for src, dst, choice, name in zip(*(table.column(c).to_pylist() for c in ("src", "dst", "choice", "activity"))):
+            if dst is not None:
+                after.setdefault(src, set()).add(dst)
+                after.setdefault(dst, set())
+            else:
+                choices += [src] * choice
+                if name is not None:
+                    activity[src] = name
+        number = {name: k for k, name in enumerate(after)}
+        order, whole = list(after), (1 << len(after)) - 1
+        through = [whole if after[name] else 1 << k for name, k in number.items()]
+        again = True
+        while again:  # through[v]: shapes on every way from v to an end, v included
+            again = False
+            for name in reversed(order):
+                if after[name]:
+                    common = whole
+                    for other in after[name]:
+                        common &= through[number[other]]
+                    common |= 1 << number[name]
+                    again = again or common != through[number[name]]
+                    through[number[name]] = common
+        before, ending = {}, set()
+        for name, others in after.items():
+            for other in others:
+                before.setdefault(other, []).append(name)
+        waiting = [name for name in order if not after[name]]
+        while waiting:
+            at = waiting.pop()
+            if at not in ending:
+                ending.add(at)
+                waiting.extend(before.get(at, ()))
+        for split in sorted(set(choices)):
+            ways = sorted(after.get(split, ()))
+            if len(ways) < 2:
+                continue
+            beyond = through[number[split]] & ~(1 << number[split]) if split in ending else 0
+            nearest = max(bits(beyond), key=lambda k: through[k].bit_count(), default=None)
+            join = None if nearest is None else order[nearest]
+            for branch, way in enumerate(ways):
+                seen, waiting = set(), [way]
+                while waiting:
+                    at = waiting.pop()
+                    if at in seen or at in (join, split):
+                        continue
+                    seen.add(at)
+                    waiting.extend(after[at])
+                for label in sorted({activity[x] for x in seen if x in activity}):
+                    yield split, branch, label
+
+    schema = nodes.select("model_id", F.lit("").alias("xor_id"), F.lit(0).alias("branch_id"), F.lit("").alias("activity")).schema
+    return by_model(none.unionByName(kinds), match, schema)
 
 
 def simple_paths(nodes: DataFrame, edges: DataFrame, all_routes: bool = False, max_nodes: int | None = None) -> DataFrame:
