@@ -21,6 +21,8 @@ from ..operators.vocab import vocabulary
 from ..session import settle
 from ..sources import readers as rd
 from ..sources import sinks as sk
+from ..sources.xes import read_xes_attributes
+from ..streaming import scorer
 from . import tables as tb
 from .detection import Run, score_slot
 from .sweep import run_sweep as sweep
@@ -118,6 +120,15 @@ def xes_log(s, d):
     return log.select("case_id", "pos", "activity", F.col("attrs")["k"].alias("k"))
 
 
+@query
+def xes_nested(s, d):
+    """Attributes of a log, its traces and its events, nested two levels deep."""
+    path = tb.scratch(s, "xes")
+    tb.nested_xes(s, d, path)
+    rows = read_xes_attributes(s, path)
+    return rows.select("scope", "case_id", "pos", joined("path", "/").alias("path"), "type", "value")
+
+
 @query
 def sql_log(s, d):
     clicks = tb.table(s, d, "events").select(
@@ -377,6 +388,16 @@ def earliness(s, d):
     return dt.earliness(run(s, d).found).withColumn("share", F.round("share", 12))
 
 
+@query
+def stream_earliness(s, d):
+    """The same from a stream of the test cases' events, which come in no order and in several batches."""
+    r, out = run(s, d), tb.scratch(s, "scores")
+    stream = tb.event_stream(s, d, r.test)
+    scorer.watch(stream, r.model, settle(r.chosen), out, tb.scratch(s, "checkpoint"), delay="3650 days", availableNow=True).awaitTermination()
+    found = scorer.first_flags(s.read.schema("case_id string, prefix_len int, score double, predicted int").parquet(out))
+    return found.withColumn("share", F.round("share", 12))
+
+
 @query
 def prefix_counts(s, d):
     return dt.prefix_counts(run(s, d).found)
@@ -808,3 +829,8 @@ def node_kind(s, d):
 @query
 def implicit_joins(s, d):
     return g.implicit_joins(*tb.order_graph(s, d))
+
+
+@query
+def branches_graph(s, d):
+    return g.exclusive_branches(*tb.order_graph(s, d))

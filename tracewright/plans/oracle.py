@@ -122,6 +122,16 @@ put("timed_csv", select="""SELECT (user_id % 50)::VARCHAR AS case_id, event_type
     user_id::VARCHAR AS user FROM events""")
 put("json_log", LOG, select="SELECT case_id, pos, activity, k, user_id::VARCHAR AS user FROM log")
 put("xes_log", LOG, select="SELECT case_id, pos, activity, k FROM log")
+put("xes_nested", LOG, select="""
+    SELECT 'event' AS scope, case_id, pos, path, type, value FROM (SELECT case_id, pos, unnest([
+        {'path': 'concept:name', 'type': 'string', 'value': activity}, {'path': 'time:timestamp', 'type': 'date', 'value': strftime(ts, '%Y-%m-%d %H:%M:%S')},
+        {'path': 'props', 'type': 'container', 'value': NULL}, {'path': 'props/k', 'type': 'string', 'value': k},
+        {'path': 'props/k/value', 'type': 'float', 'value': value::VARCHAR}], recursive := true) FROM log)
+    UNION ALL SELECT 'trace', case_id, NULL, path, type, value FROM (SELECT case_id, unnest([
+        {'path': 'concept:name', 'type': 'string', 'value': case_id}, {'path': 'users', 'type': 'list', 'value': NULL},
+        {'path': 'users/user', 'type': 'string', 'value': user_id::VARCHAR}, {'path': 'users/user', 'type': 'int', 'value': n::VARCHAR}], recursive := true) FROM cs)
+    UNION ALL SELECT 'log', NULL, NULL, path, type, value FROM (VALUES ('origin', 'string', 'sessions'), ('origin/format', 'int', '1'),
+        ('origin/format/nested', 'boolean', 'true')) l(path, type, value)""")
 put("sql_log", select="""SELECT 'u' || user_id AS case_id, event_type AS activity,
     row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('minute', ts), event_id, event_type) AS pos,
     strftime(date_trunc('minute', ts), '"%Y-%m-%d %H:%M:%S"') AS ts, props->>'$.k' AS resource FROM events""")
@@ -444,6 +454,7 @@ put("best_threshold", *BEST, select="SELECT prefix_len, p, threshold, f1 FROM be
 put("detect", *FOUND, select="SELECT case_id, prefix_len, trace, score, true_label, predicted FROM det")
 put("case_verdict", *FOUND, select="SELECT case_id, n, true_label, predicted, score FROM vd")
 put("earliness", *FOUND, select="SELECT case_id, first_flag, n, round(first_flag::DOUBLE / n, 12) AS share FROM vd WHERE first_flag IS NOT NULL")
+ORACLE["q_stream_earliness"] = ORACLE["q_earliness"]
 put("prefix_counts", *FOUND, select="""SELECT prefix_len, count(*) FILTER (true_label = 0) AS normal_count,
     count(*) FILTER (true_label = 1) AS anomaly_count FROM det GROUP BY prefix_len""")
 
@@ -695,3 +706,19 @@ put("node_kind", ORDERS, GRAPH, KIND, select="""SELECT model_id, id, kind, CASE
     relevant FROM kd""")
 put("implicit_joins", ORDERS, GRAPH, KIND, select="""SELECT t.model_id, t.id, count(*) AS num_pred FROM kd t JOIN pe ON pe.model_id = t.model_id AND pe.dst = t.id
     JOIN kd s ON s.model_id = pe.model_id AND s.id = pe.src WHERE t.kind = 'Task' AND s.relevant = 1 GROUP BY t.model_id, t.id HAVING count(*) > 1""")
+put("branches_graph", ORDERS, GRAPH, """
+sp AS (SELECT model_id, id AS s FROM gn WHERE regexp_matches(label, '^(Exclusive|Inclusive|Eventbased)')
+    AND (SELECT count(*) FROM su WHERE su.model_id = gn.model_id AND su.src = gn.id) > 1),
+rc AS (SELECT model_id, s, s AS v FROM sp UNION SELECT rc.model_id, rc.s, su.dst FROM rc JOIN su ON su.model_id = rc.model_id AND su.src = rc.v),
+en AS (SELECT * FROM rc WHERE NOT EXISTS (SELECT 1 FROM su WHERE su.model_id = rc.model_id AND su.src = rc.v)),
+av AS (SELECT model_id, s, v AS d, s AS v FROM rc WHERE v <> s
+    UNION SELECT av.model_id, av.s, av.d, su.dst FROM av JOIN su ON su.model_id = av.model_id AND su.src = av.v AND su.dst <> av.d),
+pd AS (SELECT DISTINCT av.model_id, av.s, av.d FROM av JOIN en USING (model_id, s)
+    EXCEPT SELECT av.model_id, av.s, av.d FROM av JOIN en ON en.model_id = av.model_id AND en.s = av.s AND en.v = av.v),
+jn AS (SELECT * FROM pd EXCEPT SELECT av.model_id, av.s, av.d FROM av JOIN pd o ON o.model_id = av.model_id AND o.s = av.s AND o.d = av.v),
+wy AS (SELECT sp.model_id, sp.s, row_number() OVER (PARTITION BY sp.model_id, sp.s ORDER BY dst) - 1 AS b, dst AS way, d AS j
+    FROM sp JOIN su ON su.model_id = sp.model_id AND su.src = sp.s LEFT JOIN jn ON jn.model_id = sp.model_id AND jn.s = sp.s),
+br AS (SELECT model_id, s, j, b, way AS v FROM wy WHERE way <> s AND way IS DISTINCT FROM j
+    UNION SELECT br.model_id, s, j, b, su.dst FROM br JOIN su ON su.model_id = br.model_id AND su.src = br.v AND su.dst <> s AND su.dst IS DISTINCT FROM j)""",
+    select="""SELECT DISTINCT br.model_id, s AS xor_id, b::INT AS branch_id, label AS activity FROM br
+    JOIN gn ON gn.model_id = br.model_id AND gn.id = br.v WHERE is_task = 1""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw, draw_below
@@ -257,3 +257,39 @@ def order_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     others = flows.select("model_id", F.col("a.id").alias("id"), F.col("a.label").alias("label"), F.lit(False).alias("is_task"))
     data = rows.where(p == 1).select("model_id", F.lit("d0").alias("id"), F.lit("DataObject").alias("label"), F.lit(False).alias("is_task"))
     return shapes.unionByName(others).unionByName(data), edges
+
+
+def xml_text(value) -> Column:
+    """A value inside quotes of an XML attribute."""
+    text = F.replace(F.replace(value.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    return F.replace(text, F.lit('"'), F.lit("&quot;"))
+
+
+def xml_attribute(kind: str, key: str, value=None, *inside) -> Column:
+    """An attribute element of a log with those inside it; without a value where that is null."""
+    shown = F.lit("") if value is None else F.coalesce(F.concat(F.lit(' value="'), xml_text(value), F.lit('"')), F.lit(""))
+    return F.concat(F.lit(f'<{kind} key="{key}"'), shown, F.lit(">"), *inside, F.lit(f"</{kind}>"))
+
+
+def nested_xes(spark, sf_dir, path: str) -> None:
+    """The sessions as an XES log with nested attributes: of the log, of each trace and of each event."""
+    at = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    props = xml_attribute("container", "props", None, xml_attribute("string", "k", F.col("attrs")["k"], xml_attribute("float", "value", F.col("attrs")["value"])))
+    event = F.concat(F.lit("<event>"), xml_attribute("string", "concept:name", F.col("activity")), xml_attribute("date", "time:timestamp", at), props, F.lit("</event>"))
+    steps = F.sort_array(F.collect_list(F.struct("pos", event.alias("x"))))
+    whole = session_log(spark, sf_dir).groupBy("case_id", "user_id").agg(steps.alias("s"))
+    users = xml_attribute("list", "users", None, F.lit("<values>"), xml_attribute("string", "user", F.col("user_id")), xml_attribute("int", "user", F.size("s")), F.lit("</values>"))
+    traces = whole.select(F.concat(F.lit("<trace>"), xml_attribute("string", "concept:name", F.col("case_id")), users, F.array_join("s.x", ""), F.lit("</trace>")).alias("value"))
+    inner = xml_attribute("int", "format", F.lit(1), xml_attribute("boolean", "nested", F.lit("true")))
+    head = spark.range(1).select(F.concat(F.lit("<log>"), xml_attribute("string", "origin", F.lit("sessions"), inner)).alias("value"))
+    head.unionByName(traces).write.text(path)
+
+
+def event_stream(spark, sf_dir, labelled: DataFrame) -> DataFrame:
+    """The events of labelled CASES as a stream of files, dealt by hash: a case's events lie in many files."""
+    begin = session_log(spark, sf_dir).where("pos = 1").select("case_id", F.col("ts").cast("timestamp").alias("begin"))
+    steps = labelled.select("case_id", F.posexplode("trace").alias("p", "activity")).join(begin, "case_id")
+    rows = steps.select("case_id", (F.col("p") + 1).alias("pos"), "activity", (F.col("begin") + F.make_dt_interval(secs=F.col("p"))).alias("ts"))
+    path = scratch(spark, "stream")
+    rows.repartition(32, "case_id", "pos").write.option("maxRecordsPerFile", 1_000_000).parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 16).parquet(path)
