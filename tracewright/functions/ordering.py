@@ -109,12 +109,12 @@ def edge_rows(rows: DataFrame, keys: list[str], h: str) -> DataFrame:
     )
 
 
-def hash_cut(df: DataFrame, h: str, keep) -> DataFrame:
-    """The hash of row number ``keep(n)`` in hash order, n being the number of rows.
+def hash_cut(df: DataFrame, h: str, keep, keys=()) -> DataFrame:
+    """The hash of row number ``keep(n)`` in hash order, n being the number of rows of the group.
 
     One pass counts rows per slot, a second ranks the rows of the one slot that holds the cut.
-    The result is empty when ``keep(n) < 1``.
+    There is no row for a group with ``keep(n) < 1``.
     """
-    keyed = df.select(F.col(h), hash_slot(F.col(h)).alias("_slot"))
-    edge = slot_edges(keyed.groupBy("_slot").agg(F.count("*").alias("_c")), [], keep)
-    return edge_rows(keyed.join(edge, "_slot"), [], h)
+    keyed = df.select(*keys, F.col(h), hash_slot(F.col(h)).alias("_slot"))
+    edge = slot_edges(keyed.groupBy(*keys, "_slot").agg(F.count("*").alias("_c")), list(keys), keep)
+    return edge_rows(keyed.join(edge, [*keys, "_slot"]), list(keys), h)

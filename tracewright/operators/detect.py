@@ -6,6 +6,9 @@ score does not depend on the order of summation.
 
 Scores depend on the trace only. Traces are therefore scored once per variant, however many
 cases follow it, and cases pick up the result of their variant.
+
+``keys`` name columns that tell several logs or runs in one table apart (say ``dataset`` and ``run``): each of them is
+worked as if it were alone, in one plan for all.
 """
 
 from __future__ import annotations
@@ -41,18 +44,18 @@ def sample_hash() -> Column:
     return order_hash("sample", F.col("case_id"))
 
 
-def tail_cuts(train: DataFrame) -> DataFrame:
+def tail_cuts(train: DataFrame, keys=()) -> DataFrame:
     """Per prefix length: ``cut``, the last hash before the tail, ``n`` samples, ``n_fit`` before it.
 
     Length 1 has every case as a sample. Counts per (case length, slot) are summed over the longer
     cases after aggregation, and only the slot that holds a cut is ranked.
     """
-    rows = train.where(F.col("n") > 0).select("n", sample_hash().alias("h")).withColumn("_slot", hash_slot(F.col("h")))
-    counts = rows.groupBy("n", "_slot").agg(F.count("*").alias("c"))
-    totals = over_longer(counts, ["_slot"], F.lit(0)).select("prefix_len", "_slot", F.col("c").alias("_c"))
-    edge = slot_edges(totals, ["prefix_len"], lambda n: n - tail_size(n))
-    near = rows.withColumnRenamed("n", "len").join(edge, "_slot").where(F.col("len") >= F.col("prefix_len"))
-    return edge_rows(near, ["prefix_len"], "h").withColumn("n_fit", F.col("n") - tail_size(F.col("n")))
+    rows = train.where(F.col("n") > 0).select(*keys, "n", sample_hash().alias("h")).withColumn("_slot", hash_slot(F.col("h")))
+    counts = rows.groupBy(*keys, "n", "_slot").agg(F.count("*").alias("c"))
+    totals = over_longer(counts, [*keys, "_slot"], F.lit(0)).select(*keys, "prefix_len", "_slot", F.col("c").alias("_c"))
+    edge = slot_edges(totals, [*keys, "prefix_len"], lambda n: n - tail_size(n))
+    near = rows.withColumnRenamed("n", "len").join(edge, [*keys, "_slot"]).where(F.col("len") >= F.col("prefix_len"))
+    return edge_rows(near, [*keys, "prefix_len"], "h").withColumn("n_fit", F.col("n") - tail_size(F.col("n")))
 
 
 def over_longer(counts: DataFrame, keys: list[str], above: Column) -> DataFrame:
@@ -68,34 +71,35 @@ def over_longer(counts: DataFrame, keys: list[str], above: Column) -> DataFrame:
     return spread.select("prefix_len", *keys, F.col("_sum").alias("c"))
 
 
-def samples(train: DataFrame, cuts: DataFrame, *keep: str | Column) -> DataFrame:
+def samples(train: DataFrame, cuts: DataFrame, *keep: str | Column, keys=()) -> DataFrame:
     """(case, prefix length) with ``in_tail``; lengths without a model are left out."""
     return (
         train.select("*", sample_hash().alias("h"))
         .select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("prefix_len"))
-        .join(cuts.select("prefix_len", "cut"), "prefix_len")
-        .select("case_id", "prefix_len", (F.col("h") > F.col("cut")).alias("in_tail"), *keep)
+        .join(cuts.select(*keys, "prefix_len", "cut"), [*keys, "prefix_len"])
+        .select(*keys, "case_id", "prefix_len", (F.col("h") > F.col("cut")).alias("in_tail"), *keep)
     )
 
 
-def position_counts(train: DataFrame, cuts: DataFrame) -> DataFrame:
-    """MODEL: ``prefix_len, pos, activity, c`` over the training samples before the tail.
+def position_counts(train: DataFrame, cuts: DataFrame, keys=()) -> DataFrame:
+    """MODEL: ``keys, prefix_len, pos, activity, c`` over the training samples before the tail.
 
     Counted per case length first and then summed over all longer cases; the tenth of the
     samples in the tail is taken off again, so only that tenth is spread into its prefixes.
     """
-    events = train.select("n", F.posexplode("trace").alias("p", "activity")).groupBy("n", "p", "activity").agg(F.count("*").alias("c"))
-    whole = over_longer(events, ["p", "activity"], F.col("p")).join(cuts.select("prefix_len"), "prefix_len", "left_semi")
+    events = train.select(*keys, "n", F.posexplode("trace").alias("p", "activity")).groupBy(*keys, "n", "p", "activity").agg(F.count("*").alias("c"))
+    lengths = cuts.select(*keys, "prefix_len")
+    whole = over_longer(events, [*keys, "p", "activity"], F.col("p")).join(lengths, [*keys, "prefix_len"], "left_semi")
     tail = (
-        samples(train, cuts, "trace").where("in_tail")
-        .select("prefix_len", F.posexplode(F.slice("trace", 1, F.col("prefix_len"))).alias("p", "activity"))
-        .groupBy("prefix_len", "p", "activity").agg((-F.count("*")).alias("c"))
+        samples(train, cuts, "trace", keys=keys).where("in_tail")
+        .select(*keys, "prefix_len", F.posexplode(F.slice("trace", 1, F.col("prefix_len"))).alias("p", "activity"))
+        .groupBy(*keys, "prefix_len", "p", "activity").agg((-F.count("*")).alias("c"))
     )
     return (
-        whole.select("prefix_len", "p", "activity", "c").unionByName(tail)
-        .groupBy("prefix_len", "p", "activity").agg(F.sum("c").alias("c"))
+        whole.select(*keys, "prefix_len", "p", "activity", "c").unionByName(tail)
+        .groupBy(*keys, "prefix_len", "p", "activity").agg(F.sum("c").alias("c"))
         .where(F.col("c") > 0)
-        .select("prefix_len", (F.col("p") + 1).alias("pos"), "activity", "c")
+        .select(*keys, "prefix_len", (F.col("p") + 1).alias("pos"), "activity", "c")
     )
 
 
@@ -104,20 +108,21 @@ def with_tid(cases: DataFrame) -> DataFrame:
     return cases.withColumn("tid", F.md5(sized_text(F.col("trace"))))
 
 
-def variant_table(cases: DataFrame) -> DataFrame:
-    """``tid, trace, n``: every distinct trace once."""
-    return with_tid(cases).groupBy("tid").agg(F.any_value("trace").alias("trace"), F.any_value("n").alias("n"))
+def variant_table(cases: DataFrame, keys=()) -> DataFrame:
+    """``keys, tid, trace, n``: every distinct trace once."""
+    return with_tid(cases).groupBy(*keys, "tid").agg(F.any_value("trace").alias("trace"), F.any_value("n").alias("n"))
 
 
 @dataclass
 class FrequencyModel:
-    counts: DataFrame  # prefix_len, pos, activity, c
-    norms: DataFrame  # prefix_len, n_fit, squares: sum of squared counts
-    vocabulary: DataFrame  # idx, activity of the training cases; settled
+    counts: DataFrame  # keys, prefix_len, pos, activity, c
+    norms: DataFrame  # keys, prefix_len, n_fit, squares: sum of squared counts
+    vocabulary: DataFrame  # keys, activity of the training cases; settled
     encoding: str = "onehot"
+    keys: tuple = ()
 
     def score(self, variants: DataFrame) -> DataFrame:
-        """(tid, prefix_len, score): mean squared reconstruction error, 9 digits.
+        """(keys, tid, prefix_len, score): mean squared reconstruction error, 9 digits.
 
         For an event x with share p_x the squared error over the vocabulary is
         1 - 2 p_x + sum of all p_b squared; an unknown event is a zero vector and has only the sum.
@@ -129,16 +134,21 @@ class FrequencyModel:
         return self._errors(variants, F.col("n"))
 
     def _errors(self, variants: DataFrame, prefix_len: Column) -> DataFrame:
-        size = self.vocabulary.agg(F.count("*").alias("c"))
-        known = self.vocabulary.select("activity", F.lit(1).alias("known"))
+        keys, norms = self.keys, self.norms
+        if keys:
+            size = F.col("size")
+            norms = norms.join(self.vocabulary.groupBy(*keys).agg(F.count("*").alias("size")), [*keys])
+        else:
+            size = self.vocabulary.agg(F.count("*").alias("c")).scalar()
+        known = self.vocabulary.select(*keys, "activity", F.lit(1).alias("known"))
         events = (
-            variants.select("tid", "n", F.posexplode("trace").alias("p", "activity"))
-            .join(known, "activity", "left")
-            .select("tid", (F.col("p") + 1).alias("pos"), "activity", "known", prefix_len.alias("prefix_len"))
+            variants.select(*keys, "tid", "n", F.posexplode("trace").alias("p", "activity"))
+            .join(known, [*keys, "activity"], "left")
+            .select(*keys, "tid", (F.col("p") + 1).alias("pos"), "activity", "known", prefix_len.alias("prefix_len"))
         )
         summed = (
-            events.join(self.counts, ["prefix_len", "pos", "activity"], "left")
-            .groupBy("tid", "prefix_len")
+            events.join(self.counts, [*keys, "prefix_len", "pos", "activity"], "left")
+            .groupBy(*keys, "tid", "prefix_len")
             .agg(F.sum(F.coalesce("c", F.lit(0))).alias("hits"), F.count("known").alias("known"))
         )
         fit = F.col("n_fit").cast("double")
@@ -146,42 +156,43 @@ class FrequencyModel:
             F.col("known").cast("double")
             + F.col("squares").cast("double") / (fit * fit)
             - F.lit(2.0) * F.col("hits").cast("double") / fit
-        ) / (size.scalar() * F.col("prefix_len")).cast("double")
-        return summed.join(self.norms, "prefix_len").select("tid", "prefix_len", F.round(error, 9).alias("score"))
+        ) / (size * F.col("prefix_len")).cast("double")
+        return summed.join(norms, [*keys, "prefix_len"]).select(*keys, "tid", "prefix_len", F.round(error, 9).alias("score"))
 
 
-def frequency_model(train: DataFrame, cuts: DataFrame, vocabulary: DataFrame) -> FrequencyModel:
-    counts = settle(position_counts(train, cuts))
+def frequency_model(train: DataFrame, cuts: DataFrame, vocabulary: DataFrame, keys=()) -> FrequencyModel:
+    counts = settle(position_counts(train, cuts, keys))
     whole = F.col("c").cast("decimal(18,0)")
     norms = (
-        counts.groupBy("prefix_len").agg(F.sum(whole * whole).alias("squares"))
-        .join(cuts.select("prefix_len", "n_fit"), "prefix_len")
+        counts.groupBy(*keys, "prefix_len").agg(F.sum(whole * whole).alias("squares"))
+        .join(cuts.select(*keys, "prefix_len", "n_fit"), [*keys, "prefix_len"])
     )
-    return FrequencyModel(counts, norms, vocabulary)
+    return FrequencyModel(counts, norms, vocabulary, keys=tuple(keys))
 
 
-def sample_errors(train: DataFrame, cuts: DataFrame, scores: DataFrame) -> DataFrame:
-    """Training errors with their multiplicity: ``prefix_len, score, in_tail, label, w``."""
+def sample_errors(train: DataFrame, cuts: DataFrame, scores: DataFrame, keys=()) -> DataFrame:
+    """Training errors with their multiplicity: ``keys, prefix_len, score, in_tail, label, w``."""
     return (
-        samples(with_tid(train), cuts, "tid", F.element_at("flags", F.col("prefix_len")).alias("label"))
-        .groupBy("tid", "prefix_len", "in_tail", "label").agg(F.count("*").alias("w"))
-        .join(scores, ["tid", "prefix_len"])
-        .groupBy("prefix_len", "score", "in_tail", "label").agg(F.sum("w").alias("w"))
+        samples(with_tid(train), cuts, "tid", F.element_at("flags", F.col("prefix_len")).alias("label"), keys=keys)
+        .groupBy(*keys, "tid", "prefix_len", "in_tail", "label").agg(F.count("*").alias("w"))
+        .join(scores, [*keys, "tid", "prefix_len"])
+        .groupBy(*keys, "prefix_len", "score", "in_tail", "label").agg(F.sum("w").alias("w"))
     )
 
 
-def thresholds(errors: DataFrame, percentiles=PERCENTILES) -> DataFrame:
+def thresholds(errors: DataFrame, percentiles=PERCENTILES, keys=()) -> DataFrame:
     """Candidate thresholds: percentiles of the errors before the tail, linearly interpolated.
 
     The percentile p of n ascending errors lies at place (n - 1) p / 100, between two order
     statistics. Each error finds the places it covers from its running count, so no group is
     sorted in one task.
     """
-    fit = errors.where(~F.col("in_tail")).groupBy("prefix_len", "score").agg(F.sum("w").alias("w"))
-    n = fit.groupBy("prefix_len").agg(F.sum("w").alias("n"))
+    length = [*keys, "prefix_len"]
+    fit = errors.where(~F.col("in_tail")).groupBy(*length, "score").agg(F.sum("w").alias("w"))
+    n = fit.groupBy(*length).agg(F.sum("w").alias("n"))
     ranked = running_total(
-        fit, ["prefix_len"], F.floor(F.col("score") * ERROR_SLOTS), ["score"], F.col("w"), "upto"
-    ).join(n, "prefix_len")
+        fit, length, F.floor(F.col("score") * ERROR_SLOTS), ["score"], F.col("w"), "upto"
+    ).join(n, length)
     last = F.col("n") - 1
 
     def between(p):
@@ -195,27 +206,28 @@ def thresholds(errors: DataFrame, percentiles=PERCENTILES) -> DataFrame:
     covered = F.filter(marks, lambda m: (m.at >= F.col("upto") - F.col("w")) & (m.at < F.col("upto")))
     part = F.pmod((F.col("n") - 1) * F.col("p"), F.lit(100)) / F.lit(100.0)
     return (
-        ranked.select("prefix_len", "n", "score", F.explode(covered).alias("m"))
-        .groupBy("prefix_len", "n", F.col("m.p").alias("p"))
+        ranked.select(*length, "n", "score", F.explode(covered).alias("m"))
+        .groupBy(*length, "n", F.col("m.p").alias("p"))
         .agg(F.max(F.when(F.col("m.side") == 0, F.col("score"))).alias("lo"),
              F.max(F.when(F.col("m.side") == 1, F.col("score"))).alias("hi"))
-        .select("prefix_len", "p", F.round(F.col("lo") + (F.col("hi") - F.col("lo")) * part, 12).alias("threshold"))
+        .select(*length, "p", F.round(F.col("lo") + (F.col("hi") - F.col("lo")) * part, 12).alias("threshold"))
     )
 
 
-def best_thresholds(candidates: DataFrame, errors: DataFrame) -> DataFrame:
+def best_thresholds(candidates: DataFrame, errors: DataFrame, keys=()) -> DataFrame:
     """Per length the candidate with the best F1 on the tail, the lowest percentile on ties.
 
     Tails of normal samples only give F1 = 0 throughout, so the first candidate is taken.
     """
-    tail = errors.where("in_tail").groupBy("prefix_len", "score", "label").agg(F.sum("w").alias("w"))
+    length = [*keys, "prefix_len"]
+    tail = errors.where("in_tail").groupBy(*length, "score", "label").agg(F.sum("w").alias("w"))
     # One row per length, with as many entries as there are percentiles.
-    per_length = candidates.groupBy("prefix_len").agg(F.collect_list(F.struct("p", "threshold")).alias("c"))
+    per_length = candidates.groupBy(*length).agg(F.collect_list(F.struct("p", "threshold")).alias("c"))
     hit, wrong = F.col("c.threshold") < F.col("score"), F.col("label") == 1
     judged = (
-        tail.join(per_length, "prefix_len")
-        .select("prefix_len", "score", "label", "w", F.explode("c").alias("c"))
-        .groupBy("prefix_len", F.col("c.p").alias("p"), F.col("c.threshold").alias("threshold"))
+        tail.join(per_length, length)
+        .select(*length, "score", "label", "w", F.explode("c").alias("c"))
+        .groupBy(*length, F.col("c.p").alias("p"), F.col("c.threshold").alias("threshold"))
         .agg(
             F.sum(F.when(hit & wrong, F.col("w")).otherwise(0)).alias("tp"),
             F.sum(F.when(hit & ~wrong, F.col("w")).otherwise(0)).alias("fp"),
@@ -226,39 +238,42 @@ def best_thresholds(candidates: DataFrame, errors: DataFrame) -> DataFrame:
     f1 = F.when(below > 0, 2 * F.col("tp") / F.greatest(below, F.lit(1))).otherwise(F.lit(0.0))
     return (
         judged.withColumn("f1", f1)
-        .groupBy("prefix_len")
+        .groupBy(*length)
         .agg(F.max_by(F.struct("p", "threshold", "f1"), F.struct(F.col("f1"), -F.col("p"))).alias("b"))
-        .select("prefix_len", "b.p", "b.threshold", "b.f1")
+        .select(*length, "b.p", "b.threshold", "b.f1")
     )
 
 
 @dataclass
 class Detection:
-    scores: DataFrame  # tid, prefix_len, score, predicted: every prefix that has a model
-    verdicts: DataFrame  # tid, predicted, score, first_flag
+    scores: DataFrame  # keys, tid, prefix_len, score, predicted: every prefix that has a model
+    verdicts: DataFrame  # keys, tid, predicted, score, first_flag
     test: DataFrame  # labelled test cases with tid and true_label (the flag of the first event)
+    keys: tuple = ()
 
 
 def detect(test: DataFrame, model, chosen: DataFrame) -> Detection:
     """Score every test prefix that has a model; flagged when the score is over the threshold."""
-    limits = chosen.select("prefix_len", "threshold")
+    keys = getattr(model, "keys", ())
+    limits = chosen.select(*keys, "prefix_len", "threshold")
     tagged = with_tid(test).withColumn("true_label", F.get("flags", F.lit(0)))
     scores = settle(
-        model.score(variant_table(test)).join(limits, "prefix_len")
-        .select("tid", "prefix_len", "score", (F.col("score") > F.col("threshold")).cast("int").alias("predicted"))
+        model.score(variant_table(test, keys)).join(limits, [*keys, "prefix_len"])
+        .select(*keys, "tid", "prefix_len", "score", (F.col("score") > F.col("threshold")).cast("int").alias("predicted"))
     )
-    verdicts = scores.groupBy("tid").agg(
+    verdicts = scores.groupBy(*keys, "tid").agg(
         F.max("predicted").alias("predicted"),
         F.max("score").alias("score"),
         F.min(F.when(F.col("predicted") == 1, F.col("prefix_len"))).alias("first_flag"),
     )
-    return Detection(scores, verdicts, tagged)
+    return Detection(scores, verdicts, tagged, tuple(keys))
 
 
 def prefix_records(found: Detection) -> DataFrame:
     """One row per test case and scored prefix."""
-    return found.test.select("case_id", "tid", "trace", "true_label").join(found.scores, "tid").select(
-        "case_id", "prefix_len",
+    keys = found.keys
+    return found.test.select(*keys, "case_id", "tid", "trace", "true_label").join(found.scores, [*keys, "tid"]).select(
+        *keys, "case_id", "prefix_len",
         F.array_join(F.slice("trace", 1, F.col("prefix_len")), ", ").alias("trace"),
         "score", "true_label", "predicted",
     )
@@ -266,30 +281,32 @@ def prefix_records(found: Detection) -> DataFrame:
 
 def case_verdicts(found: Detection) -> DataFrame:
     """Predicted label and greatest score per test case; without any model 0 and null."""
-    return found.test.join(found.verdicts, "tid", "left").select(
-        "case_id", "n", "true_label", F.coalesce("predicted", F.lit(0)).alias("predicted"), "score", "first_flag"
+    keys = found.keys
+    return found.test.join(found.verdicts, [*keys, "tid"], "left").select(
+        *keys, "case_id", "n", "true_label", F.coalesce("predicted", F.lit(0)).alias("predicted"), "score", "first_flag"
     )
 
 
 def earliness(found: Detection) -> DataFrame:
     """Shortest flagged prefix of each flagged case and its share of the case."""
     return case_verdicts(found).where(F.col("first_flag").isNotNull()).select(
-        "case_id", "first_flag", "n", (F.col("first_flag") / F.col("n")).alias("share")
+        *found.keys, "case_id", "first_flag", "n", (F.col("first_flag") / F.col("n")).alias("share")
     )
 
 
 def prefix_outcomes(found: Detection) -> DataFrame:
     """Counts per ``prefix_len, true_label, predicted``, summed over variants instead of cases."""
-    weights = found.test.groupBy("tid", "true_label").agg(F.count("*").alias("w"))
+    keys = found.keys
+    weights = found.test.groupBy(*keys, "tid", "true_label").agg(F.count("*").alias("w"))
     return (
-        weights.join(found.scores, "tid")
-        .groupBy("prefix_len", "true_label", "predicted").agg(F.sum("w").alias("w"))
+        weights.join(found.scores, [*keys, "tid"])
+        .groupBy(*keys, "prefix_len", "true_label", "predicted").agg(F.sum("w").alias("w"))
     )
 
 
 def prefix_counts(found: Detection) -> DataFrame:
     """Normal and anomalous test prefixes per length."""
-    return prefix_outcomes(found).groupBy("prefix_len").agg(
+    return prefix_outcomes(found).groupBy(*found.keys, "prefix_len").agg(
         F.sum(F.when(F.col("true_label") == 1, F.lit(0)).otherwise(F.col("w"))).alias("normal_count"),
         F.sum(F.when(F.col("true_label") == 1, F.col("w")).otherwise(F.lit(0))).alias("anomaly_count"),
     )

@@ -75,11 +75,11 @@ def case_outcomes(verdicts: DataFrame, *keys: str) -> DataFrame:
     return verdicts.groupBy(*keys, "true_label", "predicted").agg(F.count("*").alias("w"))
 
 
-def type_outcomes(verdicts: DataFrame) -> DataFrame:
+def type_outcomes(verdicts: DataFrame, *keys: str) -> DataFrame:
     """Outcomes per anomaly type, trimmed and in lower case, without normal and unnamed cases."""
     kind = F.lower(F.trim("anomaly"))
     typed = verdicts.withColumn("anomaly", kind).where(F.col("anomaly").isNotNull() & (F.col("anomaly") != "normal"))
-    return case_outcomes(typed, "anomaly")
+    return case_outcomes(typed, *keys, "anomaly")
 
 
 def score_counts(rows: DataFrame, keys: list[str], truth: str, score: str) -> DataFrame:

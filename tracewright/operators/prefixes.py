@@ -23,25 +23,30 @@ def flagged_cases(events: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def split(labelled: DataFrame, ratio: float = 0.8, run: int = 1) -> tuple[DataFrame, DataFrame]:
+def split(labelled: DataFrame, ratio: float = 0.8, run: int | Column = 1, keys=()) -> tuple[DataFrame, DataFrame]:
     """Train and test cases.
 
     A case with any normal event counts as normal; ``floor(ratio * n)`` of the n normal cases,
     the first in hash order, are the training cases and keep only their normal events. All
     other cases are the test cases. ``run`` draws another split. The share is cut at one hash value, so neither side is
-    joined or ranked.
+    joined or ranked. ``keys``: columns of the logs and runs in the table, each split for itself (with ``run`` one of them);
+    then rows are joined with the table of their cuts, which has a row for each.
     """
     rows = labelled.withColumn("_h", F.when(F.array_contains("flags", 0), order_hash("split", run, F.col("case_id"))))
-    cut = hash_cut(rows.where(F.col("_h").isNotNull()), "_h", lambda n: F.floor(n.cast("double") * ratio))
-    in_train = F.coalesce(F.col("_h") <= cut.select("cut").scalar(), F.lit(False))
-    rows = rows.withColumn("_in", in_train)
-    train = rows.where("_in").drop("_h", "_in")
+    hashed, share = rows.where(F.col("_h").isNotNull()), lambda n: F.floor(n.cast("double") * ratio)
+    if keys:
+        rows = rows.join(settle(hash_cut(hashed, "_h", share, list(keys)).drop("n"), "cuts"), list(keys), "left")
+        within = F.col("_h") <= F.col("cut")
+    else:
+        within = F.col("_h") <= hash_cut(hashed, "_h", share).select("cut").scalar()
+    rows = rows.withColumn("_in", F.coalesce(within, F.lit(False)))
+    train = rows.where("_in").drop("_h", "_in", "cut")
     train = (
         train.withColumn("trace", F.filter("trace", lambda x, i: F.get("flags", i) == 0))
         .withColumn("flags", F.filter("flags", lambda f: f == 0))
         .withColumn("n", F.size("trace"))
     )
-    return train, rows.where(~F.col("_in")).drop("_h", "_in")
+    return train, rows.where(~F.col("_in")).drop("_h", "_in", "cut")
 
 
 def prefixes(labelled: DataFrame, max_prefix_len: int | None = None) -> DataFrame:
@@ -57,17 +62,18 @@ def prefixes(labelled: DataFrame, max_prefix_len: int | None = None) -> DataFram
     )
 
 
-def prefix_dims(labelled: DataFrame, event_size: Column) -> DataFrame:
+def prefix_dims(labelled: DataFrame, event_size: Column, keys=()) -> DataFrame:
     """Samples per prefix length and the least, greatest and mean vector size.
 
-    Lengths are counted before they are spread over the shorter prefixes.
+    Lengths are counted before they are spread over the shorter prefixes. With ``keys`` the size of an event may be a
+    function of these.
     """
     return (
-        labelled.groupBy("n").agg(F.count("*").alias("c")).where(F.col("n") > 0)
-        .select("c", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("prefix_len"))
-        .groupBy("prefix_len").agg(F.sum("c").alias("num_samples"))
+        labelled.groupBy(*keys, "n").agg(F.count("*").alias("c")).where(F.col("n") > 0)
+        .select(*keys, "c", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("prefix_len"))
+        .groupBy(*keys, "prefix_len").agg(F.sum("c").alias("num_samples"))
         .withColumn("dim", event_size * F.col("prefix_len"))
-        .groupBy("prefix_len")
+        .groupBy(*keys, "prefix_len")
         .agg(F.max("num_samples").alias("num_samples"), F.min("dim").alias("min_dim"), F.max("dim").alias("max_dim"),
              F.avg("dim").alias("avg_dim"))
     )

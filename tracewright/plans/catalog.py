@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.draws import draw_below
 from ..operators import dataset as ds
 from ..operators import detect as dt
 from ..operators import graph as g
@@ -430,6 +431,17 @@ def run_sweep(s, d):
     return got.select("dataset", "encoding", F.col("run").cast("int").alias("run"), *values)
 
 
+@query
+def run_sweep_logs(s, d):
+    """Three logs and two runs in one plan: metrics and flagged cases."""
+    path, log = tb.scratch(s, "sweep"), settle(tb.labelled_sessions(s, d))
+    side = draw_below(3, "log", F.col("case_id"))
+    sweep({f"log{k}": log.where(side == k) for k in range(3)}, path, runs=[1, 2])
+    got = s.read.option("header", True).csv(f"{path}/metrics")
+    values = [F.round(F.col(c).cast("double"), 9).alias(c) for c in ("precision", "recall", "f1_score", "roc_auc")]
+    return got.select("dataset", F.col("run").cast("int").alias("run"), *values)
+
+
 # --- injection -----------------------------------------------------------------------------
 
 def one_kind(s, d, kind: str) -> DataFrame:

@@ -31,6 +31,7 @@ class Run:
     encoding: str = "onehot"
     model_kind: str = "frequency"
     run: int = 1
+    keys: tuple = ()  # columns of labelled that tell logs and runs apart; with ``run`` among them it names the split
 
     def __post_init__(self):
         if self.encoding not in ("onehot", "word2vec"):
@@ -39,6 +40,8 @@ class Run:
             raise ValueError(f"unknown model {self.model_kind!r}")
         if self.encoding == "word2vec":
             self.model_kind = "linear"
+        if self.keys and self.model_kind != "frequency":
+            raise ValueError("only the frequency model is fitted for several logs at once")
 
     @cached_property
     def cases(self) -> DataFrame:
@@ -46,7 +49,7 @@ class Run:
 
     @cached_property
     def parts(self) -> tuple[DataFrame, DataFrame]:
-        return split(self.cases, run=self.run)
+        return split(self.cases, run=F.col("run") if "run" in self.keys else self.run, keys=self.keys)
 
     @property
     def train(self) -> DataFrame:
@@ -58,30 +61,31 @@ class Run:
 
     @cached_property
     def vocabulary(self) -> DataFrame:
-        return settle(vocabulary(self.train.select(F.explode("trace").alias("activity"))))
+        words = self.train.select(*self.keys, F.explode("trace").alias("activity"))
+        return settle(words.where("activity is not null").distinct() if self.keys else vocabulary(words))
 
     @cached_property
     def cuts(self) -> DataFrame:
-        return settle(d.tail_cuts(self.train))
+        return settle(d.tail_cuts(self.train, self.keys))
 
     @cached_property
     def model(self):
         if self.model_kind == "frequency":
-            return d.frequency_model(self.train, self.cuts, self.vocabulary)
+            return d.frequency_model(self.train, self.cuts, self.vocabulary, self.keys)
         vectors = word_vectors(self.train) if self.encoding == "word2vec" else None
         return linear_model(self.train, self.cuts, self.vocabulary, vectors=vectors)
 
     @cached_property
     def errors(self) -> DataFrame:
-        return settle(d.sample_errors(self.train, self.cuts, self.model.score(d.variant_table(self.train))))
+        return settle(d.sample_errors(self.train, self.cuts, self.model.score(d.variant_table(self.train, self.keys)), self.keys))
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return d.thresholds(self.errors)
+        return d.thresholds(self.errors, keys=self.keys)
 
     @cached_property
     def chosen(self) -> DataFrame:
-        return d.best_thresholds(self.candidates, self.errors)
+        return d.best_thresholds(self.candidates, self.errors, self.keys)
 
     @cached_property
     def found(self) -> d.Detection:
@@ -91,18 +95,21 @@ class Run:
     def verdicts(self) -> DataFrame:
         return d.case_verdicts(self.found)
 
-    def metrics(self, dataset: str) -> DataFrame:
-        """Weighted precision, recall and F1 and the ROC AUC, one row."""
-        rated = settle(self.verdicts.withColumn("dataset", F.lit(dataset)).withColumn("encoding", F.lit(self.encoding)))
-        keys = ["dataset", "encoding"]
+    def metrics(self, dataset: str | None = None) -> DataFrame:
+        """Weighted precision, recall and F1 and the ROC AUC, one row, or one for each log and run with ``keys``."""
+        rated = self.verdicts if dataset is None else self.verdicts.withColumn("dataset", F.lit(dataset))
+        rated = settle(rated.withColumn("encoding", F.lit(self.encoding)))
+        keys = [*(self.keys or ["dataset"]), "encoding"]
         weighted = m.weighted_metrics(m.case_outcomes(rated, *keys), *keys)
         auc = m.roc_auc(rated, keys, score_slot).select(*keys, "roc_auc", "unscored")
-        return weighted.join(auc, keys)
+        # A log without any score has no area, but has its other figures.
+        return weighted.join(auc, keys, "left") if self.keys else weighted.join(auc, keys)
 
     def f1_by_prefix(self) -> DataFrame:
-        return m.weighted_metrics(d.prefix_outcomes(self.found), "prefix_len").select("prefix_len", "f1_score")
+        length = [*self.keys, "prefix_len"]
+        return m.weighted_metrics(d.prefix_outcomes(self.found), *length).select(*length, "f1_score")
 
     def f1_by_type(self) -> DataFrame:
-        kinds = self.found.test.select("case_id", "anomaly")
-        typed = self.verdicts.join(kinds, "case_id")
-        return m.weighted_metrics(m.type_outcomes(typed), "anomaly").select("anomaly", "f1_score")
+        case, kind = [*self.keys, "case_id"], [*self.keys, "anomaly"]
+        typed = self.verdicts.join(self.found.test.select(*case, "anomaly"), case)
+        return m.weighted_metrics(m.type_outcomes(typed, *self.keys), *kind).select(*kind, "f1_score")

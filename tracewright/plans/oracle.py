@@ -495,13 +495,19 @@ put("result_csv", *FOUND, select="""SELECT prefix_len, count(*) FILTER (true_lab
     'sessions' AS dataset, 'onehot' AS encoding, 1 AS run FROM det GROUP BY prefix_len""")
 
 
-def swept(run: int) -> str:
-    """Metrics of one run: the same definitions over another split."""
+def swept(run: int, log: int | None = None) -> str:
+    """Metrics of one run: the same definitions over another split, and over one of three logs if asked for."""
     mine = [x.replace(h(q("split"), "1", "case_id"), h(q("split"), str(run), "case_id")) for x in FOUND]
+    if log is not None:
+        at = next(k for k, x in enumerate(mine) if x.startswith("lab AS"))
+        mine[at : at + 1] = [mine[at].replace("lab AS", "whole AS", 1), f"lab AS (SELECT * FROM whole WHERE {below('3', q('log'), 'case_id')} = {log})"]
+        return sql(*mine, weighted("vd", "1"), auc("vd", "1"), select=f"""SELECT 'log{log}' AS dataset, {run} AS run,
+            {WM}, round(auc, 9) AS roc_auc FROM wm JOIN rc USING (key)""")
     return sql(*mine, weighted("vd", "1"), auc("vd", "1"), select=f"""SELECT 'sessions' AS dataset, 'onehot' AS encoding, {run} AS run,
         {WM}, round(auc, 9) AS roc_auc FROM wm JOIN rc USING (key)""")
 
 
+ORACLE["q_run_sweep_logs"] = " UNION ALL ".join(f"SELECT * FROM ({swept(run, log)})" for log in range(3) for run in (1, 2))
 ORACLE["q_run_sweep"] = f"SELECT * FROM ({swept(1)}) UNION ALL SELECT * FROM ({swept(2)})"
 
 # --- datasets and responses ----------------------------------------------------------------
