@@ -165,7 +165,7 @@ def reachable(succ: DataFrame, starts: DataFrame | None = None, most_arcs: int =
     Models of up to ``most_arcs`` arcs are closed by one shuffle, each in a task. Arcs of larger ones are joined in rounds, by
     model and shape, so that many tasks share a model. Both ways give the same rows. Arcs without a model are left out.
     """
-    succ = succ.where("model_id is not null").select("model_id", "src", "dst")
+    succ = settle(succ.where("model_id is not null").select("model_id", "src", "dst"), "arcs")
     large = hot_keys(succ, "model_id", most_arcs)
     if large is None:
         return closed(succ, starts)

@@ -588,7 +588,7 @@ def model_split(s, d):
 
 def swept_side(s, d, side: int) -> tuple[DataFrame, DataFrame]:
     """The sweep over the training (0) or the test models (1), and their cases; only these are injected."""
-    log = settle(ds.split_models(tb.model_cases(s, d), TEST_MODELS)[side])
+    log = settle(ds.split_models(settle(tb.model_cases(s, d)), TEST_MODELS)[side])
     return tb.swept_sessions(s, d, log), log
 
 

@@ -69,9 +69,9 @@ def model_cases(spark, sf_dir) -> DataFrame:
 
 
 def swept_sessions(spark, sf_dir, log: DataFrame | None = None, times: int = 2) -> DataFrame:
-    """The standard sweep over the sessions (or the given ones), with the runs that mix exclusive branches."""
-    log = model_cases(spark, sf_dir) if log is None else log
-    mine = branches(spark, sf_dir).join(log.select("model_id").distinct(), "model_id", "left_semi")
+    """The standard sweep over the sessions (or the given ones, written), with the runs that mix exclusive branches."""
+    log = settle(model_cases(spark, sf_dir)) if log is None else log
+    mine = settle(branches_of(log.select("model_id", F.explode("trace").alias("activity"))), "branches")
     return inj.sweep(log, words(spark, sf_dir), times).unionByName(inj.exclusive_rows(playouts(log), mine))
 
 
@@ -82,8 +82,12 @@ def playouts(log: DataFrame) -> DataFrame:
 
 def branches(spark, sf_dir) -> DataFrame:
     """BRANCHES of one choice per user: the user's activities parted by a draw into three."""
-    acts = session_log(spark, sf_dir).select(F.col("user_id").alias("model_id"), "activity").distinct()
-    return acts.select(
+    return branches_of(session_log(spark, sf_dir).select(F.col("user_id").alias("model_id"), "activity"))
+
+
+def branches_of(steps: DataFrame) -> DataFrame:
+    """The same from the steps of the models: (model_id, activity)."""
+    return steps.distinct().select(
         "model_id", F.lit("x1").alias("xor_id"),
         draw_below(3, "side", F.col("model_id"), F.col("activity")).alias("branch_id"), "activity",
     )
