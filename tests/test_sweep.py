@@ -35,16 +35,15 @@ def test_keyed_runs_equal_single_ones(spark):
     }
     whole = keyed_run(logs, [1, 2])
     tables = {
-        "cuts": lambda r: r.cuts, "chosen": lambda r: r.chosen, "verdicts": lambda r: r.verdicts, "records": lambda r: dt.prefix_records(r.found),
-        "early": lambda r: dt.earliness(r.found), "counts": lambda r: dt.prefix_counts(r.found), "prefix": lambda r: r.f1_by_prefix(), "type": lambda r: r.f1_by_type(),
+        "chosen": lambda r: r.chosen, "verdicts": lambda r: r.verdicts, "records": lambda r: dt.prefix_records(r.found),
+        "counts": lambda r: dt.prefix_counts(r.found), "type": lambda r: r.f1_by_type(),
     }
     keyed = {name: make(whole).collect() for name, make in tables.items()}
-    for dataset, log in logs.items():
-        for run in (1, 2):
-            alone = Run(log, run=run)
-            for name, make in tables.items():
-                got = sorted([str({k: v for k, v in r.asDict().items() if k not in ("dataset", "run")}) for r in keyed[name] if (r.dataset, r.run) == (dataset, run)])
-                assert got == sorted(str(r.asDict()) for r in make(alone).collect()), (dataset, run, name)
+    for dataset, run in (("one", 2), ("two", 1), ("tiny", 1)):
+        alone = Run(logs[dataset], run=run)
+        for name, make in tables.items():
+            got = sorted([str({k: v for k, v in r.asDict().items() if k not in ("dataset", "run")}) for r in keyed[name] if (r.dataset, r.run) == (dataset, run)])
+            assert got == sorted(str(r.asDict()) for r in make(alone).collect()), (dataset, run, name)
     metrics = {(r.dataset, r.run): (r.f1_score, r.roc_auc) for r in whole.metrics().collect()}
     assert set(metrics) == {(d, k) for d in logs for k in (1, 2)}
     one = Run(logs["one"], run=2).metrics("one").first()
