@@ -138,6 +138,42 @@ def test_many_activities_are_embedded(spark):
     assert all(np.isclose(np.linalg.norm(v), 1, atol=1e-6) for v in vec.values())
 
 
+def scores_of(run, model):
+    texts = {r.tid: tuple(r.trace) for r in dt.variant_table(run.cases).collect()}
+    return {(texts[r.tid], r.prefix_len): r.score for r in model.score(dt.variant_table(run.cases)).collect()}
+
+
+def test_bottleneck_equals_the_dense_reduced_rank_solve(run):
+    vocab = [r.activity for r in run.vocabulary.orderBy("idx").collect()]
+    got = scores_of(run, ln.linear_model(run.train, run.cuts, run.vocabulary, bottleneck=2))
+    cut = {r.prefix_len: r.cut for r in run.cuts.collect()}
+    rows = run.train.select("trace", dt.sample_hash().alias("h")).collect()
+    x_of = lambda t: np.array([float(a == v) for a in t for v in vocab])
+    assert got
+    for (t, k), score in got.items():
+        x = np.array([x_of(r.trace[:k]) for r in rows if len(r.trace) >= k and r.h <= cut[k]])
+        sigma = min(0.3, 0.3 / max(1, k / 3))
+        # Ridge regression, then a projection of its fit onto the leading right singular vectors of the widened data.
+        wide = np.vstack([x, np.sqrt(len(x)) * sigma * np.eye(x.shape[1])])
+        full = np.linalg.lstsq(wide, np.vstack([x, np.zeros((x.shape[1],) * 2)]), rcond=None)[0]
+        _, s, vt = np.linalg.svd(wide @ full)
+        used = int((s >= s[1] * (1 - 1e-6)).sum())
+        w = full @ vt[:used].T @ vt[:used]
+        p = x_of(t[:k])
+        assert score == pytest.approx(np.mean((p - p @ w) ** 2), abs=2e-8)
+
+
+def test_full_bottleneck_is_the_plain_model(run):
+    plain = scores_of(run, ln.linear_model(run.train, run.cuts, run.vocabulary))
+    wide = scores_of(run, ln.linear_model(run.train, run.cuts, run.vocabulary, bottleneck=10_000))
+    assert plain.keys() == wide.keys() and all(plain[k] == pytest.approx(wide[k], abs=2e-9) for k in plain)
+    for wrong in (dict(bottleneck=2), dict(embedding="other")):
+        with pytest.raises(ValueError):
+            Run(run.cases, **wrong)
+    with pytest.raises(ValueError):
+        ln.linear_model(run.train, run.cuts, run.vocabulary, bottleneck=0)
+
+
 def test_mixed_flags_from_csv_to_verdicts(spark, tmp_path):
     """A case with any normal event trains with its normal events only."""
     lines = ["case_id,name,isAnomaly,anomaly"]

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.operators import inject as inj
+from tracewright.operators import kinds as kd
 from tracewright.operators import labels as lb
 from tracewright.operators.vocab import Lookup
 
@@ -104,6 +105,55 @@ def test_descriptor():
         inj.descriptor("Nothing")
 
 
+def test_registered_types_go_through_sweep_targets_and_cause(spark, many, words):
+    twice = kd.Kind(
+        "Twice", 3, draws={"a": lambda c: c.below(c.n, "a"), "b": lambda c: c.drawn["a"] + 1},
+        rewrite=lambda c: F.concat(F.slice(c.trace, 1, c.drawn["b"]), F.slice(c.trace, c.drawn["b"], c.n)),
+        label=lambda c: {"start": c.drawn["b"], "size": F.lit(1)}, code=lambda l, i: F.when(i == l["start"], lb.CLASS_CODES["Rework"]),
+        cause=lambda l, t: F.concat(F.lit("again "), F.element_at(t, l["start"] + 1)),
+    )
+    tail = kd.Kind("Tail", 1, num_names=lambda c: c.below(3, "m"), rewrite=lambda c: F.concat(c.trace, c.names), label=lambda c: {"acts": c.names})
+    before = many.select("case_id", F.col("trace").alias("before"))
+    with kd.registered(twice, tail):
+        assert inj.descriptor("Twice")["anomaly"] == "Twice"
+        with pytest.raises(ValueError):
+            inj.register(twice)
+        kinds = ["Rework", "Twice", "Tail"]
+        made = inj.sweep(many, Lookup(words), 2, kinds)
+        other = inj.sweep(many.repartition(5), Lookup(words, inline=3), 2, kinds).select(made.columns)
+        told = made.withColumn("text", lb.label_text(F.col("label"))).withColumn("cause", lb.cause(F.col("label"), F.col("trace")))
+        codes = lb.targets(made).where("kind = 'Twice' and code <> 0")
+    assert made.exceptAll(other).isEmpty() and other.exceptAll(made).isEmpty()
+    rows = told.join(before, "case_id").collect()
+    assert {r.kind for r in rows} == {"Normal", "Rework", "Twice", "Tail"}
+    for r in rows:
+        l, b = r.label, r.before
+        if r.kind == "Twice" and len(b) < 3:
+            assert l.anomaly == "normal" and r.trace == b and r.cause is None and r.text == "Normal"
+        elif r.kind == "Twice":
+            assert l.anomaly == "Twice" == r.text and r.trace == b[: l.start] + b[l.start - 1:] and r.cause == f"again {b[l.start - 1]}"
+        elif r.kind == "Tail":
+            assert l.anomaly == "Tail" and r.trace == b + l.acts and len(l.acts) < 3 and all(a[0] == "W" for a in l.acts)
+            assert r.n == len(r.trace)
+        elif r.kind == "Rework":
+            assert (l.anomaly == "Rework") == (len(b) >= 2) and (r.text.startswith("Rework ") or len(b) < 2)
+    changed = [r for r in rows if r.label.anomaly == "Twice"]
+    assert sorted((r.case_id, r["round"], r.label.start + 1) for r in changed) == sorted((r.case_id, r["round"], r.event_position) for r in codes.collect())
+    # The library's types are the same with and without others beside them.
+    alone = inj.sweep(many, Lookup(words), 2, ["Rework"])
+    assert made.where("kind in ('Rework', 'Normal')").exceptAll(alone).isEmpty()
+
+
+def test_names_that_cannot_be_registered(many, words):
+    kind = lambda name, **label: kd.Kind(name, 1, rewrite=lambda c: c.trace, label=lambda c: label)
+    for name in ("Rework", "normal", "Attribute", "a__b"):
+        with pytest.raises(ValueError):
+            inj.register(kind(name))
+    with kd.registered(kind("Odd", colour=F.lit(1))), pytest.raises(ValueError):
+        inj.inject(inj.as_kind(many, "Odd"), Lookup(words), kinds=["Odd"])
+    assert "Odd" not in kd.own()
+
+
 def label(spark, trace, **given):
     base = {f: None for f in "anomaly size start shift_from shift_to indices inserts skips acts part1 part2".split()}
     row = [(trace, tuple({**base, **given}.values()))]

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import distinct_places, draw, draw_below, order_hash, sized_text
+from .kinds import Case, Kind, own
+from .kinds import register as register_kind
 from .vocab import Lookup
 
 LABEL = (
@@ -42,10 +44,20 @@ SHORTEST = {
 }
 
 
+def register(kind: Kind) -> None:
+    """Make a caller's type known by its name (see ``kinds``)."""
+    register_kind(kind, SHORTEST)
+
+
+def shortest() -> dict[str, int]:
+    """The shortest case that each type can change, registered types included."""
+    return SHORTEST | {name: kind.shortest for name, kind in own().items()}
+
+
 def descriptor(kind: str, limits: Limits = Limits()) -> dict:
     """Type and parameters of an anomaly, as it is stored beside a generated log."""
-    if kind != "Attribute" and kind not in SHORTEST:
-        raise ValueError(f"unknown anomaly {kind!r}; known: {sorted([*SHORTEST, 'Attribute'])}")
+    if kind != "Attribute" and kind not in shortest():
+        raise ValueError(f"unknown anomaly {kind!r}; known: {sorted([*shortest(), 'Attribute'])}")
     return {"anomaly": kind, "parameters": asdict(limits)}
 
 
@@ -102,7 +114,7 @@ def inject(
 ) -> DataFrame:
     """Apply each row's ``kind``; adds ``label`` and replaces ``trace`` and ``n``.
 
-    Rows of a type outside ``kinds`` stay normal. With ``filler`` inserted and replacing events
+    Rows of a type outside ``kinds`` stay normal. ``kinds`` may name registered types. With ``filler`` inserted and replacing events
     are named ``Random activity k`` instead of being taken from the vocabulary.
     """
     kind, n = F.col("kind"), F.col("_n")
@@ -116,9 +128,9 @@ def inject(
     def part_of(divisor, limit):
         return F.least(F.expr(f"_n div {divisor}").cast("int"), F.lit(limit))
 
-    live = F.lit(False)
+    live, least = F.lit(False), shortest()
     for name in kinds:
-        live = live | ((kind == name) & (n >= SHORTEST[name]))
+        live = live | ((kind == name) & (n >= least[name]))
     df = cases.withColumn("_n", F.size("trace")).withColumn("_live", live)
 
     # Sequence types: size, then distance, then start.
@@ -146,6 +158,20 @@ def inject(
             Late=lambda: pick(n - size - dist, "start"),
         ))
 
+    # Registered types: their draws, one after the other.
+    types = [t for name, t in own().items() if name in used]
+    seen = {t.name: {} for t in types}
+
+    def case_of(t, names=None):
+        return Case(F.col("trace"), n, tuple(who), dict(seen[t.name]), names)
+
+    for at, t in enumerate(types):
+        for part, value in (t.draws or {}).items():
+            column = f"_own{at}_{part}"
+            df = df.withColumn(column, F.when(F.col("_live") & (kind == t.name), value(case_of(t))))
+            seen[t.name][part] = F.col(column)
+    naming = [t for t in types if t.num_names]
+
     # Place types: how many, where (places of the original trace), and the new names.
     nowhere = F.array().cast("array<int>")
     if used & {"Insert", "Replace", "Skip", "SkipAndInsert"}:
@@ -166,8 +192,11 @@ def inject(
         spots = distinct_places(F.sequence(F.lit(0), n - F.col("_count") - 2), F.col("_more"), *who, "place2")
         df = df.withColumn("_more", F.when(both, 1 + pick(half, "more")))
         df = df.withColumn("_places2", F.when(both, spots).otherwise(nowhere))
-    if used & {"Insert", "Replace", "SkipAndInsert"}:
+    if used & {"Insert", "Replace", "SkipAndInsert"} or naming:
         news = chosen("int", Insert__Replace=lambda: F.col("_count"), SkipAndInsert=lambda: F.col("_more"))
+        for t in naming:
+            count = t.num_names(case_of(t)).cast("int")
+            news = F.when(F.col("_live") & (kind == t.name), F.when(count > 0, count)).otherwise(news)
         drawn = F.transform(F.sequence(F.lit(1), news), lambda j: draw(*who, "name", j))
         df = df.withColumn("_draws", F.when(news.isNotNull(), drawn).otherwise(F.array().cast("array<bigint>")))
         if filler:
@@ -194,6 +223,12 @@ def inject(
         SkipAndInsert=lambda: _with_inserts(_without(t, places), places2, names),
     )
 
+    labels = {}
+    for made in types:
+        case = case_of(made, names if made.num_names else None)
+        labels[made.name] = made.label(case)
+        new_trace = F.when(kind == made.name, made.rewrite(case).cast("array<string>")).otherwise(new_trace)
+
     def after_inserts():
         return F.transform(closed_up, lambda p: p + F.size(F.filter(places2, lambda q: q < p)))
 
@@ -219,6 +254,11 @@ def inject(
         F.lit(None).cast("array<string>").alias("part1"),
         F.lit(None).cast("array<string>").alias("part2"),
     )
+    for name, values in labels.items():
+        given = F.struct(*[
+            (kind if f == "anomaly" else values.get(f, F.lit(None))).cast(as_type).alias(f) for f, as_type in label_fields(values)
+        ])
+        label = F.when(kind == name, given).otherwise(label)
     helpers = [c for c in df.columns if c.startswith("_")]
     return (
         df.withColumn("label", F.when(F.col("_live"), label).otherwise(normal_label()))
@@ -228,10 +268,18 @@ def inject(
     )
 
 
-def normal_label() -> Column:
+def label_fields(given=()) -> list[list[str]]:
+    """Names and types of a label's fields; an error if ``given`` holds another name."""
     fields = [part.split(":", 1) for part in LABEL[len("struct<"):-1].split(",")]
+    other = set(given) - {name for name, _ in fields if name != "anomaly"}
+    if other:
+        raise ValueError(f"a label has no field {sorted(other)} to be told")
+    return fields
+
+
+def normal_label() -> Column:
     return F.struct(
-        *[F.lit("normal" if name == "anomaly" else None).cast(kind).alias(name) for name, kind in fields]
+        *[F.lit("normal" if name == "anomaly" else None).cast(kind).alias(name) for name, kind in label_fields()]
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .kinds import by_own
+
 # Class codes of an event.
 CLASS_CODES = {
     "Normal Attribute": -1,
@@ -24,7 +26,7 @@ CLASS_CODES = {
 def targets(injected: DataFrame) -> DataFrame:
     """Class code per row of the matrix form (row 0 is the start symbol, row n + 1 the end).
 
-    ``code`` is the class of the activity, ``attr_code`` that of the event's attributes.
+    ``code`` is the class of the activity, ``attr_code`` that of the event's attributes. Registered types tell theirs.
     """
     l = F.col("label")
     kind, size = l["anomaly"], l["size"]
@@ -32,7 +34,7 @@ def targets(injected: DataFrame) -> DataFrame:
     def codes(row: Column) -> Column:
         i = row - 1  # position in the trace from 0
         moved = (i >= l["shift_to"]) & (i < l["shift_to"] + size)
-        return (
+        known = (
             F.when((kind == "SkipSequence") & (i == l["start"]), CLASS_CODES["Skip"])
             .when((kind == "Rework") & (i >= l["start"]) & (i < l["start"] + size), CLASS_CODES["Rework"])
             .when((kind == "Early") & moved, CLASS_CODES["Early"])
@@ -45,13 +47,17 @@ def targets(injected: DataFrame) -> DataFrame:
             .when((kind == "SkipAndInsert") & F.array_contains(l["inserts"], i), CLASS_CODES["Insert"])
             .otherwise(CLASS_CODES["Normal"])
         )
+        normal = F.lit(CLASS_CODES["Normal"])
+        return by_own(kind, lambda t: t.code and F.coalesce(t.code(l, i).cast("int"), normal), known)
 
     def attr_codes(row: Column) -> Column:
         i = row - 1
         changed = (kind.isin("Insert", "Replace") & F.array_contains(l["indices"], i)) | (
             (kind == "SkipAndInsert") & F.array_contains(l["inserts"], i)
         )
-        return F.when(changed, CLASS_CODES["Attribute"]).otherwise(CLASS_CODES["Normal"])
+        normal = F.lit(CLASS_CODES["Normal"])
+        known = F.when(changed, CLASS_CODES["Attribute"]).otherwise(normal)
+        return by_own(kind, lambda t: t.attr_code and F.coalesce(t.attr_code(l, i).cast("int"), normal), known)
 
     return injected.select(
         "case_id", "kind", "round", "label", F.explode(F.sequence(F.lit(0), F.size("trace") + 1)).alias("event_position")
@@ -86,7 +92,7 @@ def label_text(label: Column) -> Column:
     shift = F.format_string(
         "%s %d from %d to %d", kind, label["size"], label["shift_from"] + 1, label["shift_to"] + 1
     )
-    return (
+    known = (
         F.when(kind.isin("SkipSequence", "Rework"), sequence)
         .when(kind.isin("Early", "Late"), shift)
         .when(kind.isin("Replace", "Skip"), F.concat(kind, F.lit(" "), _listed(label["acts"]), F.lit(" at "), _from_one(label["indices"])))
@@ -100,6 +106,7 @@ def label_text(label: Column) -> Column:
         )
         .otherwise("Normal")
     )
+    return by_own(kind, lambda t: t.text(label) if t.text else F.lit(t.name), known)
 
 
 def attribute_label_text(cells: DataFrame) -> DataFrame:
@@ -178,4 +185,4 @@ def cause(label: Column, trace: Column) -> Column:
     )
     for name in ("SkipSequence", "Rework", "Early", "Late", "Insert"):
         out = out.when(kind == name, worded(name))
-    return out
+    return by_own(kind, lambda t: t.cause and t.cause(label, trace), out)

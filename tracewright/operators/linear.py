@@ -9,6 +9,10 @@ folded into ``WIDTH`` ones: feature f goes to f mod WIDTH, with a sign that is a
 0). Where nothing folds this is the exact model; beyond, it is the usual feature hashing, whose inner products
 are right on average.
 
+With a ``bottleneck`` of r directions W is the best such W of rank r (reduced-rank regression): X'X = V diag(l) V', so
+W = V_r diag(l / (l + n s^2)) V_r' with the r greatest l; those equal to the last of them stay too, so that no choice is left
+to rounding. With as many directions as features this is the model above.
+
 X'X is summed in tasks that hold one WIDTH x WIDTH table, then by Spark; a solve takes one such table; scores are
 computed in groups of prefixes beside the G of their length.
 """
@@ -33,6 +37,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WIDTH = 1024
 
+# Eigenvalues closer than this share of the greatest are taken as equal.
+TIED = 1e-9
+
 # Prefixes that are summed or scored by one task at a time.
 GROUP = 20_000
 
@@ -71,7 +78,18 @@ def moments(pdf: pd.DataFrame, size: int, width: int) -> pd.DataFrame:
     return pd.DataFrame({"prefix_len": pdf["prefix_len"].iloc[0], "i": i, "j": j, "c": total[i, j]})
 
 
-def solve(entries: pd.DataFrame, size: int, width: int, factor: float) -> pd.DataFrame:
+def narrowed(m: np.ndarray, ridge: float, bottleneck: int) -> tuple[np.ndarray, float]:
+    """The best W of rank ``bottleneck`` (more where eigenvalues tie), and the largest residual of the eigenvectors."""
+    values, v = np.linalg.eigh(m)
+    residual = np.abs(m @ v - v * values).max()
+    values = np.maximum(values, 0)
+    last = np.sort(values)[::-1][min(bottleneck, len(values)) - 1]
+    keep = values >= last - TIED * values.max(initial=0.0)
+    v, share = v[:, keep], values[keep] / (values[keep] + ridge)
+    return (v * share) @ v.T, residual
+
+
+def solve(entries: pd.DataFrame, size: int, width: int, factor: float, bottleneck: int | None = None) -> pd.DataFrame:
     """Rows of G of one length, with the largest residual of the solved equations as a share of n."""
     k, n = int(entries["prefix_len"].iloc[0]), float(entries["n_fit"].iloc[0])
     d = min(k * size, width)
@@ -80,9 +98,13 @@ def solve(entries: pd.DataFrame, size: int, width: int, factor: float) -> pd.Dat
     m = m + np.triu(m, 1).T
     sigma = min(factor, 0.3 / max(1.0, k / 3))
     left = m + n * sigma**2 * np.eye(d)
-    w = np.linalg.solve(left, m)
+    if bottleneck is None:
+        w = np.linalg.solve(left, m)
+        residual = np.abs(left @ w - m).max()
+    else:
+        w, residual = narrowed(m, n * sigma**2, bottleneck)
     r = np.eye(d) - w
-    return pd.DataFrame({"prefix_len": k, "dim": d, "i": np.arange(d), "g": list(r.T @ r), "residual": np.abs(left @ w - m).max() / n})
+    return pd.DataFrame({"prefix_len": k, "dim": d, "i": np.arange(d), "g": list(r.T @ r), "residual": residual / n})
 
 
 def errors(rows: pd.DataFrame, form: pd.DataFrame, size: int, width: int) -> pd.DataFrame:
@@ -145,9 +167,14 @@ def salted(lengths: DataFrame) -> DataFrame:
 
 def linear_model(
     train: DataFrame, cuts: DataFrame, vocabulary: DataFrame, factor: float = 0.3, width: int = WIDTH,
-    vectors: DataFrame | None = None, vector_size: int = 32,
+    vectors: DataFrame | None = None, vector_size: int = 32, bottleneck: int | None = None,
 ) -> LinearModel:
-    """Fit all prefix lengths. With ``vectors`` (activity, vec) events are embedded instead of one-hot encoded."""
+    """Fit all prefix lengths. With ``vectors`` (activity, vec) events are embedded instead of one-hot encoded.
+
+    ``bottleneck``: directions that W may use, at least one; all of them if None.
+    """
+    if bottleneck is not None and bottleneck < 1:
+        raise ValueError("a bottleneck has at least one direction")
     if vectors is None:
         size, unknown = vocabulary.count(), F.lit(-1).cast("bigint")
         codes = vocabulary.select("activity", F.col("idx").alias("code"))
@@ -166,6 +193,6 @@ def linear_model(
     )
     # A group has at most WIDTH^2 / 2 rows.
     form = entries.groupBy("prefix_len").applyInPandas(
-        lambda pdf: solve(pdf, size, width, factor), "prefix_len int, dim int, i int, g array<double>, residual double"
+        lambda pdf: solve(pdf, size, width, factor, bottleneck), "prefix_len int, dim int, i int, g array<double>, residual double"
     )
     return LinearModel(settle(form), codes, unknown, size, "onehot" if vectors is None else "word2vec", width)

@@ -11,8 +11,10 @@ from ..functions import text as tx
 from ..functions.draws import draw_below
 from ..operators import dataset as ds
 from ..operators import detect as dt
+from ..operators import embeddings as em
 from ..operators import graph as g
 from ..operators import inject as inj
+from ..operators import kinds as ks
 from ..operators import labels as lb
 from ..operators import log as lg
 from ..operators import metrics as me
@@ -323,6 +325,34 @@ def w2v_encode(s, d):
     return px.embed(run.test, px.word_vectors(run.train)).select("case_id", F.size("vector").alias("dim"), total.alias("total"))
 
 
+@query
+def pmi(s, d):
+    run = Run(tb.labelled_sessions(s, d))
+    return em.mutual_information(run.train).withColumn("value", F.round("value", 9))
+
+
+@query
+def pmi_factors(s, d):
+    """The table of mutual information put together again from its factors."""
+    run = Run(tb.labelled_sessions(s, d))
+    table = settle(em.mutual_information(run.train))
+    found, values = em.factors(table)
+    weights = F.array(*[F.lit(float(v)) for v in values])
+    pairs = table.join(found, "activity").join(found.select(F.col("activity").alias("near"), F.col("u").alias("v")), "near")
+    parts = F.zip_with(F.zip_with("u", "v", lambda x, y: x * y), weights, lambda x, w: x * w)
+    return pairs.select("activity", "near", F.round(F.aggregate(parts, F.lit(0.0), lambda t, x: t + x), 6).alias("value"))
+
+
+@query
+def model_bottleneck(s, d):
+    """The linear model with three directions for each length; for single events its trace has a closed form."""
+    r = run(s, d, model_kind="linear", bottleneck=3)
+    own = F.when(F.col("prefix_len") == 1, F.element_at("g", F.col("i") + 1))
+    return r.model.form.groupBy("prefix_len", "dim").agg(
+        F.round(F.max("residual"), 6).alias("residual"), F.round(F.sum(own), 6).alias("trace"), F.count("*").alias("num_rows")
+    )
+
+
 # --- prefix anomaly detection --------------------------------------------------------------
 
 def run(s, d, **kw) -> Run:
@@ -556,6 +586,29 @@ def targets(s, d):
     return lb.targets(all_kinds(s, d))
 
 
+def own_kinds_swept(s, d) -> DataFrame:
+    return inj.sweep(tb.session_cases(s, d), tb.words(s, d), 2, ["Insert", "Swap", "Append"])
+
+
+@query
+def own_kinds(s, d):
+    """A sweep of two registered types beside one of the library's, with texts and causes."""
+    l = F.col("label")
+    with ks.registered(tb.SWAP, tb.APPEND):
+        told = own_kinds_swept(s, d).withColumns({"label_text": lb.label_text(l), "cause": lb.cause(l, F.col("trace"))})
+        return told.select(
+            "case_id", "kind", "round", joined("trace").alias("trace"), l["anomaly"].alias("anomaly"), l["size"].alias("size"),
+            l["start"].alias("start"), ints(l["indices"]).alias("indices"), joined(l["acts"]).alias("acts"),
+            "label_text", "cause",
+        )
+
+
+@query
+def own_targets(s, d):
+    with ks.registered(tb.SWAP, tb.APPEND):
+        return lb.targets(own_kinds_swept(s, d))
+
+
 @query
 def descriptors(s, d):
     """How often each type changed a case, beside the type's descriptor."""

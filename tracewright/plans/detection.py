@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detect as d
 from ..operators import metrics as m
+from ..operators.embeddings import learnt_vectors
 from ..operators.linear import linear_model
 from ..operators.prefixes import split, word_vectors
 from ..operators.vocab import vocabulary
@@ -31,6 +32,8 @@ class Run:
     encoding: str = "onehot"
     model_kind: str = "frequency"
     run: int = 1
+    bottleneck: int | None = None  # directions of the linear model, all of them if None
+    embedding: str = "hashed"  # or "learnt"
     keys: tuple = ()  # columns of labelled that tell logs and runs apart; with ``run`` among them it names the split
 
     def __post_init__(self):
@@ -38,8 +41,12 @@ class Run:
             raise ValueError(f"unsupported encoding {self.encoding!r}")
         if self.model_kind not in ("frequency", "linear"):
             raise ValueError(f"unknown model {self.model_kind!r}")
+        if self.embedding not in ("hashed", "learnt"):
+            raise ValueError(f"unknown embedding {self.embedding!r}")
         if self.encoding == "word2vec":
             self.model_kind = "linear"
+        if self.bottleneck is not None and self.model_kind != "linear":
+            raise ValueError("only the linear model has a bottleneck")
         if self.keys and self.model_kind != "frequency":
             raise ValueError("only the frequency model is fitted for several logs at once")
 
@@ -72,8 +79,9 @@ class Run:
     def model(self):
         if self.model_kind == "frequency":
             return d.frequency_model(self.train, self.cuts, self.vocabulary, self.keys)
-        vectors = word_vectors(self.train) if self.encoding == "word2vec" else None
-        return linear_model(self.train, self.cuts, self.vocabulary, vectors=vectors)
+        embedded = learnt_vectors if self.embedding == "learnt" else word_vectors
+        vectors = embedded(self.train) if self.encoding == "word2vec" else None
+        return linear_model(self.train, self.cuts, self.vocabulary, vectors=vectors, bottleneck=self.bottleneck)
 
     @cached_property
     def errors(self) -> DataFrame:

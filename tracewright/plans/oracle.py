@@ -276,6 +276,32 @@ said AS (SELECT *, CASE anomaly
 """
 put("cause", *SWEPT, CAUSE, select="SELECT case_id, kind, round, cause FROM said WHERE anomaly <> 'normal'")
 
+# Registered types: neighbours that change places, and drawn names behind the end.
+OWN = [LOG, VOC, grid(["Insert"], 2), inject("src0"), f"""
+own0 AS (SELECT case_id, t, n, kind, round, {pick('n - 1', 'at')} AS spot, 1 + {pick('2', 'count')} AS m
+    FROM cs, (VALUES ('Swap', 1), ('Append', 1), ('Swap', 2), ('Append', 2)) o(kind, round)),
+own1 AS (SELECT *, [names[x % len(names) + 1] for x in [{d(*WHO, q('name'), 'j')} for j in range(1, m + 1)]] AS nm FROM own0, voc),
+own2 AS (SELECT case_id, kind, round, CASE WHEN kind = 'Append' THEN t || nm WHEN n < 2 THEN t
+        ELSE t[:spot] || [t[spot + 2], t[spot + 1]] || t[spot + 3:] END AS t,
+    CASE WHEN kind = 'Append' THEN 'Append' WHEN n < 2 THEN 'normal' ELSE 'Swap' END AS anomaly,
+    CASE WHEN kind = 'Append' THEN m WHEN n >= 2 THEN 2 END AS size, CASE WHEN kind = 'Swap' AND n >= 2 THEN spot END AS start,
+    CASE WHEN kind = 'Append' THEN range(n, n + m) END AS indices,
+    CASE WHEN kind = 'Append' THEN nm WHEN n >= 2 THEN t[spot + 1:spot + 2] END AS acts FROM own1),
+every AS (SELECT case_id, kind, round, t, anomaly, sz AS size, start, indices, acts FROM inj UNION ALL SELECT * FROM own2)
+"""]
+put("own_kinds", *OWN, select=f"""SELECT case_id, kind, round, {text('t')} AS trace, anomaly, size, start,
+    array_to_string(indices::VARCHAR[], ',') AS indices, array_to_string(acts, ',') AS acts,
+    CASE anomaly WHEN 'Swap' THEN 'Swap ' || {text('acts', ', ')} || ' at ' || (start + 1) WHEN 'Append' THEN 'Append'
+    WHEN 'Insert' THEN 'Insert at ' || {plus_one('indices')} ELSE 'Normal' END AS label_text,
+    CASE WHEN anomaly = 'Swap' THEN 'The activities ''' || acts[1] || ''' and ''' || acts[2] || ''' are swapped.'
+    WHEN anomaly = 'Insert' AND len(indices) = 1 THEN 'The activity ''' || t[indices[1] + 1] || ''' should not be executed.'
+    WHEN anomaly = 'Insert' THEN 'The activities ''' || array_to_string([t[p + 1] for p in indices[:len(indices) - 1]], ''',''')
+        || ''' and ''' || t[indices[len(indices)] + 1] || ''' should not be executed.' END AS cause FROM every""")
+put("own_targets", *OWN, "cell AS (SELECT *, event_position - 1 AS i FROM (SELECT *, unnest(range(0, len(t) + 2)) AS event_position FROM every))",
+    select="""SELECT case_id, kind, round, event_position,
+    CASE WHEN anomaly = 'Swap' AND i BETWEEN start AND start + 1 THEN 7 WHEN anomaly IN ('Insert', 'Append') AND list_contains(indices, i) THEN 2 ELSE 0 END AS code,
+    CASE WHEN anomaly IN ('Insert', 'Append') AND list_contains(indices, i) THEN 9 ELSE 0 END AS attr_code FROM cell""")
+
 # Attribute cells.
 CELLS = f"""
 at0 AS (SELECT case_id, n, 1 + {below('least(n, 2)', 'case_id', q('cells'))} AS m FROM cs),
@@ -388,6 +414,13 @@ put("w2v_vocab", *VECTORS, select="SELECT activity, entry, value FROM vec")
 put("w2v_encode", *VECTORS, """sv AS (SELECT activity, sum(value) AS value FROM vec GROUP BY activity),
     te AS (SELECT case_id, n, unnest(t) AS activity FROM tst WHERE n > 0)""",
     select="SELECT case_id, any_value(32 * n) AS dim, round(coalesce(sum(value), 0), 6) AS total FROM te LEFT JOIN sv ON sv.activity = te.activity GROUP BY case_id")
+PMI = """nc AS (SELECT activity, near, count(*) AS c FROM nb WHERE activity IS NOT NULL AND near IS NOT NULL GROUP BY ALL),
+    ns AS (SELECT activity, sum(c) AS s FROM nc GROUP BY activity),
+    pmi AS (SELECT nc.activity, near, ln(c::DOUBLE * (SELECT sum(c) FROM nc)::DOUBLE / (a.s::DOUBLE * b.s::DOUBLE)) AS value
+        FROM nc JOIN ns a ON a.activity = nc.activity JOIN ns b ON b.activity = nc.near)"""
+put("pmi", *VECTORS, PMI, select="SELECT activity, near, round(value, 9) AS value FROM pmi WHERE value > 0")
+# With no more activities than directions the factors give the table back.
+put("pmi_factors", *VECTORS, PMI, select="SELECT activity, near, round(value, 6) AS value FROM pmi WHERE value > 0")
 put("noise", LOG, select="SELECT DISTINCT n AS prefix_len, round(least(0.3::DOUBLE, 0.3::DOUBLE / greatest(1.0, n / 3.0::DOUBLE)), 12) AS noise FROM cs")
 
 MODEL = [
@@ -447,6 +480,13 @@ put("model_linear", *MODEL, """cl AS (SELECT sum(pow(1 - coalesce(c, 0)::DOUBLE
     sz AS (SELECT count(*) AS v FROM tv)""",
     select="""SELECT k AS prefix_len, least(k * v, 1024) AS dim, 0.0::DOUBLE AS residual, CASE WHEN k = 1 THEN round(tr, 6) END AS trace, least(k * v, 1024) AS num_rows
     FROM nrm, sz, cl""")
+# The moments of single events are diagonal: directions are activities, the three most frequent and those as frequent as the third.
+put("model_bottleneck", *MODEL, """ac AS (SELECT coalesce(c, 0) AS c, nf FROM tv CROSS JOIN (SELECT nf FROM nrm WHERE k = 1) LEFT JOIN cnt ON cnt.k = 1 AND cnt.activity = tv.activity),
+    rk AS (SELECT *, rank() OVER (ORDER BY c DESC) AS r FROM ac),
+    cl AS (SELECT sum(pow(1 - CASE WHEN r <= 3 THEN c::DOUBLE / (c + nf * 0.3::DOUBLE * 0.3::DOUBLE) ELSE 0 END, 2)) AS tr FROM rk),
+    sz AS (SELECT count(*) AS v FROM tv)""",
+    select="""SELECT k AS prefix_len, least(k * v, 1024) AS dim, 0.0::DOUBLE AS residual, CASE WHEN k = 1 THEN round(tr, 6) END AS trace, least(k * v, 1024) AS num_rows
+    FROM nrm, sz, cl""")
 put("val_tail", *MODEL, select="SELECT case_id, k AS prefix_len, tail AS in_tail FROM smp")
 put("scores_freq", *ERRORS, select="SELECT k AS prefix_len, score, tail AS in_tail, label, w FROM er")
 put("thresholds", *THRESHOLDS, select="SELECT prefix_len, p, threshold FROM cand")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import draw, draw_below
 from ..operators import inject as inj
+from ..operators.kinds import Kind
+from ..operators.labels import CLASS_CODES
 from ..operators.log import case_log, cases, sessions
 from ..operators.vocab import Lookup, vocabulary
 from ..session import scratch, settle
@@ -297,3 +299,22 @@ def event_stream(spark, sf_dir, labelled: DataFrame) -> DataFrame:
     path = scratch(spark, "stream")
     rows.repartition(32, "case_id", "pos").write.option("maxRecordsPerFile", 1_000_000).parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 16).parquet(path)
+
+
+#: Two types of our own: neighbours that change places, and drawn activities behind the end.
+SWAP = Kind(
+    "Swap", 2, draws={"at": lambda c: c.below(c.n - 1, "at")},
+    rewrite=lambda c: F.concat(
+        F.slice(c.trace, 1, c.drawn["at"]), F.reverse(F.slice(c.trace, c.drawn["at"] + 1, 2)), F.slice(c.trace, c.drawn["at"] + 3, c.n)
+    ),
+    label=lambda c: {"start": c.drawn["at"], "size": F.lit(2), "acts": F.slice(c.trace, c.drawn["at"] + 1, 2)},
+    code=lambda l, i: F.when((i >= l["start"]) & (i < l["start"] + 2), CLASS_CODES["Shift"]),
+    text=lambda l: F.concat(F.lit("Swap "), F.array_join(l["acts"], ", "), F.lit(" at "), (l["start"] + 1).cast("string")),
+    cause=lambda l, trace: F.format_string("The activities '%s' and '%s' are swapped.", l["acts"][0], l["acts"][1]),
+)
+APPEND = Kind(
+    "Append", 1, num_names=lambda c: 1 + c.below(2, "count"), rewrite=lambda c: F.concat(c.trace, c.names),
+    label=lambda c: {"size": F.size(c.names), "indices": F.sequence(c.n, c.n + F.size(c.names) - 1), "acts": c.names},
+    code=lambda l, i: F.when(F.array_contains(l["indices"], i), CLASS_CODES["Insert"]),
+    attr_code=lambda l, i: F.when(F.array_contains(l["indices"], i), CLASS_CODES["Attribute"]),
+)
