@@ -281,6 +281,45 @@ def test_few_or_no_neighbours(spark):
     assert nearest.search(base.where("vec_id = 0"), base.where("vec_id = 0")).count() == 0
 
 
+def test_repeated_queries_and_ids(spark):
+    """A repeated row is one query; an id with two vectors is two."""
+    base = spark.createDataFrame([(k, [float(np.cos(k)), float(np.sin(k))]) for k in range(40)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(100, [1.0, 0.0]), (100, [1.0, 0.0]), (101, [1.0, 0.0]), (101, [0.0, 1.0])], base.schema)
+    got = nearest.search(base.union(base.where("vec_id = 0")), asked, 4).collect()
+    near = lambda x, y: sorted(range(40), key=lambda k: (-(x * np.cos(k) + y * np.sin(k)), k))
+    east, north = [0, 0, *near(1, 0)[1:3]], near(0, 1)[:4]
+    rows = lambda q: sorted((r["rank"], r.vec_id) for r in got if r.query_id == q)
+    assert rows(100) == list(zip(range(1, 5), east))
+    assert rows(101) == sorted([*zip(range(1, 5), east), *zip(range(1, 5), north)])
+
+
+def test_warc_repeated_fields_lengths_and_broken_files(spark, tmp_path):
+    def record(block, length=None):
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: {len(block) if length is None else length}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    cookies = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1, b\r\nset-cookie: c=2\r\nVary: x\r\nVary: y\r\nContent-Type: text/html\r\n\r\n<p>one</p>"
+    rows = [(1, record(cookies)), (2, record(cookies, -7))]
+    got = {(r.key, r.warc_type): r for r in warc.derivatives(spark.createDataFrame(rows, "key long, record binary"), "key").collect()}
+    one = got[1, "conversion"]
+    assert one.block == "one" and one.http_headers["set-cookie"] == "a=1, b\nc=2" and one.http_headers["vary"] == "x, y"
+    assert got[2, None].error == "negative length" and len(got) == 3
+    whole = [record(b"HTTP/1.1 200 OK\r\n\r\n" + bytes(str(k), "ascii") * 5000) for k in range(30)]
+    packed = b"".join(gzip.compress(x) for x in whole)
+    (tmp_path / "a.warc.gz").write_bytes(packed)
+    (tmp_path / "b.warc").write_bytes(b"".join(whole))
+    (tmp_path / "c.warc.gz").write_bytes(packed[:-30])
+    (tmp_path / "d.warc").write_bytes(b"".join(whole)[:-200])
+    (tmp_path / "e.warc").write_bytes(b"")
+    by = {}
+    for r in warc.read_warc(spark, str(tmp_path)).collect():
+        by.setdefault(r.path.split("/")[-1][0], []).append(bytes(r.record))
+    assert by["a"] == by["b"] == whole and "e" not in by
+    assert by["c"][:29] == by["d"][:29] == whole[:29] and len(by["c"]) in (29, 30) and len(by["d"]) == 30
+    cut = spark.createDataFrame([(k, by["d"][k]) for k in (0, 29)], "key long, record binary")
+    assert {(r.key, r.error) for r in warc.derivatives(cut, "key").collect()} == {(0, None), (29, "record is cut off")}
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a.example/x", "<html><head><title>T &amp; U</title></head><body><p>One<br>two <a href='/l'>link</a></p><script>x</script>é"), (2, None, None), (3, "http://b.example/", ""), (1, "http://a.example/x", "<p>again</p>"), (4, "u", "word " * 300000)]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, record string")

@@ -96,7 +96,8 @@ def search(base: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_i
 
     A row is no candidate of a query of the same id. Vectors that are null, empty, zero, hold a null or a non-finite
     component, or have no id take no part, nor do those of another size than most. Fewer candidates than k give
-    all of them. A repeated row is a candidate as often as it stands. Other columns are not looked at.
+    all of them. A repeated row is a candidate as often as it stands, but one query; an id with several vectors is a query
+    for each, with ranks of its own. Other columns are not looked at.
     """
     spark = base.sparkSession
     ok = F.expr("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
@@ -107,7 +108,7 @@ def search(base: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_i
     if sizes is None:
         return spark.createDataFrame([], shape)
     size, n = sizes.s, sizes.n
-    rows, asked = rows.where(F.size("v") == size), usable(queries).where(F.size("v") == size)
+    rows, asked = rows.where(F.size("v") == size), usable(queries).where(F.size("v") == size).distinct()
 
     share = F.pmod(F.xxhash64("id", F.lit("centres")), F.lit(1 << 20))
     got = rows.where(share < int((1 << 20) * min(1.0, SAMPLE / n)) + 1).orderBy("id").select("v").toArrow()
@@ -162,12 +163,12 @@ def search(base: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_i
     candidates = indexed.mapInPandas(spread, "id long, v array<double>, list int, block long, crew long")
     crews = F.array(*[F.lit(int(x)) for x in turns.value[1]])
     crew = F.pmod(F.xxhash64("id", "list"), F.greatest(F.element_at(crews, F.col("list") + 1), F.lit(1)).cast("long"))
-    askers = probe.withColumn("crew", crew).select("id", "v", "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "crew")
+    askers = probe.withColumn("crew", crew).select("id", F.xxhash64("id", "v").alias("ask"), "v", "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "crew")
 
     def compared(key, left, right):
         turn, _ = shared.value
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "ask": [], "vec_id": [], "score": []})
         q_raw, x_raw = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
         q, x, ids = unit(q_raw) @ turn.T, unit(x_raw) @ turn.T, right["id"].to_numpy()
         own = left["id"].to_numpy()
@@ -176,9 +177,9 @@ def search(base: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_i
         order = np.lexsort((ids[j], -score, i))
         i, j, score = i[order], j[order], score[order]
         top = np.arange(len(i)) - np.searchsorted(i, i) < k
-        return pd.DataFrame({"query_id": own[i[top]], "vec_id": ids[j[top]], "score": score[top]})
+        return pd.DataFrame({"query_id": own[i[top]], "ask": left["ask"].to_numpy()[i[top]], "vec_id": ids[j[top]], "score": score[top]})
 
     keys = ["list", "block", "crew"]
-    best = askers.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(compared, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = askers.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(compared, "query_id long, ask long, vec_id long, score double")
+    w = Window.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

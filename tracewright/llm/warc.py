@@ -13,6 +13,7 @@ import base64
 import gzip
 import hashlib
 import html
+import io
 import re
 import uuid
 import zlib
@@ -80,6 +81,8 @@ def parsed(record: bytes) -> tuple[dict[str, str], bytes]:
         raise ValueError("no WARC record")
     fields = {k.lower(): v for k, v in fields_of(more)}
     length = int(fields.get("content-length", len(rest)))
+    if length < 0:
+        raise ValueError("negative length")
     if length > len(rest):
         raise ValueError("record is cut off")
     return fields, rest[:length]
@@ -94,6 +97,15 @@ def http(block: bytes) -> tuple[int | None, list[tuple[str, str]], bytes]:
     return (int(status[1]) if status else None), fields_of(more), body
 
 
+def by_name(header: list[tuple[str, str]]) -> dict[str, str]:
+    """Header fields by lower-case name; repeated ones as one list with commas, cookies with line feeds, as they hold commas."""
+    out: dict[str, str] = {}
+    for k, v in header:
+        k = k.lower()
+        out[k] = v if k not in out else ("\n" if k == "set-cookie" else ", ").join((out[k], v))
+    return out
+
+
 def decoded(body: bytes, headers: dict[str, str]) -> str:
     """The body as text: unchunked, unpacked, and read in its character set (UTF-8 if none is known)."""
     if headers.get("transfer-encoding", "").lower() == "chunked":
@@ -177,7 +189,7 @@ def derived(record: bytes | None) -> list[dict]:
         row = {
             "warc_type": kind, "record_id": identifier(kind, source, uri or "", payload), "refers_to": source, "target_uri": uri, "date": date,
             "content_type": content_type, "payload_digest": payload, "block_digest": digest(raw), "http_status": status,
-            "http_headers": list(headers.items()), "block": raw.decode(),
+            "http_headers": list(by_name(header).items()), "block": raw.decode(),
         }
         row["record"] = written(
             [
@@ -237,23 +249,43 @@ def derivatives(records: DataFrame, key: str, record: str = "record") -> DataFra
     return slim.mapInArrow(derive, f"key {key_type}, {DERIVED}").withColumnRenamed("key", key)
 
 
+def members(stream):
+    """The records of an unpacked WARC stream, one at a time. A file that breaks off gives its whole records and what is left of the last."""
+    while True:
+        record = b""
+        try:
+            while line := stream.readline():
+                if record or line.strip():
+                    record += line
+                if record and not line.strip():
+                    break
+            length = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", record)
+            # What can be read is kept if the rest can't.
+            record += stream.read(int(length[1]) if length else 0)
+            record += stream.read(4)
+        except (OSError, EOFError, zlib.error):
+            if record:
+                yield record
+            return
+        if not record:
+            return
+        yield record
+
+
 def read_warc(spark, path: str) -> DataFrame:
-    """(path, record): the records of gzipped or plain WARC files. A file is one row of Spark's binary source, so it has to fit
-    into a task's memory, as WARC files (about 1 GB by convention) do; its records become rows at once."""
+    """(path, record): the records of gzipped or plain WARC files.
+
+    A file is one row of Spark's binary source, so its bytes as stored (about 1 GB by convention, at most 2) lie in a task; they are
+    unpacked as a stream, a record at a time. Damaged ends give a last record that ``derivatives`` tells as an error.
+    """
 
     def split(batches):
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                raw = content.as_py()
-                raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
-                at = 0
-                while at < len(raw):
-                    end = raw.find(b"\r\n\r\n", at)
-                    if end < 0:
-                        break
-                    n = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", raw[at:end])
-                    stop = end + 4 + int(n[1] if n else 0) + 4
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([raw[at:stop]], pa.binary())], names=["path", "record"])
-                    at = stop
+                stored = pa.BufferReader(content.as_buffer())
+                packed = stored.read(2) == b"\x1f\x8b"
+                stored.seek(0)
+                for record in members(gzip.GzipFile(fileobj=stored) if packed else io.BufferedReader(stored)):
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([record], pa.binary())], names=["path", "record"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(split, "path string, record binary")
