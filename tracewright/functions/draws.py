@@ -17,8 +17,9 @@ def _text(keys) -> Column:
 
 
 def sized_text(names: Column) -> Column:
-    """An array of texts as one text that no other array gives: each entry after its length."""
-    return F.array_join(F.transform(names, lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)), "")
+    """An array of texts as one text that no other array gives: each entry after its length, a null as a dash."""
+    entry = lambda x: F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-"))
+    return F.array_join(F.transform(names, entry), "")
 
 
 def order_hash(*keys) -> Column:
