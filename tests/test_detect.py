@@ -202,3 +202,65 @@ def test_padding(spark):
 def test_wrong_arguments(spark):
     with pytest.raises(ValueError):
         Run(None, encoding="bytes")
+
+
+def test_prefix_tree_equals_brute_force(spark):
+    rng = np.random.default_rng(11)
+    traces = [tuple(rng.choice(["a", "b", None], rng.integers(0, 7))) for _ in range(60)] * 2 + [("a",) * 200]
+    rows = [("xy"[i % 2], f"c{i}" if i % 7 else None, len(t), list(t)) for i, t in enumerate(traces)]
+    cases = spark.createDataFrame(rows, "log string, case_id string, n int, trace array<string>")
+    want = {}
+    for log, _, n, t in rows:
+        for k in range(1, n + 1):
+            at = want.setdefault((log, tuple(t[:k])), [0, 0])
+            at[0] += 1
+            at[1] += k == n
+    children = {}
+    for log, p in want:
+        children[log, p[:-1]] = children.get((log, p[:-1]), 0) + 1
+    got = {(r.log, r.node): r for r in dt.prefix_tree(cases, ["log"]).collect()}
+
+    def path(r):
+        return (*(path(got[r.log, r.parent]) if r.parent else ()), r.activity)
+
+    told = {(r.log, path(r)): [r.cases, r.ends, r.children] for r in got.values()}
+    assert told == {key: [*v, children.get(key, 0)] for key, v in want.items()}
+    assert all(r.depth == len(path(r)) for r in got.values())
+    assert dt.prefix_tree(cases.where("n = 0"), ["log"]).isEmpty()
+
+
+def test_changes_of_counts_equal_counts_per_length(spark):
+    """Repeated case ids, null activities and lengths, many of them with a cut of their own."""
+    rng = np.random.default_rng(5)
+    traces = [list(rng.choice(["a", "b", "c", None], rng.integers(1, 30), p=[0.4, 0.3, 0.2, 0.1])) for _ in range(120)]
+    train = flagged(spark, [(t, 0) for t in traces]).withColumn("case_id", F.when(F.col("case_id") < "c110", F.col("case_id")))
+    cuts = dt.tail_cuts(train)
+    cut = {r.prefix_len: r.cut for r in cuts.collect()}
+    rows = train.select("trace", dt.sample_hash().alias("h")).collect()
+    want = {}
+    for r in rows:
+        for k in range(1, len(r.trace) + 1):
+            if k in cut and r.h <= cut[k]:
+                for p in range(k):
+                    key = k, p + 1, r.trace[p]
+                    want[key] = want.get(key, 0) + 1
+    words = train.select(F.explode("trace").alias("activity")).where("activity is not null").distinct()
+    model = dt.frequency_model(train, cuts, words)
+    assert {(r.prefix_len, r.pos, r.activity): r.c for r in model.counts.collect()} == want
+    squares = {}
+    for (k, _, _), c in want.items():
+        squares[k] = squares.get(k, 0) + c * c
+    assert {r.prefix_len: int(r.squares) for r in model.norms.collect() if r.squares} == squares
+    fit = {r.prefix_len: r.n_fit for r in model.norms.collect()}
+    odd = flagged(spark, [(["a", "z", "b", None] * 9, 1), (["a", "z"], 1), (["a"], 1), ([], 1)])
+    variants = dt.variant_table(odd.select("case_id", "n", "trace", "flags").unionByName(train.select("case_id", "n", "trace", "flags")))
+    texts = {r.tid: r.trace for r in variants.collect()}
+    got = {(r.tid, r.prefix_len): r.score for r in model.score(variants).collect()}
+    assert len(got) == sum(min(len(t), max(fit)) for t in texts.values())
+    for (tid, k), score in got.items():
+        t = texts[tid][:k]
+        hits = sum(want.get((k, p + 1, a), 0) for p, a in enumerate(t) if a is not None)
+        known = sum(a in ("a", "b", "c") for a in t)
+        assert score == pytest.approx((known + squares[k] / fit[k] ** 2 - 2 * hits / fit[k]) / (3 * k), abs=2e-9)
+    whole = {r.tid: r.score for r in model.score_whole(variants).collect()}
+    assert whole == {tid: got[tid, len(t)] for tid, t in texts.items() if (tid, len(t)) in got}

@@ -14,6 +14,7 @@ worked as if it were alone, in one plan for all.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,26 +82,43 @@ def samples(train: DataFrame, cuts: DataFrame, *keep: str | Column, keys=()) ->
     )
 
 
-def position_counts(train: DataFrame, cuts: DataFrame, keys=()) -> DataFrame:
-    """MODEL: ``keys, prefix_len, pos, activity, c`` over the training samples before the tail.
+def position_runs(train: DataFrame, cuts: DataFrame, keys=()) -> DataFrame:
+    """MODEL: ``keys, pos, activity, since, until, c, d`` over the training samples before the tail.
 
-    Counted per case length first and then summed over all longer cases; the tenth of the
-    samples in the tail is taken off again, so only that tenth is spread into its prefixes.
+    ``c`` samples of each prefix length from ``since`` to ``until`` have the activity at ``pos``; ``d`` is how many more
+    these are than at the length before. A count changes only where a case ends or goes into or out of the tail, so there
+    is a row for each change, not for each length. The tenth of the samples in the tail is taken off again.
     """
-    events = train.select(*keys, "n", F.posexplode("trace").alias("p", "activity")).groupBy(*keys, "n", "p", "activity").agg(F.count("*").alias("c"))
-    lengths = cuts.select(*keys, "prefix_len")
-    whole = over_longer(events, [*keys, "p", "activity"], F.col("p")).join(lengths, [*keys, "prefix_len"], "left_semi")
-    tail = (
-        samples(train, cuts, "trace", keys=keys).where("in_tail")
-        .select(*keys, "prefix_len", F.posexplode(F.slice("trace", 1, F.col("prefix_len"))).alias("p", "activity"))
-        .groupBy(*keys, "prefix_len", "p", "activity").agg((-F.count("*")).alias("c"))
+    change = lambda k, d: F.struct(k.cast("int").alias("since"), d.cast("bigint").alias("d"))
+    place = [*keys, "pos", "activity"]
+    ended = (
+        train.select(*keys, "n", F.posexplode("trace").alias("p", "activity"))
+        .groupBy(*keys, "n", "p", "activity").agg(F.count("*").alias("c")).withColumn("pos", F.col("p") + 1)
+        .select(*place, F.explode(F.array(change(F.col("pos"), F.col("c")), change(F.col("n") + 1, -F.col("c")))).alias("x"))
     )
-    return (
-        whole.select(*keys, "prefix_len", "p", "activity", "c").unionByName(tail)
-        .groupBy(*keys, "prefix_len", "p", "activity").agg(F.sum("c").alias("c"))
-        .where(F.col("c") > 0)
-        .select(*keys, "prefix_len", (F.col("p") + 1).alias("pos"), "activity", "c")
+    # Lengths at which a sample is in the tail, as stretches of consecutive ones.
+    hashed = train.where(F.col("n") > 0).select(*keys, "n", "trace", sample_hash().alias("h"))
+    within = Window.partitionBy(*keys, "h").orderBy("prefix_len")
+    stretches = (
+        hashed.groupBy(*keys, "h").agg(F.max("n").alias("n"))
+        .select(*keys, "h", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("prefix_len"))
+        .join(cuts.select(*keys, "prefix_len", "cut"), [*keys, "prefix_len"]).where(F.col("h") > F.col("cut"))
+        .withColumn("_island", F.col("prefix_len") - F.row_number().over(within))
+        .groupBy(*keys, "h", "_island").agg(F.min("prefix_len").alias("k1"), F.max("prefix_len").alias("k2"))
     )
+    last = F.least("k2", "n")
+    tail = (
+        hashed.join(stretches, [*keys, "h"]).where(F.col("k1") <= F.col("n"))
+        .select(*keys, "k1", last.alias("k2"), F.posexplode(F.slice("trace", F.lit(1), last)).alias("p", "activity"))
+        .withColumn("pos", F.col("p") + 1)
+        .select(*place, F.explode(F.array(change(F.greatest("k1", "pos"), F.lit(-1)), change(F.col("k2") + 1, F.lit(1)))).alias("x"))
+    )
+    changes = ended.unionByName(tail).groupBy(*place, "x.since").agg(F.sum("x.d").alias("d")).where(F.col("d") != 0)
+    along = Window.partitionBy(*place).orderBy("since")
+    runs = changes.withColumn("c", F.sum("d").over(along)).withColumn("until", F.lead("since").over(along) - 1)
+    # Behind the last length with a model nothing is taken off, and nothing is asked for.
+    lengths = cuts.select(*keys, F.col("prefix_len").alias("since"))
+    return runs.join(lengths, [*keys, "since"], "left_semi").select(*place, "since", "until", "c", "d")
 
 
 def with_tid(cases: DataFrame) -> DataFrame:
@@ -113,44 +131,108 @@ def variant_table(cases: DataFrame, keys=()) -> DataFrame:
     return with_tid(cases).groupBy(*keys, "tid").agg(F.any_value("trace").alias("trace"), F.any_value("n").alias("n"))
 
 
+def prefix_paths(variants: DataFrame, keys=(), keep=()) -> DataFrame:
+    """``keys, tid, n, keep, pos, activity, node``: the way of every variant down the tree of prefixes.
+
+    ``node`` is 128 bits of hash of the events so far: equal for variants that share the prefix. The hash of an event is
+    that of its place and activity, and a node is the exclusive or of them, so it is told along the trace in one pass.
+    """
+    down = Window.partitionBy(*keys, "tid").orderBy("pos")
+    half = lambda seed: F.lpad(F.hex(F.bit_xor(F.xxhash64(F.lit(seed), "pos", "activity", F.isnull("activity"))).over(down)), 16, "0")
+    events = variants.select(*keys, "tid", "n", *keep, F.posexplode("trace").alias("p", "activity")).withColumn("pos", F.col("p") + 1).drop("p")
+    return events.withColumn("node", F.concat(half(1), half(2)))
+
+
+def prefix_tree(cases: DataFrame, keys=()) -> DataFrame:
+    """NODES of the prefix tree: ``keys, node, parent, depth, activity, cases, ends, children``.
+
+    One row for each different prefix of the traces. ``cases`` have the prefix, ``ends`` of them no event after it;
+    ``parent`` is null for the first event. Cases are counted by variant before anything is spread; a variant's own row
+    has its number of cases, so a prefix that many cases share is one sum, taken before the shuffle too.
+    """
+    counted = with_tid(cases).groupBy(*keys, "tid").agg(F.any_value("trace").alias("trace"), F.any_value("n").alias("n"), F.count("*").alias("w"))
+    paths = prefix_paths(counted, keys, ["w"])
+    down = Window.partitionBy(*keys, "tid").orderBy("pos")
+    nodes = (
+        paths.withColumn("parent", F.lag("node").over(down)).groupBy(*keys, "node", "parent", F.col("pos").alias("depth"), "activity")
+        .agg(F.sum("w").alias("cases"), F.sum(F.when(F.col("pos") == F.col("n"), F.col("w")).otherwise(0)).alias("ends"))
+    )
+    below = nodes.where("parent is not null").groupBy(*keys, F.col("parent").alias("node")).agg(F.count("*").alias("children"))
+    return nodes.join(below, [*keys, "node"], "left").withColumn("children", F.coalesce("children", F.lit(0)))
+
+
 @dataclass
 class FrequencyModel:
-    counts: DataFrame  # keys, prefix_len, pos, activity, c
+    runs: DataFrame  # keys, pos, activity, since, until, c, d; settled
     norms: DataFrame  # keys, prefix_len, n_fit, squares: sum of squared counts
     vocabulary: DataFrame  # keys, activity of the training cases; settled
     encoding: str = "onehot"
     keys: tuple = ()
 
+    @cached_property
+    def counts(self) -> DataFrame:
+        """``keys, prefix_len, pos, activity, c``: the runs spread over their lengths."""
+        spread = self.runs.where(F.col("c") > 0).select(
+            *self.keys, F.explode(F.sequence("since", "until")).alias("prefix_len"), "pos", "activity", "c"
+        )
+        return settle(spread.join(self.norms.select(*self.keys, "prefix_len"), [*self.keys, "prefix_len"], "left_semi"))
+
     def score(self, variants: DataFrame) -> DataFrame:
         """(keys, tid, prefix_len, score): mean squared reconstruction error, 9 digits.
 
         For an event x with share p_x the squared error over the vocabulary is
         1 - 2 p_x + sum of all p_b squared; an unknown event is a zero vector and has only the sum.
+
+        The counts hit by a prefix are a running sum down its trace: of what each event adds at its own length and of
+        what the counts of the events before change there. A prefix that several variants share is a node of one of
+        them, its owner; only there are the changes looked up.
         """
-        return self._errors(variants, F.explode(F.sequence(F.col("p") + 1, F.col("n"))))
+        keys = [*self.keys]
+        paths = prefix_paths(variants, keys)
+        owners = paths.groupBy(*keys, "node").agg(F.min("tid").alias("owner"))
+        paths = settle(paths.join(owners, [*keys, "node"]).drop("node"), "paths")
+        # What a variant owns is the end of it: whoever is the first at a prefix is so at all longer ones.
+        own = paths.where("owner = tid").groupBy(*keys, "tid").agg(F.min("pos").alias("first"))
+        changes = (
+            paths.drop("owner").join(own, [*keys, "tid"])
+            .join(self.runs.select(*keys, "pos", "activity", "since", "d"), [*keys, "pos", "activity"])
+            .where((F.col("since") >= F.col("first")) & (F.col("since") <= F.col("n")))
+            .groupBy(*keys, F.col("tid").alias("owner"), F.col("since").alias("pos")).agg(F.sum("d").alias("d"))
+        )
+        down = Window.partitionBy(*keys, "tid").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = (
+            paths.join(changes, [*keys, "owner", "pos"], "left").join(self._known(), [*keys, "activity"], "left")
+            .select(
+                *keys, "tid", F.col("pos").alias("prefix_len"),
+                F.sum(F.coalesce("d", F.lit(0))).over(down).alias("hits"), F.count("known").over(down).alias("known"),
+            )
+        )
+        return self._errors(summed)
 
     def score_whole(self, variants: DataFrame) -> DataFrame:
         """The same for the whole traces only."""
-        return self._errors(variants, F.col("n"))
-
-    def _errors(self, variants: DataFrame, prefix_len: Column) -> DataFrame:
-        keys, norms = self.keys, self.norms
-        if keys:
-            size = F.col("size")
-            norms = norms.join(self.vocabulary.groupBy(*keys).agg(F.count("*").alias("size")), [*keys])
-        else:
-            size = self.vocabulary.agg(F.count("*").alias("c")).scalar()
-        known = self.vocabulary.select(*keys, "activity", F.lit(1).alias("known"))
+        keys = self.keys
         events = (
-            variants.select(*keys, "tid", "n", F.posexplode("trace").alias("p", "activity"))
-            .join(known, [*keys, "activity"], "left")
-            .select(*keys, "tid", (F.col("p") + 1).alias("pos"), "activity", "known", prefix_len.alias("prefix_len"))
+            variants.select(*keys, "tid", F.col("n").alias("prefix_len"), F.posexplode("trace").alias("p", "activity"))
+            .withColumn("pos", F.col("p") + 1).join(self._known(), [*keys, "activity"], "left")
         )
         summed = (
             events.join(self.counts, [*keys, "prefix_len", "pos", "activity"], "left")
             .groupBy(*keys, "tid", "prefix_len")
             .agg(F.sum(F.coalesce("c", F.lit(0))).alias("hits"), F.count("known").alias("known"))
         )
+        return self._errors(summed)
+
+    def _known(self) -> DataFrame:
+        return self.vocabulary.select(*self.keys, "activity", F.lit(1).alias("known"))
+
+    def _errors(self, summed: DataFrame) -> DataFrame:
+        keys, norms = self.keys, self.norms
+        if keys:
+            size = F.col("size")
+            norms = norms.join(self.vocabulary.groupBy(*keys).agg(F.count("*").alias("size")), [*keys])
+        else:
+            size = self.vocabulary.agg(F.count("*").alias("c")).scalar()
         fit = F.col("n_fit").cast("double")
         error = (
             F.col("known").cast("double")
@@ -161,13 +243,14 @@ class FrequencyModel:
 
 
 def frequency_model(train: DataFrame, cuts: DataFrame, vocabulary: DataFrame, keys=()) -> FrequencyModel:
-    counts = settle(position_counts(train, cuts, keys))
-    whole = F.col("c").cast("decimal(18,0)")
-    norms = (
-        counts.groupBy(*keys, "prefix_len").agg(F.sum(whole * whole).alias("squares"))
-        .join(cuts.select(*keys, "prefix_len", "n_fit"), [*keys, "prefix_len"])
-    )
-    return FrequencyModel(counts, norms, vocabulary, keys=tuple(keys))
+    runs = settle(position_runs(train, cuts, keys), "runs")
+    whole = lambda c: c.cast("decimal(18,0)") * c.cast("decimal(18,0)")
+    grown = runs.groupBy(*keys, F.col("since").alias("prefix_len")).agg(F.sum(whole(F.col("c")) - whole(F.col("c") - F.col("d"))).alias("grown"))
+    # A row for each length.
+    upto = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("prefix_len").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    norms = cuts.select(*keys, "prefix_len", "n_fit").join(grown, [*keys, "prefix_len"], "left")
+    norms = norms.select(*keys, "prefix_len", "n_fit", F.sum(F.coalesce("grown", F.lit(0))).over(upto).alias("squares"))
+    return FrequencyModel(runs, settle(norms, "norms"), vocabulary, keys=tuple(keys))
 
 
 def sample_errors(train: DataFrame, cuts: DataFrame, scores: DataFrame, keys=()) -> DataFrame:

@@ -283,6 +283,13 @@ def prefixes(s, d):
     return px.prefixes(settle(tb.labelled_sessions(s, d))).select("case_id", "prefix_len", joined("prefix").alias("prefix"), "label")
 
 
+@query
+def prefix_tree(s, d):
+    nodes = settle(dt.prefix_tree(tb.session_cases(s, d)), "nodes")
+    above = nodes.select(F.col("node").alias("parent"), F.col("cases").alias("parent_cases"))
+    return nodes.join(above, "parent", "left").select("depth", "activity", "cases", "ends", "children", "parent_cases")
+
+
 @query
 def prefix_dims(s, d):
     run = Run(tb.labelled_sessions(s, d))

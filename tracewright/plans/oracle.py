@@ -98,6 +98,12 @@ put("variants", LOG, select=f"SELECT {text('t')} AS trace, count(*) AS num_cases
 put("order_variants", ORDERS,
     "oc AS (SELECT case_id, list(activity ORDER BY pos) AS t FROM ol GROUP BY case_id)",
     select=f"SELECT {text('t')} AS trace, count(*) AS num_cases FROM oc GROUP BY t")
+put("prefix_tree", LOG,
+    """pn AS (SELECT t[:k] AS p, k, count(*) AS cases, sum(CASE WHEN k = n THEN 1 ELSE 0 END)::BIGINT AS ends
+        FROM (SELECT t, len(t) AS n, unnest(range(1, len(t) + 1)) AS k FROM cs) GROUP BY ALL),
+    pc AS (SELECT p[:k - 1] AS p, count(*) AS children FROM pn GROUP BY ALL)""",
+    select="""SELECT pn.k AS depth, pn.p[pn.k] AS activity, pn.cases, pn.ends, coalesce(pc.children, 0) AS children, up.cases AS parent_cases
+    FROM pn LEFT JOIN pc ON pc.p = pn.p LEFT JOIN pn up ON up.p = pn.p[:pn.k - 1]""")
 put("variant_prob", LOG, select=f"""SELECT {text('t')} AS trace, count(*) AS num_cases,
     round(count(*)::DOUBLE / (SELECT count(*) FROM cs), 12) AS probability FROM cs GROUP BY t""")
 put("matrix", LOG, select="""SELECT case_id, pos AS event_position, activity AS name,
