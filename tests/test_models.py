@@ -39,6 +39,29 @@ def test_graph_descends_pools_and_lanes_only(models):
     assert sorted((r.src, r.dst) for r in edges.collect()) == [("f", "sub"), ("t", "f")]
 
 
+def test_deep_models_go_by_rounds(spark, monkeypatch):
+    """A chain of 21 shapes, a wide one, and one without shapes: the same rows however many levels a round has."""
+    chain = shape("c20", "Task", "last")
+    for i in range(19, -1, -1):
+        chain = shape(f"c{i}", "Pool" if i < 15 else "Subprocess", f"n{i}", [], [chain, shape(f"s{i}", "Task", "side")])
+    wide = [shape(f"w{i}", "Task", str(i)) for i in range(200)]
+    docs = [{"resourceId": "r", "childShapes": [chain]}, {"resourceId": "r", "childShapes": wide}, {"resourceId": "r"}]
+    models = spark.createDataFrame([(f"m{i}", f"n{i}", json.dumps(x)) for i, x in enumerate(docs)], "model_id string, name string, model_json string")
+    written = []
+    settle = mo.settle
+    monkeypatch.setattr(mo, "settle", lambda df, *name: written.append(1) or settle(df, *name))
+    told = [sorted((r.model_id, r.parent, r.resourceId, r.properties.name) for r in mo.shapes(models, levels=n).collect()) for n in (40, 8, 3, 1)]
+    assert len(told[0]) == 41 + 200 and all(x == told[0] for x in told)
+    assert ("m0", "c19", "c20", "last") in told[0] and ("m0", "r", "c0", "n0") in told[0]
+    assert written[:4] == [1] * 4 and len(written) == 1 + 3 + 7 + 21
+    some = mo.shapes(models, F.col("stencil.id") == "Pool").where("model_id = 'm0'").collect()
+    assert len(some) == 16 + 15  # c0 to c15, and the tasks beside c1 to c15
+    assert mo.shapes(models.limit(0)).isEmpty()
+    bad = models.where("model_id = 'm2'").withColumn("model_json", F.lit('{"resourceId": "r", "childShapes": [null]}'))
+    with pytest.raises(Exception, match="without a resourceId"):
+        mo.shapes(bad).collect()
+
+
 def test_filters(spark):
     rows = [("a", "1", "Procure parts", "StartNoneEvent"), ("a", "2", "Procure parts", "Task"), ("b", "1", "Mine", "StartNoneEvent"),
             ("b", "2", "Mine", "Task"), ("b", "3", "Mine", "EndNoneEvent"), ("c", "1", None, "Task")]

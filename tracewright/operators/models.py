@@ -19,33 +19,52 @@ SHAPE = (
 )
 
 
-def shapes(models: DataFrame, into: Column | None = None) -> DataFrame:
+# Levels of shapes that are unfolded before what is left of deeper models is written.
+LEVELS = 8
+
+
+def shapes(models: DataFrame, into: Column | None = None, levels: int = LEVELS) -> DataFrame:
     """All shapes below the root of each model.
 
-    Children stay JSON text until their level is parsed; each level is written before the next
-    one, so a level is parsed once however deep the model. ``into`` limits the shapes whose
+    ``levels`` levels are unfolded in one plan without a shuffle, and written once; only models deeper than that leave
+    rows for another round. Children stay JSON text until their level is parsed. ``into`` limits the shapes whose
     children are followed (on the shape's columns).
     """
     carried = [c for c in models.columns if c != "model_json"]
     root = models.select(*carried, F.from_json("model_json", SHAPE).alias("s"))
-    root = root.select(*carried, F.col("s.resourceId").alias("root"), F.col("s.resourceId").alias("parent"),
-                       F.explode("s.childShapes").alias("child"))
-    levels = []
-    below = root
+    below = root.select(*carried, F.col("s.resourceId").alias("root"), F.col("s.resourceId").alias("parent"),
+                        F.explode("s.childShapes").alias("child"))
+    shape = root.schema["s"].dataType
+    fields = [f for f in shape.names if f != "childShapes"]
+    rounds = []
     while True:
-        level = settle(
-            below.select(*carried, "root", "parent", F.from_json("child", SHAPE).alias("s"))
-            .select(*carried, "root", "parent", "s.*")
-        )
-        if level.isEmpty():
+        empty = [F.lit(None).cast(shape[f].dataType).alias(f) for f in fields]
+        rows = below.select(*carried, "root", "parent", F.lit(True).alias("_open"), "child", *empty)
+        for _ in range(levels):
+            rows = unfolded(rows, [*carried, "root"], fields, into)
+        rows = settle(rows, "shapes")
+        rounds.append(rows.where("not _open").select(*carried, "root", "parent", *fields))
+        below = rows.where("_open").select(*carried, "root", "parent", "child")
+        if below.isEmpty():
             break
-        levels.append(level.drop("childShapes"))
-        followed = level if into is None else level.where(into)
-        below = followed.select(*carried, "root", F.col("resourceId").alias("parent"), F.explode("childShapes").alias("child"))
-    if not levels:
-        return level.drop("childShapes")
     known = F.coalesce("resourceId", F.raise_error(F.lit("shape without a resourceId")).cast("string"))
-    return reduce(DataFrame.unionByName, levels).withColumn("resourceId", known).where(F.col("resourceId") != F.col("root"))
+    return reduce(DataFrame.unionByName, rounds).withColumn("resourceId", known).where(F.col("resourceId") != F.col("root"))
+
+
+def unfolded(rows: DataFrame, carried: list[str], fields: list[str], into: Column | None) -> DataFrame:
+    """One level further: an open row (its shape is the text ``child``) becomes the shape and an open row for each of its children."""
+    parsed = rows.select(*carried, "parent", "_open", *fields, F.when(F.col("_open"), F.from_json("child", SHAPE)).alias("_s"))
+    told = parsed.select(
+        *carried, "parent", *[F.when(F.col("_open"), F.col(f"_s.{f}")).otherwise(F.col(f)).alias(f) for f in fields], F.col("_s.childShapes").alias("_below")
+    )
+    below = F.col("_below") if into is None else F.when(into, F.col("_below"))
+    entry = lambda child, is_open: F.struct(child.cast("string").alias("child"), F.lit(is_open).alias("open"))
+    children = F.coalesce(F.transform(below, lambda c: entry(c, True)), F.array().cast("array<struct<child:string,open:boolean>>"))
+    each = told.select(*carried, "parent", *fields, F.explode(F.concat(F.array(entry(F.lit(None), False)), children)).alias("_e"))
+    return each.select(
+        *carried, F.when(F.col("_e.open"), F.col("resourceId")).otherwise(F.col("parent")).alias("parent"), F.col("_e.open").alias("_open"),
+        F.col("_e.child").alias("child"), *[F.when(~F.col("_e.open"), F.col(f)).alias(f) for f in fields],
+    )
 
 
 def model_elements(models: DataFrame, parse_parent: bool = False, parse_outgoing: bool = False) -> DataFrame:
