@@ -164,7 +164,7 @@ def prefix_tree(cases: DataFrame, keys=()) -> DataFrame:
 @dataclass
 class FrequencyModel:
     runs: DataFrame  # keys, pos, activity, since, until, c, d; settled
-    norms: DataFrame  # keys, prefix_len, n_fit, squares: sum of squared counts
+    norms: DataFrame  # keys, prefix_len, n_fit, squares: sum of squared counts, size of the vocabulary; settled
     vocabulary: DataFrame  # keys, activity of the training cases; settled
     encoding: str = "onehot"
     keys: tuple = ()
@@ -190,11 +190,11 @@ class FrequencyModel:
         keys = [*self.keys]
         paths = prefix_paths(variants, keys)
         owners = paths.groupBy(*keys, "node").agg(F.min("tid").alias("owner"))
-        paths = settle(paths.join(owners, [*keys, "node"]).drop("node"), "paths")
         # What a variant owns is the end of it: whoever is the first at a prefix is so at all longer ones.
-        own = paths.where("owner = tid").groupBy(*keys, "tid").agg(F.min("pos").alias("first"))
+        first = F.min(F.when(F.col("owner") == F.col("tid"), F.col("pos"))).over(Window.partitionBy(*keys, "tid"))
+        paths = settle(paths.join(owners, [*keys, "node"]).drop("node").withColumn("first", first), "paths")
         changes = (
-            paths.drop("owner").join(own, [*keys, "tid"])
+            paths.where("first is not null").drop("owner")
             .join(self.runs.select(*keys, "pos", "activity", "since", "d"), [*keys, "pos", "activity"])
             .where((F.col("since") >= F.col("first")) & (F.col("since") <= F.col("n")))
             .groupBy(*keys, F.col("tid").alias("owner"), F.col("since").alias("pos")).agg(F.sum("d").alias("d"))
@@ -227,19 +227,14 @@ class FrequencyModel:
         return self.vocabulary.select(*self.keys, "activity", F.lit(1).alias("known"))
 
     def _errors(self, summed: DataFrame) -> DataFrame:
-        keys, norms = self.keys, self.norms
-        if keys:
-            size = F.col("size")
-            norms = norms.join(self.vocabulary.groupBy(*keys).agg(F.count("*").alias("size")), [*keys])
-        else:
-            size = self.vocabulary.agg(F.count("*").alias("c")).scalar()
+        keys = self.keys
         fit = F.col("n_fit").cast("double")
         error = (
             F.col("known").cast("double")
             + F.col("squares").cast("double") / (fit * fit)
             - F.lit(2.0) * F.col("hits").cast("double") / fit
-        ) / (size * F.col("prefix_len")).cast("double")
-        return summed.join(norms, [*keys, "prefix_len"]).select(*keys, "tid", "prefix_len", F.round(error, 9).alias("score"))
+        ) / (F.col("size") * F.col("prefix_len")).cast("double")
+        return summed.join(self.norms, [*keys, "prefix_len"]).select(*keys, "tid", "prefix_len", F.round(error, 9).alias("score"))
 
 
 def frequency_model(train: DataFrame, cuts: DataFrame, vocabulary: DataFrame, keys=()) -> FrequencyModel:
@@ -250,6 +245,8 @@ def frequency_model(train: DataFrame, cuts: DataFrame, vocabulary: DataFrame, ke
     upto = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("prefix_len").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     norms = cuts.select(*keys, "prefix_len", "n_fit").join(grown, [*keys, "prefix_len"], "left")
     norms = norms.select(*keys, "prefix_len", "n_fit", F.sum(F.coalesce("grown", F.lit(0))).over(upto).alias("squares"))
+    sizes = vocabulary.groupBy(*keys).agg(F.count("*").alias("size"))
+    norms = norms.join(sizes, [*keys]) if keys else norms.withColumn("size", sizes.scalar())
     return FrequencyModel(runs, settle(norms, "norms"), vocabulary, keys=tuple(keys))
 
 
@@ -329,19 +326,24 @@ def best_thresholds(candidates: DataFrame, errors: DataFrame, keys=()) -> DataFr
 
 @dataclass
 class Detection:
-    scores: DataFrame  # keys, tid, prefix_len, score, predicted: every prefix that has a model
+    scores: DataFrame  # keys, tid, prefix_len, score, predicted: at least every test prefix that has a model
     verdicts: DataFrame  # keys, tid, predicted, score, first_flag
     test: DataFrame  # labelled test cases with tid and true_label (the flag of the first event)
     keys: tuple = ()
 
 
-def detect(test: DataFrame, model, chosen: DataFrame) -> Detection:
-    """Score every test prefix that has a model; flagged when the score is over the threshold."""
+def detect(test: DataFrame, model, chosen: DataFrame, scores: DataFrame | None = None) -> Detection:
+    """Score every test prefix that has a model; flagged when the score is over the threshold.
+
+    ``scores``: those of all test variants (others may be there too), where they are known already.
+    """
     keys = getattr(model, "keys", ())
     limits = chosen.select(*keys, "prefix_len", "threshold")
     tagged = with_tid(test).withColumn("true_label", F.get("flags", F.lit(0)))
-    scores = settle(
-        model.score(variant_table(test, keys)).join(limits, [*keys, "prefix_len"])
+    if scores is None:
+        scores = settle(model.score(variant_table(test, keys)), "scores")
+    scores = (
+        scores.join(limits, [*keys, "prefix_len"])
         .select(*keys, "tid", "prefix_len", "score", (F.col("score") > F.col("threshold")).cast("int").alias("predicted"))
     )
     verdicts = scores.groupBy(*keys, "tid").agg(

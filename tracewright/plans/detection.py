@@ -83,9 +83,16 @@ class Run:
         vectors = embedded(self.train) if self.encoding == "word2vec" else None
         return linear_model(self.train, self.cuts, self.vocabulary, vectors=vectors, bottleneck=self.bottleneck)
 
+    @cached_property
+    def scores(self) -> DataFrame:
+        """Scores of the variants of training and test cases, many of which are the same."""
+        columns = [*self.keys, "n", "trace"]
+        both = self.train.select(*columns).unionByName(self.test.select(*columns))
+        return settle(self.model.score(d.variant_table(both, self.keys)), "scores")
+
     @cached_property
     def errors(self) -> DataFrame:
-        return settle(d.sample_errors(self.train, self.cuts, self.model.score(d.variant_table(self.train, self.keys)), self.keys))
+        return settle(d.sample_errors(self.train, self.cuts, self.scores, self.keys), "errors")
 
     @cached_property
     def candidates(self) -> DataFrame:
@@ -93,11 +100,11 @@ class Run:
 
     @cached_property
     def chosen(self) -> DataFrame:
-        return d.best_thresholds(self.candidates, self.errors, self.keys)
+        return settle(d.best_thresholds(self.candidates, self.errors, self.keys), "chosen")
 
     @cached_property
     def found(self) -> d.Detection:
-        return d.detect(self.test, self.model, self.chosen)
+        return d.detect(self.test, self.model, self.chosen, self.scores)
 
     @cached_property
     def verdicts(self) -> DataFrame:
