@@ -104,6 +104,10 @@ def test_log_round_trip_and_result_sinks(spark, tmp_path):
     path = str(tmp_path / "out")
     sk.write_json_log(events, path, log_attrs={"origin": "x"})
     back = rd.read_json_log(spark, path, lines=True)
+    for name in ("by_suffix.jsonl", "by_word.json"):
+        sk.write_json_log(events, str(tmp_path / name), log_attrs={"origin": "x"})
+        read = rd.read_log(spark, str(tmp_path / name), lines=name.endswith(".json"))
+        assert read.orderBy("pos").collect() == back.orderBy("pos").collect()
     assert [(r.case_id, r.pos, r.activity, r.ts, r.attrs) for r in back.orderBy("pos").collect()] == [
         ("1", 1, "a", "t", {"k": "v"}), ("1", 2, "b", None, {})]
     lines = str(tmp_path / "lines")

@@ -172,13 +172,12 @@ def json_sink(s, d):
 @query
 def read_log(s, d):
     """The session log in three formats, each read by the suffix of its path."""
-    log, paths = tb.session_log(s, d), {kind: f"{tb.scratch(s, kind)}.{kind}" for kind in ("json", "xes", "csv")}
-    sk.write_json_log(log, paths["json"])
+    log, paths = tb.session_log(s, d), {kind: f"{tb.scratch(s, kind)}.{kind}" for kind in ("jsonl", "xes", "csv")}
+    sk.write_json_log(log, paths["jsonl"])
     sk.write_xes_traces(log, paths["xes"])
     rows = log.select("case_id", F.col("ts").alias("start_time"), F.col("ts").alias("end_time"), F.col("activity").alias("event"), F.lit("u").alias("user"), "pos")
     rows.repartition("case_id").sortWithinPartitions("case_id", "pos").drop("pos").write.option("header", True).csv(paths["csv"])
-    reads = {"json": rd.read_json_log(s, paths["json"], lines=True), "xes": rd.read_log(s, paths["xes"]), "csv": rd.read_log(s, paths["csv"])}
-    parts = [log.select(F.lit(kind).alias("format"), "case_id", "pos", "activity") for kind, log in reads.items()]
+    parts = [rd.read_log(s, path).select(F.lit(kind.removesuffix("l")).alias("format"), "case_id", "pos", "activity") for kind, path in paths.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

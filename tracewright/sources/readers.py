@@ -151,16 +151,19 @@ def read_xes_header(spark: SparkSession, path: str) -> DataFrame:
     return extensions.unionByName(global_attrs).unionByName(classifiers)
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Log by suffix: XES or JSON, plain or gzipped, CSV; a bare name means its ``.json.gz``."""
+def read_log(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Log by suffix: XES, JSON or JSON lines (``.jsonl``), plain or gzipped, CSV; a bare name means its ``.json.gz``.
+
+    ``lines``: a JSON path holds one document per line, whatever its suffix.
+    """
     bare = path.removesuffix(".gz")
     if bare.endswith(".xes"):
         return read_xes(spark, path)
-    if bare.endswith(".json"):
-        return read_json_log(spark, path)
+    if bare.endswith((".json", ".jsonl")):
+        return read_json_log(spark, path, lines or bare.endswith(".jsonl"))
     if bare.endswith(".csv"):
         return read_timed_csv(spark, path)
-    return read_json_log(spark, path + ".json.gz")
+    return read_json_log(spark, path + ".json.gz", lines)
 
 
 def read_table_log(table: DataFrame, slot: Column | None = None) -> DataFrame:
