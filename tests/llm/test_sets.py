@@ -409,3 +409,23 @@ def test_pipeline_mix_of_repeated_rows(spark):
     for r in mixing.mix(docs).collect():
         want[r.doc_id] += int(r.taken / r.size + 0.5)
     assert Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, "").collect()) == +want
+
+
+def test_probes_follow_the_clusters_of_the_vectors():
+    rng = np.random.default_rng(4)
+    even = nearest.unit(rng.standard_normal((4000, 32)))
+    middle = rng.standard_normal((60, 32))
+    clustered = nearest.unit(middle[rng.integers(0, 60, 4000)] + 0.05 * rng.standard_normal((4000, 32)))
+    few, many = (nearest.enough_probes(x, nearest.centres(x, 60), 5) for x in (clustered, even))
+    assert few <= 4 and 20 < many <= 60
+    # Copies are one vector: they don't make a scattered table look clustered.
+    assert nearest.enough_probes(np.concatenate([even, np.repeat(even[:1], 8000, 0)]), nearest.centres(even, 60), 5) == many
+    assert nearest.enough_probes(even[:5], even[:3], 5) == 3 and nearest.enough_probes(even[:0], even[:3], 5) == 3
+    probes, c = nearest.enough_probes(even, nearest.centres(even, 60), 5), nearest.centres(even, 60)
+    lists, order = (even @ c.T).argmax(1), np.argsort(-(even @ c.T), axis=1)
+    found = 0
+    for i in range(0, 4000, 40):
+        near = even @ even[i]
+        near[i] = -9
+        found += np.isin(lists[np.argsort(-near)[:5]], order[i, :probes]).sum()
+    assert found >= 0.92 * 500

@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by cosine: inverted lists, with an adaptive scan of dimensions inside each list.
 
 Vectors are scaled to length 1 and turned by a fixed random rotation. Centres are fitted by k-means on about ``SAMPLE``
-rows at most, chosen by a hash of the id; every row is then put into the list of its nearest centre. A query probes the
-``PROBES`` share of the lists nearest to it (at least ``LEAST_PROBES``, and more until they hold enough rows).
+rows at most, chosen by a hash of the id; every row is then put into the list of its nearest centre. How many of the lists
+nearest to it a query probes is told from the same sample: so many that they hold the share ``FOUND`` of the nearest
+neighbours of ``TRIALS`` of its vectors (at least ``LEAST_PROBES``, and more until they hold enough rows). The sample is
+thinner than the table, so its neighbours lie farther off and ask for rather more lists.
 
 Inside a list, columns of the rotated vectors are read in blocks of ``COLUMNS``. After d of D columns, the squared
 distance so far times D / d estimates the whole one; under the hypothesis that the candidate is within the bound r of
@@ -24,7 +26,8 @@ from ..session import settle
 
 SAMPLE = 16_384
 MOST_LISTS = 1_024
-PROBES = 0.6
+FOUND = 0.95
+TRIALS = 256
 LEAST_PROBES = 24
 COLUMNS = 16
 EPSILON = 2.1
@@ -58,6 +61,21 @@ def centres(x: np.ndarray, n: int) -> np.ndarray:
     return c
 
 
+def enough_probes(x: np.ndarray, middle: np.ndarray, k: int) -> int:
+    """How many lists hold the share ``FOUND`` of the k nearest of some of the rows of x, each different row taken once."""
+    x = np.unique(x, axis=0)
+    if len(x) <= k:
+        return len(middle)
+    at = np.linspace(0, len(x) - 1, min(TRIALS, len(x))).astype(int)
+    own = np.concatenate([(x[i : i + 4096] @ middle.T).argmax(1) for i in range(0, len(x), 4096)])
+    near = x[at] @ x.T
+    near[np.arange(len(at)), at] = -np.inf
+    top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    place = np.argsort(np.argsort(-(x[at] @ middle.T), axis=1, kind="stable"), axis=1)
+    places = np.sort(place[np.arange(len(at))[:, None], own[top]], axis=None)
+    return int(places[int(np.ceil(FOUND * len(places))) - 1]) + 1
+
+
 def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cosine of original vectors, row by row; equal rows have equal results."""
     q, x = q / np.abs(q).max(1, keepdims=True), x / np.abs(x).max(1, keepdims=True)
@@ -129,7 +147,7 @@ def search(base: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_i
     held = {r.list: r.n for r in indexed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most MOST_LISTS rows
     count = np.array([held.get(i, 0) for i in range(len(middle))])
     blocks = np.maximum(1, -(-count // CANDIDATES))
-    probes = max(LEAST_PROBES, int(np.ceil(PROBES * len(middle))))
+    probes = max(LEAST_PROBES, enough_probes(known, middle, k))
     sent = spark.sparkContext.broadcast((count, blocks))
 
     def probing(frames):
