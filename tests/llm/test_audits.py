@@ -8,6 +8,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -157,6 +158,26 @@ def test_divergence(spark, monkeypatch, tile, block):
     assert divergence.audit(docs.limit(0)).count() == 0
 
 
+def test_long_terms_of_two_letters_stay_apart(spark):
+    a = "a"
+    for _ in range(11):  # the Thue-Morse word, which sums modulo 2^64 can't tell from its complement
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(k, f"{a} {b} other", "en", "st"[k % 2]) for k in range(12)] + [(20 + k, a, "en", "s") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1)
+    got = sorted((r["lang"], r["source"], r["part"], r["item"], r["value"], r["rank"]) for r in divergence.audit(docs).collect())
+    assert got == divergence_of([r[1:] for r in rows])
+
+
+def test_a_pair_is_the_same_one_in_every_tile():
+    runs = [{"start": 0, "length": 1, "occurs": 5}]
+    part = pd.DataFrame({
+        "lang": "en", "i": 0, "j": 0, "side": 0, "source": ["s", "t"], "size": 3, "total": 5, "terms": 3, "runs": [runs, None],
+    })
+    for rows in (part, part[::-1]):
+        assert divergence.pair_values(rows)[["a", "b"]].values.tolist() == [["s", "t"]]
+
+
 def test_shares_are_exact_for_large_counts(spark):
     cases = [(0, 0, 1), (5, 17, 3), (9_300_000_000, 40_000_000_000, 12_345_678), (10**14, 10**14 + 7, 10**8), (123_456_789_012, 10**14, 999_999_999)]
     want = [1 + 10**9 * (c + 2) // (n + 2 * v) for c, n, v in cases]

@@ -122,7 +122,8 @@ def encoded(runs, size: int, total: int, terms: int) -> tuple[np.ndarray, np.nda
 
 
 def pair_values(part: pd.DataFrame) -> pd.DataFrame:
-    """(lang, a, b, value): the part of a tile in the values of the pairs of two blocks of sources."""
+    """(lang, a, b, value), a before b: the part of a tile in the values of the pairs of two blocks of sources."""
+    part = part.sort_values("source")  # rows come in any order, but a pair is the same one in every tile
     side = part["side"].to_numpy()
     cross = bool(len(part)) and part["i"].iloc[0] != part["j"].iloc[0]
     names, size = part["source"].to_list(), int(part["size"].iloc[0])

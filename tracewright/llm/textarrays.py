@@ -6,6 +6,8 @@ text and not the batch. Null texts are treated as empty ones. Hashes have 64 bit
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +17,9 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
+#: Ranges of more bytes have a digest for their hash: sums modulo 2^64 fall together for long texts of two letters.
+LONG = 128
+
 #: Bytes between words: the characters of [\x20\x09-\x0D].
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -70,7 +75,10 @@ class Chunk:
     def hashes(self, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray) -> np.ndarray:
         """A hash of the bytes of each range; equal ranges have equal hashes wherever they stand."""
         _, down = POWERS.upto(len(self.data))
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * STEP)
+        out = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * STEP)
+        for k in np.flatnonzero(ends - starts > LONG):
+            out[k] = int.from_bytes(blake2b(self.data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+        return out
 
     def words(self, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, start, end) of every word; ``space`` flags the bytes between words."""
