@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from tracewright.operators import graph as g
@@ -138,3 +140,34 @@ def test_models_that_fill_several_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {f"m{m:02}": m * (m + 1) // 2 for m in range(1, 12)}
+
+
+def test_models_that_are_alike_are_told_once(spark):
+    rng, n, e = random.Random(3), [], []
+    labels = ["task a", "task b", None, "StartNoneEvent", "SequenceFlow", "MessageFlow", "DataObject", "Exclusive_Databased_Gateway", "Exclusive thing"]
+    kinds = [([rng.choice(labels) for _ in range(6)], {(f"n{rng.randrange(6)}", f"n{rng.randrange(6)}") for _ in range(9)}) for _ in range(6)]
+    for m in [*range(24), None]:
+        names, arcs = kinds[(m or 0) % 6]
+        n += [(m, f"n{i}", label, (label or "").startswith("task")) for i, label in enumerate(names)]
+        e += [(m, *arc) for arc in sorted(arcs)]
+    n = spark.createDataFrame(n, "model_id long, id string, label string, is_task boolean")
+    e = spark.createDataFrame(e, "model_id long, src string, dst string")
+    seen = []
+
+    def watched(operate):
+        def told(nodes, edges):
+            seen.append(nodes.select("model_id").distinct().count())
+            return operate(nodes, edges)
+
+        return told
+
+    for operate, look in [(g.predecessors, None), (g.sources, None), (g.implicit_joins, g.kind_look(n["label"])), (g.branch_tasks, g.choice_look(n))]:
+        want = sorted(map(repr, operate(n, e).collect()))
+        assert sorted(map(repr, g.once(watched(operate), n, e, look).collect())) == want
+    assert max(seen) <= 7  # 6 and the rows without a model
+
+
+def test_task_paths_repeat_what_is_repeated(spark):
+    nodes = spark.createDataFrame([("m", "a", "x", True), ("m", "a", "w", True), ("m", "b", None, True), ("m", "c", "y", False)], "model_id string, id string, label string, is_task boolean")
+    paths = spark.createDataFrame([("m", ["a", "c", "b"]), ("m", ["c"]), ("m", ["b", "a"]), ("m", ["b", "a"]), (None, ["a"])], "model_id string, path array<string>")
+    assert sorted(g.task_paths(paths, nodes).collect(), key=repr) == [("m", ["w", "x", None]), ("m", [None, None, "w", "w", "x", "x"])]

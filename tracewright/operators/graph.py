@@ -65,6 +65,51 @@ def is_relevant(label: Column) -> Column:
     return ~first_word(label).isin(IRRELEVANT)
 
 
+def flow_look(label: Column) -> Column:
+    """What the flow of a model depends on in a label: its first word where that may be no shape of the flow, else nothing."""
+    return F.when(_starts(label, [*NOT_A_SHAPE, "MessageFlow"]), first_word(label)).when(label.isNotNull(), "Task")
+
+
+def kind_look(label: Column) -> Column:
+    """The same for operations that ask for the kinds of the shapes as well."""
+    plain = (node_kind(label) == "Task") & ~_starts(label, [*NOT_A_SHAPE, "MessageFlow"])
+    return F.when(plain, "Task").otherwise(first_word(label))
+
+
+def choice_look(nodes: DataFrame) -> Column:
+    """The same for the branches of choices, which ask for choices and for tasks with a label."""
+    label, is_task = nodes["label"], nodes["is_task"]
+    named = F.coalesce(is_task & label.isNotNull(), F.lit(False))
+    return F.concat_ws("|", flow_look(label), F.coalesce(is_choice(label), F.lit(False)).cast("string"), named.cast("string"))
+
+
+def once(operate, nodes: DataFrame, edges: DataFrame, look: Column | None = None) -> DataFrame:
+    """``operate(nodes, edges)``, told once for all models that are alike and joined to each of them.
+
+    Models are alike if they have the same edges and the same nodes, each as often, by id and ``look`` (what the operation asks
+    of a node besides its id; by default what the flow depends on). That is told by sums of two 64-bit hashes of the rows, each
+    summed in halves, so no model is gathered. The operation has to return ``model_id``, and else only ids and what follows
+    from what was compared.
+    """
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    look = flow_look(nodes["label"]) if look is None else look
+    rows = nodes.select("model_id", F.lit(0).alias("part"), F.col("id").cast("string").alias("a"), look.alias("b")).unionByName(
+        edges.select("model_id", F.lit(1).alias("part"), F.col("src").cast("string").alias("a"), F.col("dst").cast("string").alias("b"))
+    )
+    sums = [F.count("*").alias("_rows"), F.isnull("model_id").alias("_null")]
+    for seed in (1, 2):
+        h = F.xxhash64(F.lit(seed), "part", F.isnull("a"), text(F.col("a")), F.isnull("b"), text(F.col("b")))
+        sums += [F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"_low{seed}"), F.sum(F.shiftrightunsigned(h, 32)).alias(f"_high{seed}")]
+    forms = settle(rows.groupBy("model_id").agg(*sums), "forms")
+    form = forms.columns[1:]
+    first = settle(forms.groupBy(*form).agg(F.min("model_id").alias("_first")), "first")
+    alike = forms.join(first, form).select("model_id", "_first")
+    of_first = lambda df: df.join(first.select("_first"), df["model_id"].eqNullSafe(F.col("_first")), "left_semi")
+    found = settle(operate(settle(of_first(nodes), "nodes"), settle(of_first(edges), "edges")), "found")
+    told = found.withColumnRenamed("model_id", "_of")
+    return alike.join(told, F.col("_first").eqNullSafe(F.col("_of"))).select(*found.columns)
+
+
 def _arc_kinds(edges: DataFrame, nodes: DataFrame, end: str) -> DataFrame:
     """Edges with ``arc``: whether the shape at ``end`` is a sequence arc; message flows are left out."""
     label = F.col("label")
@@ -231,29 +276,38 @@ def bits(number: int):
 def exclusive_branches(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """BRANCHES (model_id, xor_id, branch_id, activity) of the choices of models: what may happen on one way only.
 
+    Branches are told by ``branch_tasks``, once for models that are alike. Their activities are the labels of their tasks.
+    """
+    named = nodes.where(F.col("is_task") & F.col("label").isNotNull()).select("model_id", "id", F.col("label").alias("activity"))
+    told = once(branch_tasks, nodes, edges, choice_look(nodes))
+    return told.join(named, ["model_id", "id"]).select("model_id", "xor_id", "branch_id", "activity").distinct()
+
+
+def branch_tasks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(model_id, xor_id, branch_id, id): the tasks with a label on the branches of the choices of models.
+
     A choice with several successors is matched with the nearest shape through which every way from it to an end goes (its
-    immediate post-dominator). A branch is what a successor reaches without passing the choice or that shape; its activities
-    are the labels of its tasks. Branches are numbered by the ids of their successors, from 0; one without a task has no
+    immediate post-dominator). A branch is what a successor reaches without passing the choice or that shape. Branches are numbered by the ids of their successors, from 0; one without a task has no
     row. Where no end can be reached, or ways end apart, a branch goes on as far as its arcs do. Nulls among the ids are
     left out.
     """
     arcs = successors(nodes, edges).where("src is not null and dst is not null")
     kinds = nodes.where("id is not null").select(
         "model_id", F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"), F.coalesce(is_choice(F.col("label")), F.lit(False)).alias("choice"),
-        F.when(F.col("is_task"), F.col("label")).alias("activity"),
+        F.coalesce(F.col("is_task") & F.col("label").isNotNull(), F.lit(False)).alias("task"),
     )
-    none = arcs.select("model_id", "src", "dst", F.lit(False).alias("choice"), F.lit(None).cast("string").alias("activity"))
+    none = arcs.select("model_id", "src", "dst", F.lit(False).alias("choice"), F.lit(False).alias("task"))
 
     def match(table):
-        after, choices, activity = {}, [], {}
-        for src, dst, choice, name in zip(*(table.column(c).to_pylist() for c in ("src", "dst", "choice", "activity"))):
+        after, choices, tasks = {}, [], set()
+        for src, dst, choice, task in zip(*(table.column(c).to_pylist() for c in ("src", "dst", "choice", "task"))):
             if dst is not None:
                 after.setdefault(src, set()).add(dst)
                 after.setdefault(dst, set())
             else:
                 choices += [src] * choice
-                if name is not None:
-                    activity[src] = name
+                if task:
+                    tasks.add(src)
         number = {name: k for k, name in enumerate(after)}
         order, whole = list(after), (1 << len(after)) - 1
         through = [whole if after[name] else 1 << k for name, k in number.items()]
@@ -293,10 +347,10 @@ def exclusive_branches(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                         continue
                     seen.add(at)
                     waiting.extend(after[at])
-                for label in sorted({activity[x] for x in seen if x in activity}):
-                    yield split, branch, label
+                for task in sorted(seen & tasks):
+                    yield split, branch, task
 
-    schema = nodes.select("model_id", F.lit("").alias("xor_id"), F.lit(0).alias("branch_id"), F.lit("").alias("activity")).schema
+    schema = nodes.select("model_id", F.lit("").alias("xor_id"), F.lit(0).alias("branch_id"), F.lit("").alias("id")).schema
     return by_model(none.unionByName(kinds), match, schema)
 
 
@@ -335,13 +389,17 @@ def simple_paths(nodes: DataFrame, edges: DataFrame, all_routes: bool = False, m
 
 
 def task_paths(paths: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct non-empty label sequences of the tasks on the paths."""
-    tasks = nodes.where("is_task").select("model_id", "id", "label")
-    steps = paths.select("model_id", "path", F.posexplode("path").alias("p", "id")).join(tasks, ["model_id", "id"])
-    return (
-        steps.groupBy("model_id", "path").agg(F.sort_array(F.collect_list(F.struct("p", "label"))).alias("s"))
-        .select("model_id", F.col("s.label").alias("tasks")).distinct()
-    )
+    """Distinct non-empty label sequences of the tasks on the paths.
+
+    One shuffle by model; the tasks of a model are one row beside its paths.
+    """
+    each = F.sort_array(F.collect_list(F.struct("id", "label")))
+    tasks = nodes.where("is_task and model_id is not null").groupBy("model_id").agg(each.alias("tasks"))
+    rows = paths.repartition("model_id").groupBy("model_id", "path").agg(F.count("*").cast("int").alias("times")).join(tasks, "model_id")
+    labels = lambda x: F.transform(F.filter("tasks", lambda t: t["id"] == x), lambda t: t["label"])
+    # A path that comes several times, or a task, has its labels as often.
+    steps = F.transform("path", lambda x: F.sort_array(F.flatten(F.array_repeat(labels(x), F.col("times")))))
+    return rows.select("model_id", F.flatten(steps).alias("tasks")).where("size(tasks) > 0").distinct()
 
 
 def implicit_joins(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -853,28 +853,30 @@ def nodes(s, d):
 
 @query
 def succ(s, d):
-    return g.successors(*tb.order_graph(s, d))
+    return g.once(g.successors, *tb.order_graph(s, d))
 
 
 @query
 def pred(s, d):
-    return g.predecessors(*tb.order_graph(s, d))
+    return g.once(g.predecessors, *tb.order_graph(s, d))
 
 
 @query
 def sources_sinks(s, d):
-    graph = tb.order_graph(s, d)
-    return g.sources(*graph).withColumn("side", F.lit("source")).unionByName(g.sinks(*graph).withColumn("side", F.lit("sink")))
+    def ends(*graph):
+        return g.sources(*graph).withColumn("side", F.lit("source")).unionByName(g.sinks(*graph).withColumn("side", F.lit("sink")))
+
+    return g.once(ends, *tb.order_graph(s, d))
 
 
 @query
 def reach(s, d):
-    return g.reachable(g.successors(*tb.order_graph(s, d)))
+    return g.once(lambda *graph: g.reachable(g.successors(*graph)), *tb.order_graph(s, d))
 
 
 def order_paths(s, d) -> tuple[DataFrame, DataFrame]:
     nodes_, edges_ = tb.order_graph(s, d)
-    return g.simple_paths(nodes_, edges_), nodes_
+    return g.once(g.simple_paths, nodes_, edges_), nodes_
 
 
 @query
@@ -899,7 +901,8 @@ def node_kind(s, d):
 
 @query
 def implicit_joins(s, d):
-    return g.implicit_joins(*tb.order_graph(s, d))
+    nodes_, edges_ = tb.order_graph(s, d)
+    return g.once(g.implicit_joins, nodes_, edges_, g.kind_look(nodes_["label"]))
 
 
 @query
