@@ -148,7 +148,7 @@ def sql_log(s, d):
 def model_csv(s, d):
     path = tb.scratch(s, "models")
     docs = tb.model_documents(s, d).toDF("Model ID", "Name", "Type", "Namespace", "Model JSON")
-    docs.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    docs.write.option("header", True).option("quote", '"').option("escape", '"').option("compression", "gzip").csv(path)
     return rd.read_model_csv(s, path).select(
         "model_id", "name", "type", "namespace", F.size(F.from_json("model_json", mo.SHAPE)["childShapes"]).alias("num_children")
     )

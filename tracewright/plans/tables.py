@@ -154,44 +154,49 @@ def notations(spark, sf_dir) -> DataFrame:
 
 
 def model_documents(spark, sf_dir) -> DataFrame:
-    """One JSON model per order: lanes of tasks and, beside them, the arcs between the lines."""
-    rows = sized_orders(spark, sf_dir)
-    none_out = F.array().cast("array<struct<resourceId:string>>")
+    """One JSON model per order: lanes of tasks and, beside them, the arcs between the lines.
 
-    def ref(prefix, value):
-        return F.array(F.struct(F.concat(F.lit(prefix), value).alias("resourceId")))
-
-    pos = F.col("pos")
-    act = F.col("activity")
-    stencil = F.when(act == "RF", "Exclusive_Databased_Gateway").when(act == "RO", "IntermediateTimerEvent").otherwise("Task")
-    label = F.when(pos % 4 == 0, "").otherwise(F.concat(F.lit("Handle\nPart"), act, F.lit(" "), F.col("part")))
-    task = F.struct(
-        F.concat(F.lit("n"), pos).alias("resourceId"),
-        F.struct(stencil.alias("id")).alias("stencil"),
-        F.struct(label.alias("name")).alias("properties"),
-        F.when(pos < F.col("num_events"), ref("f", pos)).otherwise(none_out).alias("outgoing"),
-        F.when(pos % 3 == 0, F.struct(F.array(F.concat(F.lit("/glossary/"), F.col("part"))).alias("name"))).alias("glossaryLinks"),
-    )
+    The lines are gathered where their positions are told, by one shuffle.
+    """
+    none_out = F.array().cast("array<struct<resourceId:string>>")
     task_type = (
         "array<struct<resourceId:string,stencil:struct<id:string>,properties:struct<name:string>,"
         "outgoing:array<struct<resourceId:string>>,glossaryLinks:struct<name:array<string>>>>"
     )
+    count = F.size("lines")
+
+    def ref(prefix, value):
+        return F.array(F.struct(F.concat(F.lit(prefix), value).alias("resourceId")))
 
     def shape(rid, kind, name, out, children):
         return F.struct(
             rid.alias("resourceId"), F.struct(F.lit(kind).alias("id")).alias("stencil"),
-            F.struct(name.alias("name")).alias("properties"), out.alias("outgoing"), children.alias("childShapes"),
+            F.struct(name.alias("name")).alias("properties"), out.alias("outgoing"), children.cast(task_type).alias("childShapes"),
         )
 
-    lanes = (
-        rows.groupBy("case_id", "lane").agg(F.collect_list(task).alias("tasks"))
-        .select("case_id", shape(F.concat(F.lit("lane"), F.col("lane")), "Lane", F.col("lane"), none_out, F.col("tasks")).alias("s"))
-    )
-    arcs = rows.where(pos < F.col("num_events")).select(
-        "case_id",
-        shape(F.concat(F.lit("f"), pos), "SequenceFlow", F.lit(""), ref("n", pos + 1), F.lit(None).cast(task_type)).alias("s"),
-    )
-    docs = lanes.unionByName(arcs).groupBy("case_id").agg(F.collect_list("s").alias("childShapes"))
+    def task(line):
+        pos, act = line["pos"], line["activity"]
+        stencil = F.when(act == "RF", "Exclusive_Databased_Gateway").when(act == "RO", "IntermediateTimerEvent").otherwise("Task")
+        label = F.when(pos % 4 == 0, "").otherwise(F.concat(F.lit("Handle\nPart"), act, F.lit(" "), line["part"]))
+        return F.struct(
+            F.concat(F.lit("n"), pos).alias("resourceId"),
+            F.struct(stencil.alias("id")).alias("stencil"),
+            F.struct(label.alias("name")).alias("properties"),
+            F.when(pos < count, ref("f", pos)).otherwise(none_out).alias("outgoing"),
+            F.when(pos % 3 == 0, F.struct(F.array(F.concat(F.lit("/glossary/"), line["part"])).alias("name"))).alias("glossaryLinks"),
+        )
+
+    def lane(name):
+        tasks = F.transform(F.filter("lines", lambda line: line["lane"].eqNullSafe(name)), task)
+        return shape(F.concat(F.lit("lane"), name), "Lane", name, none_out, tasks)
+
+    def arc(line):
+        return shape(F.concat(F.lit("f"), line["pos"]), "SequenceFlow", F.lit(""), ref("n", line["pos"] + 1), F.lit(None))
+
+    orders = order_log(spark, sf_dir).groupBy("case_id").agg(F.collect_list(F.struct("pos", "activity", "part", "lane")).alias("lines"))
+    lanes = F.transform(F.array_distinct(F.col("lines.lane")), lane)
+    arcs = F.transform(F.filter("lines", lambda line: line["pos"] < count), arc)
+    docs = orders.select("case_id", F.concat(lanes, arcs).alias("childShapes"))
     key = F.col("case_id").cast("bigint")
     return docs.select(
         F.col("case_id").alias("model_id"),
