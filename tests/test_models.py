@@ -94,3 +94,10 @@ def test_texts(spark):
     assert df.select(tx.label_words(F.col("l"))).collect()[3][0] == ["realize", "task"]
     rel = spark.createDataFrame([(None,), ("",), ("12",), ("Task",), ("x Gateway",), ("Subprocess 1",), ("pay",)], "l string")
     assert [r[0] for r in rel.select(tx.is_relevant_label(F.col("l"))).collect()] == [True, False, False, False, False, False, True]
+
+
+def test_texts_of_models_are_gathered_by_one_aggregation(spark):
+    rows = [("m", "n", "b"), ("m", "n", "a"), ("m", "n", "b"), ("m", "n", None), ("m", "n", ""), ("m", None, "c"), ("o", "n", None), (None, "n", "d"), (None, "n", "d")]
+    out = mo.model_text(spark.createDataFrame(rows, "model_id string, name string, label string"))
+    assert {(r.model_id, r.name): r.label for r in out.collect()} == {("m", "n"): " a b", ("m", None): "c", ("o", "n"): "", (None, "n"): "d"}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1

@@ -228,11 +228,12 @@ def filter_data(dataset: DataFrame, key: str, value=None, threshold: int | None
 
 
 def model_text(elements: DataFrame, sep: str = " ") -> DataFrame:
-    """Distinct labels of each model and name in one text, in alphabetical order."""
-    return (
-        elements.select("model_id", "name", F.coalesce("label", F.lit("")).alias("label")).distinct()
-        .groupBy("model_id", "name").agg(F.array_join(F.sort_array(F.collect_list("label")), sep).alias("label"))
-    )
+    """Distinct labels of each model and name in one text, in alphabetical order.
+
+    Copies go where the labels are gathered: no table of the different rows stands in a task beside that.
+    """
+    named = elements.select("model_id", "name", F.coalesce("label", F.lit("")).alias("label"))
+    return named.groupBy("model_id", "name").agg(F.array_join(F.sort_array(F.collect_set("label")), sep).alias("label"))
 
 
 def meaningful_models(elements: DataFrame, least: float = 2.0) -> DataFrame:
