@@ -233,3 +233,11 @@ def test_main_text_behind_scripts_and_open_heads(page):
 def test_unclosed_elements_cost_no_second_search():
     page = "<select>" * 200_000 + "<article><p>Some words of a page.</p></article>"
     assert main_text.main_text(page) == "Some words of a page."
+
+
+def test_texts_are_counted_once_for_a_condition_on_their_counts(spark):
+    rows = [("en", "a", "one two three " * 30), ("en", "a", None), (None, None, "x")]
+    counted = quality_rules.counts(spark.createDataFrame(rows, "lang string, source string, text string")).drop("text")
+    out = counted.where(~quality_rules.base_failed("counts")).select("lang", *[v.alias(k) for k, v in quality_rules.ratios("counts").items()])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert counted.orderBy("counts.n_words").selectExpr("counts.n_words").toPandas()["n_words"].tolist() == [0, 1, 90]
