@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,3 +267,26 @@ def test_changes_of_counts_equal_counts_per_length(spark):
         assert score == pytest.approx((known + squares[k] / fit[k] ** 2 - 2 * hits / fit[k]) / (3 * k), abs=2e-9)
     whole = {r.tid: r.score for r in model.score_whole(variants).collect()}
     assert whole == {tid: got[tid, len(t)] for tid, t in texts.items() if (tid, len(t)) in got}
+
+
+def test_memory_of_a_group_follows_its_result(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    n, places, size = 3000, 40, 32
+    x = rng.normal(size=(n, places, size)) * (rng.random((n, places, 1)) > 0.2)
+    assert np.allclose(ln.vectors_of(x[:3], size, 100), [folded(v.ravel(), 100) for v in x[:3]])
+    group = pd.DataFrame({"prefix_len": places, "x": [list(v) for v in x], "w": rng.integers(1, 4, n)})
+    dense = ln.vectors_of(x, size, 64)
+    tracemalloc.start()
+    got = ln.moments(group, size, 64)
+    form = pd.DataFrame({"i": np.arange(64), "g": list(np.eye(64))})
+    scores = ln.errors(group.assign(tid="t"), form, size, 64)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.triu((dense * group["w"].to_numpy()[:, None]).T @ dense)
+    assert np.allclose(got["c"], want[got["i"], got["j"]]) and np.allclose(scores["score"], (dense**2).sum(1) / 64)
+    assert most < 0.7 * x.nbytes  # 30 MB; several times that before
+    # Groups of long prefixes have fewer rows.
+    monkeypatch.setattr(ln, "VALUES", 640)
+    lengths = spark.createDataFrame([(3,)] * 10 + [(40,)] * 10, "n int")
+    salts = lambda numbers: {r.prefix_len: r.salts for r in ln.salted(lengths, numbers).collect()}
+    assert salts(1)[3] == 1 and salts(32)[3] == 3 and salts(32)[40] == 20

@@ -40,8 +40,12 @@ WIDTH = 1024
 # Eigenvalues closer than this share of the greatest are taken as equal.
 TIED = 1e-9
 
-# Prefixes that are summed or scored by one task at a time.
+# Prefixes that are summed or scored by one task at a time, and numbers that their events make at most (a longer prefix is alone).
 GROUP = 20_000
+VALUES = 1 << 23
+
+# Numbers that are folded at a time.
+PIECE = 1 << 20
 
 
 def signs(folds: int) -> np.ndarray:
@@ -53,15 +57,18 @@ def vectors_of(x: np.ndarray, size: int, width: int) -> np.ndarray:
     """Folded vectors of prefixes of one length: ``x`` has one row of (place * event size) values per prefix, or one
     row of vocabulary indexes (-1: unknown, a zero vector) with ``size`` values per event."""
     n, places = x.shape[0], x.shape[1]
+    d, sign = min(places * size, width), signs(places * size // width + 1)
+    out = np.zeros((n, d))
     if x.ndim == 2:
         feature = np.arange(places) * size + x
         row, place = np.nonzero(x >= 0)
-        feature, value = feature[row, place], 1.0
+        feature = feature[row, place]
+        np.add.at(out, (row, feature % width), sign[feature // width])
     else:
-        row, place, part = np.nonzero(x)
-        feature, value = place * size + part, x[row, place, part]
-    out = np.zeros((n, min(places * size, width)))
-    np.add.at(out, (row, feature % width), value * signs(places * size // width + 1)[feature // width])
+        flat = x.reshape(n, places * size)
+        for q, first in enumerate(range(0, places * size, width)):
+            part = flat[:, first : first + width]
+            out[:, : part.shape[1]] += part * sign[q]
     return out
 
 
@@ -70,10 +77,20 @@ def stacked(values) -> np.ndarray:
     return np.array([[np.asarray(e) for e in v] for v in values])
 
 
+def pieces(values: pd.Series, size: int, width: int):
+    """(slice, folded vectors) of the prefixes of one length, some at a time: memory follows PIECE, not the group."""
+    step = max(1, PIECE // max(1, min(width, len(values.iloc[0]) * size), np.size(values.iloc[0][0]) * len(values.iloc[0])))
+    for start in range(0, len(values), step):
+        own = slice(start, start + step)
+        yield own, vectors_of(stacked(values.iloc[own]), size, width)
+
+
 def moments(pdf: pd.DataFrame, size: int, width: int) -> pd.DataFrame:
     """Upper entries of X'X of one group of weighted prefixes of one length."""
-    x = vectors_of(stacked(pdf["x"]), size, width)
-    total = np.triu((x * pdf["w"].to_numpy()[:, None]).T @ x)
+    w, total = pdf["w"].to_numpy(), 0.0
+    for own, x in pieces(pdf["x"], size, width):
+        total = total + (x * w[own, None]).T @ x
+    total = np.triu(total)
     i, j = np.nonzero(total)
     return pd.DataFrame({"prefix_len": pdf["prefix_len"].iloc[0], "i": i, "j": j, "c": total[i, j]})
 
@@ -112,8 +129,7 @@ def errors(rows: pd.DataFrame, form: pd.DataFrame, size: int, width: int) -> pd.
     if not len(rows) or not len(form):
         return pd.DataFrame({"tid": [], "prefix_len": [], "score": []})
     g = np.stack(form.sort_values("i")["g"].to_numpy())
-    x = vectors_of(stacked(rows["x"]), size, width)
-    e = np.maximum(((x @ g) * x).sum(1), 0) / g.shape[0]
+    e = np.concatenate([np.maximum(((x @ g) * x).sum(1), 0) / g.shape[0] for _, x in pieces(rows["x"], size, width)])
     return pd.DataFrame({"tid": rows["tid"], "prefix_len": rows["prefix_len"], "score": np.round(e, 9)})
 
 
@@ -145,7 +161,7 @@ class LinearModel:
             .select("tid", "x", F.explode(F.sequence(F.lit(1), F.size("x"))).alias("prefix_len")).join(lengths, "prefix_len")
             .select("tid", "prefix_len", F.slice("x", 1, F.col("prefix_len")).alias("x"))
         )
-        salts = salted(variants.where("n > 0").select("n"))
+        salts = salted(variants.where("n > 0").select("n"), size if self.encoding == "word2vec" else 1)
         prefix = prefix.join(salts, "prefix_len").withColumn("salt", F.pmod(F.xxhash64("tid"), F.col("salts"))).drop("salts")
         form = self.form.join(salts, "prefix_len").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
         keys = ["prefix_len", "salt"]
@@ -159,10 +175,14 @@ class LinearModel:
         return self.score(variants).join(whole, ["tid", "prefix_len"], "left_semi")
 
 
-def salted(lengths: DataFrame) -> DataFrame:
-    """(prefix_len, salts): how many groups of about GROUP rows the prefixes of each length make. ``lengths``: n."""
+def salted(lengths: DataFrame, numbers: int = 1) -> DataFrame:
+    """(prefix_len, salts): how many groups of about GROUP rows, or of VALUES numbers, the prefixes of each length make.
+
+    ``lengths``: n. ``numbers``: how many an event has.
+    """
     counts = lengths.groupBy("n").agg(F.count("*").alias("c")).select("c", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("prefix_len"))
-    return settle(counts.groupBy("prefix_len").agg(F.ceil(F.sum("c") / GROUP).alias("salts")))
+    values = F.sum("c") * F.col("prefix_len") * numbers
+    return settle(counts.groupBy("prefix_len").agg(F.ceil(F.greatest(F.sum("c") / GROUP, values / VALUES)).alias("salts")))
 
 
 def linear_model(
@@ -184,7 +204,7 @@ def linear_model(
     own = coded(train.where("n > 0"), ["case_id"], codes, unknown)
     fit = samples(train.join(own, "case_id"), cuts, "x").where("not in_tail")
     fit = fit.select("prefix_len", F.slice("x", 1, F.col("prefix_len")).alias("x")).groupBy("prefix_len", "x").agg(F.count("*").alias("w"))
-    fit = fit.join(salted(train.where("n > 0").select("n")), "prefix_len").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts")))
+    fit = fit.join(salted(train.where("n > 0").select("n"), 1 if vectors is None else size), "prefix_len").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts")))
     entries = (
         fit.groupBy("prefix_len", "salt").applyInPandas(
             lambda pdf: moments(pdf, size, width), "prefix_len int, i int, j int, c double"
