@@ -71,3 +71,37 @@ def test_lengths_without_a_model_have_no_score(spark):
     assert got[("c", 9)] is None and got[("c", 1)] == got[("d", 1)] == 0.0 and got[("e", 2)] > 0
     linear = Run(flagged(spark, [("ab", 0)] * 20), model_kind="linear")
     assert scorer.scored(rows.where("case_id <> 'e'"), linear.model, linear.chosen).where("score is not null").count() == 2
+
+
+def test_cases_share_a_state_and_are_closed_each_by_itself(spark, tmp_path):
+    run = Run(flagged(spark, [("ab", 0)] * 20))
+    steps = [
+        [("gone", 1, "a", 0), ("open", 1, "a", 0), ("gap", 2, "b", 0)],
+        [("open", 2, None, 100)],  # moves the watermark on
+        [("open", 3, "a", 101), ("gap", 1, "a", 101)],  # gone is closed while others of its group go on
+        [("gone", 1, "a", 102), ("gone", 1, "b", 102), ("open", 4, "b", 102), ("new", 1, "a", 102)],
+    ]
+    folder = str(tmp_path / "in")
+    for k, rows in enumerate(steps):
+        put(spark, folder, k, rows)
+    for name, more in (("one", {"groups": 1}), ("many", {})):
+        out = str(tmp_path / name)
+        query = scorer.watch(
+            stream(spark, folder), run.model, run.chosen, out, f"{out}-checkpoint", delay="1 minute", idle_ms=600_000, availableNow=True, **more
+        )
+        query.awaitTermination()
+        got = spark.read.schema("case_id string, prefix_len int, score double, predicted int").parquet(out)
+        want = [("gap", 1), ("gap", 2), ("gone", 1), ("gone", 1), ("new", 1), ("open", 1), ("open", 2), ("open", 3), ("open", 4)]
+        assert sorted((r.case_id, r.prefix_len) for r in got.collect()) == want
+        if name == "one":
+            assert [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress][-1] == 1
+
+
+def test_states_grow_with_the_groups_not_the_cases(spark, tmp_path):
+    rows = spark.range(6000).select(F.col("id").cast("string").alias("case_id"), F.lit(1).alias("pos"), F.lit("a").alias("activity"), F.timestamp_seconds(F.lit(1_600_000_000)).alias("ts"))
+    folder, table = str(tmp_path / "in"), f"grown_{tmp_path.name.replace('-', '_')}"
+    rows.coalesce(1).write.parquet(f"{folder}/0")
+    query = scorer.prefixes(stream(spark, folder)).writeStream.format("memory").queryName(table).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table(table).where("prefix_len = 1 and size(prefix) = 1").select("case_id").distinct().count() == 6000 == spark.table(table).count()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= scorer.GROUPS < 6000

@@ -1,9 +1,11 @@
 """Early detection on a stream of events: every prefix is scored once, when its last event is known.
 
-A keyed state holds the trace of each open case, and the events that have come before their predecessors. An event whose
+A keyed state holds the traces of open cases, and the events that have come before their predecessors. An event whose
 predecessors are all known closes a prefix, which goes to the model that a batch run has fitted; so what is said of a
 prefix is what the batch run says, in whatever order and in however many batches the events come. A case without an
-event for some time is closed: its state goes when the watermark has passed its last event by that time.
+event for some time is closed: it goes when the watermark has passed its last event by that time.
+
+A call for a key costs far more than an event, so the key is not the case but a hash of it: the open cases of a group share a state.
 
 Each micro-batch writes its scores into a folder of its own number, which a repeated batch replaces: after a restart from the
 checkpoint every prefix stands once.
@@ -11,6 +13,8 @@ checkpoint every prefix stands once.
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,39 +24,71 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..functions.draws import sized_text
 
 PREFIX = "case_id string, prefix_len int, prefix array<string>"
-STATE = "trace array<string>, at array<int>, waiting array<string>, last long"
+GROWN = "case_id string, known int, trace array<string>"
+STATE = "cases string"
 
+# Groups that the cases are dealt over.
+GROUPS = 4096
 
-def prefixes(events: DataFrame, delay: str = "1 hour", idle_ms: int = 86_400_000) -> DataFrame:
-    """(case_id, prefix_len, prefix) of a stream of EVENTS (case_id, pos, activity, ts), each prefix once.
 
-    delay: how late an event may come; later ones are dropped. idle_ms: how long a case stays open without an event.
-    Events without a case or a position are left out. Of events that repeat a position the first to come counts. What waits
-    for a predecessor when its case is closed is dropped; an event of a closed case opens the case anew.
+def grown(events: DataFrame, delay: str = "1 hour", idle_ms: int = 86_400_000, groups: int = GROUPS) -> DataFrame:
+    """(case_id, known, trace) of a stream of EVENTS (case_id, pos, activity, ts): the cases that have grown.
+
+    ``known`` events of the trace were known before, so each prefix is new once. The parameters are those of ``prefixes``.
     """
 
     def grow(key, parts, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        trace, at, waiting, last = state.get if state.exists else ([], [], [], 0)
-        trace, ahead, old = list(trace), dict(zip(at, waiting)), len(trace)
+        # case: its trace, events that wait for a predecessor as places and activities, last event, time to close
+        cases = json.loads(state.get[0]) if state.exists else {}
+        now, seen = state.getCurrentWatermarkMs(), {}
         for part in parts:
-            for pos, activity, ms in zip(part["pos"], part["activity"], part["ms"]):
-                last = max(last, int(ms))
-                if pos > old:
-                    ahead.setdefault(int(pos), activity)
-        while len(trace) + 1 in ahead:
-            trace.append(ahead.pop(len(trace) + 1))
-        state.update((trace, list(ahead), list(ahead.values()), last))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
-        new = range(old + 1, len(trace) + 1)
+            for case, pos, activity, ms in zip(part["case_id"], part["pos"], part["activity"], part["ms"]):
+                if case not in seen:
+                    trace, at, waiting, last, _ = cases.get(case, ([], [], [], 0, 0))
+                    seen[case] = [trace, dict(zip(at, waiting)), last, len(trace)]
+                held = seen[case]
+                held[2] = max(held[2], int(ms))
+                if pos > held[3]:
+                    held[1].setdefault(int(pos), activity)
+        new = []
+        for case, (trace, ahead, last, known) in seen.items():
+            while len(trace) + 1 in ahead:
+                trace.append(ahead.pop(len(trace) + 1))
+            cases[case] = (trace, list(ahead), list(ahead.values()), last, max(last, now) + idle_ms)
+            if len(trace) > known:
+                new.append((case, known, trace))
+        cases = {case: held for case, held in cases.items() if case in seen or held[4] >= now}
+        if cases:
+            state.update((json.dumps(cases),))
+            state.setTimeoutTimestamp(min(held[4] for held in cases.values()))
+        elif state.exists:
+            state.remove()
         if new:
-            yield pd.DataFrame({"case_id": [key[0]] * len(new), "prefix_len": list(new), "prefix": [trace[:k] for k in new]})
+            yield pd.DataFrame(new, columns=["case_id", "known", "trace"])
 
     seen = events.where("case_id is not null and pos is not null").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     slim = seen.select(F.col("case_id").cast("string").alias("case_id"), F.col("pos").cast("int").alias("pos"), "activity", "ts", F.unix_millis("ts").alias("ms"))
-    return slim.groupBy("case_id").applyInPandasWithState(grow, PREFIX, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    dealt = slim.withColumn("group", F.pmod(F.xxhash64("case_id"), F.lit(groups)))
+    return dealt.groupBy("group").applyInPandasWithState(grow, GROWN, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def new_prefixes(cases: DataFrame) -> DataFrame:
+    """(case_id, prefix_len, prefix) of grown cases: the prefixes that were not known before."""
+    lengths = cases.select("case_id", "trace", F.explode(F.sequence(F.col("known") + 1, F.size("trace"))).alias("prefix_len"))
+    return lengths.select("case_id", "prefix_len", F.slice("trace", F.lit(1), F.col("prefix_len")).alias("prefix"))
+
+
+def prefixes(events: DataFrame, delay: str = "1 hour", idle_ms: int = 86_400_000, groups: int = GROUPS) -> DataFrame:
+    """(case_id, prefix_len, prefix) of a stream of EVENTS (case_id, pos, activity, ts), each prefix once.
+
+    delay: how late an event may come; later ones are dropped. idle_ms: how long a case stays open without an event.
+    Events without a case or a position are left out. Of events that repeat a position the first to come counts. What waits
+    for a predecessor when its case is closed is dropped; an event of a closed case opens the case anew.
+
+    groups: over how many states the cases are dealt. A state is written whole when one of its cases has an event, so more
+    groups suit small batches on many open cases. A checkpoint stays with the number it began with.
+    """
+    return new_prefixes(grown(events, delay, idle_ms, groups))
 
 
 def scored(rows: DataFrame, model, chosen: DataFrame) -> DataFrame:
@@ -66,7 +102,8 @@ def scored(rows: DataFrame, model, chosen: DataFrame) -> DataFrame:
 
 
 def watch(
-    events: DataFrame, model, chosen: DataFrame, out: str, checkpoint: str, delay: str = "1 hour", idle_ms: int = 86_400_000, **trigger,
+    events: DataFrame, model, chosen: DataFrame, out: str, checkpoint: str, delay: str = "1 hour", idle_ms: int = 86_400_000,
+    groups: int = GROUPS, **trigger,
 ) -> StreamingQuery:
     """Score a stream of EVENTS into Parquet under ``out``, with a model and the thresholds of a batch run.
 
@@ -76,11 +113,11 @@ def watch(
     def keep(batch: DataFrame, number: int) -> None:
         batch.persist()  # read twice below
         try:
-            scored(batch, model, chosen).write.mode("overwrite").parquet(f"{out}/batch={number}")
+            scored(new_prefixes(batch), model, chosen).write.mode("overwrite").parquet(f"{out}/batch={number}")
         finally:
             batch.unpersist()
 
-    writer = prefixes(events, delay, idle_ms).writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", checkpoint)
+    writer = grown(events, delay, idle_ms, groups).writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
